@@ -19,6 +19,7 @@ the language that sorts first; very long texts are many blocks; repeated rows gi
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 class Parser:
     """The tables of all languages in one array of row offsets shifted left by one, with the phrase flag in the lowest bit."""
 
-    kept: dict[int, Parser] = {}
+    kept: dict[str, Parser] = {}
 
     def __init__(self, sample: dict[str, list[str]]) -> None:
         self.langs = sorted(sample)
@@ -144,11 +145,12 @@ class Parser:
         self.log_length = np.log2(np.maximum(lengths, 2)) if lengths else np.zeros(0)
 
     @classmethod
-    def of(cls, sent) -> Parser:
-        if sent.id not in cls.kept:
+    def of(cls, key: str, sent) -> Parser:
+        """One per worker process and sample."""
+        if key not in cls.kept:
             cls.kept.clear()
-            cls.kept[sent.id] = cls(sent.value)
-        return cls.kept[sent.id]
+            cls.kept[key] = cls(sent.value)
+        return cls.kept[key]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases per language and text, symbols per text, has a letter)."""
@@ -179,12 +181,12 @@ class Parser:
 
 def identify(docs: DataFrame, sample: dict[str, list[str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, score, and entropy (bits per symbol against the winner). Only the text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast(sample)
+    sent, key = docs.sparkSession.sparkContext.broadcast(sample), uuid.uuid4().hex
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = slim.drop("text").schema.add("lang_pred", "string").add("score", "double").add("entropy", "double")
 
     def run(batches):
-        parser = Parser.of(sent)
+        parser = Parser.of(key, sent)
         names = np.array([*parser.langs, "und"], object)
         for batch in tv.pieces(batches, most=3_000_000):
             texts = batch.column("text").to_pylist()

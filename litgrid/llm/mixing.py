@@ -56,7 +56,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     weighed = weighed.withColumns({"goal": F.lit(share) * F.sum("source_size").over(everything), "all_weight": F.sum("weight").over(everything), "capped": F.sum("cap").over(rising) - F.col("cap"), "passed": F.sum("weight").over(rising) - F.col("weight")})
     level = (F.col("goal") - F.col("capped")) / (F.col("all_weight") - F.col("passed"))
     # sources below the level stand at their caps; the first that isn't gives the level
-    weighed = weighed.withColumn("level", F.min(F.when(level <= F.col("ratio"), level)).over(everything))
+    first = F.min(F.when(level <= F.col("ratio"), F.struct("ratio", "place", level.alias("level")))).over(everything)
+    weighed = weighed.withColumn("level", first["level"])
     return weighed.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -64,7 +65,7 @@ def copies(docs_measured: DataFrame, most: float = MOST, bucket_rows: int = BUCK
     """Rows with source_size, target, and copies of each."""
     rows = docs_measured
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # a null source is a key too
-    rows = rows.withColumns({"key": source, "class": F.floor(F.log2(F.col("size") + 1) * 8).cast("int")})
+    rows = rows.withColumns({"key": source, "class": F.floor(F.sqrt("size")).cast("int")})
     per_class = cut(rows.groupBy("key", "source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("total")))
     dealt = targets(per_class.groupBy("source").agg(F.sum("total").alias("source_size")), most=most, **rule)
     dealt = cut(dealt.withColumn("key", source).select("key", "source_size", "target"))

@@ -20,5 +20,23 @@ from d left join pos using (r) left join items using (r)
 """
 
 
+OP8 = r"""
+with m as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                  substr(md5('mix-1' || coalesce(cast(doc_id as varchar), '')), 1, 12) as h, coalesce('s' || source, 'n') as k from documents),
+s as (select k, source, cast(sum(size) as bigint) as source_size from m group by all),
+w as (select *, row_number() over (order by source nulls last) - 1 as place from s),
+w2 as (select *, [3.0, 1.0, 2.0][place % 3 + 1]::double as weight, 2.0::double * source_size as cap from w),
+w3 as (select *, cap / weight as ratio from w2),
+w4 as (select *, 1.5::double * sum(source_size) over () as goal, sum(weight) over () as all_weight,
+       sum(cap) over (order by ratio, place rows unbounded preceding) - cap as capped, sum(weight) over (order by ratio, place rows unbounded preceding) - weight as passed from w3),
+l as (select arg_min((goal - capped) / (all_weight - passed), (ratio, place)) as level from w4 where (goal - capped) / (all_weight - passed) <= ratio),
+t as (select k, source_size, coalesce(least(cap, level * weight), cap) as target from w4 left join l on true),
+r as (select m.*, source_size, target, row_number() over (partition by m.k order by floor(sqrt(size)), h, doc_id, size) as rank,
+             case when source_size > 0 then target / source_size else 0.0::double end as e,
+             cast(('0x' || substr(md5('mix-1:' || m.k), 1, 7)) as bigint) / 268435456.0::double as u from m join t on m.k = t.k)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * (floor(rank * e + u) - floor((rank - 1) * e + u)) as bigint) as taken from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6}
+    return {"op6_decontamination": OP6, "op8_mixing": OP8}
