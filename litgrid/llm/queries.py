@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, quality_rules, sharding, token_counts
+from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_counts
 from .common import crc_of_id, read
 
 
@@ -16,6 +16,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(crc_of_id(), F.lit(7)) == 2
+    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return lm_scoring.fit_and_score(docs, docs.where(~F.col("held_out")), ("doc_id", "held_out"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents"), k=4, percent=85).drop("row_key")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -37,4 +48,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op5_token_counts, op6_decontamination, op8_mixing, op9_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_decontamination, op8_mixing, op9_sharding, op10_quality_rules)}
