@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality_rules, sharding, token_counts
+from . import decontamination, importance_resampling, jaccard_join, language_id, lm_scoring, mixing, pii, quality_rules, sharding, token_counts
 from .common import crc_of_id, read
 
 
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.pmod(crc_of_id(), F.lit(7)) == 2
@@ -35,6 +39,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents")).drop("found")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -47,5 +55,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
+OPERATORS = (
+    op1_language_id,
+    op2_importance_resampling,
+    op3_lm_scoring,
+    op4_jaccard_join,
+    op5_token_counts,
+    op6_decontamination,
+    op7_pii,
+    op8_mixing,
+    op9_sharding,
+    op10_quality_rules,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_decontamination, op8_mixing, op9_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
