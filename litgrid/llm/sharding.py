@@ -81,14 +81,15 @@ def shard_table(groups: DataFrame, shards: int) -> DataFrame:
     # once one fits its share of what is left, all smaller ones do
     fits = (F.col("total") * (shards - F.col("rank") + 1) <= F.col("left")) | (F.col("rank") >= shards)
     ranked = ranked.withColumn("alone", F.coalesce(F.min(F.when(fits, F.col("rank"))).over(all_rows) - 1, F.count("*").over(all_rows)).cast("int"))
-    rest = ranked.where("rank > alone").select("grp", "total", "alone")
+    rest = ranked.where("rank > alone")
     one = rest.agg(F.sort_array(F.collect_list(F.struct("grp", "total"))).alias("items"), F.max("alone").alias("alone"))
-    one = one.select(F.transform("items", lambda x: x["total"]).alias("sizes"), (F.lit(shards) - F.coalesce("alone", F.lit(0))).alias("shards_left"))
-    one = one.withColumn("capacity", cuts_of(F.col("sizes"), F.col("shards_left")))
-    ends = one.select(ends_of(F.col("sizes"), F.col("capacity")).alias("ends"), F.lit(0).alias("one"))
+    # each step is computed once: without the cuts, the optimiser would put one lambda's whole search into the next one's steps
+    one = cut(one.select("items", "alone", F.transform("items", lambda x: x["total"]).alias("sizes"), (F.lit(shards) - F.coalesce("alone", F.lit(0))).alias("shards_left")))
+    one = cut(one.withColumn("capacity", cuts_of(F.col("sizes"), F.col("shards_left"))))
+    one = cut(one.select("items", "alone", ends_of(F.col("sizes"), F.col("capacity")).alias("ends")))
+    placed = one.select("alone", "ends", F.explode("items").alias("x")).select("alone", "ends", "x.grp", "x.total")
     before = F.sum("total").over(Window.orderBy("grp")) - F.col("total")
-    placed = rest.withColumns({"before": before, "one": F.lit(0)}).join(F.broadcast(ends), "one")  # a single row
-    placed = placed.select("grp", (F.col("alone") + F.size(F.filter("ends", lambda e: e <= F.col("before")))).cast("int").alias("shard"))
+    placed = placed.withColumn("before", before).select("grp", (F.col("alone") + F.size(F.filter("ends", lambda e: e <= F.col("before")))).cast("int").alias("shard"))
     return ranked.where("rank <= alone").select("grp", (F.col("rank") - 1).cast("int").alias("shard")).unionByName(placed)
 
 
