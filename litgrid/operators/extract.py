@@ -170,12 +170,15 @@ def hazard_layout() -> tuple[Column, Column]:
     return reduce(lambda a, b: a & b, [n.isNotNull() for n in needed]), F.array(record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=chrom, bp=bp, ra1=ra1, ra2=ra2, sample_size=size, grp=group, phenotype_derived=F.lit("Age at onset of cognitive impairment (CI)"), effect_type=F.lit("HR"), effect=hr, effect_raw=shown(hr, at(hr_at)), ci=survival_interval(at(ci_at)), p=num.safe_float(at(p_at)), p_raw=at(p_at), locus=tx.sanitize_locus(at(first("gene"))), confidence=F.lit(0.82), keep=keep))
 
 
+def inline_heads() -> Column:
+    return reduce(lambda a, b: a & b, [F.array_contains("heads", h) for h in ("variant", "chr.", "position", "gene symbol", "ea", "or", "p")])
+
+
 def inline_groups_layout() -> tuple[Column, Column]:
     """Exact headers with pairs OR, P, OR.1, P.1; the first row names the groups."""
     w = Window.partitionBy("table_id")
     labels = F.min_by("vals", "row_idx").over(w)
-    has = lambda h: F.array_contains("heads", h)
-    detected = has("variant") & has("chr.") & has("position") & has("gene symbol") & has("ea") & has("or") & has("p") & F.exists(labels, lambda v: F.contains(F.lower(v), F.lit("apoe*4")))
+    detected = inline_heads() & F.exists(labels, lambda v: F.contains(F.lower(v), F.lit("apoe*4")))
     snp = tx.sanitize_topsnp(at(exact("variant")))
     body = F.col("row_idx") > F.min("row_idx").over(w)
 
@@ -291,6 +294,15 @@ def role_places(columns: DataFrame) -> DataFrame:
     return placed.select(*placed.drop("raw").columns, F.when(F.col("at_effect").isNull(), "NR").otherwise(kind).alias("effect_type"), num.is_neg_log(p_head).alias("converted"))
 
 
+def subgroup_places(subgroups: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_id, groups): the places of each subgroup's metrics, one row per table."""
+    nth = columns.withColumn("nth", F.row_number().over(Window.partitionBy("table_id").orderBy("col_idx")) - 1)
+    found = subgroups.join(nth.groupBy("table_id", "name").agg(F.min("nth").cast("int").alias("nth")), ["table_id", "name"])
+    of = lambda metric, value: F.max(F.when(F.col("metric") == metric, value))
+    per = found.groupBy("table_id", "label").agg(*[of(m, F.col("nth")).alias(f"{m}_at") for m in ("snp", "p", "ci", "effect")], of("effect", headers.effect_type(F.col("name"))).alias("kind"), F.coalesce(of("p", num.is_neg_log("name")), F.lit(False)).alias("converted"))
+    return per.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("label", "snp_at", "p_at", "ci_at", "effect_at", "kind", "converted"))).alias("groups"))
+
+
 def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = None) -> DataFrame:
     """Records of tables in no known layout: roles by header words, rows without content skipped, merged cells carried down, subgroups and rs ids exploded."""
     roles = role_places(columns)
@@ -329,19 +341,17 @@ def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = N
     if subgroups is None:
         subs = F.array(plain)
     else:
-        wide = subgroups.groupBy("table_id", "label").pivot("metric", ["snp", "p", "ci", "effect"]).agg(F.first("name"))
-        listed = wide.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("label", "snp", "p", "ci", "effect"))).alias("groups"))
-        carried = carried.join(listed, "table_id", "left")
-        by_head = lambda head: F.coalesce(F.get("vals", F.array_position("raw", head).cast("int") - 1), F.lit(""))
+        carried = carried.join(subgroup_places(subgroups, columns), "table_id", "left")
 
         def sub(g: Column) -> Column:
-            e_kind = F.when(g["effect"].isNotNull(), headers.effect_type(g["effect"])).otherwise(F.col("effect_type"))
-            e_raw, c_raw = by_head(g["effect"]), by_head(g["ci"])
+            e_raw, c_raw = at(g["effect_at"]), at(g["ci_at"])
+            e_kind = F.coalesce(g["kind"], F.col("effect_type"))
             c = F.when(c_raw != "", c_raw).otherwise(num.interval_of(e_raw, e_kind))
             e = F.coalesce(num.effect_of(e_raw), num.safe_float(e_raw), F.when(e_kind.isin("OR", "HR"), num.effect_of(c_raw)))
-            return F.struct(g["label"].alias("label"), by_head(g["snp"]).alias("snp"), num.p_value(by_head(g["p"]), F.coalesce(g["p"], F.lit(""))).alias("p"), F.coalesce(num.is_neg_log(g["p"]), F.lit(False)).alias("converted"), e.alias("effect"), c.alias("ci"), e_kind.alias("effect_type"))
+            p = num.safe_float(at(g["p_at"]))
+            return F.struct(g["label"].alias("label"), at(g["snp_at"]).alias("snp"), F.when(g["converted"], F.pow(F.lit(10.0), -p)).otherwise(p).alias("p"), g["converted"].alias("converted"), e.alias("effect"), c.alias("ci"), e_kind.alias("effect_type"))
 
-        own = F.filter(F.transform(F.coalesce("groups", F.expr("cast(array() as array<struct<label:string,snp:string,p:string,ci:string,effect:string>>)")), sub), lambda s: s["p"].isNotNull() | s["effect"].isNotNull())
+        own = F.filter(F.transform(F.coalesce("groups", F.expr("cast(array() as array<struct<label:string,snp_at:int,p_at:int,ci_at:int,effect_at:int,kind:string,converted:boolean>>)")), sub), lambda s: s["p"].isNotNull() | s["effect"].isNotNull())
         subs = F.when(F.size(own) > 0, own).otherwise(F.array(plain))
     # the subgroup's own ids, else the row's, else one record without an id
     exploded = carried.withColumn("sub", F.explode(subs))
@@ -366,12 +376,21 @@ def first_layout(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("__least", least).where(F.col("layout") == F.col("__least")).drop("__least")
 
 
+def layouts_present(columns: DataFrame) -> list[int]:
+    """Layouts that the headers of some table admit; one flag each, from one row per table. Others need no branch in the plan."""
+    heads = columns.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "name"))), lambda x: x["name"]).alias("raw"))
+    heads = heads.withColumn("heads", F.transform("raw", lambda r: tx.normalize(r)))
+    flags = [inline_heads() if layout is inline_groups_layout else layout()[0] for layout in LAYOUTS]
+    found = heads.agg(*[F.coalesce(F.max(f), F.lit(False)).alias(f"l{k}") for k, f in enumerate(flags)]).first()
+    return [k for k in range(len(LAYOUTS)) if found[k]]
+
+
 def records(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """(table_id, row_idx, layout, fields ...) of all tables."""
     rows = grid(cells, columns)
     parts = []
-    for k, layout in enumerate(LAYOUTS):
-        detected, items = layout()
+    for k in layouts_present(columns):
+        detected, items = LAYOUTS[k]()
         shaped = rows.withColumns({"__on": detected, "__items": items}).where("__on")
         parts.append(shaped.select("table_id", "row_idx", F.lit(k).alias("layout"), F.explode("__items").alias("r")).where("r.keep"))
     parts.append(generic(rows, columns, headers.subgroups(columns)))

@@ -105,6 +105,11 @@ s as (select *, g::int * 3 + p::int * 3 + e::int - n::int * 4 + (g and p)::int *
 select page_id, cast(sc as int) as score, concat_ws(';', case when g then 'gene-like keyword' end, case when p then 'p-value-like keyword' end, case when e then 'association-statistic keyword' end, case when n then 'gene-count summary table' end,
 case when g and p then 'gene+p-value rule matched' end, case when p and e then 'association-table support' end) as reasons, sc >= 5 as selected from s""",
     "page_links": """with l as (select page_id, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*href=["'']([^"''#]+)', 1) as x from pages) select page_id, cast(len(list_distinct(x)) as bigint) as n_links, coalesce(x[1], '') as first_link from l""",
+    "html_grid": """with n as (select n_regionkey as page_id, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as r from nation)
+select cast(page_id as bigint) as page_id, 0 as table_no, 't1' as html_id, cast(r as int) as row_idx, c as col_idx, case c when 0 then 'region' when 1 then cast(n_nationkey as varchar) else n_name || ' x' end as value from n, (values (0), (1), (2), (3)) v(c)""",
+    "table_records": """with s as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as n, s_nationkey % 2 = 1 as odd, s_suppkey as k from supplier)
+select s_nationkey as table_id, k as row_idx, case when odd then 0 else 10 end as layout, case when odd then 'GENE' || (k % 7) else 'rs' || k end as name, 'rs' || k as top_snp, case when odd then '3' else '19' end as chrom, 'GENE' || (k % 7) as locus,
+round((k % 3) + 0.5::double, 6) as effect, '(0.1-9.9)' as ci, round((k % 4 + 1) - log10((k % 8 + 1)::double), 6) as log_p, 'OR' as effect_type, case when odd then 0.7::double else 0.55::double end as confidence from s""",
     "keyword_rules": """select doc_id, case when contains(t, 'the') or contains(t, 'and') then 'first' when contains(t, 'der') or contains(t, 'die') then 'second' when contains(t, 'les') or contains(t, 'que') then 'third' else 'NR' end as label,
 case when contains(t, 'the') or contains(t, 'and') or contains(t, 'der') or contains(t, 'die') or contains(t, 'les') or contains(t, 'que') then 0.7::double else 0.25::double end as confidence,
 case lang when 'en' then 'European ancestry' when 'de' then 'Multi-ethnic' else 'NR' end as population, cast(n_chars + 1000 as varchar) as sample_size from (select *, lower(text) as t from documents)""",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import numbers as num
 from litgrid.functions import text as tx
-from litgrid.operators import align, cells, context, enrich, headers, literature, scoring
+from litgrid.operators import align, cells, context, enrich, extract, headers, literature, scoring
 from litgrid.plans import rules
+from litgrid.sources import html_tables
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -243,6 +244,35 @@ def page_links(spark, sf_dir):
     return found.select("page_id", F.size("links").cast("bigint").alias("n_links"), F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"))
 
 
+def html_grid(spark, sf_dir):
+    """One HTML table for each region, its name spanning the rows of its nations."""
+    n = read(spark, sf_dir, "nation")
+    row = F.concat(F.lit("<td>"), F.col("n_nationkey"), F.lit("</td><td colspan='2'>"), F.col("n_name"), F.lit("&nbsp; x</td>"))
+    body = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("rows"))
+    page = F.concat(F.lit("<table id='t1'><tr><td rowspan="), F.size("rows"), F.lit(">region</td>"), F.array_join(F.transform("rows", lambda x: x["r"]), "</tr><tr>"), F.lit("</tr></table>"))
+    return html_tables.html_cells(body.select(F.col("n_regionkey").alias("page_id"), page.alias("html"))).drop("label", "caption")
+
+
+def rendered_tables(spark, sf_dir):
+    """Result tables of suppliers, one for each nation: even nations in the generic layout with merged cells, odd ones with section | subgroup | metric headers."""
+    s = read(spark, sf_dir, "supplier")
+    t, k, odd = F.col("s_nationkey").alias("table_id"), F.col("s_suppkey"), F.col("s_nationkey") % 2 == 1
+    rs, gene = F.concat(F.lit("rs"), k), F.concat(F.lit("GENE"), k % 7)
+    effect, p = F.concat(k % 3, F.lit(".5 (0.1-9.9)")), F.concat(k % 8 + 1, F.lit(" x 10^-"), k % 4 + 1)
+    s = s.withColumn("first", F.row_number().over(cells.Window.partitionBy("s_nationkey").orderBy("s_suppkey")) == 1)
+    generic = F.array(rs, F.when(F.col("first"), "19").otherwise(""), gene, effect, p)
+    piped = F.array(rs, effect, p, gene, F.lit("3"))
+    heads = F.when(odd, F.array(*[F.lit(h) for h in ("Exonic | A | SNP", "Exonic | A | OR", "Exonic | A | P", "Nearest gene", "Chr")])).otherwise(F.array(*[F.lit(h) for h in ("SNP", "Chr", "Gene", "OR (95% CI)", "P value")]))
+    values = s.select(t, k.alias("row_idx"), F.posexplode(F.when(odd, piped).otherwise(generic)).alias("col_idx", "value"))
+    columns = s.select("s_nationkey").distinct().select(t, F.posexplode(heads).alias("col_idx", "name"))
+    return values, columns
+
+
+def table_records(spark, sf_dir):
+    found = extract.records(*rendered_tables(spark, sf_dir))
+    return found.select("table_id", "row_idx", "layout", "name", "top_snp", "chrom", "locus", F.round("effect", 6).alias("effect"), "ci", F.round(-F.log10("p"), 6).alias("log_p"), "effect_type", "confidence")
+
+
 # --- text context --------------------------------------------------------------------------------------------------------------------
 
 
@@ -380,7 +410,7 @@ def json_props(spark, sf_dir):
 QUERIES = (
     row_match_prf, field_match_metrics, pooled_field_metrics, adaptive_keys, bag_except_rows, diagnose_unmatched, reason_counts, scope_filter, summary_rollup, set_equal, per_key_counts, multiset_equal,
     norm_identifiers, text_cells, footnote_strip, links_and_ids, sci_number, effect_and_interval, alleles_and_positions,
-    cell_unpivot, cell_pivot, drop_empty, header_choice, last_match_column, pvalue_column_tier, effect_column, column_roles, subgroup_defs, forward_fill, header_similarity, table_score, page_links,
+    cell_unpivot, cell_pivot, drop_empty, header_choice, last_match_column, pvalue_column_tier, effect_column, column_roles, subgroup_defs, forward_fill, header_similarity, table_score, page_links, html_grid, table_records,
     keyword_rules, stage_and_model, sectionize, snippets, vocab_canonical, cohort_vote, context_merge, confidence_blend, record_ids, cell_validation, row_status_counts, missing_fields, review_states,
     keyword_profile, relevance_score, literature_summary, upsert_tracker, bulk_tracker_action, annotations_merge, sheet_edits, json_props,
 )
