@@ -67,7 +67,7 @@ class Tests:
         v = len(self.vocabulary) + 1
         self.singles = np.unique(self.win[self.length == 1, 0])
         many = self.win[self.length > 1]
-        self.pairs = np.unique(many[:, 0] * v + many[:, 1])
+        self.pairs = np.unique(many[:, 0] * v + many[:, min(1, window - 1)])
 
 
 def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -132,11 +132,13 @@ class Parser:
             states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
             symbols = np.fromiter((c for m in moves for c in m), np.int64, len(states))
             goals = np.fromiter((g for m in moves for g in m.values()), np.int64, len(states))
-            restart = np.zeros(a, np.int64)  # a symbol that never occurs is a phrase of its own
+            # one more state, for a symbol that never occurs: a phrase of its own, which any next symbol ends
+            literal = len(moves)
+            restart = np.full(a, literal, np.int64)
             restart[symbols[states == 0]] = goals[states == 0]
-            table = np.tile((restart * a + base) * 2 + 1, (len(moves), 1))
+            table = np.tile((restart * a + base) * 2 + 1, (len(moves) + 1, 1))
             table[states, symbols] = (goals * a + base) * 2
-            table[:, 1] = base * 2 + 1
+            table[0] = (restart * a + base) * 2  # at the beginning no phrase ends
             tables.append(table.ravel())
             self.roots.append(base)
             lengths.append(len(seq))

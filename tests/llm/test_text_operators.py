@@ -1,0 +1,278 @@
+"""Each text operator against a brute-force version, on rows with nulls, blanks, ties, copies and clashing columns."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from litgrid.llm import decontamination, importance_resampling, language_id, pii, quality_rules, token_counts
+from litgrid.llm import textvec as tv
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frame(docs, texts):
+    return docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+
+
+def by_id(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+# --- token counts --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_counts.tokenizer_path(token_counts.TOKENIZER))
+
+
+ODD = ["<|endoftext|>x <|startoftext|>", "a<|endoftext|>b", "I'll it's é́  x y", "ǅ ΑΣ ﬁ ①", "1234 5,6.7\x0b8", "\U0001f600 ‍", "a\x1cb\x85c", "İstanbul", None, "", " \n"]
+
+
+def test_token_counts_equal_the_library(docs, rows, tokenizer):
+    texts = [r[1] for r in rows] + ODD
+    got = by_id(token_counts.token_counts(frame(docs, texts), limit=20))
+    for i, t in enumerate(texts):
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 20), t
+
+
+def test_prefix_table_answers_budgets(docs, tokenizer):
+    text = "Some words, and more words; the end of it all."
+    got = by_id(token_counts.token_counts(frame(docs, [text, None]), budgets=(0, 1, 5, 100), table=True))
+    words = text.split()
+    counts = [len(tokenizer.encode(" ".join(words[:k]), add_special_tokens=False).ids) for k in range(1, len(words) + 1)]
+    assert got[0]["prefix_tokens"] == counts
+    assert got[0]["fits"] == [sum(c <= b for c in counts) for b in (0, 1, 5, 100)]
+    assert got[1]["prefix_tokens"] == [] and got[1]["fits"] == [0] * 4
+
+
+# --- decontamination -----------------------------------------------------------------------------------------------------------------
+
+
+def hits(texts, items, window):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[k : k + n]), set()).add("" if item is None else str(item))
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize(("window", "block"), [(10, 10**6), (3, 50), (1, 10)])
+def test_decontamination_matches_brute_force(docs, rows, window, block):
+    texts = [r[1] for r in rows]
+    items = [(1, texts[30]), (20, " ".join((texts[60] or "a b").split()[:15]).upper()), (3, "é ü ñ"), (4, None), (5, " . "), (None, "w1 w2 w1"), (1, texts[3]), (7, "w5"), (8, "x" * 5000)]
+    bench = docs.sparkSession.createDataFrame(items, "item_id bigint, text string")
+    got = by_id(decontamination.contamination(frame(docs, texts), bench, window, block))
+    for i, want in enumerate(hits(texts, items, window)):
+        assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want, texts[i]
+
+
+def test_matches_say_where(docs):
+    bench = docs.sparkSession.createDataFrame([(9, "one two three four five six")], "item_id bigint, text string")
+    got = by_id(decontamination.contamination(frame(docs, ["zero ONE two, three four? five x"]), bench, 3))
+    assert [tuple(m) for m in got[0]["matches"]] == [("9", 1, 0, 5)]
+
+
+def test_decontaminate_keeps_clean_rows(docs, rows, empty):
+    bench = docs.sparkSession.createDataFrame([(1, rows[-1][1])], "item_id bigint, text string")
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    dirty = [h[4] for h in hits([r[1] for r in rows], [(1, rows[-1][1])], 10)]
+    assert kept.count() == len(rows) - sum(dirty) and sum(dirty)
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
+    assert decontamination.decontaminate(empty, bench).collect() == []
+
+
+# --- quality rules -------------------------------------------------------------------------------------------------------------------
+
+
+def rule_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    where = {}
+    for k in range(len(w) - 2):
+        where.setdefault(tuple(w[k : k + 3]), []).append(k)
+    hit = {k + d for ks in where.values() if len(ks) > 1 for k in ks for d in range(3)}
+    seen, again = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), again, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
+
+def test_quality_counts_match_brute_force(docs, rows):
+    texts = [r[1] for r in rows] + ["a b c a b c", "x\n x\nx\n\n\nx\r\nx", "# $ é\x0b| <>", "the cat " * 60]
+    got = by_id(quality_rules.measure(frame(docs, texts)))
+    for i, t in enumerate(texts):
+        assert tuple(got[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == rule_counts(t), t
+        assert not (got[i]["kept"] and got[i]["base_failed"])
+
+
+def test_fertility_rejects_noise_and_keeps_prose(docs):
+    import random
+
+    rng = random.Random(1)
+    prose = " ".join(rng.choice("the house of many rooms was built near a river and people came from towns to see it every summer with their children".split()) + str(i % 7) * (i % 5 == 0) for i in range(120))
+    noise = " ".join("".join(chr(rng.randrange(0x2500, 0x2700)) for _ in range(5)) for _ in range(120))
+    single = " ".join(f"{'a' * (i % 3 + 1)}" for i in range(60)) + " " + " ".join(chr(0x0e01 + i % 40) for i in range(60))
+    russian = " ".join(rng.choice("дом река город лето дети люди время работа книга слово".split()) + rng.choice(["", "а", "ы", "ом"]) for _ in range(120))
+    got = by_id(quality_rules.measure(frame(docs, [prose, noise, single, russian])))
+    assert got[0]["kept"] and got[3]["kept"] and got[3]["script"] == "greek_cyrillic"
+    assert got[1]["byte_share"] > 0.5
+
+
+def test_quality_keep(docs, rows, empty):
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() <= sum(not rule_counts(r[1])[5] for r in rows)
+    assert quality_rules.keep(empty).collect() == [] == quality_rules.measure(empty).collect()
+
+
+# --- personal data -------------------------------------------------------------------------------------------------------------------
+
+PII = ["mail bob.x+1@a-b.co.uk, or @x or a@b or c@d.e@f.gh now", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 5500000000000004x", "+1 (988) 555-2485, +12 34, +1234567890123456 +44 20 7946 0958.", "é +1 212 555 0100 call (212) 555-0199 today", "phone 212-555-0199", "order 212-555-0199", "a@b.c" * 50, "1" * 3000 + ".2.3.4", "x" * 2000 + "@" + "y.z" * 300, None, "", "joe [at] site [dot] org email"]
+
+
+def base_by_rule(text):
+    text, out = text or "", []
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        d = [int(x) for x in d][::-1]
+        return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x[-9:]) <= 255 and len(x.lstrip("0")) < 4 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_base_spans_match_the_patterns(docs, rows):
+    texts = PII + [f"{r[1]} {PII[i % 7]}" for i, r in enumerate(rows[:60])]
+    got = by_id(pii.find(frame(docs, texts)))
+    for i, t in enumerate(texts):
+        want = base_by_rule(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(w.startswith(k) for w in want) for k in pii.KINDS]
+        assert set(want) <= set(got[i]["spans"].split(","))
+        starts = [(pii.KINDS.index(s["kind"]), s["start"]) for s in got[i]["found"]]
+        assert starts == sorted(starts)
+
+
+def test_weak_labels_add_spans_with_context_only(docs):
+    texts = ["mail a@b.org", "+1 212 555 0100 phone", "phone 212-555-0199", "order 212-555-0199", "212-555-0199 alone"] * 20
+    got = by_id(pii.find(frame(docs, texts)))
+    assert got[2]["spans"] == "phone:6:18" and got[3]["spans"] == "" and got[4]["spans"] == ""
+    assert pii.masked(texts[2], [pii.Span("phone", 6, 18, False)]) == "phone [PHONE]"
+
+
+def test_em_finds_the_reliable_labeler():
+    patterns = [("email", (1, 1, 0, 0, 1), 80), ("email", (0, -1, 0, -1, -1), 60), ("email", (1, 1, 1, 0, 1), 30), ("email", (0, 1, 0, -1, -1), 10)]
+    posterior, model = pii.expectation_maximisation(patterns)
+    assert posterior["email", (1, 1, 1, 0, 1)] > 0.9 > 0.1 > posterior["email", (0, -1, 0, -1, -1)]
+    assert model["email"]["pattern"][1][0] > model["email"]["pattern"][1][1]
+
+
+def test_pii_of_nothing(empty):
+    assert pii.find(empty).collect() == []
+
+
+# --- language ------------------------------------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_text(docs):
+    spark = docs.sparkSession
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    found = language_id.predict(sf, sf.where(~held)).join(sf.where(held).select("doc_id", "lang"), "doc_id")
+    right, n, low, high = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*"), F.min("score"), F.max("score")).first()
+    assert right >= 0.97 * n and 0 <= low <= high <= 1
+
+
+def test_language_edge_cases(docs, rows, empty):
+    got = language_id.predict(docs, docs.where("lang is not null")).collect()
+    assert len(got) == len(rows)
+    lettered = {r[0]: any(c.isalpha() for c in r[1] or "") for r in rows if r[0] is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["lang_pred"] == "und") == (not lettered[r["doc_id"]])
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in language_id.predict(docs, empty).collect())
+    assert language_id.predict(empty, docs).collect() == []
+
+
+def test_cross_parse_counts_match_a_plain_parse():
+    parser = language_id.Parser({"x": ["the cat sat on the mat"], "y": ["zzz qqq zz"]})
+    source = [s.tolist() for s in (parser.folding.symbols("the cat sat on the mat"), parser.folding.symbols("zzz qqq zz"))]
+    text = parser.folding.symbols("The cat, the hat é!").tolist()
+    found, n, _ = parser.phrases(["The cat, the hat é!"])
+    for k, s in enumerate(source):
+        s = s + [0]
+        subs = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        count, i = 0, 0
+        while i < len(text):
+            j = i
+            while j < len(text) and tuple(text[i : j + 1]) in subs:
+                j += 1
+            i, count = max(j, i + 1), count + 1
+        assert found[k][0] == count and n[0] == len(text)
+
+
+# --- importance resampling -----------------------------------------------------------------------------------------------------------
+
+
+def test_resampling_draws_the_largest_keys(docs, rows):
+    spark = docs.sparkSession
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
+    found = importance_resampling.resample(docs, labels, share=0.3).collect()
+    assert len(found) == len(rows)
+    drawn = sorted((r["gumbel_key"] for r in found if r["selected"]), reverse=True)
+    assert len(drawn) == round(0.3 * len(rows))
+    assert drawn == sorted((r["gumbel_key"] for r in found), reverse=True)[: len(drawn)]
+    again = importance_resampling.resample(docs.repartition(7), labels, share=0.3).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    target = [r["log_weight"] for r in found if r["doc_id"] is not None and r["doc_id"] < 60 and r["doc_id"] % 2 == 0]
+    assert sum(target) / len(target) > sum(r["log_weight"] for r in found) / len(found)
+
+
+@pytest.mark.parametrize("values", [[1.0] * 50, [float(i % 3) for i in range(100)], [i * 0.37 % 1 for i in range(500)], [0.0]])
+def test_kth_largest(spark, values):
+    keys = spark.createDataFrame([(v,) for v in values], "key double").repartition(3)
+    for k in {1, len(values) // 2 + 1, len(values)}:
+        key, places = importance_resampling.kth_largest(keys, k, fine=4, direct=5)
+        want = sorted(values, reverse=True)
+        assert key == want[k - 1] and places == want[:k].count(key)
+
+
+def test_resampling_of_nothing(docs, empty):
+    labels = docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert importance_resampling.resample(empty, labels).collect() == []
+    assert {r["log_weight"] for r in importance_resampling.resample(docs, labels).collect()} == {0.0}
+
+
+def test_pieces_cover_everything():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 10 + ["x" * 50, None, ""])], names=["text"])
+    parts = list(tv.pieces([batch], most=7))
+    assert sum(p.num_rows for p in parts) == 13 and pa.Table.from_batches(parts)["text"].to_pylist() == batch.column(0).to_pylist()
