@@ -13,6 +13,7 @@ in `keep`, kept as they are.
 
 from __future__ import annotations
 
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -72,7 +73,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo: dict[bytes, bytes] = {}  # ids packed in 32 bits each
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -87,14 +88,14 @@ class Pieces:
         fresh = {}
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            fresh.update(zip(part, (np.array(x, np.int32) for x in self.model.encode([w.decode() for w in part], num_threads=1)), strict=True))
+            fresh.update(zip(part, (array("i", x).tobytes() for x in self.model.encode([w.decode() for w in part], num_threads=1)), strict=True))
         ids = [memo[w] if w in memo else fresh[w] for w in words]
         if len(memo) + len(fresh) > self.MEMO_WORDS:
             memo.clear()
         memo.update((w, x) for w, x in fresh.items() if len(w) <= self.MEMO_BYTES)
         offsets = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=offsets[1:])
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), offsets
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=offsets[1:])
+        return np.frombuffer(b"".join(ids), np.int32), offsets
 
 
 def fertility(words: tv.Words, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +188,7 @@ def measure(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         pieces = Pieces.of(tokenizer_path(vocabulary))
-        for batch in tv.pieces(batches):
+        for batch in tv.pieces(batches, most=2_000_000):
             found = judged(tv.texts(batch.column("text")), pieces)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
 
@@ -201,7 +202,7 @@ def keep(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         pieces = Pieces.of(tokenizer_path(vocabulary))
-        for batch in tv.pieces(batches, f"c{at}"):
+        for batch in tv.pieces(batches, f"c{at}", most=2_000_000):
             yield batch.filter(pa.array(judged(tv.texts(batch.column(at)), pieces)["kept"]))
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)

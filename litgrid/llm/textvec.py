@@ -94,7 +94,7 @@ def split_words(column: pa.Array, split: str = "space", lower: bool = True) -> W
     return Words(codes, np.searchsorted(at, offsets), coded.dictionary)
 
 
-def pieces(batches, column: str = "text", most: int = 6_000_000):
+def pieces(batches, column: str = "text", most: int = 3_000_000):
     """Record batches cut to about so many bytes of text each; a longer text is alone in its piece."""
     for batch in batches:
         if not batch.num_rows:
