@@ -25,7 +25,7 @@ def safe_float(c: ColumnLike) -> Column:
 
 def significant(c: Column, digits: int) -> Column:
     """Rounded to so many significant digits."""
-    return F.format_string(f"%.{digits - 1}e", c).cast("double")
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c)).try_cast("double")
 
 
 def norm_num(c: ColumnLike) -> Column:

@@ -248,4 +248,5 @@ def sheet_name(c: ColumnLike, fallback: str = "sheet") -> Column:
 
 
 def percent(c: ColumnLike) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", number(c) * 100), F.lit("NA"))
+    n = number(c)
+    return F.when(n.isNotNull(), F.format_string("%.1f%%", n * 100)).otherwise(F.lit("NA"))

@@ -39,10 +39,10 @@ def scoped(pred: DataFrame, scope: str = "raw", value: str = "pvalue", group: st
 def bag(pred: DataFrame, gold: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """One row per distinct key (within by): n_pred, n_gold, and tp, the matched number."""
     by = by or []
-    side = lambda df, p, g: df.select(*by, *keys, F.lit(p).alias("p"), F.lit(g).alias("g"))
+    side = lambda df, p, g: df.select(*by, *keys, F.lit(p).alias("__p"), F.lit(g).alias("__g"))
     both = side(pred, 1, 0).unionByName(side(gold, 0, 1))
     clean = [F.when(~F.isnan(k), F.col(k)).alias(k) if dict(both.dtypes)[k] in ("double", "float") else F.col(k) for k in keys]
-    counts = both.select(*by, *clean, "p", "g").groupBy(*by, *keys).agg(F.sum("p").cast("bigint").alias("n_pred"), F.sum("g").cast("bigint").alias("n_gold"))
+    counts = both.select(*by, *clean, "__p", "__g").groupBy(*by, *keys).agg(F.sum("__p").cast("bigint").alias("n_pred"), F.sum("__g").cast("bigint").alias("n_gold"))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys if is_number(pred, k)], F.lit(False))
     return counts.withColumn("tp", F.when(missing, F.lit(0)).otherwise(F.least("n_pred", "n_gold")).cast("bigint"))
 
@@ -84,9 +84,9 @@ def melted(df: DataFrame, keys: list[str], fields: list[str], numbers: set[str])
 def field_bags(pred: DataFrame, gold: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     numbers = {f for f in fields if is_number(pred, f)}
     number_keys = [k for k in keys if is_number(pred, k)]
-    side = lambda df, p, g: melted(df, keys, fields, numbers).withColumns({"p": F.lit(p), "g": F.lit(g)})
+    side = lambda df, p, g: melted(df, keys, fields, numbers).withColumns({"__p": F.lit(p), "__g": F.lit(g)})
     both = side(pred, 1, 0).unionByName(side(gold, 0, 1))
-    counts = both.groupBy(*keys, "field", "text", "num", "is_num").agg(F.sum("p").cast("bigint").alias("n_pred"), F.sum("g").cast("bigint").alias("n_gold"))
+    counts = both.groupBy(*keys, "field", "text", "num", "is_num").agg(F.sum("__p").cast("bigint").alias("n_pred"), F.sum("__g").cast("bigint").alias("n_gold"))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in number_keys], F.col("is_num") & F.col("num").isNull())
     return counts.withColumn("tp", F.when(missing, F.lit(0)).otherwise(F.least("n_pred", "n_gold")).cast("bigint"))
 
