@@ -110,6 +110,18 @@ select cast(page_id as bigint) as page_id, 0 as table_no, 't1' as html_id, cast(
     "table_records": """with s as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as n, s_nationkey % 2 = 1 as odd, s_suppkey as k from supplier)
 select s_nationkey as table_id, k as row_idx, case when odd then 0 else 10 end as layout, case when odd then 'GENE' || (k % 7) else 'rs' || k end as name, 'rs' || k as top_snp, case when odd then '3' else '19' end as chrom, 'GENE' || (k % 7) as locus,
 round((k % 3) + 0.5::double, 6) as effect, '(0.1-9.9)' as ci, round((k % 4 + 1) - log10((k % 8 + 1)::double), 6) as log_p, 'OR' as effect_type, case when odd then 0.7::double else 0.55::double end as confidence from s""",
+    "group_labels": "select n_nationkey as table_id, n_name || ' group' as label from nation",
+    "pipe_headers": """select n_nationkey as table_id, 'S' as section, 'A a' as subgroup, 'p' as metric, 'S | A a | p' as name from nation union all select n_nationkey, n_name, 'B', 'or', n_name || ' | B | OR' from nation""",
+    "subheader_merge": """with t as (select s_nationkey as table_id, count(*) as n from supplier group by all), h(c, even, odd) as (values (0, 'G1 SNP', 'G1'), (1, 'G1 P value', 'G1_2'), (2, 'G2 Beta', 'G2'))
+select table_id, c as col_idx, case when table_id % 2 = 0 then even else odd end as name, cast(case when table_id % 2 = 0 then 3 * (n - 1) else 3 * n end as bigint) as n_cells from t, h""",
+    "section_rows": "select s_nationkey as table_id, s_suppkey as row_idx, 'Group ' || s_name as label from supplier where s_suppkey % 3 = 0",
+    "page_words": "select n_nationkey, n_name || chr(10) || 'a & b' || chr(10) || 'c < d' as text from nation",
+    "text_sources": """select doc_id, case when doc_id % 2 = 0 then 'pdf' when doc_id % 3 = 0 then 'layout' else 'scan' end as source, cast(case when doc_id % 2 = 0 or doc_id % 3 = 0 then 621 else len(text) + 501 end as bigint) as n_chars from documents""",
+    "audit_fields": "select count(*) as n from orders where o_orderkey % 4 = 0",
+    "publication_records": """select cast(doc_id as varchar) as pmid, 'On ' || lang as title, 'AIM: ' || lang || '/' || source as abstract, 'Review;' || lang as types, source || ' / genetics; ' || lang || ';' || lang as mesh,
+case when doc_id % 2 = 0 then '2019' else '2018' end as year from documents""",
+    "curated_sheet": """select 'P1' as paper, 'T' || lpad(cast(s_nationkey as varchar), 5, '0') as tab, 'rs' || s_suppkey as top_snp, case when s_nationkey % 2 = 1 then '3' else '19' end as chrom, 'NR' as build, cast(47 as bigint) as n_columns from supplier""",
+    "report_columns": f"with {DIAGNOSIS} select type, cast(null as varchar) as source_file, count(*) as n from d group by type",
     "keyword_rules": """select doc_id, case when contains(t, 'the') or contains(t, 'and') then 'first' when contains(t, 'der') or contains(t, 'die') then 'second' when contains(t, 'les') or contains(t, 'que') then 'third' else 'NR' end as label,
 case when contains(t, 'the') or contains(t, 'and') or contains(t, 'der') or contains(t, 'die') or contains(t, 'les') or contains(t, 'que') then 0.7::double else 0.25::double end as confidence,
 case lang when 'en' then 'European ancestry' when 'de' then 'Multi-ethnic' else 'NR' end as population, cast(n_chars + 1000 as varchar) as sample_size from (select *, lower(text) as t from documents)""",

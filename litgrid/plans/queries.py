@@ -13,7 +13,7 @@ from litgrid.functions import numbers as num
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, headers, literature, scoring
 from litgrid.plans import rules
-from litgrid.sources import html_tables
+from litgrid.sources import html_tables, sheets
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -273,6 +273,80 @@ def table_records(spark, sf_dir):
     return found.select("table_id", "row_idx", "layout", "name", "top_snp", "chrom", "locus", F.round("effect", 6).alias("effect"), "ci", F.round(-F.log10("p"), 6).alias("log_p"), "effect_type", "confidence")
 
 
+def group_labels(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    names = F.array(F.lit("Group | P"), F.concat(F.col("n_name"), F.lit("  group | OR")), F.lit("SNP"))
+    return headers.group_label(n.select(F.col("n_nationkey").alias("table_id"), F.posexplode(names).alias("col_idx", "name")))
+
+
+def pipe_headers(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    names = F.array(F.lit("S | A a | P"), F.concat(F.lit("S | A a | "), F.lit("p")), F.concat(F.col("n_name"), F.lit(" | B | OR")), F.lit("x | y"))
+    return headers.pipe_columns(n.select(F.col("n_nationkey").alias("table_id"), F.posexplode(names).alias("col_idx", "name")))
+
+
+def subheader_merge(spark, sf_dir):
+    """One table for each nation with a second header level in its first row; odd ones without."""
+    s = read(spark, sf_dir, "supplier")
+    n = F.row_number().over(cells.Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    s = s.withColumn("sub", (n == 1) & (F.col("s_nationkey") % 2 == 0))
+    shown = s.withColumns({"a": F.when(F.col("sub"), "SNP").otherwise("x"), "b": F.when(F.col("sub"), "P value").otherwise("y"), "c": F.when(F.col("sub"), "Beta").otherwise("z")})
+    columns = s.select("s_nationkey").distinct().select(F.col("s_nationkey").alias("table_id"), F.posexplode(F.array(F.lit("G1"), F.lit("G1"), F.lit("G2"))).alias("col_idx", "name"))
+    body, named = cells.merge_subheader(cells.to_cells(shown, "s_nationkey", "s_suppkey", ["a", "b", "c"]), columns)
+    counted = body.groupBy("table_id").agg(F.count("*").alias("n_cells"))
+    return named.join(counted, "table_id", "left").select("table_id", "col_idx", "name", F.coalesce("n_cells", F.lit(0)).cast("bigint").alias("n_cells"))
+
+
+def section_rows(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    label = F.concat(F.lit("Group "), F.col("s_name"))
+    third = F.col("s_suppkey") % 3 == 0
+    shown = s.withColumns({"a": F.when(third, label).otherwise(F.concat(F.lit("rs"), F.col("s_suppkey"))), "b": F.when(third, label).otherwise("x"), "c": F.when(third, "").otherwise("y")})
+    return cells.section_rows(cells.to_cells(shown, "s_nationkey", "s_suppkey", ["a", "b", "c"]), "phenotype|trait")
+
+
+def page_words(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    html = F.concat(F.lit("<html><style>p {}</style><script>var x = '<p>';</script><h1>"), F.col("n_name"), F.lit("</h1><p>a&nbsp;&amp; <b>b</b></p>\n\n<p>c &lt; d</p></html>"))
+    return html_tables.page_text(n.select("n_nationkey", html.alias("html"))).select("n_nationkey", "text")
+
+
+def text_sources(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    signal = F.concat(F.lit("Methods and results. "), F.repeat(F.lit("word "), 120))
+    body, source = context.text_with_fallback(F.when(F.col("doc_id") % 2 == 0, signal).otherwise(F.col("text")), ("layout", F.when(F.col("doc_id") % 3 == 0, signal)), ("scan", F.concat(F.col("text"), F.repeat(F.lit("x"), 501))))
+    return d.select("doc_id", source.alias("source"), F.length(body).cast("bigint").alias("n_chars"))
+
+
+def audit_fields(spark, sf_dir):
+    f = faulty(spark, sf_dir)
+    fields = {"TopSNP": (F.col("TopSNP"), F.lit(0.5), "row"), "RA 1": (F.col("`RA 1(Reported Allele 1)`"), F.lit(0.4), "row")}
+    return enrich.review_count(f.select(enrich.audit(fields).alias("audit")))
+
+
+def publication_records(spark, sf_dir):
+    """Publication XML rendered from documents and read back."""
+    d = read(spark, sf_dir, "documents")
+    tag = lambda t, c, a="": F.concat(F.lit(f"<{t}{a}>"), c, F.lit(f"</{t}>"))
+    lang, key = F.col("lang"), F.col("doc_id").cast("string")
+    article = F.concat(tag("ArticleTitle", F.concat(F.lit("On <i>"), lang, F.lit("</i>"))), tag("Abstract", F.concat(tag("AbstractText", lang, ' Label="AIM"'), tag("AbstractText", F.col("source")))), tag("PublicationTypeList", F.concat(tag("PublicationType", F.lit("Review")), tag("PublicationType", lang), tag("PublicationType", F.lit("Review")))), tag("Journal", tag("JournalIssue", tag("PubDate", F.when(F.col("doc_id") % 2 == 0, tag("Year", F.lit("2019"))).otherwise(tag("MedlineDate", F.lit("2018 Jan")))))))
+    mesh = tag("MeshHeadingList", F.concat(tag("MeshHeading", F.concat(tag("DescriptorName", F.col("source")), tag("QualifierName", F.lit("genetics")), tag("QualifierName", lang))), tag("MeshHeading", tag("DescriptorName", lang))))
+    xml = tag("PubmedArticle", tag("MedlineCitation", F.concat(tag("PMID", key), tag("Article", article), mesh)))
+    found = sheets.publications(d.select(xml.alias("xml")))
+    return found.select("pmid", "title", F.replace("abstract", F.lit("\n"), F.lit("/")).alias("abstract"), F.array_join("publication_types", ";").alias("types"), F.array_join("mesh_terms", ";").alias("mesh"), "year")
+
+
+def curated_sheet(spark, sf_dir):
+    """The fixed sheet of rendered tables: filled and NR columns."""
+    sheet = extract.curated(extract.records(*rendered_tables(spark, sf_dir)), "P1")
+    return sheet.select(F.col("PaperIDX").alias("paper"), F.col("TableIDX").alias("tab"), F.col("TopSNP").alias("top_snp"), F.col("Chr").alias("chrom"), F.col("`Genome build (hg18/hg37/hg38)`").alias("build"), F.lit(len(sheet.columns)).cast("bigint").alias("n_columns"))
+
+
+def report_columns(spark, sf_dir):
+    rows = diagnose_unmatched(spark, sf_dir)
+    return align.with_report_columns(rows.drop("id"), ["type", "reason", "source_file", "snp"]).groupBy("type", "source_file").agg(F.count("*").alias("n"))
+
+
 # --- text context --------------------------------------------------------------------------------------------------------------------
 
 
@@ -410,7 +484,7 @@ def json_props(spark, sf_dir):
 QUERIES = (
     row_match_prf, field_match_metrics, pooled_field_metrics, adaptive_keys, bag_except_rows, diagnose_unmatched, reason_counts, scope_filter, summary_rollup, set_equal, per_key_counts, multiset_equal,
     norm_identifiers, text_cells, footnote_strip, links_and_ids, sci_number, effect_and_interval, alleles_and_positions,
-    cell_unpivot, cell_pivot, drop_empty, header_choice, last_match_column, pvalue_column_tier, effect_column, column_roles, subgroup_defs, forward_fill, header_similarity, table_score, page_links, html_grid, table_records,
+    cell_unpivot, cell_pivot, drop_empty, header_choice, last_match_column, pvalue_column_tier, effect_column, column_roles, subgroup_defs, forward_fill, header_similarity, table_score, page_links, html_grid, table_records, group_labels, pipe_headers, subheader_merge, section_rows, page_words, text_sources, audit_fields, publication_records, curated_sheet, report_columns,
     keyword_rules, stage_and_model, sectionize, snippets, vocab_canonical, cohort_vote, context_merge, confidence_blend, record_ids, cell_validation, row_status_counts, missing_fields, review_states,
     keyword_profile, relevance_score, literature_summary, upsert_tracker, bulk_tracker_action, annotations_merge, sheet_edits, json_props,
 )

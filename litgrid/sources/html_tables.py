@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litgrid.functions.text import strip
+
 SPACES = re.compile(r"\s+")
 SCHEMA = "page_id bigint, table_no int, html_id string, label string, caption string, row_idx int, col_idx int, value string"
 
@@ -129,4 +131,4 @@ def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(bare, "(?i)<(br|/p|/div|/li|/tr|/h[1-6])\\b[^>]*>", "\n"), "<[^>]+>", " ")
     for entity, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}.items():
         bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return pages.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace(bare, "[ \\t\\x0B\\f\\r\\u00a0]+", " "), " ?\n[ \n]*", "\n")))
+    return pages.withColumn("text", strip(F.regexp_replace(F.regexp_replace(bare, "[ \\t\\x0B\\f\\r\\u00a0]+", " "), " ?\n[ \n]*", "\n")))
