@@ -174,3 +174,45 @@ def with_hints(records: DataFrame, hints: DataFrame, paper: str, table: str, fie
     blank = lambda c: F.upper(collapse(c)).isin("", "NR")
     filled = {f: F.when(blank(f), F.coalesce(f"__t_{i}", f"__g_{i}", f)).otherwise(F.col(f)) for i, f in enumerate(fields)}
     return joined.withColumns(filled).select(*records.columns)
+
+
+def near_mentions(body: Column, place: Column, window: int = 1200) -> Column:
+    """The text around each mention of a place such as "Table 3", joined."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    word = F.lower(F.coalesce(place, F.lit("")))
+    pieces = F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")))
+    ends = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, -window, window))
+    begins = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, 1, window))
+    return F.when((word == "") | (F.size(pieces) < 2), F.lit("")).otherwise(F.array_join(F.concat(ends, begins), " "))
+
+
+def counted(t: Column, synonyms: dict[str, str]) -> Column:
+    """Codes with their mentions in a text, most first."""
+    codes = list(dict.fromkeys(synonyms.values()))
+    n = lambda code: sum((F.regexp_count(t, F.lit("\\Q" + k + "\\E")) for k, v in synonyms.items() if v == code), F.lit(0))
+    items = F.array(*[F.struct((-n(c)).alias("n"), F.lit(i).alias("i"), F.lit(c).alias("code")) for i, c in enumerate(codes)])
+    return F.filter(F.array_sort(items), lambda x: x["n"] < 0)
+
+
+def record_cohorts(records: DataFrame, row: str, body: str, place: str, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """records with cohort_found: codes of the row, else the leading code near its table's mentions, else of the whole text.
+
+    records hold the row's own text, the paper's text and the table's name; the counts of a paper are taken once per table by grouping before
+    this is joined to rows.
+    """
+    synonyms = synonyms or rules.COHORT_SYNONYMS
+    own = F.lower(F.coalesce(F.col(row), F.lit("")))
+    named = F.array_distinct(F.filter(F.array(*[F.when(F.contains(own, F.lit(k)), F.lit(v)) for k, v in synonyms.items()]), lambda x: x.isNotNull()))
+    tables = records.select(body, place).distinct()
+    tables = tables.withColumns({"__near": counted(near_mentions(F.col(body), F.col(place)), synonyms), "__all": counted(F.lower(F.coalesce(F.col(body), F.lit(""))), synonyms)})
+    joined = records.join(tables.withColumnsRenamed({body: "__body", place: "__place"}), F.col(body).eqNullSafe(F.col("__body")) & F.col(place).eqNullSafe(F.col("__place")), "left")
+
+    def leading(votes: Column) -> Column:
+        first, second = F.get(votes, F.lit(0)), F.coalesce(F.get(votes, F.lit(1))["n"], F.lit(0))
+        return F.when((-first["n"] >= 2) & (-first["n"] >= 1 - second), first["code"])
+
+    near, whole = leading(F.col("__near")), leading(F.col("__all"))
+    listed = F.array_join(F.transform("__all", lambda x: x["code"]), ";")
+    value = F.when(F.size(named) > 0, F.array_join(named, ";")).otherwise(F.coalesce(near, whole, F.when(listed != "", listed), F.lit("NR")))
+    confidence = F.when(F.size(named) > 0, 0.9).when(near.isNotNull(), 0.8).when(whole.isNotNull(), 0.6).when(listed != "", 0.45).otherwise(0.25)
+    return joined.withColumn("cohort_found", finding(value, confidence, confidence < 0.8, "row, table mentions, text")).drop("__near", "__all", "__body", "__place")

@@ -95,3 +95,11 @@ def test_sections_double_what_comes_before_a_heading(spark):
     got = {(r["doc_id"], r["section"]): r["content"] for r in context.sections(docs).collect()}
     assert got == {(1, "methods"): "a", (1, "results"): "b", (1, "all"): "Intro\nIntro\na\nb"}
     assert {r["doc_id"]: r["scope"] for r in context.scoped(context.sections(docs)).collect()} == {1: "a\nb"}
+
+
+def test_cohorts_by_row_then_table_then_text(spark):
+    body = "Data of ADGC. " + "x" * 3000 + " Table 1 shows IGAP and IGAP. " + "y" * 3000 + " ADGC ADGC ADGC"
+    rows = [(1, "from adni", body, "Table 1"), (2, "", body, "Table 1"), (3, "", body, "Table 9"), (4, None, "HRS once", "Table 1"), (5, "", None, None)]
+    df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
+    got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"]) for r in context.record_cohorts(df, "own", "body", "tab").collect()}
+    assert got == {1: ("ADNI", 0.9), 2: ("IGAP", 0.8), 3: ("ADGC", 0.6), 4: ("HRS", 0.45), 5: ("NR", 0.25)}
