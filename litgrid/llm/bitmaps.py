@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import cut
 from .textvec import mix
 
 PROBES = 6
@@ -58,10 +59,10 @@ class Bitmap:
 
 
 def gather(rows: DataFrame, n_segments: int) -> Bitmap:
-    """rows(seg int, bits binary), one per segment that has keys."""
+    """rows(seg int, bits binary), one per segment that has keys. They are made in parallel first, then fetched one partition after the other."""
     data = np.zeros(n_segments * (SEGMENT_BITS // 8), np.uint8)
     size = SEGMENT_BITS // 8
-    for seg, bits in rows.toLocalIterator():
+    for seg, bits in cut(rows).toLocalIterator():
         data[seg * size : (seg + 1) * size] |= np.frombuffer(bits, np.uint8)
     return Bitmap(data, n_segments)
 

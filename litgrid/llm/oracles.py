@@ -38,5 +38,18 @@ select doc_id, cast(size as bigint) as size, source_size, target, cast(size * (f
 """
 
 
+OP4 = rf"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct r, array_to_string(w[p : p + 3], ' ') as x from (select r, w, unnest(range(1, greatest(len(w) - 2, 2))) as p from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+pairs as (select a.r as a, b.r as b, count(*) as i from s a join s b on a.x = b.x and a.r < b.r group by all),
+links as (select a, b from pairs join n na on na.r = a join n nb on nb.r = b where 100 * i >= 85 * (na.n + nb.n - i)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(r, t) as (select r, r from d union select reach.r, b from reach join both_ways on reach.t = both_ways.a)
+select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, min(other.doc_id) as component_id
+from d join reach on d.r = reach.r join d other on other.r = reach.t left join n on n.r = d.r group by d.r, d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6, "op8_mixing": OP8}
+    return {"op4_jaccard_join": OP4, "op6_decontamination": OP6, "op8_mixing": OP8}
