@@ -15,8 +15,6 @@ once; an empty benchmark marks nothing; repeated rows give repeated results; ext
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -222,7 +220,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     inner = inner.withColumn("text", F.col(f"c{kept.index('text')}").cast("string"))
     found = find_matches(inner, benchmark, window).where(F.col("__hits") == 0)
     return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(kept)])
-
-
-def hashed(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(set(ids))).encode()).hexdigest()
