@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitmaps
+from . import bitmaps, radix
 from . import textvec as tv
 from .common import cut
 
@@ -150,39 +150,65 @@ def node_rows(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, sketch binary")
 
 
+def sorted_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (signature, node) in order: copies stand in a list once."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    return sig[new], node[new]
+
+
+def list_batch(sig: np.ndarray, node: np.ndarray, groups: int) -> pa.RecordBatch:
+    cuts = radix.runs(sig, groups)
+    return pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in cuts], pa.int32()), pa.array([sig[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([node[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["grp", "sigs", "nodes"])
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint64)
+
+
+def dealt_again(groups: int):
+    """Gathers postings of like signatures and cuts them finer."""
+
+    def run(batches):
+        sigs, nodes, size = [], [], 0
+        for batch in batches:
+            for s, n in zip(batch.column("sigs").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+                sigs.append(s)
+                nodes.append(n)
+                size += len(s) // 8
+                if size >= radix.RUN_KEYS:
+                    yield list_batch(*sorted_pairs(unpacked(sigs), unpacked(nodes)), groups)
+                    sigs, nodes, size = [], [], 0
+        if sigs:
+            yield list_batch(*sorted_pairs(unpacked(sigs), unpacked(nodes)), groups)
+
+    return run
+
+
 def index_lists(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """(list, nodes): every index list with two nodes or more, packed; a list of the same members comes once."""
+    levels = radix.rounds(buckets)
 
     def deal(batches):
         for batch in tv.pieces(batches, most=8_000_000):
             values, offsets = shingle_sets(tv.texts(batch.column("text")), k)
             sig, owner = signatures(values, offsets, percent)
             node = fingerprints(values, offsets)[owner]
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            new = np.ones(len(sig), bool)  # copies within the piece stand in a list once
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[new], node[new]
-            bucket = bitmaps.segment_of(sig, buckets)
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(sig) else np.zeros(0, np.int64)
-            cuts = list(zip(edge, np.append(edge[1:], len(sig)), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array([sig[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([node[a:b].tobytes() for a, b in cuts], pa.binary())], names=["bucket", "sigs", "nodes"])
+            sig, node = sorted_pairs(sig, node)
+            yield list_batch(sig, node, levels[0])
 
     def lists(batches):
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for b, s, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "nodes")), strict=True):
+            for b, s, n in zip(*(batch.column(c).to_pylist() for c in ("grp", "sigs", "nodes")), strict=True):
                 x = held.setdefault(b, ([], []))
-                x[0].append(np.frombuffer(s, np.uint64))
-                x[1].append(np.frombuffer(n, np.uint64))
+                x[0].append(s)
+                x[1].append(n)
         for b in list(held):
             sigs, nodes = held.pop(b)
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[new], node[new]
+            sig, node = sorted_pairs(unpacked(sigs), unpacked(nodes))
             edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             ends = np.append(edge[1:], len(sig))
             several = ends - edge > 1
@@ -190,7 +216,7 @@ def index_lists(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFram
             names = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in packed), np.uint64, len(packed))
             yield pa.RecordBatch.from_arrays([as_long(names), pa.array(list(packed), pa.binary())], names=["list", "nodes"])
 
-    dealt = rows.select("text").mapInArrow(deal, "bucket int, sigs binary, nodes binary").repartition(int(min(buckets, 4000)), "bucket")
+    dealt = radix.dealt(rows.select("text").mapInArrow(deal, "grp int, sigs binary, nodes binary"), levels, dealt_again, "sigs")
     found = dealt.mapInArrow(lists, "list bigint, nodes binary")
     return found.groupBy("list").agg(F.first("nodes").alias("nodes"))
 
@@ -357,13 +383,13 @@ def label_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucket_postings: int = BUCKET_POSTINGS) -> tuple[DataFrame, DataFrame]:
     """(nodes of every row: doc_id, row_key, node, n; component of every node that has a link)."""
     rows = with_key(docs)
     every = cut(node_rows(rows, k))
     nodes = cut(every.where("n > 0").groupBy("node", "n").agg(F.min("row_key").alias("row_key"), F.first("sketch").alias("sketch")))
     size = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(size * (100 - percent) * 3 // 100) // (2 * BUCKET_POSTINGS)))
+    buckets = max(1, -(-int(size * (100 - percent) * 3 // 100) // (2 * bucket_postings)))
     lists = cut(index_lists(rows, k, percent, buckets))
     postings = members(lists)
     edges = cut(candidate_edges(postings, nodes, percent))

@@ -44,6 +44,13 @@ def test_components_match_brute_force(docs, rows, k, percent):
     assert len({c for _, _, c in want}) < len(want) - 40  # there are links to find
 
 
+def test_lists_dealt_in_rounds_are_the_same(docs, monkeypatch):
+    rows = jj.with_key(docs)
+    one = sorted(r["nodes"] for r in jj.index_lists(rows, 4, 85, 1).collect())
+    monkeypatch.setattr(jj.radix, "rounds", lambda n: [2, 8, 32])
+    assert sorted(r["nodes"] for r in jj.index_lists(rows, 4, 85, 30).collect()) == one
+
+
 def test_keep_one(docs, rows):
     got = jj.keep_one(docs)
     assert got.columns == docs.columns
