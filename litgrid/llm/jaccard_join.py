@@ -215,6 +215,7 @@ def index_lists(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFram
             packed = {node[a:e].tobytes() for a, e in zip(edge[several], ends[several], strict=True)}
             names = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in packed), np.uint64, len(packed))
             yield pa.RecordBatch.from_arrays([as_long(names), pa.array(list(packed), pa.binary())], names=["list", "nodes"])
+            tv.trim()
 
     dealt = radix.dealt(rows.select("text").mapInArrow(deal, "grp int, sigs binary, nodes binary"), levels, dealt_again, "sigs")
     found = dealt.mapInArrow(lists, "list bigint, nodes binary")
@@ -327,6 +328,7 @@ def candidate_edges(postings: DataFrame, nodes: DataFrame, percent: int, compone
                 yield edges_batch(flush(last))
         if held[0]:
             yield edges_batch(flush(len(held[0])))
+        tv.trim()
 
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -365,6 +367,7 @@ def checked(edges: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percent
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+            tv.trim()
 
     return edges.join(left, "a").join(right, "b").mapInArrow(verdict, "a bigint, b bigint, linked boolean")
 

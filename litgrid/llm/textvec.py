@@ -7,6 +7,7 @@ No Python object is made for a word unless it is new to the batch.
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -94,6 +95,15 @@ def split_words(column: pa.Array, split: str = "space", lower: bool = True) -> W
     return Words(codes, np.searchsorted(at, offsets), coded.dictionary)
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker that idles between stages should not hold on to what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: str = "text", most: int = 3_000_000):
     """Record batches cut to about so many bytes of text each; a longer text is alone in its piece."""
     for batch in batches:
@@ -105,6 +115,7 @@ def pieces(batches, column: str = "text", most: int = 3_000_000):
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+        trim()
 
 
 def distinct_per_text(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
