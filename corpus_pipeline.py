@@ -6,6 +6,7 @@ result and reads it again as the next one's docs; run() does the same in the sha
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from litgrid.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
@@ -13,8 +14,14 @@ from litgrid.llm.common import cut, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.keep(docs)
+    """Documents that the rules reject go. Without a table of labels, bands are those of scripts."""
+    try:
+        labels = read(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality_rules.keep(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

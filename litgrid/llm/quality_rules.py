@@ -1,8 +1,13 @@
 """Quality rules on tokeniser fertility.
 
 A public vocabulary's behaviour on a text tells prose from noise: characters per token, the share of tokens that fall back to
-single bytes, and the entropy of the text's token distribution. Each script has a band for the three; a text outside its
-script's band is rejected. Counting rules (too few words, too many words in repeated three-word windows) come first.
+single bytes, and the entropy of the text's token distribution. Each language has a band for the three, learnt from labelled documents; a text
+outside its band is rejected. Texts of languages without enough labelled documents, or without a language, have the band of their
+script. Counting rules (too few words, too many words in repeated three-word windows) come first.
+
+A language's band is learnt from at most `most_labels` labelled documents (of all languages together, those of the smallest hash): the least
+characters per token and least entropy that reject the most junk and keep the most clean documents, of those that keep at least
+LEAST_KEPT of the clean ones. With too little junk to learn from they are the LOW quantile of the clean ones.
 
 Words are encoded one by one, each distinct word once per worker; the measures are sums over a text's words.
 
@@ -48,6 +53,11 @@ BANDS = {
     "cjk": Band(0.25, 4.0, 0.90, 3.0),
     "other": Band(0.15, 8.0, 1.0, 2.5),
 }
+#: Learning of bands: labelled documents in all, clean and junk ones that a language needs, share of clean ones to keep, quantile without junk.
+MOST_LABELS = 20_000
+LEAST_CLEAN, LEAST_JUNK = 100, 10
+LEAST_KEPT, LOW = 0.95, 0.01
+SEED = "bands-1"
 
 
 def lead_classes() -> np.ndarray:
@@ -154,7 +164,8 @@ def repeated_lines(column: pa.Array) -> np.ndarray:
     return np.bincount(owner[has][again], minlength=len(offsets) - 1).astype(np.int64)
 
 
-def judged(column: pa.Array, pieces: Pieces) -> dict[str, np.ndarray]:
+def judged(column: pa.Array, pieces: Pieces, langs: pa.Array | None = None, learnt: dict[str, Band] | None = None) -> dict[str, np.ndarray]:
+    """Counts, measures and verdicts of texts; learnt: bands by language."""
     data, offsets = tv.raw(column)
     words = tv.split_words(column, lower=False)
     white = tv.byte_table("space", False)[data] == 32
@@ -169,6 +180,11 @@ def judged(column: pa.Array, pieces: Pieces) -> dict[str, np.ndarray]:
     lettered = tv.segments(lead < 4, offsets) > 0
     script = np.where(lettered, script, SCRIPTS.index("other"))
     bands = np.array([BANDS[s] for s in SCRIPTS])[script]
+    if learnt and langs is not None:
+        names = list(learnt)
+        place = pc.fill_null(pc.index_in(langs.cast(pa.string()), pa.array(names)), -1).to_numpy(zero_copy_only=False)
+        own = place >= 0
+        bands[own] = np.array([learnt[x] for x in names])[place[own]]
     n = np.maximum(tokens, 1)
     per, share = chars / n, fallback / n
     within = (per >= bands[:, 0]) & (per <= bands[:, 1]) & (share <= bands[:, 2]) & ((entropy >= bands[:, 3]) | (tokens < ENTROPY_TOKENS))
@@ -183,26 +199,74 @@ COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 SCHEMA = f"doc_id bigint, {COUNTS}, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
 
 
-def measure(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def best_floors(clean: np.ndarray, junk: np.ndarray) -> tuple[float, float]:
+    """Least characters per token and least entropy. clean, junk: rows of the two measures."""
+    if len(junk) < LEAST_JUNK:
+        return tuple(np.quantile(clean, LOW, axis=0).tolist())
+    best, found = -np.inf, None
+    both = np.concatenate([clean, junk])
+    steps = np.linspace(0, 1, 201)
+    floors = [np.unique(np.append(np.quantile(both[:, k], steps), np.quantile(clean[:, k], np.linspace(0, 1 - LEAST_KEPT, 51)))) for k in (0, 1)]
+    for chars in floors[0]:
+        a, b = np.sort(clean[clean[:, 0] >= chars, 1]), np.sort(junk[junk[:, 0] >= chars, 1])
+        kept = (len(a) - np.searchsorted(a, floors[1])) / len(clean)
+        value = np.where(kept >= LEAST_KEPT, kept - (len(b) - np.searchsorted(b, floors[1])) / len(junk), -np.inf)
+        if value.max() > best:
+            best, found = value.max(), (float(chars), float(floors[1][value.argmax()]))
+    return found
+
+
+def learn(docs: DataFrame, labels: DataFrame, vocabulary: str = VOCABULARY, most_labels: int = MOST_LABELS) -> dict[str, Band]:
+    """Bands by language. docs: doc_id, text, lang; labels: doc_id, quality (1 clean, 0 junk)."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    one = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("quality"))
+    ids = one.where(F.col("low") == F.col("quality")).drop("low").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most_labels)
+    slim = docs.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # rows of one id in docs could be many: their number is bounded once more
+    marked = slim.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("text")).limit(most_labels).repartition(F.col("doc_id"))
+
+    def run(batches):
+        pieces = Pieces.of(tokenizer_path(vocabulary))
+        for batch in tv.pieces(batches, most=2_000_000):
+            m = judged(tv.texts(batch.column("text")), pieces)
+            use = pa.array(~m["base_failed"] & (m["n_tokens"] >= ENTROPY_TOKENS))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("quality").cast(pa.int32()), pa.array(m["script"]), pa.array(m["chars_per_token"]), pa.array(m["token_entropy"])], names=["lang", "quality", "script", "chars", "entropy"]).filter(use)
+
+    found = marked.mapInArrow(run, "lang string, quality int, script string, chars double, entropy double").toPandas()
+    bands = {}
+    for lang, rows in found.groupby("lang"):
+        clean, junk = (rows.loc[rows["quality"] == q, ["chars", "entropy"]].to_numpy() for q in (1, 0))
+        if len(clean) >= LEAST_CLEAN:
+            script = rows.loc[rows["quality"] == 1, "script"].mode()[0]
+            chars, entropy = best_floors(clean, junk)
+            bands[lang] = BANDS[script]._replace(least_chars=chars, least_entropy=entropy)
+    return bands
+
+
+def measure(docs: DataFrame, labels: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row of docs: doc_id, the counts, base_failed, kept, and the measures of fertility."""
+    lang = "lang" in docs.columns
+    learnt = learn(docs, labels, vocabulary) if lang and labels is not None else {}
 
     def run(batches):
         pieces = Pieces.of(tokenizer_path(vocabulary))
         for batch in tv.pieces(batches, most=2_000_000):
-            found = judged(tv.texts(batch.column("text")), pieces)
+            found = judged(tv.texts(batch.column("text")), pieces, batch.column("lang") if lang else None, learnt)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col("lang").cast("string").alias("lang")] if lang else [])]
+    return docs.select(*columns).mapInArrow(run, SCHEMA)
 
 
-def keep(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs without the rejected documents; columns unchanged."""
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
+    learnt = learn(docs, labels, vocabulary) if lang is not None and labels is not None else {}
 
     def run(batches):
         pieces = Pieces.of(tokenizer_path(vocabulary))
         for batch in tv.pieces(batches, f"c{at}", most=2_000_000):
-            yield batch.filter(pa.array(judged(tv.texts(batch.column(at)), pieces)["kept"]))
+            yield batch.filter(pa.array(judged(tv.texts(batch.column(at)), pieces, None if lang is None else batch.column(lang), learnt)["kept"]))
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)

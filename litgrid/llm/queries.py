@@ -52,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(read(spark, sf_dir, "documents"))
+    return quality_rules.measure(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 OPERATORS = (

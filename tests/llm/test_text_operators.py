@@ -139,6 +139,17 @@ def test_fertility_rejects_noise_and_keeps_prose(docs):
     assert got[1]["byte_share"] > 0.5
 
 
+def test_learnt_bands_tell_held_out_junk(docs):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = (docs.sparkSession.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    learn_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = quality_rules.measure(documents, learn_on).where("not base_failed").join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    kept = {r[0]: r[1] for r in got}
+    assert kept[0] < 0.2 and kept[1] > 0.9
+    kept_rows = quality_rules.keep(documents, learn_on)
+    assert kept_rows.columns == documents.columns and kept_rows.count() == quality_rules.measure(documents, learn_on).where("kept").count()
+
+
 def test_quality_keep(docs, rows, empty):
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns
