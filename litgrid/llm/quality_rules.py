@@ -11,8 +11,8 @@ LEAST_KEPT of the clean ones. With too little junk to learn from they are the LO
 
 Words are encoded one by one, each distinct word once per worker; the measures are sums over a text's words.
 
-Cases: null and wordless texts have no words and fail the base rule; a text with tokens of no known script is judged by the
-band "other"; very long texts are a piece of their own; repeated rows give repeated results; extra columns are ignored and,
+Cases: null and wordless texts have no words and fail the base rule; a text with fewer than LEAST_LETTERS letters a character (symbols,
+digits, drawings) has script "none" and is rejected; letters of no known script are judged by the band "other"; very long texts are a piece of their own; repeated rows give repeated results; extra columns are ignored and,
 in `keep`, kept as they are.
 """
 
@@ -46,12 +46,14 @@ class Band(NamedTuple):
 
 
 ENTROPY_TOKENS = 100
-SCRIPTS = ("latin", "greek_cyrillic", "cjk", "other")
+LEAST_LETTERS = 0.2
+SCRIPTS = ("latin", "greek_cyrillic", "cjk", "other", "none")
 BANDS = {
     "latin": Band(1.1, 8.0, 0.10, 3.0),
     "greek_cyrillic": Band(0.7, 8.0, 0.30, 3.0),
     "cjk": Band(0.25, 4.0, 0.90, 3.0),
-    "other": Band(0.15, 8.0, 1.0, 2.5),
+    "other": Band(0.15, 8.0, 0.90, 2.5),
+    "none": Band(np.inf, 0.0, 0.0, np.inf),
 }
 #: Learning of bands: labelled documents in all, clean and junk ones that a language needs, share of clean ones to keep, quantile without junk.
 MOST_LABELS = 20_000
@@ -71,6 +73,15 @@ def lead_classes() -> np.ndarray:
     return t
 
 
+def classes(data: np.ndarray) -> np.ndarray:
+    """lead_classes of a text's bytes, but U+2000-2BFF and U+2E00-2FFF (punctuation, symbols, drawings) and U+1F000-1FFFF (pictures) are no letters."""
+    out = lead_classes()[data]
+    for lead, low, high in ((0xE2, 0x80, 0xAF), (0xE2, 0xB8, 0xBF), (0xF0, 0x9F, 0x9F)):
+        at = np.flatnonzero(data[:-1] == lead)
+        out[at[(data[at + 1] >= low) & (data[at + 1] <= high)]] = 4
+    return out
+
+
 class Pieces:
     """Token ids of words, each word encoded once."""
 
@@ -175,15 +186,15 @@ def judged(column: pa.Array, pieces: Pieces, langs: pa.Array | None = None, lear
     n_words = np.diff(words.offsets)
     n_repeat = repeated_words(words)
     tokens, fallback, entropy = fertility(words, pieces)
-    lead = lead_classes()[data]
-    script = np.argmax(np.stack([tv.segments(lead == k, offsets) for k in range(len(SCRIPTS))]), axis=0)
-    lettered = tv.segments(lead < 4, offsets) > 0
-    script = np.where(lettered, script, SCRIPTS.index("other"))
+    lead, none = classes(data), SCRIPTS.index("none")
+    script = np.argmax(np.stack([tv.segments(lead == k, offsets) for k in range(none)]), axis=0)
+    letters = tv.segments(lead < none, offsets)
+    script = np.where((letters > 0) & (letters >= LEAST_LETTERS * chars), script, none)
     bands = np.array([BANDS[s] for s in SCRIPTS])[script]
     if learnt and langs is not None:
         names = list(learnt)
         place = pc.fill_null(pc.index_in(langs.cast(pa.string()), pa.array(names)), -1).to_numpy(zero_copy_only=False)
-        own = place >= 0
+        own = (place >= 0) & (script != none)
         bands[own] = np.array([learnt[x] for x in names])[place[own]]
     n = np.maximum(tokens, 1)
     per, share = chars / n, fallback / n
@@ -229,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, vocabulary: str = VOCABULARY, most
         pieces = Pieces.of(tokenizer_path(vocabulary))
         for batch in tv.pieces(batches, most=2_000_000):
             m = judged(tv.texts(batch.column("text")), pieces)
-            use = pa.array(~m["base_failed"] & (m["n_tokens"] >= ENTROPY_TOKENS))
+            use = pa.array(~m["base_failed"] & (m["script"] != "none") & (m["n_tokens"] >= ENTROPY_TOKENS))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("quality").cast(pa.int32()), pa.array(m["script"]), pa.array(m["chars_per_token"]), pa.array(m["token_entropy"])], names=["lang", "quality", "script", "chars", "entropy"]).filter(use)
 
     found = marked.mapInArrow(run, "lang string, quality int, script string, chars double, entropy double").toPandas()

@@ -139,6 +139,21 @@ def test_fertility_rejects_noise_and_keeps_prose(docs):
     assert got[1]["byte_share"] > 0.5
 
 
+def test_letterless_texts_are_rejected(docs):
+    import random
+
+    rng = random.Random(2)
+    of = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(n)) for _ in range(120))
+    noise = [of([chr(c) for c in range(0x2500, 0x2700)], 5), of("#$%&*|<>", 6), of("0123456789", 6), of([chr(c) for c in range(0x1F300, 0x1F600)], 3), of("#$%&*|<>", 6) + " a"]
+    uncovered = of([chr(c) for c in range(0x1000, 0x2000)], 6)
+    thai = " ".join(rng.choice("บ้าน แม่น้ำ ฤดูร้อน เด็ก หนังสือ เวลา ผู้คน เมือง งาน คำ ประเทศ ภาษา โรงเรียน".split()) for _ in range(200))
+    got = by_id(quality_rules.measure(frame(docs, [*noise, uncovered, thai])))
+    for i in range(len(noise)):
+        assert not got[i]["base_failed"] and not got[i]["kept"] and got[i]["script"] == "none", i
+    assert not got[5]["kept"] and got[5]["script"] == "other" and not got[5]["base_failed"]
+    assert got[6]["kept"] and got[6]["script"] == "other"
+
+
 def test_learnt_bands_tell_held_out_junk(docs):
     sf = "/root/testdata/sf0.1"
     documents, labels = (docs.sparkSession.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
