@@ -2,13 +2,12 @@
 
 n-gram counts (words and word pairs) of the training documents are quantised on a log scale, q(c) = 1 + floor(log_b(c)). The filter
 holds, for each n-gram, the keys (n-gram, 1) .. (n-gram, q). A worker reads a count back by probing levels 1, 2, 3, ... until one is absent, and
-takes the middle of the last level present. The filter is broadcast; its size follows the number of n-grams gathered, up to a stated bound.
+takes the middle of the last level present. The filter holds all n-grams and grows with them: each group of keys has a bitmap sized by its counted
+entries. Bitmaps are joined into shards of bounded size, each a broadcast of its own; a worker holds the keys of a bounded amount of text, probes shard after
+shard for them, and has one shard at a time in memory.
 
 Scores are smoothed by a Dirichlet prior: P(w | v) = (c(v, w) + mu * P(w)) / (c(v) + mu), with P(w) = (c(w) + 1) / (N + V + 1).
 
-At most N / c n-grams are seen c times or more. Where N entries don't fit the bound, n-grams seen less often than the least power of two that
-is proven to fit stay out of the filter and are smoothed as unseen; counting covers them all.
-
 Beside the model, exact word counts give the base score: the most frequent words, at most `head`, are broadcast (a bound that does not grow with the data), all
 other words of the documents are joined with the counts by word. Neither way drops a word.
 
@@ -18,6 +17,7 @@ are pieces of their own; repeated rows are scored one by one; extra columns are
 
 from __future__ import annotations
 
+import copy
 import math
 import uuid
 
@@ -34,10 +34,12 @@ from .common import cut
 BASE = 2.0
 MU = 20.0
 HEAD = 500_000
-#: Bits for each n-gram that could be there: a training token is one word and one pair, of which few are new.
+#: Bits for each entry (n-gram and level) that is there.
 BITS = 6.0
-#: Bound of the filter that is broadcast.
-MOST_BYTES = 96_000_000
+#: Bound of a shard of the filter; each is a broadcast.
+MOST_BYTES = 48_000_000
+#: Text whose keys are held while all shards are probed, if they are several.
+ROUND_BYTES = 8_000_000
 #: Training tokens for each group of n-grams that is counted at once.
 GROUP_TOKENS = 1_000_000
 #: The end of a text; no word holds white space.
@@ -188,33 +190,108 @@ def merged(blobs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndar
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-class Model:
-    """What workers score with. head: the most frequent words, with their exact counts; all: no other words are known."""
+SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def bit_places(g: np.ndarray, step: np.ndarray, k: int, sizes: np.ndarray | np.uint64) -> np.ndarray:
+    """Bits of the k-th probe in bitmaps of so many bits (below 2^32)."""
+    return ((((g + np.uint64(k) * step) & np.uint64(0xFFFF_FFFF)) * sizes) >> np.uint64(32)).astype(np.int64)
+
+
+def group_bitmap(keys: np.ndarray, counts: np.ndarray, bits: float) -> bytes:
+    """The bitmap of a group's n-grams with all their levels, sized by these entries."""
+    q = quantised(counts)
+    size = 64 * max(1, -(-int(q.sum() * bits) // 64))
+    here = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        g = tv.mix(level_keys(keys[q >= level], level) + SALT)
+        step = (g >> np.uint64(32)) | np.uint64(1)
+        for k in range(bitmaps.PROBES):
+            here[bit_places(g, step, k, np.uint64(size))] = True
+    return bitmaps.pack(here)
 
-    kept: dict[str, Model] = {}
 
-    def __init__(self, bitmap: bitmaps.Bitmap, n: int, v: int, ends: int, head: pa.Array, head_counts: np.ndarray, all_words: bool) -> None:
-        self.bitmap, self.n, self.v, self.ends, self.head, self.head_counts, self.all_words = bitmap, n, v, ends, head, head_counts, all_words
+class Places:
+    """Where each group's bitmap is: its shard (-1: it has no keys), first byte, and bits."""
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts by probing level after level."""
-        level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
+    def __init__(self, groups: int) -> None:
+        self.shard, self.start, self.size = np.full(groups, -1, np.int32), np.zeros(groups, np.int64), np.zeros(groups, np.uint64)
+
+    def probe(self, shard: int, data: np.ndarray, keys: np.ndarray, level: np.ndarray) -> None:
+        """Sets the levels of the keys that live in the shard, by probing level after level."""
+        home = radix.group_of(keys, len(self.shard))
+        alive = np.flatnonzero(self.shard[home] == shard)
         for q in range(1, LEVELS):
-            alive = alive[self.bitmap.has(keys[alive], level_keys(keys[alive], q))]
+            g = tv.mix(level_keys(keys[alive], q) + SALT)
+            step = (g >> np.uint64(32)) | np.uint64(1)
+            for k in range(bitmaps.PROBES):
+                at = home[alive]
+                b = bit_places(g, step, k, self.size[at])
+                on = (data[self.start[at] + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 == 1
+                alive, g, step = alive[on], g[on], step[on]
             if not len(alive):
                 break
             level[alive] = q
-        return level_value(level)
 
-    def log_probabilities(self, t: Tokens) -> np.ndarray:
+
+def gather(rows: DataFrame, groups: int, most_bytes: int) -> tuple[Places, list]:
+    """Broadcast shards of rows(grp int, bits binary), one per group that has keys. The driver holds one shard at a time."""
+    places, shards, held, size = Places(groups), [], [], 0
+
+    def send() -> None:
+        shards.append(rows.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(held), np.uint8)))
+        held.clear()
+
+    for grp, bits in cut(rows).toLocalIterator():
+        if held and size + len(bits) > most_bytes:
+            send()
+            size = 0
+        places.shard[grp], places.start[grp], places.size[grp] = len(shards), size, 8 * len(bits)
+        held.append(bytes(bits))
+        size += len(bits)
+    if held:
+        send()
+    return places, shards
+
+
+class Grams:
+    """A piece's tokens and the levels of its n-grams."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.tokens = Tokens(column)
+        self.pairs, self.both, self.place = self.tokens.pairs()
+        self.words = word_key(self.tokens.hashes)
+        self.word_levels, self.pair_levels = np.zeros(len(self.words), np.int8), np.zeros(len(self.pairs), np.int8)
+
+
+class Model:
+    """What workers score with; shards: broadcasts of the filter. head: the most frequent words, with their exact counts; all: no other words are known."""
+
+    kept: dict[str, Model] = {}
+
+    def __init__(self, places: Places, shards: list, n: int, v: int, ends: int, head: pa.Array, head_counts: np.ndarray, all_words: bool) -> None:
+        self.places, self.shards, self.n, self.v, self.ends, self.head, self.head_counts, self.all_words = places, shards, n, v, ends, head, head_counts, all_words
+
+    def probe(self, shards: list, pieces: list[Grams]) -> None:
+        """Sets the pieces' levels, with one shard at a time."""
+        for k, shard in enumerate(shards):
+            data = shard.value
+            for x in pieces:
+                self.places.probe(k, data, x.words, x.word_levels)
+                self.places.probe(k, data, x.pairs, x.pair_levels)
+            if len(shards) > 1:
+                del data
+                shard.__dict__.pop("_value", None)  # read again from the worker's disk for the next texts
+
+    def log_probabilities(self, x: Grams) -> np.ndarray:
         """log10 probability of each token."""
-        keys, both, place = t.pairs()
-        single = self.count(word_key(t.hashes))
+        t, both = x.tokens, x.both
+        single = level_value(x.word_levels.astype(np.int64))
         single[-2:] = self.ends  # as often as a text ends, one begins
         before, word = single[both // len(t.hashes)], np.minimum(single[both % len(t.hashes)], self.n)
         prior = (word + 1) / (self.n + self.v + 1)
-        pair = np.minimum(self.count(keys), np.minimum(before, word))
-        return np.log10((pair + MU * prior) / (before + MU))[place]
+        pair = np.minimum(level_value(x.pair_levels.astype(np.int64)), np.minimum(before, word))
+        return np.log10((pair + MU * prior) / (before + MU))[x.place]
 
     def exact(self, t: Tokens) -> np.ndarray:
         """Exact count of each dictionary word and of the end; -1: not among the head."""
@@ -235,61 +312,66 @@ def train(training: DataFrame, head: int = HEAD, bits: float = BITS, most_bytes:
         held, from_count = held + m, c
     top = counts.where(F.col("c") >= from_count if from_count else F.lit(False)).toArrow()
     levels = radix.rounds(-(-n // group_tokens))
-    least = 1
-    while (n / least) * (1 + math.log2(least)) * bits > most_bytes * 8:
-        least *= 2
-    n_segments = bitmaps.segments_for(n, bits, most_bytes)
 
     def fill(batches):
-        """Segments of a partition's groups. Two groups may share one, so the driver joins them."""
-        for keys, c in grouped(batches):
-            keys, q = keys[c >= least], quantised(c[c >= least])
-            home = bitmaps.segment_of(keys, n_segments)
-            new = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
-            for a, b in zip(new, np.append(new[1:], len(home)), strict=True):
-                bits_set = np.zeros(bitmaps.SEGMENT_BITS, bool)
-                for level in range(1, int(q[a:b].max()) + 1):
-                    bits_set[bitmaps.bits_of(level_keys(keys[a:b][q[a:b] >= level], level)).ravel()] = True
-                yield pa.RecordBatch.from_arrays([pa.array([int(home[a])], pa.int32()), pa.array([bitmaps.pack(bits_set)], pa.binary())], names=["seg", "bits"])
+        """Bitmaps of a partition's groups."""
+        for grp, keys, c in grouped(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([group_bitmap(keys, c, bits)], pa.binary())], names=["grp", "bits"])
 
     blobs = radix.dealt(gram_blobs(training, levels[0]), levels, dealt_again)
-    bitmap = bitmaps.gather(blobs.mapInArrow(fill, "seg int, bits binary"), n_segments)
+    places, shards = gather(blobs.mapInArrow(fill, "grp int, bits binary"), levels[-1], most_bytes)
     words = top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.binary())
-    return Model(bitmap, n, v, ends, words.cast(pa.binary()), top.column("c").to_numpy().astype(np.int64), held == v), counts
+    return Model(places, shards, n, v, ends, words.cast(pa.binary()), top.column("c").to_numpy().astype(np.int64), held == v), counts
 
 
 def grouped(batches):
-    """(keys, counts) of each group of a partition. A partition holds all blobs of its groups."""
+    """(group, keys, counts) of each group of a partition. A partition holds all blobs of its groups."""
     held: dict[int, list] = {}
     for batch in batches:
         for grp, *blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "keys", "counts", "large")), strict=True):
             held.setdefault(grp, []).append(tuple(blob))
     for grp in list(held):
-        yield merged(held.pop(grp))
+        yield grp, *merged(held.pop(grp))
         tv.trim()
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of docs: the kept columns, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    shards, model = model.shards, copy.copy(model)
+    model.shards = []  # a broadcast can't be sent within another
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     slim = docs.select(*keep, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("__row"))
     more = "n_tokens bigint, n_known bigint, base_score double, score double, tail array<struct<word:binary,tf:bigint>>"
     part = StructType(slim.drop("text").schema.fields + StructType.fromDDL(more).fields)
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
+    def rounds(model, batches):
+        """Pieces with their levels; as many at once as make it worth to go through the shards."""
+        held, size = [], 0
+        for batch in tv.pieces(batches, most=2_000_000):
+            held.append((batch, Grams(tv.texts(batch.column("text")))))
+            size += batch.nbytes
+            if len(shards) < 2 or size >= ROUND_BYTES:
+                model.probe(shards, [x for _, x in held])
+                yield from held
+                held, size = [], 0
+        if held:
+            model.probe(shards, [x for _, x in held])
+            yield from held
+
     def run(batches):
         if key not in Model.kept:
             Model.kept.clear()
             Model.kept[key] = sent.value
         model = Model.kept[key]
         scale = math.log10(model.n + model.v + 1)
-        for batch in tv.pieces(batches, most=2_000_000):
-            t = Tokens(tv.texts(batch.column("text")))
+        for batch, grams in rounds(model, batches):
+            t = grams.tokens
             exact = model.exact(t)
             c = exact[t.codes]
             base = tv.segments(np.where(c >= 0, np.log10(np.maximum(c, 0) + 1) - scale, 0.0), t.offsets)
-            total = tv.segments(model.log_probabilities(t), t.offsets)
+            total = tv.segments(model.log_probabilities(grams), t.offsets)
             # words that the head doesn't hold, once per text
             rare = np.flatnonzero(c < 0)
             owner = np.repeat(np.arange(len(t.offsets) - 1), np.diff(t.offsets))[rare]

@@ -65,6 +65,15 @@ def test_small_bound_still_scores(docs):
     assert tight["sum(score)"] < 0
 
 
+def test_filter_of_many_shards_scores_alike(docs, monkeypatch):
+    docs = docs.where("doc_id is not null")
+    score = lambda bound: docs.sparkSession.createDataFrame(lm.fit_and_score(docs, docs, most_bytes=bound, group_tokens=2000).select("doc_id", "n_tokens", "score").toPandas()).orderBy("doc_id", "score").collect()
+    one, many = score(10**8), score(20_000)
+    assert one == many
+    model, _ = lm.train(docs.select("text"), most_bytes=20_000, group_tokens=2000)
+    assert len(model.shards) > 3 and all(len(x.value) <= 20_000 for x in model.shards)
+
+
 def test_bitmap_holds_its_keys(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) as k")
     bitmap = bitmaps.of_keys(keys, bitmaps.segments_for(5000, 16, 1 << 20))
