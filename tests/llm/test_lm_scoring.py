@@ -74,6 +74,23 @@ def test_filter_of_many_shards_scores_alike(docs, monkeypatch):
     assert len(model.shards) > 3 and all(len(x.value) <= 20_000 for x in model.shards)
 
 
+def test_filter_at_production_settings(docs):
+    text = docs.select("text")
+    model, _ = lm.train(text)
+    keys, counts = lm.merged([(r["keys"], r["counts"], r["large"]) for r in lm.gram_blobs(text, 1).collect()])
+    other = np.setdiff1d(tv.mix(np.arange(200_000).astype(np.uint64)) & lm.HIGH, keys)
+
+    def levels(of):
+        out = np.zeros(len(of), np.int8)
+        for k, shard in enumerate(model.shards):
+            model.places.probe(k, shard.value, of, out)
+        return out
+
+    over = levels(keys) - lm.quantised(counts)
+    assert over.min() >= 0 and (over > 0).mean() < 0.012
+    assert (levels(other) > 0).mean() < 0.012
+
+
 def test_bitmap_holds_its_keys(spark):
     keys = spark.range(5000).selectExpr("xxhash64(id) as k")
     bitmap = bitmaps.of_keys(keys, bitmaps.segments_for(5000, 16, 1 << 20))
