@@ -373,7 +373,7 @@ def sectionize(spark, sf_dir):
 
 def snippets(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    found = context.snippets(F.col("text"), ["@mail", "password"], 40, 4)
+    found = context.snippets(F.col("text"), ["@mail", "password"])
     return d.select("doc_id", F.size(found).cast("bigint").alias("n"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first"))
 
 

@@ -103,3 +103,13 @@ def test_cohorts_by_row_then_table_then_text(spark):
     df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
     got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"]) for r in context.record_cohorts(df, "own", "body", "tab").collect()}
     assert got == {1: ("ADNI", 0.9), 2: ("IGAP", 0.8), 3: ("ADGC", 0.6), 4: ("HRS", 0.45), 5: ("NR", 0.25)}
+
+
+def test_snippets_query_keeps_eight_wide_ones(spark, tmp_path):
+    from litgrid.plans import queries
+
+    text = " ".join(f"{i:03d} " + f"w{i} " * 80 + "password" for i in range(10))
+    spark.createDataFrame([(1, text), (2, "none")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["first"]) for r in queries.snippets(spark, str(tmp_path)).collect()}
+    at = text.index("password")
+    assert got == {1: (8, text[at - 240 : at + 8 + 240].strip()), 2: (0, "")}
