@@ -22,7 +22,7 @@ from d left join pos using (r) left join items using (r)
 
 OP8 = r"""
 with m as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-                  substr(md5('mix-1' || coalesce(cast(doc_id as varchar), '')), 1, 12) as h, coalesce('s' || source, 'n') as k from documents),
+                  substr(md5('mix-1' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 16) as h, coalesce('s' || source, 'n') as k from documents),
 s as (select k, source, cast(sum(size) as bigint) as source_size from m group by all),
 w as (select *, row_number() over (order by source nulls last) - 1 as place from s),
 w2 as (select *, [3.0, 1.0, 2.0][place % 3 + 1]::double as weight, 2.0::double * source_size as cap from w),
