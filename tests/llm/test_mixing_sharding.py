@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -30,7 +31,7 @@ def targets_by_resharing(sizes, weights=(3, 1, 2), share=Fraction(3, 2), most=2)
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 3])
+@pytest.mark.parametrize("bucket_rows", [None, 3])
 def test_mixing(docs, rows, bucket_rows):
     got = mixing.mix(docs, bucket_rows=bucket_rows).withColumn("k", F.lit(1)).collect()
     assert len(got) == len(rows)
@@ -89,16 +90,25 @@ def minimax(sizes, shards):
     return best[-1]
 
 
-@pytest.mark.parametrize("sizes", [[5, 3, 8, 1, 9, 2, 2, 7], [1] * 30, [4], [100, 1, 1, 1, 1, 1, 1], []])
+@pytest.mark.parametrize("sizes", [[5, 3, 8, 1, 9, 2, 2, 7], [1] * 30, [4], [100, 1, 1, 1, 1, 1, 1]])
 @pytest.mark.parametrize("shards", [1, 3, 5])
 def test_capacity_is_minimax(spark, sizes, shards):
     one = spark.createDataFrame([(sizes,)], "sizes array<bigint>")
-    if sizes:
-        capacity = one.select(sharding.cuts_of(F.col("sizes"), F.lit(shards))).first()[0]
-        assert capacity == minimax(sizes, shards)
-    groups = spark.createDataFrame(list(enumerate(sizes)), "grp int, total bigint")
-    placed = {r["grp"]: r["shard"] for r in sharding.shard_table(groups, shards).collect()}
-    assert len(placed) == len(sizes) and all(0 <= s < shards for s in placed.values())
+    assert one.select(sharding.smallest_capacity(F.col("sizes"), F.lit(shards))).first()[0] == minimax(sizes, shards)
+
+
+@pytest.mark.parametrize(("shards", "first_bits"), [(7, 2), (7, 16), (3, 1), (1, 4)])
+def test_shards_of_split_ranges_are_minimax_over_the_groups(spark, shards, first_bits):
+    rng = random.Random(shards)
+    docs = spark.createDataFrame([(i, f"t{i % 90} " * (1 + (i % 90) ** 2 % 37)) for i in range(300)] + [(i, "y" * rng.randrange(400)) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    groups = [r["size"] for r in sharding.measured(docs).groupBy("h").agg(F.sum("size").alias("size")).orderBy("h").collect()]
+    got = [r["size"] for r in sharding.assign(docs, shards=shards, first_bits=first_bits).groupBy("shard").agg(F.sum("size").alias("size")).collect()]
+    assert len(got) == shards and sum(got) == sum(groups) and max(got) == minimax(groups, shards)
+
+
+def test_sizes_are_near_equal(spark):
+    got = sharding.assign(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("s")).agg(F.count("*"), F.min("s"), F.max("s"), F.avg("s")).first()
+    assert got[0] == 40 and got[1] > 0.75 * got[3] and got[2] < 1.1 * got[3]
 
 
 def test_hot_text_gets_its_own_shard(spark):
@@ -108,6 +118,32 @@ def test_hot_text_gets_its_own_shard(spark):
     assert len(got) == 10 and max(rest) < 1.2 * min(rest)
 
 
+CLASHES = ["c", "k", "__key", "__grp", "shard", "shard_no", "a.b", "c0", "c1", "DOC_ID2", "t", "h", "n", "share", "nth", "size", "key", "class"]
+
+
+def clashing(docs):
+    return docs.drop("shard", "c0").select("*", *[F.lit(k).alias(name) for k, name in enumerate(CLASHES)], F.lit("x").alias("lang"))
+
+
+def test_columns_of_any_name_are_kept(docs, rows):
+    wide = clashing(docs)
+    mixed, placed = mixing.mix_documents(wide), sharding.shard_documents(wide, shards=5)
+    assert mixed.columns == wide.columns and placed.columns == [*wide.columns, "shard_no_2"]
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, clashing(mixing.mix_documents(docs)).collect()))
+    got = placed.collect()
+    assert len(got) == len(rows) and {tuple(r[5:-2]) for r in got} == {tuple(range(len(CLASHES)))}
+
+
+def test_rows_of_one_id_and_equal_rows_are_dealt_to_many_buckets(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"w{i % 300} x y", "s") for i in range(3000)] + [(5, "a b c", "s")] * 1000, "doc_id bigint, text string, source string").repartition(4)
+    got = mixing.mix(docs, bucket_rows=100)
+    assert got.count() == 4000 and abs(got.agg(F.sum("taken")).first()[0] - 1.5 * 12000) <= 3
+    copied = mixing.mix_documents(docs, bucket_rows=100)
+    assert copied.count() * 3 == got.agg(F.sum("taken")).first()[0]
+    slots = sharding.assign(docs, shards=3, slot_rows=50).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in slots) and sum(r["n"] for r in slots) == 4000
+
+
 def test_shard_documents(docs, rows, empty):
     out = sharding.shard_documents(docs, shards=5)
     assert out.columns == [*docs.columns, "shard_no"] and out.count() == len(rows)
