@@ -6,25 +6,30 @@ training suffixes that share their first k words, and one searchsorted moves the
 suffix's longest verbatim match with its locations. Documents that hold a whole window of an item are marked or removed.
 
 The suffix array is sparse: a training suffix takes part only if its first two words stand side by side in some item, which
-no match can lack (one-word items use the first word alone). The benchmark is a stated query set: it is sent to the workers
-in blocks of bounded size, one pass of the same stage each, whatever its size.
+no match can lack (one-word items use the first word alone). The benchmark is a stated query set: it is streamed to the workers
+in broadcast blocks of bounded size, of which the driver and a worker hold one at a time; texts are split into words once, and a worker holds
+those of a bounded amount of text while it goes through the blocks. Equal windows of a block are searched once, however many items share them.
 
 Cases: null or wordless texts have no words and no hits; a null item id shows as the empty text; repeated item ids count
-once; an empty benchmark marks nothing; repeated rows give repeated results; extra columns are ignored.
+once; an empty benchmark marks nothing; repeated rows give repeated results; extra columns are ignored and, in decontaminate, kept whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textvec as tv
+from .common import at_place, by_place, named_again
 
 WINDOW = 10
-#: Bytes of benchmark text in one block, which is broadcast.
+#: Characters of benchmark text in one block, which is broadcast (a longer item is a block of its own).
 BLOCK_BYTES = 8_000_000
+#: Text whose words are held while all blocks are searched, if they are several.
+ROUND_BYTES = 32_000_000
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
@@ -43,30 +48,37 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
 
 
 class Tests:
-    """The windows of a block of items: win (rows of word codes of its own dictionary, padded by -1), length and item of each."""
+    """The distinct windows of a block of items: win (rows of word codes of its own dictionary, padded by -1) and length of each. Window k occurs at
+    places[starts[k] : starts[k + 1]], each an item's number shifted left by OFFSET_BITS plus its first word in the item."""
+
+    OFFSET_BITS = 36
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         words = tv.split_words(tv.texts(pa.array([t for _, t in items], pa.string())), "alnum")
         self.vocabulary = words.words
         self.ids = [i for i, _ in items]
-        rows, items_of, lengths = [], [], []
-        for i, (a, b) in enumerate(zip(words.offsets[:-1], words.offsets[1:], strict=True)):
-            n = min(window, b - a)
-            if n:
-                at = np.arange(a, b - n + 1)[:, None] + np.arange(n)
-                block = np.full((len(at), window), -1, np.int64)
-                block[:, :n] = words.codes[at]
-                rows.append(block)
-                items_of.append(np.full(len(at), i))
-                lengths.append(np.full(len(at), n))
-        self.win = np.concatenate(rows) if rows else np.zeros((0, window), np.int64)
-        self.item = np.concatenate(items_of) if rows else np.zeros(0, np.int64)
-        self.length = np.concatenate(lengths) if rows else np.zeros(0, np.int64)
+        count = np.diff(words.offsets)
+        length = np.minimum(window, count)
+        each = np.where(length > 0, count - length + 1, 0)
+        item = np.repeat(np.arange(len(items)), each)
+        offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        length = length[item]
+        at = (words.offsets[:-1][item] + offset)[:, None] + np.arange(window)
+        padded = np.append(words.codes, np.full(window, -1, np.int64))
+        win = np.where(np.arange(window) < length[:, None], padded[np.minimum(at, len(padded) - 1)], -1).astype(np.int64)
+        order = np.lexsort(win.T[::-1]) if len(win) else np.zeros(0, np.int64)
+        win, places = win[order], (item.astype(np.int64) << self.OFFSET_BITS)[order] + offset[order]
+        new = np.flatnonzero(np.append(True, (win[1:] != win[:-1]).any(axis=1))) if len(win) else np.zeros(0, np.int64)
+        self.win, self.length = win[new], length[order][new]
+        self.starts, self.places = np.append(new, len(win)), places
         v = len(self.vocabulary) + 1
         self.singles = np.unique(self.win[self.length == 1, 0])
         many = self.win[self.length > 1]
         self.pairs = np.unique(many[:, 0] * v + many[:, min(1, window - 1)])
 
+    def places_of(self, window: int) -> np.ndarray:
+        return self.places[self.starts[window] : self.starts[window + 1]]
+
 
 def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions `at` of seq in lexicographic order of their first `depth` words, and those words (row per suffix)."""
@@ -97,9 +109,8 @@ def search(columns: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, n
     return lo, hi, depth
 
 
-def shard_matches(column: pa.Array, tests: Tests) -> tuple[tv.Words, np.ndarray, np.ndarray]:
-    """All verbatim occurrences of whole windows in a shard: (words, training position, window index)."""
-    words = tv.split_words(column, "alnum")
+def shard_matches(words: tv.Words, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """All verbatim occurrences of whole windows in a shard: (training position, window index)."""
     coded = pa.compute.index_in(words.words, tests.vocabulary) if len(tests.vocabulary) else pa.nulls(len(words.words), pa.int32())
     local = pa.compute.fill_null(coded, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     seq = local[words.codes] if len(words.codes) else np.zeros(0, np.int64)
@@ -129,94 +140,107 @@ def shard_matches(column: pa.Array, tests: Tests) -> tuple[tv.Words, np.ndarray,
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     found = suffixes[np.repeat(lo[whole], counts) + inner]
     back = np.cumsum(spread == -2)  # sentinels up to a place
-    return words, found - back[found], np.repeat(whole, counts)
-
-
-MATCHES = "array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"
-
-
-def runs(doc: np.ndarray, position: np.ndarray, window: np.ndarray, tests: Tests, first: np.ndarray) -> list[list[dict]]:
-    """Maximal verbatim matches per document: overlapping occurrences on one diagonal are one match."""
-    out: dict[int, list] = {}
-    item = tests.item[window]
-    item_start = np.zeros(len(tests.win), np.int64)
-    new = np.flatnonzero(np.append(True, tests.item[1:] != tests.item[:-1])) if len(tests.item) else np.zeros(0, np.int64)
-    item_start = np.arange(len(tests.win)) - np.repeat(new, np.diff(np.append(new, len(tests.win))))
-    offset = item_start[window]
-    local = position - first[doc]
-    order = np.lexsort((local, local - offset, item, doc))
-    previous = None
-    for k in order.tolist():
-        d, i, p, o, n = int(doc[k]), int(item[k]), int(local[k]), int(offset[k]), int(tests.length[window[k]])
-        if previous and previous[:3] == (d, i, p - o) and p <= out[d][-1]["doc_word"] + out[d][-1]["n_words"]:
-            out[d][-1]["n_words"] = p + n - out[d][-1]["doc_word"]
-        else:
-            out.setdefault(d, []).append({"item_id": tests.ids[i], "doc_word": p, "item_word": o, "n_words": n})
-        previous = (d, i, p - o)
-    return [out.get(d, []) for d in range(len(first))]
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with three more columns: __n_words, __matches (maximal verbatim matches with places) and __hits (hit words)."""
-    spark: SparkSession = docs.sparkSession
-    out = docs.withColumns({"__n_words": F.lit(0).cast("bigint"), "__matches": F.expr(f"cast(array() as {MATCHES})"), "__hits": F.lit(0).cast("bigint")})
-    names = out.columns
-    for block in list(blocks(benchmark, block_bytes)) or [[]]:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            tests = Tests(sent.value, window)
-            for batch in tv.pieces(batches):
-                yield from marked(batch, tests)
-
-        out = out.mapInArrow(run, out.schema)
-    return out.select(names)
-
-
-def marked(batch: pa.RecordBatch, tests: Tests):
-    words, position, found = shard_matches(tv.texts(batch.column("text")), tests)
-    doc = np.searchsorted(words.offsets, position, "right") - 1
-    first = words.offsets[:-1]
-    matches = runs(doc, position, found, tests, first)
-    before = batch.column("__matches").to_pylist() if pa.compute.sum(batch.column("__hits")).as_py() else [[]] * batch.num_rows
-    matches = [a + b if a else b for a, b in zip(before, matches, strict=True)]
-    hits = np.zeros(batch.num_rows, np.int64)
-    for d, found_here in enumerate(matches):
-        upto = 0
-        for p, n in sorted((m["doc_word"], m["n_words"]) for m in found_here) if found_here else ():
-            hits[d] += max(0, p + n - max(p, upto))
-            upto = max(upto, p + n)
-    columns = {n: batch.column(n) for n in batch.schema.names}
-    columns["__n_words"] = pa.array(np.diff(words.offsets))
-    columns["__hits"] = pa.array(hits)
-    columns["__matches"] = pa.array(matches, batch.schema.field("__matches").type)
-    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
-def items_digest(matches) -> F.Column:
-    ids = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"])))
-    return F.sha2(F.array_join(ids, ","), 256)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return found - back[found], np.repeat(whole, counts)
+
+
+MATCH = "struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>"
+FOUND = f"n_words bigint, n_hit bigint, items array<string>, matches array<{MATCH}>"
+
+
+class Piece:
+    """A shard: its words, and what the blocks searched so far gave: covered words, items and maximal matches of each document."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch = batch
+        self.words = tv.split_words(tv.texts(batch.column("text")), "alnum")
+        self.change = np.zeros(len(self.words.codes) + 1, np.int64)  # running sum above 0: covered
+        self.items: dict[int, set] = {}
+        self.matches: dict[int, list] = {}
+
+    def search(self, tests: Tests) -> None:
+        position, window = shard_matches(self.words, tests)
+        if not len(position):
+            return
+        np.add.at(self.change, position, 1)
+        np.add.at(self.change, position + tests.length[window], -1)
+        doc = np.searchsorted(self.words.offsets, position, "right") - 1
+        pair = np.unique(doc * len(tests.win) + window)
+        for d, w in zip((pair // len(tests.win)).tolist(), (pair % len(tests.win)).tolist(), strict=True):
+            self.items.setdefault(d, set()).update(tests.ids[i] for i in np.unique(tests.places_of(w) >> tests.OFFSET_BITS))
+        order = np.lexsort((position, tests.length[window], doc))
+        run = None  # document, length of windows, first and next word, places in items at the next word
+        for d, p, w in zip(doc[order].tolist(), position[order].tolist(), window[order].tolist(), strict=True):
+            n, places = int(tests.length[w]), tests.places_of(w)
+            both = np.intersect1d(run[4], places) if run and run[:2] == (d, n) and run[3] == p else places[:0]
+            if len(both):
+                run = (d, n, run[2], p + 1, both + 1)
+                continue
+            self.close(run, tests)
+            run = (d, n, p, p + 1, places + 1)
+        self.close(run, tests)
+
+    def close(self, run: tuple | None, tests: Tests) -> None:
+        """Notes a maximal match: at the first of the items that hold it whole."""
+        if run:
+            d, n, first, after, places = run
+            item, end = divmod(int(places.min()), 1 << tests.OFFSET_BITS)
+            self.matches.setdefault(d, []).append({"item_id": tests.ids[item], "doc_word": first - int(self.words.offsets[d]), "item_word": end - (after - first), "n_words": after - first + n - 1})
+
+    def result(self) -> pa.RecordBatch:
+        covered = np.cumsum(self.change[:-1]) > 0
+        names = [n for n in self.batch.schema.names if n != "text"]
+        rows = range(self.batch.num_rows)
+        found = [
+            pa.array(np.diff(self.words.offsets)), pa.array(tv.segments(covered, self.words.offsets)), pa.array([sorted(self.items.get(d, ())) for d in rows], pa.list_(pa.string())),
+            pa.array([self.matches.get(d, []) for d in rows], pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))),
+        ]
+        return pa.RecordBatch.from_arrays([*(self.batch.column(n) for n in names), *found], names=[*names, "n_words", "n_hit", "items", "matches"])
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """docs (with a column text, and no n_words, n_hit, items, matches) without the text, with n_words, n_hit (hit words), items (sorted) and matches: maximal verbatim
+    matches of whole windows with places, a passage that several items share at the first of them."""
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(block) for block in blocks(benchmark, block_bytes)]  # the driver keeps them on its disk only
+
+    def searched(held: list[Piece]):
+        for block in sent:
+            tests = Tests(block.value, window)
+            block.__dict__.pop("_value", None)  # read again from the worker's disk for the next texts
+            for piece in held:
+                piece.search(tests)
+        for piece in held:
+            yield piece.result()
+
+    def run(batches):
+        only = Tests(sent[0].value, window) if len(sent) == 1 else None
+        held, size = [], 0
+        for batch in tv.pieces(batches):
+            piece = Piece(batch)
+            if len(sent) < 2:
+                if only:
+                    piece.search(only)
+                yield piece.result()
+                continue
+            held.append(piece)
+            size += batch.nbytes
+            if size >= round_bytes:
+                yield from searched(held)
+                held, size = [], 0
+        yield from searched(held)
+
+    return docs.mapInArrow(run, StructType(docs.drop("text").schema.fields + StructType.fromDDL(FOUND).fields))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches."""
-    found = find_matches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, block_bytes)
-    m = F.col("__matches")
-    return found.select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.col("__hits").alias("n_hit"),
-        F.size(F.array_distinct(F.transform(m, lambda x: x["item_id"]))).cast("bigint").alias("n_items"),
-        items_digest(m).alias("items_sha256"),
-        (F.col("__hits") > 0).alias("contaminated"),
-        m.alias("matches"),
-    )
+    slim = by_place(docs).select(at_place(docs, "doc_id").cast("bigint").alias("doc_id"), at_place(docs, "text").cast("string").alias("text"))
+    found = find_matches(slim, benchmark, window, block_bytes, round_bytes)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a whole window of a benchmark item; columns unchanged."""
-    kept = docs.columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(kept))])
-    inner = inner.withColumn("text", F.col(f"c{kept.index('text')}").cast("string"))
-    found = find_matches(inner, benchmark, window).where(F.col("__hits") == 0)
-    return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(kept)])
+    inner = by_place(docs).withColumn("text", at_place(docs, "text").cast("string"))
+    return named_again(find_matches(inner, benchmark, window).where("n_hit = 0"), docs)

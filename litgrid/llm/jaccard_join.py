@@ -1,6 +1,8 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of k-word shingles. No link is missed and none is made up.
+Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of k-word shingles. No link is missed and none is made up, but for clashes of 64-bit
+hashes: a linked pair of 32 shingles or more shares an index list but for one pair in 1e11, and two sets of one fingerprint are taken for one when links are followed.
+A row is never dropped for such a clash: keep_one knows rows and unlinked sets by 128 bits.
 
 1. Nodes. Equal sets are one node (a fingerprint). Each node has an odd sketch: a shingle flips one bit, so the Hamming distance of two
    sketches is never more than the symmetric difference of the sets, and a pair whose sketches differ too much is no link.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bitmaps, radix
 from . import textvec as tv
-from .common import cut
+from .common import at_place, by_place, cut, named_again
 
 SHINGLE, PERCENT = 5, 80
 SMALL = 32
@@ -68,9 +70,9 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), offsets
 
 
-def fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def fingerprints(values: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(offsets) - 1)
+    return np.fromiter((digest(values[a:b], seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(offsets) - 1)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -136,18 +138,25 @@ def as_long(a: np.ndarray) -> pa.Array:
 
 def with_key(docs: DataFrame) -> DataFrame:
     """doc_id, text, and a key of the two by which a row is found again."""
-    doc, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.xxhash64(doc, text).alias("row_key"))
+    inner = by_place(docs)
+    doc, text = at_place(docs, "doc_id").cast("bigint"), at_place(docs, "text").cast("string")
+    return inner.select(doc.alias("doc_id"), text.alias("text"), F.xxhash64(doc, text).alias("row_key"))
+
+
+def proof(doc, text):
+    """128 bits of a row's id and text; null and empty texts differ."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.when(text.isNull(), F.lit("n")).otherwise(F.lit(":")), F.coalesce(text, F.lit("")))))
 
 
 def node_rows(rows: DataFrame, k: int) -> DataFrame:
+    """Per row its node (fingerprint of its set) with a second hash of the set, the set's size and sketch."""
     def run(batches):
         for batch in tv.pieces(batches):
             values, offsets = shingle_sets(tv.texts(batch.column("text")), k)
             sketches = [sketch(values[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), as_long(fingerprints(values, offsets)), pa.array(np.diff(offsets)), pa.array(sketches, pa.binary())], names=["doc_id", "row_key", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), as_long(fingerprints(values, offsets)), as_long(fingerprints(values, offsets, 1)), pa.array(np.diff(offsets)), pa.array(sketches, pa.binary())], names=["doc_id", "row_key", "node", "second", "n", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, second bigint, n bigint, sketch binary")
 
 
 def sorted_pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -424,11 +433,12 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of the smallest id (null ids last); columns unchanged. Rows without words stay, repeated rows once."""
     every, found = node_components(docs, k, percent)
-    firsts = every.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("first"))
-    labelled = firsts.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("__key"))
-    kept = kept.unionByName(every.where("n = 0").select(F.col("row_key").alias("__key")).distinct())
-    names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    joined = keyed.join(kept, "__key", "left_semi")
-    return joined.dropDuplicates(["__key"]).select(*names)
+    worded = every.where("n > 0")
+    firsts = worded.groupBy("node", "second").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("first"))
+    # a set without links is alone, whatever other set has its fingerprint
+    labelled = firsts.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("second")).otherwise(0).alias("own"))
+    kept = labelled.groupBy("component", "own").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("key"))
+    kept = kept.unionByName(every.where("n = 0").select(F.col("row_key").alias("key")).distinct())
+    doc, text = at_place(docs, "doc_id").cast("bigint"), at_place(docs, "text").cast("string")
+    keyed = by_place(docs).select("*", F.xxhash64(doc, text).alias("key"), proof(doc, text).alias("proof"))
+    return named_again(keyed.join(kept, "key", "left_semi").dropDuplicates(["key", "proof"]), docs)

@@ -59,6 +59,13 @@ def test_keep_one(docs, rows):
     assert sorted(i for i in ids if i is not None) == sorted(i for i in want if i is not None)
 
 
+def test_keep_one_with_any_names(docs):
+    wide = docs.drop("shard").selectExpr("*", "1 as __key", "2 as key", "3 as `a.b`", "4 as node", "5 as lang", "6 as row_key", "7 as proof")
+    got = jj.keep_one(wide)
+    assert got.columns == wide.columns
+    assert sorted(map(str, (r[0] for r in got.collect()))) == sorted(map(str, (r[0] for r in jj.keep_one(docs).collect())))
+
+
 def test_empty(empty):
     assert jj.components(empty).collect() == []
     assert jj.keep_one(empty).collect() == []

@@ -80,15 +80,22 @@ def test_decontamination_matches_brute_force(docs, rows, window, block):
     texts = [r[1] for r in rows]
     items = [(1, texts[30]), (20, " ".join((texts[60] or "a b").split()[:15]).upper()), (3, "é ü ñ"), (4, None), (5, " . "), (None, "w1 w2 w1"), (1, texts[3]), (7, "w5"), (8, "x" * 5000)]
     bench = docs.sparkSession.createDataFrame(items, "item_id bigint, text string")
-    got = by_id(decontamination.contamination(frame(docs, texts), bench, window, block))
-    for i, want in enumerate(hits(texts, items, window)):
-        assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want, texts[i]
+    want_all = hits(texts, items, window)
+    for round_bytes in (10**7, 3000):
+        got = by_id(decontamination.contamination(frame(docs, texts), bench, window, block, round_bytes))
+        for i, want in enumerate(want_all):
+            assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want, texts[i]
 
 
 def test_matches_say_where(docs):
     bench = docs.sparkSession.createDataFrame([(9, "one two three four five six")], "item_id bigint, text string")
     got = by_id(decontamination.contamination(frame(docs, ["zero ONE two, three four? five x"]), bench, 3))
     assert [tuple(m) for m in got[0]["matches"]] == [("9", 1, 0, 5)]
+    shared = [(1, "x y z q"), (2, "a b c x y z d e f"), (3, "c x y z d")]
+    bench = docs.sparkSession.createDataFrame(shared, "item_id bigint, text string")
+    got = by_id(decontamination.contamination(frame(docs, ["a b c x y z d e f", "u x y z u a b c x y z d"]), bench, 3))
+    assert [tuple(m) for m in got[0]["matches"]] == [("2", 0, 0, 9)] and got[0]["n_items"] == 3
+    assert [tuple(m) for m in got[1]["matches"]] == [("1", 1, 0, 3), ("2", 5, 0, 7)]
 
 
 def test_decontaminate_keeps_clean_rows(docs, rows, empty):
@@ -99,6 +106,8 @@ def test_decontaminate_keeps_clean_rows(docs, rows, empty):
     assert kept.count() == len(rows) - sum(dirty) and sum(dirty)
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(rows)
     assert decontamination.decontaminate(empty, bench).collect() == []
+    wide = docs.selectExpr("*", "1 as items", "2 as `a.b`", "3 as n_hit", "4 as c1", "5 as lang")
+    assert decontamination.decontaminate(wide, bench).columns == wide.columns and decontamination.decontaminate(wide, bench).count() == kept.count()
 
 
 # --- quality rules -------------------------------------------------------------------------------------------------------------------
