@@ -289,11 +289,64 @@ def test_language_edge_cases(docs, rows, empty):
     assert language_id.predict(empty, docs).collect() == []
 
 
+def plain_entropies(text, sample, folding):
+    """Bits a symbol against each language, by searching the longest match in the labelled text itself."""
+    symbols = folding.symbols(text).tolist()
+    out = {}
+    for lang, texts in sample.items():
+        source = "".join(map(chr, [x for t in texts for x in (*folding.symbols(t).tolist(), 0)]))
+        count = 0
+        for begin in range(0, len(symbols), language_id.BLOCK):
+            block, i = "".join(map(chr, symbols[begin : begin + language_id.BLOCK])), 0
+            while i < len(block):
+                j = i + 1
+                while j <= len(block) and block[i:j] in source:
+                    j += 1
+                i, count = max(j - 1, i + 1), count + 1
+        out[lang] = count * np.log2(max(len(source), 2)) / max(len(symbols), 1)
+    return out
+
+
+@pytest.mark.parametrize("learning", [{}, {"table_bytes": 200_000, "round_chars": 4000}])
+def test_every_language_is_predicted_by_least_entropy(docs, learning):
+    """Sixty languages, two of them of a thousand Han letters, in one block of tables or many, against a plain parse."""
+    import random
+
+    rng = random.Random(4)
+    han = [[chr(0x4E00 + 7 * i + k) for i in range(1000)] for k in (0, 3)]
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñ") for _ in range(rng.randrange(2, 7))) for _ in range(40)] for k in range(58)}
+    words |= {f"h{k}": ["".join(rng.choice(letters) for _ in range(2)) for _ in range(200)] for k, letters in enumerate(han)}
+    rows = [(100 * k + i, lang, " ".join(rng.choice(ws) for _ in range(30))) for k, (lang, ws) in enumerate(words.items()) for i in range(4)]
+    rows += [(90_000, None, "Ω ж"), (90_001, None, ""), (90_002, None, None)]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    training = frame.where("doc_id % 100 > 0")
+    got = by_id(language_id.predict(frame, training, **learning))
+    wrong = [r for r in rows[:-3] if r[0] % 100 == 0 and got[r[0]]["lang_pred"] != r[1]]
+    assert not wrong
+    sample = dict(language_id.labelled_sample(training.selectExpr("cast(doc_id as string) as id", "lang", "text"), **language_id.SAMPLE))
+    assert sorted(sample) == sorted(words)
+    counts = {}
+    for texts in sample.values():
+        language_id.letters_of(texts, counts)
+    letters, spelt = language_id.frequent_letters(counts)
+    assert spelt and len(counts) > 300
+    folding = language_id.Folding(letters, spelt)
+    for row in (rows[0], rows[100], rows[232], rows[236], rows[-3]):
+        each = sorted((bits, lang) for lang, bits in plain_entropies(row[2], sample, folding).items())
+        assert got[row[0]]["lang_pred"] == each[0][1] and got[row[0]]["entropy"] == pytest.approx(each[0][0])
+        assert got[row[0]]["score"] == pytest.approx(1 - each[0][0] / each[1][0])
+    assert got[90_001]["lang_pred"] == got[90_002]["lang_pred"] == "und"
+
+
 def test_cross_parse_counts_match_a_plain_parse():
-    parser = language_id.Parser({"x": ["the cat sat on the mat"], "y": ["zzz qqq zz"]})
-    source = [s.tolist() for s in (parser.folding.symbols("the cat sat on the mat"), parser.folding.symbols("zzz qqq zz"))]
-    text = parser.folding.symbols("The cat, the hat é!").tolist()
-    found, n, _ = parser.phrases(["The cat, the hat é!"])
+    counts = {}
+    language_id.letters_of(["the cat sat on the mat", "zzz qqq zz"], counts)
+    folding = language_id.Folding(*language_id.frequent_letters(counts))
+    parser = language_id.Parser({"x": ["the cat sat on the mat"], "y": ["zzz qqq zz"]}, folding)
+    source = [s.tolist() for s in (folding.symbols("the cat sat on the mat"), folding.symbols("zzz qqq zz"))]
+    text = folding.symbols("The cat, the hat é!").tolist()
+    texts = language_id.Texts(["The cat, the hat é!"], folding)
+    found, n = parser.phrases(texts), texts.n
     for k, s in enumerate(source):
         s = s + [0]
         subs = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
