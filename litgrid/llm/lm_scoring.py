@@ -8,8 +8,8 @@ shard for them, and has one shard at a time in memory.
 
 Scores are smoothed by a Dirichlet prior: P(w | v) = (c(v, w) + mu * P(w)) / (c(v) + mu), with P(w) = (c(w) + 1) / (N + V + 1).
 
-Beside the model, exact word counts give the base score: the most frequent words, at most `head`, are broadcast (a bound that does not grow with the data), all
-other words of the documents are joined with the counts by word. Neither way drops a word.
+Beside the model, exact word counts give the base score: the most frequent words, at most `head` and none longer than WORD_BYTES, are broadcast (a bound in bytes that does
+not grow with the data), all other words of the documents are joined with the counts by word. Neither way drops a word.
 
 Cases: null texts are empty: their end is their one token; with no training documents N = V = 0 and all scores are 0; very long texts
 are pieces of their own; repeated rows are scored one by one; extra columns are ignored.
@@ -34,6 +34,8 @@ from .common import cut
 BASE = 2.0
 MU = 20.0
 HEAD = 500_000
+#: Longest word in the broadcast head, in bytes.
+WORD_BYTES = 64
 #: Bits for each entry (n-gram and level) that is there: with bitmaps.PROBES probes about 0.8 % of absent ones read as present.
 BITS = 10.0
 #: Bound of a shard of the filter; each is a broadcast.
@@ -306,11 +308,12 @@ def train(training: DataFrame, head: int = HEAD, bits: float = BITS, most_bytes:
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     # the least count whose words are at most `head`
     held, from_count = 0, None
-    for c, m in counts.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+    short = counts.where(F.octet_length("word") <= WORD_BYTES)
+    for c, m in short.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
         if held + m > head:
             break
         held, from_count = held + m, c
-    top = counts.where(F.col("c") >= from_count if from_count else F.lit(False)).toArrow()
+    top = short.where(F.col("c") >= from_count if from_count else F.lit(False)).toArrow()
     levels = radix.rounds(-(-n // group_tokens))
 
     def fill(batches):

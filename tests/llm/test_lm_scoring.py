@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from litgrid.llm import bitmaps, radix
 from litgrid.llm import lm_scoring as lm
@@ -54,6 +55,15 @@ def test_scores_match_brute_force(docs, rows, head):
         assert got[i][4] == pytest.approx(want[4], rel=0.02, abs=0.1)
 
 
+def test_long_words_are_joined_not_broadcast(docs, monkeypatch):
+    scores = lambda: sorted(map(str, lm.fit_and_score(docs, docs).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()))
+    every = scores()
+    monkeypatch.setattr(lm, "WORD_BYTES", 3)
+    model, _ = lm.train(docs.select("text"))
+    assert max(len(w.as_py()) for w in model.head) == 3 and not model.all_words
+    assert scores() == every
+
+
 def test_no_training_and_empty(docs, empty):
     found = lm.fit_and_score(docs, empty).collect()
     assert len(found) == docs.count() and all(r["score"] == 0 == r["base_score"] and r["train_tokens"] == 0 for r in found)
