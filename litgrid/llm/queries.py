@@ -32,7 +32,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+    found = token_counts.token_counts(read(spark, sf_dir, "documents"), budgets=(token_counts.LIMIT,))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", F.col("fits")[0].alias("words_in_limit"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_token_counts_equal_the_library(docs, rows, tokenizer):
 
 def test_prefix_table_answers_budgets(docs, tokenizer):
     text = "Some words, and more words; the end of it all."
-    got = by_id(token_counts.token_counts(frame(docs, [text, None]), budgets=(0, 1, 5, 100), table=True))
+    got = by_id(token_counts.token_counts(frame(docs, [text, None]), budgets=(0, 1, 5, 100), table="words"))
     words = text.split()
     counts = [len(tokenizer.encode(" ".join(words[:k]), add_special_tokens=False).ids) for k in range(1, len(words) + 1)]
     assert got[0]["prefix_tokens"] == counts
@@ -52,6 +52,19 @@ def test_prefix_table_answers_budgets(docs, tokenizer):
     assert got[1]["prefix_tokens"] == [] and got[1]["fits"] == [0] * 4
 
 
+def test_character_table_is_exact_at_every_prefix(docs, rows, tokenizer):
+    texts = [t[:300] if t else t for t in [r[1] for r in rows[20:40]] + ODD] + ["naïve  cafés' x\u0301yz I'll <|endoftext|> done"]
+    got = by_id(token_counts.token_counts(frame(docs, texts), table="characters"))
+    for i, t in enumerate(texts):
+        t = t or ""
+        assert got[i]["prefix_tokens"] == [len(tokenizer.encode(t[:j], add_special_tokens=False).ids) for j in range(len(t) + 1)], t
+
+
+def test_tokenizers_that_join_across_white_space_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.WordCounter(token_counts.tokenizer_path("byte_bpe_50k.json"))
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------------------------
 
 
@@ -362,6 +375,40 @@ def test_cross_parse_counts_match_a_plain_parse():
 # --- importance resampling -----------------------------------------------------------------------------------------------------------
 
 
+def test_weights_and_drawn_rows_match_brute_force(docs, rows):
+    """Bucket counts, log weights, Gumbel keys and the k drawn rows, all again in plain Python from the operator's hash functions."""
+    import math
+
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    good = {i for i in range(0, 60, 2)}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    found = importance_resampling.resample(docs, labels, share=0.3, buckets=500).collect()
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = tv.word_hashes(pa.array([x.encode() for x in w], pa.binary()))
+        one = [int(x) % 500 for x in tv.mix(h)]
+        return one + [int(tv.ngram_hashes(h[k : k + 2], 2)[0]) % 500 for k in range(len(w) - 1)]
+
+    raw, target = np.zeros(500), np.zeros(500)
+    per_row = [grams(r[1]) for r in rows]
+    for r, g in zip(rows, per_row, strict=True):
+        for b in g:
+            raw[b] += 1
+            target[b] += r[0] in good
+    ratio = [math.log((target[b] + 1) / (target.sum() + 500)) - math.log((raw[b] + 1) / (raw.sum() + 500)) for b in range(500)]
+    want = sorted((str(r[0]), len(g), round(sum(ratio[b] for b in g), 6)) for r, g in zip(rows, per_row, strict=True))
+    assert sorted((str(r["doc_id"]), r["n_features"], round(r["log_weight"], 6) + 0.0) for r in found) == [(a, b, c + 0.0) for a, b, c in want]
+    frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string")
+    hashes = frame.select("doc_id", F.xxhash64(F.lit(importance_resampling.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    noise = [-math.log(-math.log((((r["h"] % 2**64) >> 11) + 0.5) / 2**53)) for r in hashes]
+    keys = sorted(((sum(ratio[b] for b in g) + n, str(r[0])) for r, g, n in zip(rows, per_row, noise, strict=True)), reverse=True)
+    k = round(0.3 * len(rows))
+    assert sorted(str(r["doc_id"]) for r in found if r["selected"]) == sorted(i for _, i in keys[:k])
+
+
 def test_resampling_draws_the_largest_keys(docs, rows):
     spark = docs.sparkSession
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
