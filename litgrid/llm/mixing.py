@@ -79,7 +79,7 @@ def taken(rows: DataFrame, bucket_rows: int | None = None, most: float = MOST, *
     keyed = rows.withColumns({"key": source, "class": F.floor(F.sqrt("size")).cast("int")})
     per_class = cut(keyed.groupBy("key", "source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("total")))
     classes, everything = per_class.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bucket_rows = bucket_rows or max(500, math.isqrt(everything))
+    bucket_rows = bucket_rows or max(100, math.isqrt(everything))
     dealt = targets(per_class.groupBy("source").agg(F.sum("total").alias("source_size")), most=most, **rule)
     dealt = cut(dealt.withColumn("key", source).select("key", "source_size", "target"))
     # sub-buckets of a class by leading hex digits of the hash keep the order (size class, hash)
