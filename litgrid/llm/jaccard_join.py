@@ -13,9 +13,10 @@ A row is never dropped for such a clash: keep_one knows rows and unlinked sets b
 3. Index-level skipping. Lists with the same members are one list. Within a list, nodes stand in order of size, and blocks too small to link are skipped.
 4. Answer-level skipping. Nodes of a list that can link form clusters with a leader and a radius. A new node is compared with the leaders: a
    leader that may link answers for its whole cluster, and the distance to a leader less the radius bounds the distance to all members, which skips the others.
-   What is left to check exactly is a spanning forest of each list, not its pairs.
+   What is left to check exactly is a spanning forest of each list, not its pairs. A list of more than CHUNK nodes is dealt into chunks by hash: each chunk
+   gives its forest and clusters in a task of its own, then the leaders of all chunks meet, and only clusters that no leaders join and no radii keep apart are compared.
 5. Exact check of the forest's edges on the full sets. Where an edge fails, the lists that hold it give all their remaining
-   pairs between different components, which are checked too. Components follow by label propagation in DataFrame joins.
+   pairs between different components, which are checked too (a long list chunk by chunk, in tasks of two chunks). Components follow by label propagation in DataFrame joins.
 
 Cases: null, empty and wordless texts have empty sets and link with nothing; with fewer than k words the whole sequence is the one shingle;
 repeated rows and equal texts are one node; a null id takes part but is no component's name unless all its members' ids are null; very long
@@ -36,6 +37,8 @@ from .common import at_place, by_place, cut, named_again
 
 SHINGLE, PERCENT = 5, 80
 SMALL = 32
+#: Nodes of a list that one task compares; longer lists are dealt into chunks. And nodes in one packed cell.
+CHUNK, CELL = 512, 1_000_000
 #: Postings to a bucket of lists.
 BUCKET_POSTINGS = 1_500_000
 #: Bound of the bitmap that says which documents to read again for the exact check (a filter only: what passes in excess is dropped by the join).
@@ -82,9 +85,9 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, larger ones folded to the smallest (which flips the bits a smaller sketch would)."""
-    size = min(map(len, sketches))
+def folded(sketches: list[bytes], size: int | None = None) -> np.ndarray:
+    """Sketches as rows of 64-bit words, larger ones folded to the smallest, or to so many bytes (which flips the bits a smaller sketch would)."""
+    size = size or min(map(len, sketches))
     out = np.zeros((len(sketches), size // 8), np.uint64)
     for i, s in enumerate(sketches):
         w = np.frombuffer(s, np.uint64)
@@ -197,7 +200,7 @@ def dealt_again(groups: int):
 
 
 def index_lists(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(list, nodes): every index list with two nodes or more, packed; a list of the same members comes once."""
+    """(list, part, m, nodes): every index list with two nodes or more (m of them), packed in cells of bounded size; a list of the same members comes once."""
     levels = radix.rounds(buckets)
 
     def deal(batches):
@@ -222,29 +225,33 @@ def index_lists(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFram
             ends = np.append(edge[1:], len(sig))
             several = ends - edge > 1
             packed = {node[a:e].tobytes() for a, e in zip(edge[several], ends[several], strict=True)}
-            names = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in packed), np.uint64, len(packed))
-            yield pa.RecordBatch.from_arrays([as_long(names), pa.array(list(packed), pa.binary())], names=["list", "nodes"])
+            rows = [(xxhash.xxh3_64_intdigest(p), k // (8 * CELL), len(p) // 8, p[k : k + 8 * CELL]) for p in packed for k in range(0, len(p), 8 * CELL)]
+            names, part, m, cells = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([as_long(np.array(names, np.uint64)), pa.array(part, pa.int32()), pa.array(m, pa.int64()), pa.array(cells, pa.binary())], names=["list", "part", "m", "nodes"])
             tv.trim()
 
     dealt = radix.dealt(rows.select("text").mapInArrow(deal, "grp int, sigs binary, nodes binary"), levels, dealt_again, "sigs")
-    found = dealt.mapInArrow(lists, "list bigint, nodes binary")
-    return found.groupBy("list").agg(F.first("nodes").alias("nodes"))
+    found = dealt.mapInArrow(lists, "list bigint, part int, m bigint, nodes binary")
+    return found.groupBy("list", "part").agg(F.first("m").alias("m"), F.first("nodes").alias("nodes"))
 
 
-def members(lists: DataFrame) -> DataFrame:
-    """(list, node) of packed lists."""
+def members(lists: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(list, chunk, chunks, node) of packed lists; chunks is 1 for lists that one task compares."""
 
     def run(batches):
         for batch in batches:
             nodes = [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
             n = np.fromiter(map(len, nodes), np.int64, len(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("list").to_numpy(), n)), pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64))], names=["list", "node"])
+            every = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            chunks = np.repeat(-(-batch.column("m").to_numpy() // chunk), n)
+            place = (tv.mix(every.view(np.uint64) + np.uint64(29)) % chunks.astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("list").to_numpy(), n)), pa.array(place), pa.array(chunks), pa.array(every)], names=["list", "chunk", "chunks", "node"])
 
-    return lists.mapInArrow(run, "list bigint, node bigint")
+    return lists.mapInArrow(run, "list bigint, chunk bigint, chunks bigint, node bigint")
 
 
-def forest(sizes: np.ndarray, rows: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that span all pairs of a list that can link. sizes must not decrease."""
+def forest(sizes: np.ndarray, rows: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], list[tuple[list[int], int]]]:
+    """Edges that span all pairs of a list that can link, and the clusters they make, each with its radius and its leader first. sizes must not decrease."""
     leaders: list[int] = []
     clusters: list[list[int]] = []
     radius: list[int] = []
@@ -279,72 +286,164 @@ def forest(sizes: np.ndarray, rows: np.ndarray, percent: int) -> list[tuple[int,
             del leaders[c], clusters[c], radius[c]
         clusters[one].append(j)
         radius[one] = max(radius[one], int(distance(rows[j : j + 1], rows[leaders[one]])[0]))
-    return edges
+    return edges, [([leader, *(x for x in c if x != leader)], r) for leader, c, r in zip(leaders, clusters, radius, strict=True)]
 
 
-def crossing(sizes: np.ndarray, rows: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """All pairs of a list that can link and are of different components."""
+def between_leaders(sizes: np.ndarray, rows: np.ndarray, radius: np.ndarray, top: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Leaders of clusters of one list, sizes not decreasing: (edges between leaders that can link, pairs of clusters that are still apart and may hold a pair that can
+    link). top: the largest size in each cluster."""
+    component = np.arange(len(sizes))
+    edges, open_pairs = [], []
+    for j in range(1, len(sizes)):
+        d = distance(rows[:j], rows[j])
+        for i in np.flatnonzero((d <= most_different(sizes[:j], sizes[j], percent)) & (sizes[:j] * 100 >= percent * sizes[j])):
+            if component[i] != component[j]:
+                edges.append((int(i), j))
+                component[component == component[j]] = component[i]
+    for j in range(1, len(sizes)):
+        apart = np.flatnonzero(component[:j] != component[j])
+        if len(apart):
+            d = distance(rows[apart], rows[j]) - radius[apart] - radius[j]
+            open_pairs += [(int(i), j) for i in apart[d <= most_different(top[apart], top[j], percent)]]
+    return edges, open_pairs
+
+
+def first_pair(sizes: np.ndarray, rows: np.ndarray, side: np.ndarray, percent: int) -> tuple[int, int] | None:
+    """A pair of different sides that can link, if there is one."""
+    left = np.flatnonzero(side == 0)
+    for j in np.flatnonzero(side == 1):
+        small, large = np.minimum(sizes[left], sizes[j]), np.maximum(sizes[left], sizes[j])
+        ok = left[(distance(rows[left], rows[j]) <= most_different(small, large, percent)) & (small * 100 >= percent * large)]
+        if len(ok):
+            return int(ok[0]), int(j)
+    return None
+
+
+def crossing(sizes: np.ndarray, rows: np.ndarray, component: np.ndarray, percent: int, chunk: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """All pairs of a list that can link and are of different components (and of different chunks, if given)."""
     out = []
     for j in range(1, len(sizes)):
         low = int(np.searchsorted(sizes[:j] * 100, percent * sizes[j]))
-        m = low + np.flatnonzero(component[low:j] != component[j])
+        m = low + np.flatnonzero((component[low:j] != component[j]) & (True if chunk is None else chunk[low:j] != chunk[j]))
         if len(m):
             m = m[distance(rows[m], rows[j]) <= most_different(sizes[m], sizes[j], percent)]
             out += [(int(i), j) for i in m]
     return out
 
 
-def candidate_edges(postings: DataFrame, nodes: DataFrame, percent: int, components: DataFrame | None = None) -> DataFrame:
-    """Distinct (a, b): a spanning forest of each list or, given components, all pairs between different ones."""
-    joined = postings.join(nodes.select("node", "n", "sketch"), "node")
-    label, cross = F.lit(0).cast("bigint"), components is not None
-    if cross:
-        joined = joined.join(components, "node", "left")
-        label = F.coalesce("component", "node")
-    joined = joined.select("list", "node", "n", "sketch", label.alias("component"))
-    joined = joined.repartition("list").sortWithinPartitions("list", "n", "node")
+def by_group(rows: DataFrame, keys: list[str], order: list[str], one, schema: str) -> DataFrame:
+    """Applies one(keys, columns as lists) to each group of rows with the same keys, in order; it gives rows of the schema."""
+    names = [*keys, *(c for c in rows.columns if c not in keys)]
+    rows = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32()}[t] for _, t in fields]
 
     def run(batches):
-        held: list[list] = [[], [], [], [], []]
-
-        def flush(upto: int) -> list[tuple[int, int]]:
-            """Edges of the first `upto` rows held, which are whole lists."""
-            name = np.array(held[0][:upto])
-            edge = np.flatnonzero(np.append(True, name[1:] != name[:-1])).tolist()
-            out = []
-            for a, e in zip(edge, [*edge[1:], upto], strict=True):
-                sizes, node = np.array(held[2][a:e], np.int64), held[1][a:e]
-                rows = folded(held[3][a:e])
-                if cross:
-                    found = crossing(sizes, rows, np.array(held[4][a:e]), percent)
-                elif e - a == 2:
-                    ok = sizes[0] * 100 >= percent * sizes[1] and np.bitwise_count(rows[0] ^ rows[1]).sum() <= most_different(sizes[0], sizes[1], percent)
-                    found = [(0, 1)] if ok else []
-                else:
-                    found = forest(sizes, rows, percent)
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for i, j in found]
+        held: list[list] = [[] for _ in names]
+
+        def flush(upto: int) -> pa.RecordBatch:
+            """Results of the first `upto` rows held, which are whole groups."""
+            out: dict[tuple, None] = {}
+            begin = 0
+            for k in range(1, upto + 1):
+                if k == upto or any(h[k] != h[begin] for h in held[: len(keys)]):
+                    out |= dict.fromkeys(one([h[begin] for h in held[: len(keys)]], [h[begin:k] for h in held[len(keys) :]]))
+                    begin = k
             for h in held:
                 del h[:upto]
-            return out
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in fields]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[n for n, _ in fields])
 
         for batch in batches:
             for h, c in zip(held, batch.columns, strict=True):
                 h += c.to_pylist()
             last = len(held[0])
-            while last and held[0][last - 1] == held[0][-1]:
+            while last and all(h[last - 1] == h[-1] for h in held[: len(keys)]):
                 last -= 1
             if last:
-                yield edges_batch(flush(last))
+                yield flush(last)
         if held[0]:
-            yield edges_batch(flush(len(held[0])))
+            yield flush(len(held[0]))
         tv.trim()
 
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    edges = list(dict.fromkeys(edges))
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+    return rows.mapInArrow(run, schema)
+
+
+def ordered(a: int, b: int) -> tuple[int, int]:
+    return (a, b) if a <= b else (b, a)
+
+
+def forest_edges(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): a spanning forest of the pairs of each list that can link."""
+    nodes = nodes.select("node", "n", "sketch")
+    # chunks of a list fold their sketches alike, so that distances in one can be held against those in another
+    long_lists = postings.where("chunks > 1")
+    folds = cut(long_lists.join(nodes, "node").groupBy("list").agg(F.min(F.octet_length("sketch")).alias("fold")))
+    joined = postings.join(nodes, "node")
+    chunked = not folds.isEmpty()
+    joined = (joined.join(folds, "list", "left") if chunked else joined.withColumn("fold", F.lit(None).cast("int"))).select("list", "chunk", "node", "n", "sketch", "fold")
+
+    def chunk_edges(_, columns):
+        node, n, sketches, fold = columns
+        sizes, rows = np.array(n, np.int64), folded(sketches, fold[0])
+        if fold[0] is None and len(node) == 2:
+            if sizes[0] * 100 >= percent * sizes[1] and np.bitwise_count(rows[0] ^ rows[1]).sum() <= most_different(sizes[0], sizes[1], percent):
+                yield (*ordered(*node), None, None, None)
+            return
+        edges, clusters = forest(sizes, rows, percent)
+        for i, j in edges:
+            yield (*ordered(node[i], node[j]), None, None, None)
+        if fold[0] is not None:
+            for c, radius in clusters:
+                for x in c:
+                    yield node[c[0]], node[x], _[0], radius, int(sizes[c].max())
+
+    found = by_group(joined, ["list", "chunk"], ["n", "node"], chunk_edges, "a bigint, b bigint, list bigint, radius bigint, top bigint")
+    if not chunked:
+        return found.select("a", "b").distinct()
+    found = cut(found)
+    edges, clusters = found.where("list is null").select("a", "b"), found.where("list is not null")
+    leaders = clusters.where("a = b").select("list", F.col("a").alias("node"), "radius", "top").join(nodes, "node").join(folds, "list")
+
+    def leader_edges(key, columns):
+        node, radius, top, n, sketches, fold = columns
+        linked, still_open = between_leaders(np.array(n, np.int64), folded(sketches, fold[0]), np.array(radius, np.int64), np.array(top, np.int64), percent)
+        for i, j in linked:
+            yield (*ordered(node[i], node[j]), None)
+        for i, j in still_open:
+            yield node[i], node[j], key[0]
+
+    met = cut(by_group(leaders.select("list", "node", "radius", "top", "n", "sketch", "fold"), ["list"], ["n", "node"], leader_edges, "a bigint, b bigint, list bigint"))
+    edges = edges.unionByName(met.where("list is null").select("a", "b"))
+    still_open = met.where("list is not null")
+    if still_open.isEmpty():
+        return edges.distinct()
+    inside = clusters.select("list", F.col("a").alias("leader"), F.col("b").alias("node"))
+    side = lambda end, k: still_open.withColumn("leader", F.col(end)).join(inside, ["list", "leader"]).select("list", "a", "b", "node", F.lit(k).alias("side"))
+    pairs = side("a", 0).unionByName(side("b", 1)).join(nodes, "node").join(folds, "list")
+
+    def pair_edges(_, columns):
+        node, sides, n, sketches, fold = columns
+        hit = first_pair(np.array(n, np.int64), folded(sketches, fold[0]), np.array(sides), percent)
+        if hit:
+            yield ordered(node[hit[0]], node[hit[1]])
+
+    late = by_group(pairs.select("list", "a", "b", "node", "side", "n", "sketch", "fold").withColumnsRenamed({"a": "x", "b": "y"}), ["list", "x", "y"], ["side", "n", "node"], pair_edges, "a bigint, b bigint")
+    return edges.unionByName(late).distinct()
+
+
+def crossing_edges(postings: DataFrame, nodes: DataFrame, percent: int, components: DataFrame) -> DataFrame:
+    """Distinct (a, b): all pairs of each list that can link and are of different components; a long list's in tasks of two chunks."""
+    joined = postings.join(nodes.select("node", "n", "sketch"), "node").join(components, "node", "left")
+    joined = joined.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    joined = joined.select("list", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "node", "n", "sketch", F.coalesce("component", "node").alias("component"), "chunk")
+
+    def pair_edges(key, columns):
+        node, n, sketches, component, chunk = columns
+        for i, j in crossing(np.array(n, np.int64), folded(sketches), np.array(component), percent, None if key[1] == key[2] else np.array(chunk)):
+            yield ordered(node[i], node[j])
+
+    return by_group(joined, ["list", "p", "q"], ["n", "node"], pair_edges, "a bigint, b bigint").distinct()
 
 
 def checked(edges: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -395,7 +494,7 @@ def label_components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucket_postings: int = BUCKET_POSTINGS) -> tuple[DataFrame, DataFrame]:
+def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bucket_postings: int = BUCKET_POSTINGS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(nodes of every row: doc_id, row_key, node, n; component of every node that has a link)."""
     rows = with_key(docs)
     every = cut(node_rows(rows, k))
@@ -403,8 +502,8 @@ def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     size = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size * (100 - percent) * 3 // 100) // (2 * bucket_postings)))
     lists = cut(index_lists(rows, k, percent, buckets))
-    postings = members(lists)
-    edges = cut(candidate_edges(postings, nodes, percent))
+    postings = members(lists, chunk)
+    edges = cut(forest_edges(postings, nodes, percent))
     verdicts = cut(checked(edges, rows, nodes, k, percent))
     links = verdicts.where("linked")
     components = label_components(links)
@@ -413,7 +512,7 @@ def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
         # lists that hold both ends of a failed edge
         one = postings.join(failed, postings["node"] == failed["a"]).select("list", F.col("b").alias("node"))
         again = one.join(postings, ["list", "node"], "left_semi").select("list").distinct()
-        more = candidate_edges(postings.join(again, "list", "left_semi"), nodes, percent, components)
+        more = crossing_edges(postings.join(again, "list", "left_semi"), nodes, percent, components)
         more = cut(more.join(verdicts.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             late = cut(checked(more, rows, nodes, k, percent)).where("linked")
@@ -421,9 +520,9 @@ def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     return every.drop("sketch"), components
 
 
-def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """Per row of docs: doc_id, row_key, n_shingles, component_id (the smallest doc_id reachable)."""
-    every, found = node_components(docs, k, percent)
+    every, found = node_components(docs, k, percent, chunk=chunk)
     # one row per node before anything is joined
     firsts = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     names = firsts.join(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
