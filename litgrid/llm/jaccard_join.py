@@ -38,7 +38,7 @@ from .common import at_place, by_place, cut, named_again
 SHINGLE, PERCENT = 5, 80
 SMALL = 32
 #: Nodes of a list that one task compares; longer lists are dealt into chunks. And nodes in one packed cell.
-CHUNK, CELL = 512, 1_000_000
+CHUNK, CELL = 8192, 1_000_000
 #: Postings to a bucket of lists.
 BUCKET_POSTINGS = 1_500_000
 #: Bound of the bitmap that says which documents to read again for the exact check (a filter only: what passes in excess is dropped by the join).
@@ -344,11 +344,13 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], one, schema: st
         def flush(upto: int) -> pa.RecordBatch:
             """Results of the first `upto` rows held, which are whole groups."""
             out: dict[tuple, None] = {}
-            begin = 0
-            for k in range(1, upto + 1):
-                if k == upto or any(h[k] != h[begin] for h in held[: len(keys)]):
-                    out |= dict.fromkeys(one([h[begin] for h in held[: len(keys)]], [h[begin:k] for h in held[len(keys) :]]))
-                    begin = k
+            changed = np.zeros(upto, bool)
+            for h in held[: len(keys)]:
+                name = np.array(h[:upto])
+                changed[1:] |= name[1:] != name[:-1]
+            edges = [0, *np.flatnonzero(changed).tolist(), upto]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                out |= dict.fromkeys(one([h[begin] for h in held[: len(keys)]], [h[begin:end] for h in held[len(keys) :]]))
             for h in held:
                 del h[:upto]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in fields]
@@ -373,14 +375,13 @@ def ordered(a: int, b: int) -> tuple[int, int]:
     return (a, b) if a <= b else (b, a)
 
 
-def forest_edges(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b): a spanning forest of the pairs of each list that can link."""
+def forest_edges(postings: DataFrame, nodes: DataFrame, percent: int, chunked: bool) -> DataFrame:
+    """Distinct (a, b): a spanning forest of the pairs of each list that can link. chunked: is there a list of several chunks."""
     nodes = nodes.select("node", "n", "sketch")
-    # chunks of a list fold their sketches alike, so that distances in one can be held against those in another
-    long_lists = postings.where("chunks > 1")
-    folds = cut(long_lists.join(nodes, "node").groupBy("list").agg(F.min(F.octet_length("sketch")).alias("fold")))
     joined = postings.join(nodes, "node")
-    chunked = not folds.isEmpty()
+    if chunked:
+        # chunks of a list fold their sketches alike, so that distances in one can be held against those in another
+        folds = cut(joined.where("chunks > 1").groupBy("list").agg(F.min(F.octet_length("sketch")).alias("fold")))
     joined = (joined.join(folds, "list", "left") if chunked else joined.withColumn("fold", F.lit(None).cast("int"))).select("list", "chunk", "node", "n", "sketch", "fold")
 
     def chunk_edges(_, columns):
@@ -503,7 +504,7 @@ def node_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     buckets = max(1, -(-int(size * (100 - percent) * 3 // 100) // (2 * bucket_postings)))
     lists = cut(index_lists(rows, k, percent, buckets))
     postings = members(lists, chunk)
-    edges = cut(forest_edges(postings, nodes, percent))
+    edges = cut(forest_edges(postings, nodes, percent, not lists.where(F.col("m") > chunk).isEmpty()))
     verdicts = cut(checked(edges, rows, nodes, k, percent))
     links = verdicts.where("linked")
     components = label_components(links)
