@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ColumnLike, cell, collapse, number, strip, text
+from .text import ColumnLike, cell, collapse, once, strip, text
 
-_MANTISSA = "([0-9.]+)\\s*(?:[x*]\\s*)?10\\s*\\^?\\s*([+-]?\\s*[0-9]+)"
-_SIGNED = "^([+-]?[0-9]*\\.?[0-9]+)\\s*x\\s*10\\s*\\^?\\s*([+-]?[0-9]+)$"
+# The notations that published parsers take for a power of ten.
+_POWER = "(?i)([0-9.]+)\\s*[x*]\\s*10\\s*\\^?\\s*([+-]?\\s*[0-9]+)"
+_SIGNED = "^([+-]?[0-9]*\\.?[0-9]+)\\s*(?:x\\s*10\\s*\\^?|[eE])\\s*([+-]?[0-9]+)$"
 
 
 def _plain(c: ColumnLike) -> Column:
+    """Trimmed, with the signs of multiplication and minus unified."""
     return F.translate(strip(text(c)), "×−–", "x--")
 
 
+def _power(mantissa: Column, exponent: Column) -> Column:
+    return mantissa.try_cast("double") * F.pow(F.lit(10.0), F.regexp_replace(exponent, "\\s+", "").try_cast("int"))
+
+
+def _whole(s: Column) -> Column:
+    """A whole-text number; s is trimmed. Words that a cast would take (Infinity, 1d, 0x1p3) are none."""
+    end = F.substring(s, -1, 1)
+    return F.when(((end >= "0") & (end <= "9") | (end == ".")) & ~F.contains(F.lower(s), F.lit("x")), s.try_cast("double"))
+
+
 def safe_float(c: ColumnLike) -> Column:
-    """Numbers, and scientific notation anywhere in the text. The mantissa's sign is not part of the notation (a quirk kept)."""
-    s = _plain(c)
-    mantissa = F.regexp_extract(s, _MANTISSA, 1).try_cast("double")
-    exponent = F.regexp_replace(F.regexp_extract(s, _MANTISSA, 2), "\\s+", "").try_cast("int")
-    return F.coalesce(number(s), F.when(s.rlike(_MANTISSA), mantissa * F.pow(F.lit(10.0), exponent)))
+    """Numbers, and powers of ten anywhere in the text, which go first. The mantissa's sign is not part of the notation (a quirk kept)."""
+    s = F.regexp_replace(_plain(c), "([+-])\\s+(?=[0-9])", "$1")
+    return once(s, lambda s: once(F.regexp_extract(s, _POWER, 1), lambda m: F.when(m != "", _power(m, F.regexp_extract(s, _POWER, 2))).otherwise(_whole(s))))
 
 
 def significant(c: Column, digits: int) -> Column:
@@ -30,11 +40,9 @@ def significant(c: Column, digits: int) -> Column:
 
 def norm_num(c: ColumnLike) -> Column:
     """Whole-text numbers and anchored notation, sign kept, to 12 significant digits."""
-    s = _plain(c)
-    mantissa = F.regexp_extract(s, _SIGNED, 1).try_cast("double")
-    exponent = F.regexp_extract(s, _SIGNED, 2).try_cast("int")
-    value = F.coalesce(number(s), F.when(s.rlike(_SIGNED), mantissa * F.pow(F.lit(10.0), exponent)))
-    return F.when(value.isNotNull(), significant(value, 12))
+    s = F.translate(_plain(c), "X", "x")
+    value = once(s, lambda s: F.coalesce(_whole(s), F.when(s.rlike(_SIGNED), _power(F.regexp_extract(s, _SIGNED, 1), F.regexp_extract(s, _SIGNED, 2)))))
+    return significant(value, 12)
 
 
 def is_neg_log(header: ColumnLike) -> Column:
@@ -59,8 +67,7 @@ def effect_of(c: ColumnLike) -> Column:
 
 def interval_of(c: ColumnLike, kind: ColumnLike) -> Column:
     """The interval of ratio effects: the first parenthesis that holds - or a comma; else blank."""
-    s = F.translate(cell(c), "−–", "--")
-    found = F.regexp_extract(s, "(\\([^)]*[-,][^)]*\\))", 1)
+    found = F.regexp_extract(F.translate(cell(c), "−–", "--"), "(\\([^)]*[-,][^)]*\\))", 1)
     return F.when(text(kind).isin("OR", "HR"), found).otherwise(F.lit(""))
 
 
@@ -84,11 +91,14 @@ def slash_parts(c: ColumnLike) -> Column:
     return F.filter(F.transform(F.split(cell(c), "[\\\\/|]"), strip), lambda x: x != "")
 
 
+def _blank(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def first_second(c: ColumnLike) -> tuple[Column, Column]:
     """Two parts between slashes, or two blanks."""
-    p = slash_parts(c)
-    two = F.size(p) >= 2
-    return F.when(two, F.get(p, F.lit(0))).otherwise(F.lit("")), F.when(two, F.get(p, F.lit(1))).otherwise(F.lit(""))
+    two = once(slash_parts(c), lambda p: F.when(F.size(p) >= 2, p))
+    return _blank(F.get(two, F.lit(0))), _blank(F.get(two, F.lit(1)))
 
 
 def minor_major(c: ColumnLike) -> tuple[Column, Column]:
@@ -100,13 +110,21 @@ def minor_major(c: ColumnLike) -> tuple[Column, Column]:
 _ALLELES = "([^/\\s()]+)/([^()\\s]+)\\s*\\(([^)]+)\\)"
 
 
+def groups(s: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match as an array; NULL without one. The pattern's groups must not be empty."""
+    whole = F.regexp_extract(s, pattern, 0)
+    return once(whole, lambda w: F.when(w != "", F.array(*[F.regexp_extract(w, pattern, k) for k in range(1, n + 1)])))
+
+
 def alleles_and_frequency(c: ColumnLike) -> tuple[Column, Column, Column]:
     """A, G, 0.198 of "A/G (0.198)"."""
-    s = cell(c)
-    whole = s.rlike(_ALLELES)
-    a, b = first_second(s)
-    pick = lambda g: strip(F.regexp_extract(s, _ALLELES, g))
-    return F.when(whole, pick(1)).otherwise(a), F.when(whole, pick(2)).otherwise(b), F.when(whole, pick(3)).otherwise(F.lit(""))
+    found = once(cell(c), lambda s: F.coalesce(F.transform(groups(s, _ALLELES, 3), strip), F.slice(slash_pair(s), 1, 2)))
+    return tuple(_blank(F.get(found, F.lit(k))) for k in range(3))
+
+
+def slash_pair(c: Column) -> Column:
+    """The parts between slashes if there are two or more, else none."""
+    return once(slash_parts(c), lambda p: F.when(F.size(p) >= 2, p).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 _LOCATION = "^\\s*([0-9XYMxy]+)\\s*:\\s*([0-9]+)(?:_[ACGTacgt]+_[ACGTacgt]+)?\\s*$"
@@ -116,16 +134,16 @@ _LOCATION_ALLELES = "^\\s*([0-9XYMxy]+)\\s*:\\s*([0-9]+)_([ACGTacgt]+)_([ACGTacg
 def chromosome_position(chromosome: ColumnLike, position: ColumnLike) -> tuple[Column, Column]:
     """From two columns, or from one that holds 20:45269867 or 20:45_A_G."""
     c, p = cell(chromosome), cell(position)
-    both = F.when(F.contains(c, F.lit(":")), c).when(F.contains(p, F.lit(":")), p).otherwise(F.lit(""))
-    ok = both.rlike(_LOCATION)
-    return F.when(ok, F.regexp_extract(both, _LOCATION, 1)).otherwise(c), F.when(ok, F.regexp_extract(both, _LOCATION, 2)).otherwise(p)
+    both = F.when(F.contains(c, F.lit(":")), c).when(F.contains(p, F.lit(":")), p)
+    found = groups(both, _LOCATION, 2)
+    return F.coalesce(F.get(found, F.lit(0)), c), F.coalesce(F.get(found, F.lit(1)), p)
 
 
 def location_alleles(c: ColumnLike) -> tuple[Column, Column, Column, Column]:
     """chromosome, position, reported allele 1 (alternative) and 2 (reference) of chr:pos_REF_ALT; blanks otherwise."""
-    s = cell(c)
-    part = lambda g: F.regexp_extract(s, _LOCATION_ALLELES, g)
-    return part(1), part(2), F.upper(part(4)), F.upper(part(3))
+    found = groups(cell(c), _LOCATION_ALLELES, 4)
+    part = lambda k: _blank(F.get(found, F.lit(k)))
+    return part(0), part(1), F.upper(part(3)), F.upper(part(2))
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

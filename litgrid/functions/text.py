@@ -24,6 +24,11 @@ def text(c: ColumnLike) -> Column:
     return col(c).cast("string")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used: plans stay small and patterns run once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
 
@@ -44,8 +49,8 @@ def for_match(c: ColumnLike) -> Column:
 
 def cell(c: ColumnLike) -> Column:
     """Cell text: newlines to spaces, trimmed, missing words to the empty text."""
-    s = strip(F.regexp_replace(F.coalesce(text(c), F.lit("")), "\n", " "))
-    return F.when(F.lower(s).isin(*rules.MISSING_CELLS), F.lit("")).otherwise(s)
+    s = strip(F.translate(F.coalesce(text(c), F.lit("")), "\n", " "))
+    return once(s, lambda s: F.when(F.lower(s).isin(*rules.MISSING_CELLS), F.lit("")).otherwise(s))
 
 
 def looks_missing(c: ColumnLike) -> Column:
@@ -58,27 +63,24 @@ def is_missing_value(c: ColumnLike) -> Column:
 
 def to_str(c: ColumnLike) -> Column:
     """Trimmed; blank to NULL."""
-    s = strip(text(c))
-    return F.when(s != "", s)
+    return once(strip(text(c)), lambda s: F.when(s != "", s))
 
 
 def norm_snp(c: ColumnLike) -> Column:
     """Lower case; a lone rs id loses trailing letters."""
-    s = F.lower(to_str(c))
-    return F.when(s.rlike("^rs\\d+[a-z]+$"), F.regexp_extract(s, "^(rs\\d+)", 1)).otherwise(s)
+    return F.regexp_replace(F.lower(to_str(c)), "^(rs\\d+)[a-z]+$", "$1")
 
 
 def norm_chr(c: ColumnLike) -> Column:
     """19 from chr19 and 19.0."""
-    s = strip(F.replace(F.lower(to_str(c)), F.lit("chr"), F.lit("")))
-    return F.when(s.rlike("^\\d+\\.0$"), F.regexp_extract(s, "^(\\d+)", 1)).when(s != "", s)
+    s = F.regexp_replace(strip(F.replace(F.lower(to_str(c)), F.lit("chr"), F.lit(""))), "^(\\d+)\\.0+$", "$1")
+    return once(s, lambda s: F.when(s != "", s))
 
 
 def token_set(c: ColumnLike) -> Column:
     """Tokens between | , / ; as a sorted set joined by ;. None to NULL."""
     parts = F.transform(F.split(text(c), "[|,/;]"), lambda x: F.lower(strip(x)))
-    joined = F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ";")
-    return F.when(joined != "", joined)
+    return once(F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ";"), lambda s: F.when(s != "", s))
 
 
 def allele(c: ColumnLike) -> Column:
@@ -95,8 +97,7 @@ RS = "(?i)\\b(rs\\d+)[a-z]*\\b"
 
 def first_rs(c: ColumnLike) -> Column:
     """The first rs id, lower case; NULL without one."""
-    s = F.lower(F.regexp_extract(text(c), RS, 1))
-    return F.when(s != "", s)
+    return once(F.lower(F.regexp_extract(text(c), RS, 1)), lambda s: F.when(s != "", s))
 
 
 def rs_ids(c: ColumnLike) -> Column:
@@ -106,10 +107,8 @@ def rs_ids(c: ColumnLike) -> Column:
 
 def sanitize_topsnp(c: ColumnLike) -> Column:
     """Each /-separated part is its rs id or its text without a footnote letter; blank parts go."""
-    s = cell(c)
     part = lambda p: F.coalesce(first_rs(p), strip_footnote(strip(p)))
-    many = F.array_join(F.filter(F.transform(F.split(s, "/"), part), lambda x: x != ""), "/")
-    return F.when(F.contains(s, F.lit("/")), many).otherwise(part(s))
+    return F.array_join(F.filter(F.transform(F.split(cell(c), "/"), part), lambda x: x != ""), "/")
 
 
 def sanitize_locus(c: ColumnLike) -> Column:
@@ -122,16 +121,13 @@ NUMERIC = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
 
 def number(c: ColumnLike) -> Column:
     """A whole-text number by one grammar for all engines, or NULL."""
-    s = strip(text(c))
-    return F.when(s.rlike(NUMERIC), s.try_cast("double"))
+    return once(strip(text(c)), lambda s: F.when(s.rlike(NUMERIC), s.try_cast("double")))
 
 
 def integer_like(c: ColumnLike) -> Column:
     """Whole numbers without their fraction; other text as it is."""
-    s = cell(c)
-    n = number(s)
-    whole = n.isNotNull() & (n == F.floor(n)) & (F.abs(n) < 1e18)
-    return F.when(whole, n.cast("decimal(38,0)").cast("string")).otherwise(s)
+    whole = lambda n: F.when((n == F.floor(n)) & (F.abs(n) < 1e18), n.cast("decimal(38,0)").cast("string"))
+    return once(cell(c), lambda s: F.coalesce(once(number(s), whole), s))
 
 
 def tokens(c: ColumnLike) -> Column:

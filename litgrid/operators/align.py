@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from litgrid.functions.numbers import precision_recall
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+# The keys, compared fields, field sets and report columns of published evaluations.
 KEYS = ["pmid", "snp", "chr", "bp", "ra1", "pvalue"]
-COMPARED = ["pvalue", "effect_match", "ra1", "cohort", "population", "sample_size", "analysis_group", "chr", "bp"]
-EASY = ["snp", "chr", "bp", "ra1", "pvalue", "effect_match", "sample_size"]
-UNMATCHED_COLUMNS = ["type", "reason", "source_file", "pmid", "snp", "chr", "bp", "ra1", "pvalue", "effect", "effect_match", "cohort", "population", "sample_size", "analysis_group", "locus_name", "phenotype", "phenotype_derived"]
+KEY_MODES = {"auto": KEYS, "pmid_snp_pvalue": ["pmid", "snp", "pvalue"], "pmid_snp_pvalue_effect": ["pmid", "snp", "pvalue", "effect_match"]}
+COMPARED = ["pvalue", "effect", "cohort", "sample_size", "analysis_group", "population", "chr", "bp", "ra1"]
+EASY = ["pvalue", "effect", "cohort", "sample_size", "analysis_group", "population", "chr"]
+ALL = ["pmid", "snp", "chr", "bp", "pvalue", "effect", "cohort", "sample_size", "analysis_group", "population", "locus_name", "phenotype", "phenotype_derived", "ra1"]
+UNMATCHED_COLUMNS = ["type", "reason", "source_file", "pmid", "snp", "pvalue", "effect", "effect_match", "chr", "bp", "ra1", "cohort", "population", "sample_size", "analysis_group", "phenotype", "phenotype_derived", "locus_name"]
+COMBINED = "combined_inputs"
 
 
 def is_number(df: DataFrame, name: str) -> bool:
@@ -77,7 +81,8 @@ def chosen_keys(pred: DataFrame, gold: DataFrame, candidates: list[str] | None =
 
 def melted(df: DataFrame, keys: list[str], fields: list[str], numbers: set[str]) -> DataFrame:
     """(keys, field, text, num): a row per field; texts and numbers stay in columns of their own."""
-    one = lambda f: F.struct(F.lit(f).alias("field"), (F.lit(None).cast("string") if f in numbers else F.col(f).cast("string")).alias("text"), (F.col(f).cast("double") if f in numbers else F.lit(None).cast("double")).alias("num"), F.lit(f in numbers).alias("is_num"))
+    quote = lambda f: F.col(f"`{f}`")
+    one = lambda f: F.struct(F.lit(f).alias("field"), (F.lit(None).cast("string") if f in numbers else quote(f).cast("string")).alias("text"), (quote(f).cast("double") if f in numbers else F.lit(None).cast("double")).alias("num"), F.lit(f in numbers).alias("is_num"))
     return df.select(*keys, F.explode(F.array(*[one(f) for f in fields])).alias("x")).select(*keys, "x.*")
 
 
@@ -93,14 +98,7 @@ def field_bags(pred: DataFrame, gold: DataFrame, keys: list[str], fields: list[s
 
 def field_match(pred: DataFrame, gold: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Scores per field; missing values count. A field that is missing throughout on either side is skipped."""
-    bags = field_bags(pred, gold, keys, fields)
-    held = F.coalesce(F.col("text"), F.col("num").cast("string")).isNotNull()
-    per = bags.groupBy("field").agg(
-        F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_gold") - F.col("tp")).alias("fn"),
-        F.max(held & (F.col("n_pred") > 0)).alias("in_pred"), F.max(held & (F.col("n_gold") > 0)).alias("in_gold"),
-    )
-    p, r, f1 = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
-    return per.where("in_pred and in_gold").select("field", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    return field_scores(field_bags(pred, gold, keys, fields), [])
 
 
 def pooled_match(pred: DataFrame, gold: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -186,15 +184,119 @@ def multisets_equal(pred: DataFrame, gold: DataFrame, key: str, columns: list[st
     return field_bags(pred, gold, [key], columns).groupBy(key, "field").agg((F.sum(F.abs(F.col("n_pred") - F.col("tp")) + F.abs(F.col("n_gold") - F.col("tp"))) == 0).alias("equal"))
 
 
-def evaluate(pred: DataFrame, gold: DataFrame, keys: list[str] | None = None, fields: list[str] | None = None, ignored: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Row scores, field scores, pooled scores and diagnosis of one comparison."""
-    keys = keys or chosen_keys(pred, gold, ignored=ignored)
-    pred, gold = pred.where(F.col("snp").isNotNull()), gold.where(F.col("snp").isNotNull())
-    fields = fields or [f for f in COMPARED if f in pred.columns and f in gold.columns]
-    easy = [f for f in EASY if f in pred.columns and f in gold.columns]
-    return {
-        "rows": row_match(pred, gold, keys),
-        "fields": field_match(pred, gold, keys, [f for f in fields if f not in keys] or fields),
-        "pooled_easy": pooled_match(pred, gold, keys, easy),
-        "pooled_all": pooled_match(pred, gold, keys, fields),
-    }
+def with_combined(pred: DataFrame) -> DataFrame:
+    """pred(paper, source_file, ...) and, for papers with several sources, all their rows once more under COMBINED."""
+    several = pred.groupBy("paper").agg((F.count_distinct("source_file") > 1).alias("__several"))
+    tagged = pred.join(several, "paper")
+    sources = F.when(F.col("__several"), F.array(F.col("source_file"), F.lit(COMBINED))).otherwise(F.array("source_file"))
+    return tagged.withColumn("source_file", F.explode(sources)).drop("__several")
+
+
+def key_flags(pred: DataFrame, gold: DataFrame, candidates: list[str], adaptive: bool) -> DataFrame:
+    """(paper, source_file, known, use_{key} ...): per source the keys to match by. adaptive: those with a value on both sides; the identifier always.
+    known: is there any gold row for the paper."""
+    has = lambda df, by: df.groupBy(*by).agg(*[F.max(F.col(c).isNotNull()).alias(f"use_{c}") for c in candidates])
+    own, other = has(pred, ["paper", "source_file"]), has(gold, ["paper"]).withColumnsRenamed({f"use_{c}": f"gold_{c}" for c in candidates}).withColumn("known", F.lit(True))
+    joined = own.join(other, "paper", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    use = {c: F.lit(True) if c == "snp" or not adaptive else F.coalesce(F.col(f"use_{c}") & F.col(f"gold_{c}"), F.lit(False)) for c in candidates}
+    named = F.array(*[F.when(use[c] if c != "snp" or not adaptive else F.coalesce(F.col("use_snp") & F.col("gold_snp"), F.lit(False)), F.lit(c)) for c in candidates])
+    names = F.filter(named, lambda x: x.isNotNull())
+    names = F.when(F.array_contains(names, "snp"), names).otherwise(F.concat(F.array(F.lit("snp")), names))
+    return joined.select("paper", "source_file", "known", *[use[c].alias(f"use_{c}") for c in candidates], F.array_join(names, ",").alias("key_cols"))
+
+
+def masked(df: DataFrame, flags: DataFrame, by: list[str], candidates: list[str]) -> DataFrame:
+    """df with the keys as k_{key}; those that a source doesn't match by are one constant. Gold rows come once for each source of their paper."""
+    joined = df.where(F.col("snp").isNotNull()).join(flags.where("known"), by)
+    blank = {c: F.lit(0.0) if is_number(df, c) else F.lit("") for c in candidates}
+    return joined.withColumns({f"k_{c}": F.when(F.col(f"use_{c}"), F.col(c)).otherwise(blank[c]) for c in candidates})
+
+
+def evaluate_sources(pred: DataFrame, gold: DataFrame, mode: str = "auto", ignored: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The evaluation of all sources of all papers in one plan. pred(paper, source_file, canonical columns), gold(paper, canonical columns).
+
+    summary: a row per (paper, source_file) with status, key_cols, numbers of rows and row scores (NULL where the paper has no gold rows). fields: scores per compared field.
+    sets: pooled scores of the two field sets. Papers with several sources have one more under COMBINED."""
+    candidates = [c for c in KEY_MODES[mode] if (mode != "auto" or c not in ignored) and c in pred.columns and c in gold.columns]
+    candidates = candidates if "snp" in candidates else ["snp", *candidates]
+    # both sides are read several times, and what made them may be a long plan
+    pred, gold = pred.persist(), gold.persist()
+    by, keys = ["paper", "source_file"], [f"k_{c}" for c in candidates]
+    pred = with_combined(pred)
+    flags = key_flags(pred, gold, candidates, mode == "auto")
+    left, right = masked(pred, flags, by, candidates), masked(gold.drop("source_file"), flags, ["paper"], candidates)
+    rows = scores(bag(left, right, keys, by), by)
+    # a gold row has a snp, but a side may have none at all
+    counts = bag(left, right, keys, by).groupBy(*by).agg(F.sum("n_gold").alias("n_gold_rows"))
+    n_pred = pred.groupBy(*by).agg(F.count("snp").alias("n_pred_rows"))
+    status = F.when(F.col("known"), "evaluated").otherwise("not_in_gold")
+    summary = flags.select(*by, status.alias("status"), F.when(F.col("known"), F.col("key_cols")).otherwise("").alias("key_cols")).join(n_pred, by).join(counts, by, "left").join(rows.drop("tp", "fp", "fn"), by, "left")
+    nothing = F.when(F.col("status") == "evaluated", F.lit(0.0))
+    summary = summary.select(*by, "status", "key_cols", "n_pred_rows", F.coalesce("n_gold_rows", F.lit(0)).alias("n_gold_rows"), *[F.coalesce(c, nothing).alias(f"row_{c}") for c in ("precision", "recall", "f1")])
+    compared = [f for f in COMPARED if f not in ignored and f in pred.columns and f in gold.columns]
+    sets = {"easy_fields": EASY, "all_fields": [f for f in ALL if f not in ignored]}
+    every = list(dict.fromkeys([*compared, *EASY, *sets["all_fields"]]))
+    every = [f for f in every if f in pred.columns and f in gold.columns]
+    bags = field_bags(left.select(*by, *keys, *every), right.select(*by, *keys, *every), [*by, *keys], every)
+    held = F.coalesce(F.col("text"), F.col("num").cast("string")).isNotNull()
+    pooled = []
+    for name, fields in sets.items():
+        one = scores(bags.where(held & F.col("field").isin(fields)), by).withColumns({"metric_set": F.lit(name), "fields": F.lit(",".join(fields))})
+        pooled.append(flags.where("known").select(*by, F.lit(name).alias("metric_set"), F.lit(",".join(fields)).alias("fields")).join(one.drop("metric_set", "fields"), by, "left"))
+    both = pooled[0].unionByName(pooled[1]).select(*by, "metric_set", "fields", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+    return {"summary": summary, "fields": field_scores(bags.where(F.col("field").isin(compared)), by), "sets": both}
+
+
+def field_scores(bags: DataFrame, by: list[str]) -> DataFrame:
+    """Scores per field; missing values count. A field that is missing throughout on either side is skipped."""
+    held = F.coalesce(F.col("text"), F.col("num").cast("string")).isNotNull()
+    per = bags.groupBy(*by, "field").agg(
+        F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_gold") - F.col("tp")).alias("fn"),
+        F.max(held & (F.col("n_pred") > 0)).alias("in_pred"), F.max(held & (F.col("n_gold") > 0)).alias("in_gold"),
+    )
+    p, r, f1 = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
+    return per.where("in_pred and in_gold").select(*by, "field", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def evaluate(pred: DataFrame, gold: DataFrame, mode: str = "auto", ignored: tuple[str, ...] = (), source: str = "input") -> dict[str, DataFrame]:
+    """evaluate_sources of one table against one gold reference."""
+    tag = lambda df: df.withColumn("paper", F.lit("paper"))
+    pred = pred if "source_file" in pred.columns else pred.withColumn("source_file", F.lit(source))
+    return {k: df.drop("paper") for k, df in evaluate_sources(tag(pred), tag(gold), mode, ignored).items()}
+
+
+def report_summary(summary: DataFrame) -> DataFrame:
+    """Per paper the combined row, else the first source's: what a reader of the report shows."""
+    first = F.min_by(F.struct("source_file", "status", "key_cols", "n_pred_rows", "row_precision", "row_recall", "row_f1"), F.struct(F.col("source_file") != COMBINED, "source_file"))
+    chosen = summary.groupBy("paper").agg(first.alias("x")).select("paper", "x.*")
+    return chosen.withColumn("fields", F.split("key_cols", ",")).withColumnRenamed("n_pred_rows", "pred_total")
+
+
+def with_reason(report: DataFrame) -> DataFrame:
+    """Counts by reason, most first; rows without a reason count as unmatched."""
+    return report.groupBy(F.coalesce("reason", F.lit("unmatched")).alias("reason")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "reason")
+
+
+def mismatch_reasons(report: DataFrame, kind: str) -> DataFrame:
+    """Counts of the reasons of one type, most first; blank reasons are left out."""
+    rows = report.where((F.trim("type") == kind) & (F.trim(F.coalesce("reason", F.lit(""))) != ""))
+    return rows.groupBy(F.trim("reason").alias("reason")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "reason")
+
+
+def outcome_counts(report: DataFrame) -> DataFrame:
+    """(success_rows, failed_rows): unmatched predictions fail; a report of mismatches alone knows of no success (a quirk kept)."""
+    return report.agg(F.lit(0).cast("bigint").alias("success_rows"), F.count_if(F.col("type") == "pred_unmatched").alias("failed_rows"))
+
+
+def predicted_total(summary: DataFrame, files: list[str]) -> DataFrame:
+    """(pred_total): predicted rows of the sources with these base names."""
+    name = F.regexp_extract("source_file", "([^/]*)$", 1)
+    return summary.where(name.isin(*files)).agg(F.coalesce(F.sum("n_pred_rows"), F.lit(0)).alias("pred_total"))
+
+
+def fix_list(report: DataFrame, source: Column | None = None) -> DataFrame:
+    """Unmatched predictions as a list to mend, absent columns blank."""
+    # The columns of the list.
+    columns = ["type", "reason", "snp", "pmid", "chr", "bp", "ra1", "pvalue", "effect", "source_mismatch_file"]
+    rows = report.where(F.col("type") == "pred_unmatched").withColumn("source_mismatch_file", source if source is not None else F.lit(""))
+    return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns])

@@ -9,9 +9,10 @@ from litgrid.functions.text import collapse, normalize, strip, text
 from litgrid.plans import rules
 
 
-def finding(value: Column, confidence: Column, review: Column, rule: str, evidence: Column | None = None) -> Column:
+def finding(value: Column, confidence: Column, review: Column, rule: Column | str, evidence: Column | None = None) -> Column:
     """One inferred field with its confidence, evidence and review flag."""
-    return F.struct(value.alias("value"), confidence.cast("double").alias("confidence"), (evidence if evidence is not None else F.lit("")).alias("evidence"), F.lit(rule).alias("rule"), review.alias("needs_review"))
+    rule = F.lit(rule) if isinstance(rule, str) else rule
+    return F.struct(value.alias("value"), confidence.cast("double").alias("confidence"), (evidence if evidence is not None else F.lit("")).alias("evidence"), rule.alias("rule"), review.alias("needs_review"))
 
 
 def contains_any(t: Column, words: list[str]) -> Column:
@@ -66,7 +67,7 @@ def snippets(t: Column, words: list[str], window: int = 240, most: int = 8) -> C
     def of(word: str) -> Column:
         pieces = F.split(low, "\\Q" + word.lower() + "\\E")
         starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(word))
-        cut = lambda s: strip(F.replace(F.substring(raw, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)) + len(word) + window), F.lit("\n"), F.lit(" ")))
+        cut = lambda s: F.replace(F.substring(raw, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)) + len(word) + window), F.lit("\n"), F.lit(" "))
         return F.when(F.size(pieces) > 1, F.transform(starts, cut)).otherwise(F.expr("cast(array() as array<string>)"))
 
     every = F.concat(*[of(w) for w in words])
@@ -74,33 +75,76 @@ def snippets(t: Column, words: list[str], window: int = 240, most: int = 8) -> C
     return F.slice(distinct, 1, most)
 
 
-def first_label(t: Column, labels: dict[str, list[str]], confidence: float, missing: float, rule: str) -> Column:
-    """The first label one of whose words the text holds."""
-    value = F.lit(None).cast("string")
+def first_snippet(t: Column, words: list[str], window: int = 220) -> Column:
+    """Surroundings of the first occurrence of the first of the words that the text holds; blank without one."""
+    low = F.lower(t)
+
+    def of(word: str) -> Column:
+        at = F.locate(word.lower(), low)
+        begin = F.greatest(at - 1 - window, F.lit(0))
+        return F.when(at > 0, F.replace(F.substring(t, begin + 1, at - 1 - begin + len(word) + window), F.lit("\n"), F.lit(" ")))
+
+    return F.coalesce(*[of(w) for w in words], F.lit(""))
+
+
+def first_label(t: Column, labels: dict[str, list[str]], confidence: float, missing: float, rule: Column | str, no_rule: str = "", body: Column | None = None) -> Column:
+    """The first label one of whose words the text holds; always for review. {} in the rule stands for the label. body: where the evidence is cut from."""
+    value, evidence = F.lit(None).cast("string"), F.lit("")
     for label in reversed(labels):
-        value = F.when(contains_any(t, labels[label]), F.lit(label)).otherwise(value)
+        hit = contains_any(t, labels[label])
+        value = F.when(hit, F.lit(label)).otherwise(value)
+        if body is not None:
+            # the word that decides is the first of the label's words that the normalised text holds
+            named = F.coalesce(*[F.when(F.contains(t, F.lit(w)), first_snippet(body, [w])) for w in labels[label]], F.lit(""))
+            evidence = F.when(hit, named).otherwise(evidence)
     found = value.isNotNull()
-    return finding(F.coalesce(value, F.lit("NR")), F.when(found, confidence).otherwise(missing), ~found, rule)
+    said = F.when(found, F.replace(F.lit(rule), F.lit("{}"), F.coalesce(value, F.lit("")))).otherwise(F.lit(no_rule or rule))
+    return finding(F.coalesce(value, F.lit("NR")), F.when(found, confidence).otherwise(missing), F.lit(True), said, evidence)
+
+
+# Fixed values from here on: the values, confidences, rules and evidence words of published curation rules.
 
 
 def association_type(body: Column) -> Column:
-    return first_label(normalize(body), rules.ASSOCIATION_TYPES, 0.7, 0.25, "ordered keyword rules")
+    return first_label(normalize(body), rules.ASSOCIATION_TYPES, 0.7, 0.25, "matched association keywords -> {}", "no association cues found", F.coalesce(body, F.lit("")))
 
 
 def imputation(body: Column) -> Column:
-    t = normalize(body)
-    panels = F.array_sort(F.filter(F.array(F.when(t.rlike("\\btopmed\\b"), F.lit("TOPMed")), F.when(t.rlike("\\bhrc\\b|haplotype reference consortium"), F.lit("HRC")), F.when(t.rlike("\\b1000g\\b|1000 genomes"), F.lit("1000G"))), lambda x: x.isNotNull()))
+    t, body = normalize(body), F.coalesce(body, F.lit(""))
+    named = {"1000G": "\\b1000g\\b|\\b1000 genomes\\b|\\b1000genomes\\b", "HRC": "\\bhrc\\b|\\bhaplotype reference consortium\\b", "TOPMed": "\\btopmed\\b"}
+    panels = F.filter(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in named.items()]), lambda x: x.isNotNull())
     n = F.size(panels)
-    return finding(F.when(n > 0, F.array_join(panels, ";")).otherwise("NR"), F.when(n > 1, 0.65).when(n == 1, 0.85).otherwise(0.3), n != 1, "panel names")
+    snippet = first_snippet(body, rules.IMPUTATION_WORDS)
+    evidence = F.when((n > 0) & (snippet == ""), "Detected panel keywords in text.").otherwise(snippet)
+    one = "panel keyword detection (TOPMed/HRC/1000G)"
+    rule = F.when(n > 1, one + " (multiple panels; table-specific mapping unclear)").when(n == 1, one).otherwise("no imputation keywords found")
+    return finding(F.when(n > 0, F.array_join(panels, ";")).otherwise("NR"), F.when(n > 1, 0.65).when(n == 1, 0.85).otherwise(0.3), n != 1, rule, evidence)
+
+
+STAGES = [
+    ("meta-analysis", "Meta-analysis", 0.8, "found meta-analysis cues"),
+    ("joint-analysis", "Joint-analysis", 0.75, "found joint-analysis cues"),
+    ("stage 1", "Stage 1/2", 0.7, "explicit Stage 1/2 detected; mapping needs confirmation"),
+    ("stage 2", "Stage 1/2", 0.7, "explicit Stage 1/2 detected; mapping needs confirmation"),
+    ("replication", "Replication/Validation", 0.7, "found replication cues"),
+    ("discovery", "Discovery", 0.6, "found generic discovery/GWAS cues"),
+]
+
+
+def by_priority(cases: list[tuple[Column, str]], otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for hit, value in reversed(cases):
+        out = F.when(hit, F.lit(value)).otherwise(out)
+    return out
 
 
 def stage(body: Column) -> Column:
     t = normalize(body)
-    has = {k: contains_any(t, words) for k, words in rules.STAGE_CUES.items()}
-    numbered = has["stage 1"] | has["stage 2"]
-    value = F.when(has["meta-analysis"], "Meta-analysis").when(has["joint-analysis"], "Joint-analysis").when(has["stage 1"] & has["stage 2"], "Stage 1/2").when(has["stage 1"], "Stage 1").when(has["stage 2"], "Stage 2").when(has["replication"], "Replication").when(has["discovery"], "Discovery").otherwise("NR")
-    confidence = F.when(has["meta-analysis"], 0.8).when(has["joint-analysis"], 0.75).when(numbered, 0.7).when(has["replication"], 0.7).when(has["discovery"], 0.6).otherwise(0.25)
-    return finding(value, confidence, ~has["meta-analysis"], "stage cues by priority")
+    cues = [(contains_any(t, rules.STAGE_CUES[cue]), *rest) for cue, *rest in STAGES]
+    value = by_priority([(hit, v) for hit, v, _, _ in cues], "NR")
+    confidence = by_priority([(hit, c) for hit, _, c, _ in cues], 0.25)
+    rule = by_priority([(hit, r) for hit, _, _, r in cues], "no stage cues found")
+    return finding(value, confidence, value != "Meta-analysis", rule, first_snippet(F.coalesce(body, F.lit("")), rules.STAGE_EVIDENCE))
 
 
 def model_type(body: Column) -> Column:
@@ -108,32 +152,76 @@ def model_type(body: Column) -> Column:
     family = F.lit(None).cast("string")
     for name in reversed(rules.MODEL_FAMILIES):
         family = F.when(contains_any(t, rules.MODEL_FAMILIES[name]), F.lit(name)).otherwise(family)
-    adjusted = contains_any(t, rules.COVARIATES)
-    value = F.when(family.isNotNull() & adjusted, F.concat(family, F.lit(" (covariate-adjusted)"))).when(family.isNotNull(), family).when(adjusted, F.lit("covariate-adjusted")).otherwise("NR")
-    confidence = F.when(family.isNotNull() & adjusted, 0.75).when(family.isNotNull(), 0.65).when(adjusted, 0.55).otherwise(0.25)
-    return finding(value, confidence, family.isNull(), "model family and covariates")
+    known, adjusted = family.isNotNull(), contains_any(t, rules.COVARIATES)
+    value = F.when(known & adjusted, F.concat(family, F.lit(" regression (with covariates)"))).when(known, F.concat(family, F.lit(" regression"))).when(adjusted, "model with covariates (family NR)").otherwise("NR")
+    confidence = by_priority([(known & adjusted, 0.75), (known, 0.65), (adjusted, 0.55)], 0.25)
+    rule = by_priority([(known & adjusted, "model family + covariate cues"), (known, "model family cues only"), (adjusted, "covariate cues only")], "no model cues")
+    return finding(value, confidence, F.lit(True), rule, first_snippet(F.coalesce(body, F.lit("")), rules.MODEL_EVIDENCE))
 
 
 def population(scope: Column) -> Column:
-    t = normalize(scope)
-    value = F.lit(None).cast("string")
+    t, scope = normalize(scope), F.coalesce(scope, F.lit(""))
+    value, evidence = F.lit(None).cast("string"), F.lit("")
     for label in reversed(rules.POPULATIONS):
-        value = F.when(t.rlike("|".join(rules.POPULATIONS[label])), F.lit(label)).otherwise(value)
-    return finding(F.coalesce(value, F.lit("NR")), F.when(value.isNotNull(), 0.75).otherwise(0.25), F.lit(True), "section-aware population keyword")
+        hit = t.rlike("|".join(rules.POPULATIONS[label]))
+        value = F.when(hit, F.lit(label)).otherwise(value)
+        evidence = F.when(hit, first_snippet(scope, [label.split()[0]])).otherwise(evidence)
+    found = value.isNotNull()
+    rule = F.when(found, "section-aware population keyword").otherwise("no population cues found in methods/results/supplement")
+    return finding(F.coalesce(value, F.lit("NR")), F.when(found, 0.75).otherwise(0.25), F.lit(True), rule, evidence)
 
 
 def sample_size(scope: Column) -> Column:
-    found = [F.regexp_extract(F.coalesce(scope, F.lit("")), p, 1) for p in rules.SAMPLE_SIZES]
-    value = F.replace(F.coalesce(*[F.when(f != "", f) for f in found]), F.lit(","), F.lit(""))
-    return finding(F.coalesce(value, F.lit("NR")), F.when(value.isNotNull(), 0.7).otherwise(0.25), F.lit(True), "section-aware sample size")
-
-
-def paper_context(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """One row per paper with a struct per field."""
-    scope = scoped(sections(docs, key, body), key)
-    joined = docs.join(scope, key, "left").withColumn("scope", F.coalesce("scope", F.lit("")))
-    t = F.col(body)
-    return joined.select(key, imputation(t).alias("imputation"), stage(t).alias("stage"), association_type(t).alias("association"), model_type(t).alias("model"), population(F.col("scope")).alias("population"), sample_size(F.col("scope")).alias("sample_size"))
+    scope = F.coalesce(scope, F.lit(""))
+    found = [(F.regexp_extract(scope, p, 0), F.regexp_extract(scope, p, 1)) for p in rules.SAMPLE_SIZES]
+    value = F.replace(F.coalesce(*[F.when(whole != "", n) for whole, n in found]), F.lit(","), F.lit(""))
+    whole = F.coalesce(*[F.when(w != "", w) for w, _ in found], F.lit(""))
+    at = F.position(F.lower(whole), F.lower(scope))
+    begin = F.greatest(at - 1 - 180, F.lit(0))
+    evidence = F.when(whole != "", F.replace(F.substring(scope, begin + 1, at - 1 - begin + F.length(whole) + 180), F.lit("\n"), F.lit(" "))).otherwise("")
+    rule = F.when(value.isNotNull(), "section-aware sample size extraction").otherwise("no sample size cues found")
+    return finding(F.coalesce(value, F.lit("NR")), F.when(value.isNotNull(), 0.7).otherwise(0.25), F.lit(True), rule, evidence)
+
+
+def publication_ids(body: Column) -> Column:
+    """struct(pmcid, pmid, evidence) from a paper's text; NR for what it doesn't tell."""
+    t = F.coalesce(text(body), F.lit(""))
+    pick = lambda *patterns: F.coalesce(*[F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)) for p in patterns])
+    pmcid = F.upper(pick("(?i)\\bPMCID\\s*[:：]?\\s*(PMC\\d{4,})\\b", "(?i)\\b(PMC\\d{4,})\\b"))
+    pmid = pick("(?i)\\bPMID\\s*[:：]?\\s*(\\d{6,10})\\b", "(?i)\\bPubMed\\s*[:：]?\\s*(\\d{6,10})\\b")
+
+    def around(word: Column) -> Column:
+        at = F.position(F.lower(word), F.lower(t))
+        begin = F.greatest(at - 1 - 80, F.lit(0))
+        return F.when(at > 0, F.replace(F.substring(t, begin + 1, at - 1 - begin + F.length(word) + 80), F.lit("\n"), F.lit(" ")))
+
+    return F.struct(F.coalesce(pmcid, F.lit("NR")).alias("pmcid"), F.coalesce(pmid, F.lit("NR")).alias("pmid"), F.coalesce(around(pmcid), around(pmid), F.lit("")).alias("evidence"))
+
+
+def with_fallback(found: Column, hint: Column, pmid: Column) -> Column:
+    """A finding, or what the paper's metadata say where it is NR."""
+    known = (found["value"] == "NR") & (F.coalesce(hint, F.lit("")) != "")
+    other = finding(hint, F.lit(0.6), F.lit(True), "paper metadata fallback", F.concat(F.lit("paper-level fallback metadata for PMID "), pmid))
+    return F.when(known, other).otherwise(found)
+
+
+def paper_context(docs: DataFrame, key: str = "doc_id", body: str = "text", hints: DataFrame | None = None) -> DataFrame:
+    """One row per paper with a finding per field, read from its methods, results and supplement, or from all of it where there are none. hints(pmid, table_idx, field, value):
+    a paper's own fill imputation and population where the text tells nothing."""
+    parts = sections(docs, key, body)
+    at = lambda s: F.max(F.when(F.col("section") == s, F.col("content")))
+    wide = parts.groupBy(key).agg(*[F.coalesce(at(s), F.lit("")).alias(f"__{s}") for s in ("methods", "results", "supplement", "all")])
+    joined = docs.join(wide, key, "left")
+    own = strip(F.concat_ws("\n", F.coalesce("__methods", F.lit("")), F.coalesce("__results", F.lit("")), F.coalesce("__supplement", F.lit(""))))
+    joined = joined.withColumns({"__full": F.when(own != "", own).otherwise(F.coalesce(body, F.lit(""))), "__scope": F.when(own != "", own).otherwise(F.coalesce("__all", F.lit("")))})
+    t, scope = F.col("__full"), F.col("__scope")
+    found = joined.select(key, imputation(t).alias("imputation"), stage(t).alias("stage"), association_type(t).alias("association"), model_type(t).alias("model"), population(scope).alias("population"), sample_size(scope).alias("sample_size"))
+    if hints is None:
+        return found
+    fields = {"imputation": "Imputation_simple2", "population": "Population"}
+    said = hints.where("table_idx is null").groupBy(F.col("pmid").alias("__pmid")).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"__{n}") for n, f in fields.items()])
+    filled = found.join(F.broadcast(said), F.col(key).cast("string") == F.col("__pmid"), "left")
+    return filled.withColumns({n: with_fallback(F.col(n), F.col(f"__{n}"), F.col(key).cast("string")) for n in fields}).select(*found.columns)
 
 
 def has_signal(body: Column) -> Column:
@@ -176,14 +264,23 @@ def with_hints(records: DataFrame, hints: DataFrame, paper: str, table: str, fie
     return joined.withColumns(filled).select(*records.columns)
 
 
-def near_mentions(body: Column, place: Column, window: int = 1200) -> Column:
-    """The text around each mention of a place such as "Table 3", joined."""
-    low = F.lower(F.coalesce(body, F.lit("")))
+def near_mentions(body: Column, place: Column, window: int = 1200, most: int = 8) -> Column:
+    """The text around the first mentions of a place such as "Table 3" (those that differ in their first 200 characters), joined by spaces."""
+    body = F.coalesce(body, F.lit(""))
     word = F.lower(F.coalesce(place, F.lit("")))
-    pieces = F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")))
-    ends = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, -window, window))
-    begins = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, 1, window))
-    return F.when((word == "") | (F.size(pieces) < 2), F.lit("")).otherwise(F.array_join(F.concat(ends, begins), " "))
+    pieces = F.split(F.lower(body), F.concat(F.lit("\\Q"), word, F.lit("\\E")))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(word))
+    cut = lambda s: F.replace(F.substring(body, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)) + F.length(word) + window), F.lit("\n"), F.lit(" "))
+    none = F.expr("cast(array() as array<string>)")
+    every = F.when((word != "") & (F.size(pieces) > 1), F.transform(starts, cut)).otherwise(none)
+    distinct = F.aggregate(every, none, lambda a, s: F.when(F.exists(a, lambda x: F.substring(x, 1, 200) == F.substring(s, 1, 200)), a).otherwise(F.concat(a, F.array(s))))
+    return F.array_join(F.slice(distinct, 1, most), " ")
+
+
+def codes_in(t: Column, synonyms: dict[str, str], unless: Column | None = None) -> Column:
+    """Distinct codes of the synonyms that a text holds (and another doesn't), in vocabulary order."""
+    hit = lambda k: F.contains(t, F.lit(k)) if unless is None else F.contains(t, F.lit(k)) & ~F.contains(unless, F.lit(k))
+    return F.array_distinct(F.filter(F.array(*[F.when(hit(k), F.lit(v)) for k, v in synonyms.items()]), lambda x: x.isNotNull()))
 
 
 def counted(t: Column, synonyms: dict[str, str]) -> Column:
@@ -195,24 +292,39 @@ def counted(t: Column, synonyms: dict[str, str]) -> Column:
 
 
 def record_cohorts(records: DataFrame, row: str, body: str, place: str, synonyms: dict[str, str] | None = None) -> DataFrame:
-    """records with cohort_found: codes of the row, else the leading code near its table's mentions, else of the whole text.
+    """records with cohort_found: codes of the row, else those near its table's mentions (only the leading one if there is one), else those of the whole text; rows about
+    expression also have ADNI, rows about disease associations IGAP.
 
-    records hold the row's own text, the paper's text and the table's name; the counts of a paper are taken once per table by grouping before
-    this is joined to rows.
+    records hold the row's own text, the paper's text and the table's name; what a paper says is read once per table by grouping before this is joined to rows.
     """
     synonyms = synonyms or rules.COHORT_SYNONYMS
-    own = F.lower(F.coalesce(F.col(row), F.lit("")))
-    named = F.array_distinct(F.filter(F.array(*[F.when(F.contains(own, F.lit(k)), F.lit(v)) for k, v in synonyms.items()]), lambda x: x.isNotNull()))
+    own, whole = normalize(row), normalize(body)
     tables = records.select(body, place).distinct()
-    tables = tables.withColumns({"__near": counted(near_mentions(F.col(body), F.col(place)), synonyms), "__all": counted(F.lower(F.coalesce(F.col(body), F.lit(""))), synonyms)})
+    near = normalize(near_mentions(F.col(body), normalize(place)))
+    tables = tables.withColumns({"__near": counted(near, synonyms), "__named": codes_in(near, synonyms), "__text": whole})
     joined = records.join(tables.withColumnsRenamed({body: "__body", place: "__place"}), F.col(body).eqNullSafe(F.col("__body")) & F.col(place).eqNullSafe(F.col("__place")), "left")
-
-    def leading(votes: Column) -> Column:
-        first, second = F.get(votes, F.lit(0)), F.coalesce(F.get(votes, F.lit(1))["n"], F.lit(0))
-        return F.when((-first["n"] >= 2) & (-first["n"] >= 1 - second), first["code"])
-
-    near, whole = leading(F.col("__near")), leading(F.col("__all"))
-    listed = F.array_join(F.transform("__all", lambda x: x["code"]), ";")
-    value = F.when(F.size(named) > 0, F.array_join(named, ";")).otherwise(F.coalesce(near, whole, F.when(listed != "", listed), F.lit("NR")))
-    confidence = F.when(F.size(named) > 0, 0.9).when(near.isNotNull(), 0.8).when(whole.isNotNull(), 0.6).when(listed != "", 0.45).otherwise(0.25)
-    return joined.withColumn("cohort_found", finding(value, confidence, confidence < 0.8, "row, table mentions, text")).drop("__near", "__all", "__body", "__place")
+    of_row = codes_in(own, synonyms)
+    first, second = F.get("__near", F.lit(0)), F.get("__near", F.lit(1))
+    leading = (F.size("__near") > 1) & (-first["n"] >= F.greatest(F.lit(2), 1 - second["n"]))
+    of_table = F.when(leading, F.array(first["code"])).otherwise(F.col("__named"))
+    of_text = codes_in(F.col("__text"), synonyms, own)
+    by_row, by_table = F.size(of_row) > 0, F.size("__named") > 0
+    hits = F.when(by_row, of_row).when(by_table, of_table).otherwise(of_text)
+    also = F.array(F.when(F.contains(own, F.lit("eqtl")), F.lit("ADNI")), F.when(F.contains(own, F.lit("ad association")) | F.contains(own, F.lit("disease association")), F.lit("IGAP")))
+    codes = F.array_distinct(F.concat(hits, F.filter(also, lambda x: x.isNotNull())))
+    # Fixed values from here on: confidences and evidence texts.
+    n, value = F.size(codes), F.array_join(codes, ";")
+    one = F.get(codes, F.lit(0))
+    cases = [
+        (n == 0, 0.25, F.lit("")),
+        (by_row & (n == 1), 0.9, F.concat(F.lit("row context matched cohort keyword -> "), one)),
+        (by_row, 0.65, F.concat(F.lit("multiple row cohort hits: "), value)),
+        (by_table & (n == 1), 0.8, F.concat(F.lit("table-local context matched cohort keyword -> "), one)),
+        (by_table, 0.6, F.concat(F.lit("multiple table-local cohort hits: "), value)),
+        (n == 1, 0.6, F.concat(F.lit("full text matched cohort keyword -> "), one)),
+    ]
+    evidence, confidence = F.concat(F.lit("multiple full-text cohort hits: "), value), F.lit(0.45)
+    for hit, c, said in reversed(cases):
+        evidence, confidence = F.when(hit, said).otherwise(evidence), F.when(hit, F.lit(c)).otherwise(confidence)
+    found = finding(F.when(n > 0, value).otherwise("NR"), confidence, ~((n == 1) & (by_row | by_table)), "row, table mentions, text", evidence)
+    return joined.withColumn("cohort_found", found).drop("__near", "__named", "__text", "__body", "__place")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions.numbers import safe_float
-from litgrid.functions.text import cell, is_missing_value, text
+from litgrid.functions.text import cell, integer_like, is_missing_value, strip, text
 from litgrid.plans import rules
 
 
@@ -21,8 +21,9 @@ def blended_confidence(row: Column, paper: list[Column], cohort: Column) -> Colu
 
 
 def evidence(row: Column, labelled: dict[str, Column], most: int = 240) -> Column:
-    """The row's evidence and the labelled snippets, each cut."""
-    return F.concat_ws(" | ", F.when(text(row) != "", text(row)), *[F.when(F.coalesce(text(s), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.substring(text(s), 1, most))) for label, s in labelled.items()])
+    """The row's evidence and a line for each labelled snippet, cut; ends trimmed."""
+    lines = [F.concat(F.lit(f"[{label} evidence] "), F.substring(F.coalesce(text(s), F.lit("")), 1, most)) for label, s in labelled.items()]
+    return strip(F.concat_ws("\n", F.coalesce(text(row), F.lit("")), *lines))
 
 
 def record_ids(records: DataFrame, paper: str, order: list[str]) -> DataFrame:
@@ -36,6 +37,13 @@ def audit(fields: dict[str, tuple[Column, Column, str]]) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("field"), text(v).alias("value"), c.cast("double").alias("confidence"), F.lit(rule).alias("rule"), (text(v) == "NR").alias("needs_review")) for n, (v, c, rule) in fields.items()])
 
 
+def field_audit(row: dict[str, tuple[Column, float, float, str]], evidence_of: Column, paper: dict[str, tuple[Column, Column]]) -> Column:
+    """The audit of a record. row: field to (value, confidence if it is there, if it is NR, rule), with the row's evidence; paper: field to (value, finding)."""
+    item = lambda n, v, c, e, rule, review: F.struct(F.lit(n).alias("field"), text(v).alias("value"), c.cast("double").alias("confidence"), F.substring(F.coalesce(e, F.lit("")), 1, 260).alias("evidence"), rule.alias("rule"), review.alias("needs_review"))
+    own = {n: item(n, v, F.when(text(v) != "NR", there).otherwise(missing), evidence_of, F.lit(rule), text(v) == "NR") for n, (v, there, missing, rule) in row.items()}
+    return F.array(*own.values(), *[item(n, v, f["confidence"], f["evidence"], f["rule"], f["needs_review"]) for n, (v, f) in paper.items()])
+
+
 def review_count(records: DataFrame, audits: str = "audit") -> DataFrame:
     return records.select(F.explode(audits).alias("a")).agg(F.count_if("a.needs_review").alias("n"))
 
@@ -43,31 +51,75 @@ def review_count(records: DataFrame, audits: str = "audit") -> DataFrame:
 OK, REVIEW, ISSUE = "ok", "review", "issue"
 
 
+# The texts of issues.
+NO_VALUE, NO_REQUIRED_VALUE = "missing value", "missing required value"
+NO_RS_ID, NO_NUMBER_P, NO_PROBABILITY = "SNP does not look like an rsID", "p-value is not numeric", "p-value is outside 0-1"
+NO_NUMBER_EFFECT, NO_CHROMOSOME, NO_POSITION, NO_ALLELE = "effect size is not numeric", "chromosome format is unusual", "position is not a positive number", "allele format is unusual"
+MANY_P_VALUES = "multiple p-value columns may need a note"
+SCHEMA_VERSION = "self_validation_v1"
+
+
 def cell_check(field: str, value: Column) -> Column:
     """struct(status, issues) of one field's value by the field's rule."""
     v, n = cell(value), safe_float(value)
-    missing = is_missing_value(value)
-    weak = F.lit(ISSUE if field in ("TopSNP", "P-value") else REVIEW)
+    required = field in ("TopSNP", "P-value")
+    chromosome = strip(F.replace(F.lower(integer_like(v)), F.lit("chr"), F.lit("")))
+    alleles = F.filter(F.transform(F.split(v, "[/;,|]"), lambda x: F.upper(strip(x))), lambda x: x != "")
     checks = {
-        "TopSNP": (~v.rlike("(?i)^rs\\d+$"), REVIEW, "not an rs id"),
-        "P-value": (n.isNull() | (n < 0) | (n > 1), ISSUE, "not a probability"),
-        "EffectSize(altvsref)": (n.isNull(), REVIEW, "not a number"),
-        "Chr": (~F.upper(v).rlike("^([1-9]|1[0-9]|2[0-2]|X|Y|MT|M)$"), REVIEW, "not a chromosome"),
-        "BP(Position)": (n.isNull() | (n <= 0), REVIEW, "not a position"),
-        "RA 1(Reported Allele 1)": (~F.upper(v).rlike("^[ACGTID]+$"), REVIEW, "not an allele"),
+        "TopSNP": [(~v.rlike("(?i)\\brs\\d+\\b"), ISSUE, NO_RS_ID)],
+        "P-value": [(n.isNull(), ISSUE, NO_NUMBER_P), ((n < 0) | (n > 1), ISSUE, NO_PROBABILITY)],
+        "EffectSize(altvsref)": [(n.isNull(), REVIEW, NO_NUMBER_EFFECT)],
+        "Chr": [(~chromosome.rlike("^(?:[1-9]|1\\d|2[0-2]|x|y|mt|m)$"), REVIEW, NO_CHROMOSOME)],
+        "BP(Position)": [(n.isNull() | (n <= 0), REVIEW, NO_POSITION)],
+        "RA 1(Reported Allele 1)": [(F.exists(alleles, lambda x: ~x.isin(*"ACGTID")), REVIEW, NO_ALLELE)],
     }
-    bad, status, issue = checks.get(field, (F.lit(False), REVIEW, ""))
-    none = F.expr("cast(array() as array<string>)")
-    return F.when(missing, F.struct(weak.alias("status"), F.array(F.lit("missing")).alias("issues"))).when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(status).alias("status"), F.array(F.lit(issue)).alias("issues"))).otherwise(F.struct(F.lit(OK).alias("status"), none.alias("issues")))
-
-
-def validated(records: DataFrame, fields: dict[str, str] | None = None, flagged: Column | None = None) -> DataFrame:
-    """records with checks (field to status and issues) and row_status. fields: rule name to column."""
-    fields = fields or {f: f for f in rules.VALIDATED_FIELDS if f in records.columns}
-    checks = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[cell_check(f, F.col(f"`{c}`")) for f, c in fields.items()]))
-    out = records.withColumn("checks", checks)
+    said = lambda status, issue: F.struct(F.lit(status).alias("status"), F.array(F.lit(issue)).alias("issues"))
+    out = F.struct(F.lit(OK).alias("status"), F.expr("cast(array() as array<string>)").alias("issues"))
+    for bad, status, issue in reversed(checks.get(field, [])):
+        out = F.when(bad, said(status, issue)).otherwise(out)
+    return F.when(is_missing_value(value), said(ISSUE if required else REVIEW, NO_REQUIRED_VALUE if required else NO_VALUE)).otherwise(out)
+
+
+def validated(records: DataFrame, fields: dict[str, str] | None = None, flagged: Column | None = None, note: Column | None = None, row_evidence: Column | None = None) -> DataFrame:
+    """records with checks (field to status and issues), row_issues and row_status. fields: rule name to column; all validated fields if not given, absent ones missing.
+
+    note, row_evidence: a row whose evidence names numbered p-values needs a note on them."""
+    fields = fields or {f: f for f in rules.VALIDATED_FIELDS}
+    none = F.lit(None).cast("string")
+    each = {f: cell_check(f, F.col(f"`{c}`") if c in records.columns else none) for f, c in fields.items()}
+    numbered = F.lit(False)
+    if "P-value" in each and fields["P-value"] in records.columns:
+        noted = cell(note if note is not None else none) != ""
+        numbered = ~noted & cell(row_evidence if row_evidence is not None else none).rlike("(?i)p[- ]?value\\s*\\d+")
+        p = each["P-value"]
+        each["P-value"] = F.when(numbered, F.struct(F.when(p["status"] == OK, F.lit(REVIEW)).otherwise(p["status"]).alias("status"), F.concat(p["issues"], F.array(F.lit(MANY_P_VALUES))).alias("issues"))).otherwise(p)
+    out = records.withColumn("checks", F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*each.values())))
+    # in the order of the fields, but what the note is about comes last
+    own = F.flatten(F.transform(F.map_entries("checks"), lambda e: F.transform(F.filter(e["value"]["issues"], lambda i: i != MANY_P_VALUES), lambda i: F.concat(e["key"], F.lit(": "), i))))
+    late = F.when(F.exists(F.map_values("checks"), lambda x: F.array_contains(x["issues"], MANY_P_VALUES)), F.array(F.lit(f"P-value: {MANY_P_VALUES}"))).otherwise(F.expr("cast(array() as array<string>)"))
     has = lambda s: F.exists(F.map_values("checks"), lambda x: x["status"] == s)
-    return out.withColumn("row_status", F.when(has(ISSUE), "failed").when(has(REVIEW) | (flagged if flagged is not None else F.lit(False)), "warning").otherwise("success"))
+    status = F.when(has(ISSUE), "failed").when(has(REVIEW) | (flagged if flagged is not None else F.lit(False)), "warning").otherwise("success")
+    return out.withColumns({"row_issues": F.concat(own, late), "row_status": status})
+
+
+def validation_rows(checked: DataFrame, paper: str, order: list[str], record_id: str = "RecordID", row_evidence: str = "evidence") -> DataFrame:
+    """(paper, row_index, record_id, row_status, row_issues, fields) of validated records: fields with findings only, each with status, issues, value and evidence."""
+    nth = F.row_number().over(Window.partitionBy(paper).orderBy(*order)) - 1
+    about = cell(row_evidence) if row_evidence in checked.columns else F.lit("")
+    values = F.create_map(*[x for f in rules.VALIDATED_FIELDS for x in (F.lit(f), cell(f"`{f}`") if f in checked.columns else F.lit(""))])
+    found = F.filter(F.map_entries("checks"), lambda e: e["value"]["status"] != OK)
+    one = lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"]["status"].alias("status"), e["value"]["issues"].alias("issues"), F.coalesce(F.try_element_at(values, e["key"]), F.lit("")).alias("value"), F.substring(about, 1, 500).alias("evidence")).alias("value"))
+    return checked.select(F.col(paper).alias("paper"), nth.alias("row_index"), (F.coalesce(F.col(record_id), F.lit("")) if record_id in checked.columns else F.lit("")).alias("record_id"), "row_status", "row_issues", F.map_from_entries(F.transform(found, one)).alias("fields"))
+
+
+def validation_documents(rows: DataFrame) -> DataFrame:
+    """(paper, document): the validation report of each paper as JSON, its rows in order."""
+    item = F.struct("row_index", "record_id", "row_status", "row_issues", "fields")
+    count = lambda s: F.count_if(F.col("row_status") == s).alias(s)
+    per = rows.groupBy("paper").agg(F.sort_array(F.collect_list(F.struct("row_index", F.to_json(item).alias("j")))).alias("items"), count("success"), count("warning"), count("failed"))
+    head = F.to_json(F.struct(F.col("paper").alias("paper_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct("success", "warning", "failed").alias("summary")))
+    body = F.array_join(F.transform("items", lambda x: x["j"]), ",")
+    return per.select("paper", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"rows":['), body, F.lit("]}")).alias("document"))
 
 
 def validation_summary(checked: DataFrame) -> DataFrame:

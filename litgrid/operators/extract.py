@@ -1,13 +1,16 @@
 """Association records from tables of known and unknown layouts.
 
-A table row is one row with two arrays, headers and values, made by a single aggregation. A layout is a detector on the headers, a choice
-of places, and a list of record structs to explode; all of it is expressions, and merged cells are one window per table. All layouts are tried in one
-pass; the first in order with a record wins for its table, and the generic layout takes the rest.
+A table row is one row with an array of values, made by a single aggregation. What a layout needs to know of a table - is it of this layout, which place holds
+what, which groups of columns give a record each - follows from the headers alone, so it is worked out once per table, as one row for each record that a table
+row can give. These rows are joined to the table's rows, and a record is then plain expressions over the cells at those places. The first layout in
+order with a record wins for its table, and the generic layout takes the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ def grid(cells: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.select("table_id", "row_idx", F.transform("x", lambda x: x["name"]).alias("raw"), F.transform("x", lambda x: tx.normalize(x["name"])).alias("heads"), F.transform("x", lambda x: x["value"]).alias("vals"))
 
 
-def places(test) -> Column:
+def places_of(test) -> Column:
     """Places whose header passes the test."""
     return F.filter(F.sequence(F.lit(0), F.size("heads") - 1), lambda i: test(F.get("heads", i)))
 
@@ -43,15 +46,15 @@ def holding(*words: str):
 
 
 def first(*words: str) -> Column:
-    return F.get(places(holding(*words)), F.lit(0))
+    return F.get(places_of(holding(*words)), F.lit(0))
 
 
 def last(*words: str) -> Column:
-    return F.try_element_at(places(holding(*words)), F.lit(-1))
+    return F.try_element_at(places_of(holding(*words)), F.lit(-1))
 
 
 def exact(word: str) -> Column:
-    return F.get(places(lambda h: h == word), F.lit(0))
+    return F.get(places_of(lambda h: h == word), F.lit(0))
 
 
 def at(place: Column) -> Column:
@@ -92,44 +95,71 @@ def statistics(or_place: Column, p_place: Column, kind: str = "OR") -> dict[str,
     return {"effect": effect, "effect_raw": effect.cast("string"), "ci": ci, "p": p, "p_raw": p.cast("string"), "effect_type": F.lit(kind), "keep": ~(tx.looks_missing(effect_raw) & tx.looks_missing(p_raw))}
 
 
-def pipe_layout() -> tuple[Column, Column]:
+class Layout(NamedTuple):
+    """detected: is a table of this layout; places: columns of a table, by name; each: an array of structs, one for each record of a row; all over a table's raw and heads.
+    record: a record over vals, the places (as columns) and g, one of the structs."""
+
+    detected: Column
+    places: dict[str, Column]
+    each: Column | None
+    record: Callable[[], Column]
+
+
+def value_of(place: str) -> Column:
+    """The row's value at a named place, or at one of the record's own (g.name)."""
+    return at(F.col(place))
+
+
+def all_found(places: dict[str, Column]) -> Column:
+    return reduce(lambda a, b: a & b, [c.isNotNull() for c in places.values()])
+
+
+def fixed_structs(names: list[str], rows: list[tuple]) -> Column:
+    """An array of structs of constants."""
+    typed = lambda v: F.lit(v).cast("int") if v is None else F.lit(v)
+    return F.array(*[F.struct(*[typed(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+
+
+def pipe_layout() -> Layout:
     """section | subgroup | metric headers with a rs id."""
     parts = F.transform("raw", lambda r: F.transform(F.split(r, "\\|"), tx.collapse))
-    detected = F.exists(parts, lambda p: F.size(p) >= 3)
-    groups = F.array_distinct(F.transform(F.filter(parts, lambda p: F.size(p) >= 3), lambda p: F.struct(F.get(p, F.lit(0)).alias("section"), F.get(p, F.lit(1)).alias("subgroup"))))
+    placed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.size(p).alias("n"), F.get(p, F.lit(0)).alias("section"), F.get(p, F.lit(1)).alias("subgroup"), F.lower(F.element_at(p, -1)).alias("metric")))
+    grouped = F.filter(placed, lambda x: x["n"] >= 3)
+    pairs = F.array_distinct(F.transform(grouped, lambda x: F.struct(x["section"].alias("section"), x["subgroup"].alias("subgroup"))))
 
     def one(g: Column) -> Column:
-        mine = lambda test: F.try_element_at(F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: _pipe_part(i, g, test)), F.lit(-1))
-        of_section = lambda test: F.get(F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: _pipe_part(i, g, test, False)), F.lit(0))
-        snp_at = F.coalesce(mine("\\bsnp\\b"), of_section("\\bsnp\\b"))
-        gene_at = F.coalesce(mine("gene"), of_section("gene"), first("closest gene", "nearest gene"))
-        snp, gene = tx.sanitize_topsnp(at(snp_at)), tx.sanitize_locus(at(gene_at))
-        stats = statistics(mine("\\bor\\b|odds ratio"), mine("\\bp\\b|p[- ]value"))
-        chrom, pos = at(F.coalesce(mine("chr"), first("chr"))), at(F.coalesce(mine("pos|\\bbp\\b"), first("position", "bp")))
+        hits = lambda test, own: F.transform(F.filter(grouped, lambda x: (x["section"] == g["section"]) & x["metric"].rlike(test) & ((x["subgroup"] == g["subgroup"]) if own else F.lit(True))), lambda x: x["i"])
+        mine, of_section = (lambda test: F.try_element_at(hits(test, True), F.lit(-1))), (lambda test: F.get(hits(test, False), F.lit(0)))
+        found = {
+            "snp": F.coalesce(mine("\\bsnp\\b"), of_section("\\bsnp\\b")), "gene": F.coalesce(mine("gene"), of_section("gene"), F.col("near_gene")),
+            "or": mine("\\bor\\b|odds ratio"), "p": mine("\\bp\\b|p[- ]value"), "chr": F.coalesce(mine("chr"), F.col("any_chr")), "bp": F.coalesce(mine("pos|\\bbp\\b"), F.col("any_bp")),
+        }
+        return F.struct(g["section"].alias("section"), g["subgroup"].alias("subgroup"), *[c.cast("int").alias(n) for n, c in found.items()])
+
+    def made() -> Column:
+        snp, gene = tx.sanitize_topsnp(value_of("g.snp")), tx.sanitize_locus(value_of("g.gene"))
+        stats = statistics(F.col("g.or"), F.col("g.p"))
         keep = stats.pop("keep") & has_rs(snp, False)
-        return record(name=gene, top_snp=snp, kind=F.lit("SNP-based"), locus=gene, chrom=chrom, bp=pos, grp=F.regexp_replace(g["subgroup"], "(?i)\\s+[a-z]$", ""), confidence=F.lit(0.7), keep=keep, **stats)
-
-    return detected, F.transform(groups, one)
+        return record(name=gene, top_snp=snp, kind=F.lit("SNP-based"), locus=gene, chrom=value_of("g.chr"), bp=value_of("g.bp"), grp=F.regexp_replace(F.col("g.subgroup"), "(?i)\\s+[a-z]$", ""), confidence=F.lit(0.7), keep=keep, **stats)
 
+    # places that no group has of its own
+    places = {"near_gene": first("closest gene", "nearest gene"), "any_chr": first("chr"), "any_bp": first("position", "bp")}
+    return Layout(F.size(grouped) > 0, places, F.transform(pairs, one), made)
 
-def _pipe_part(i: Column, g: Column, test: str, own: bool = True) -> Column:
-    p = F.transform(F.split(F.get("raw", i), "\\|"), tx.collapse)
-    ok = (F.size(p) >= 3) & (F.get(p, F.lit(0)) == g["section"]) & F.lower(F.get(p, F.size(p) - 1)).rlike(test)
-    return ok & (F.get(p, F.lit(1)) == g["subgroup"]) if own else ok
 
-
-def two_block_layout() -> tuple[Column, Column]:
+def two_block_layout() -> Layout:
     """Two blocks by place: four columns and five, the second with two groups."""
     detected = any_head(lambda h: h.startswith("igap snp")) & any_head(lambda h: h.startswith("exonic snp")) & (F.size("heads") >= 9)
-    linked = F.contains(F.lower(F.array_join("vals", " | ")), F.lit("strong ld"))
+    each = fixed_structs(["section", "label", "snp", "or", "p"], [("IGAP SNP", "ADGC", 0, 2, 3), ("Exonic SNP", "ADGC", 4, 5, 6), ("Exonic SNP", "ADSP", 4, 7, 8)])
 
-    def one(section: str, group: str, snp_at: int, or_at: int, p_at: int) -> Column:
-        snp = tx.sanitize_topsnp(at(F.lit(snp_at)))
-        stats = statistics(F.lit(or_at), F.lit(p_at))
+    def made() -> Column:
+        linked = F.contains(F.lower(F.array_join("vals", " | ")), F.lit("strong ld"))
+        snp = tx.sanitize_topsnp(value_of("g.snp"))
+        stats = statistics(F.col("g.or"), F.col("g.p"))
         keep = stats.pop("keep") & has_rs(snp) & ~linked
-        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), locus=tx.sanitize_locus(at(F.lit(1))), grp=F.lit(group), p_note=F.lit(f"{section} {group} P-value"), confidence=F.lit(0.8), keep=keep, **stats)
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), locus=tx.sanitize_locus(at(F.lit(1))), grp=F.col("g.label"), p_note=F.concat_ws(" ", "g.section", "g.label", F.lit("P-value")), confidence=F.lit(0.8), keep=keep, **stats)
 
-    return detected, F.array(one("IGAP SNP", "ADGC", 0, 2, 3), one("Exonic SNP", "ADGC", 4, 5, 6), one("Exonic SNP", "ADSP", 4, 7, 8))
+    return Layout(detected, {}, each, made)
 
 
 def filled(value: Column) -> Column:
@@ -143,133 +173,141 @@ def survival_interval(raw: Column) -> Column:
     return F.when((ci != "") & ~ci.startswith("("), F.concat(F.lit("("), ci, F.lit(")"))).otherwise(ci)
 
 
-def survival_layout() -> tuple[Column, Column]:
+def survival_layout() -> Layout:
     """Hazard ratios by stratum, with numbers of observations; stratum, variant, cohort and number are carried down."""
-    needed = [first("snp (rs)", "snp", "rsid"), first("studies combined", "cohort", "study"), first("number of observations"), first("model"), first("hazard ratio"), first("95 % ci", "95% ci", "confidence interval"), first("p-value", "p value")]
-    snp_at, cohort_at, size_at, model_at, hr_at, ci_at, p_at = needed
-    detected = reduce(lambda a, b: a & b, [n.isNotNull() for n in needed])
-    snp, cohort, size = filled(tx.sanitize_topsnp(at(snp_at))), filled(at(cohort_at)), filled(at(size_at))
-    stratum = filled(at(first("apoe4 stratification", "stratification", "group")))
-    hr = num.safe_float(at(hr_at))
-    keep = ~tx.looks_missing(snp) & ~(tx.looks_missing(at(hr_at)) & tx.looks_missing(at(p_at)))
-    # a locus that the source names outside the table
-    locus = F.when(snp == "rs146729640", "SHISA6").otherwise("")
-    return detected, F.array(record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), cohort=cohort, sample_size=size, grp=F.lit("All"), phenotype_derived=F.lit("Age at onset of cognitive impairment (CI)"), effect_type=F.lit("HR"), effect=hr, effect_raw=shown(hr, at(hr_at)), ci=survival_interval(at(ci_at)), p=num.safe_float(at(p_at)), p_raw=at(p_at), locus=locus, notes=stratum, model=at(model_at), confidence=F.lit(0.8), keep=keep))
-
-
-def hazard_layout() -> tuple[Column, Column]:
+    needed = {"snp": first("snp (rs)", "snp", "rsid"), "cohort": first("studies combined", "cohort", "study"), "size": first("number of observations"), "model": first("model"), "hr": first("hazard ratio"), "ci": first("95 % ci", "95% ci", "confidence interval"), "p": first("p-value", "p value")}
+
+    def made() -> Column:
+        snp, cohort, size = filled(tx.sanitize_topsnp(value_of("snp"))), filled(value_of("cohort")), filled(value_of("size"))
+        stratum, hr_raw, p_raw = filled(value_of("stratum")), value_of("hr"), value_of("p")
+        hr = num.safe_float(hr_raw)
+        keep = ~tx.looks_missing(snp) & ~(tx.looks_missing(hr_raw) & tx.looks_missing(p_raw))
+        # Fixed value: a locus that the source names outside the table
+        locus = F.when(snp == "rs146729640", "SHISA6").otherwise("")
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), cohort=cohort, sample_size=size, grp=F.lit("All"), phenotype_derived=F.lit("Age at onset of cognitive impairment (CI)"), effect_type=F.lit("HR"), effect=hr, effect_raw=shown(hr, hr_raw), ci=survival_interval(value_of("ci")), p=num.safe_float(p_raw), p_raw=p_raw, locus=locus, notes=stratum, model=value_of("model"), confidence=F.lit(0.8), keep=keep)
+
+    return Layout(all_found(needed), needed | {"stratum": first("apoe4 stratification", "stratification", "group")}, None, made)
+
+
+def hazard_layout() -> Layout:
     """Hazard ratios by stratum with places as chr:pos_REF_ALT and two group sizes."""
-    snp_at = F.coalesce(first("snp (rs)", "variant (rs)", "rs-id", "rsid"), first("snp"))
-    needed = [first("apoe4 stratification"), first("snp (chr:pos)", "variant", "chr:position"), snp_at, first("n (ci)", "n(ci)"), first("n (cu)", "n(cu)"), first("hazard ratio"), first("hazard ratio 95% ci", "hazard ratio 95 % ci"), first("p-value", "p value")]
-    stratum_at, place_at, _, ci_n, cu_n, hr_at, ci_at, p_at = needed
-    chrom, bp, ra1, ra2 = num.location_alleles(at(place_at))
-    snp, hr = tx.sanitize_topsnp(at(snp_at)), num.safe_float(at(hr_at))
-    size = F.array_join(F.filter(F.array(at(ci_n), at(cu_n)), lambda x: x != ""), "/")
-    keep = ~tx.looks_missing(snp) & ~(tx.looks_missing(at(hr_at)) & tx.looks_missing(at(p_at)))
-    group = F.when(at(stratum_at) != "", at(stratum_at)).otherwise("All")
-    return reduce(lambda a, b: a & b, [n.isNotNull() for n in needed]), F.array(record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=chrom, bp=bp, ra1=ra1, ra2=ra2, sample_size=size, grp=group, phenotype_derived=F.lit("Age at onset of cognitive impairment (CI)"), effect_type=F.lit("HR"), effect=hr, effect_raw=shown(hr, at(hr_at)), ci=survival_interval(at(ci_at)), p=num.safe_float(at(p_at)), p_raw=at(p_at), locus=tx.sanitize_locus(at(first("gene"))), confidence=F.lit(0.82), keep=keep))
+    snp = F.coalesce(first("snp (rs)", "variant (rs)", "rs-id", "rsid"), first("snp"))
+    needed = {"stratum": first("apoe4 stratification"), "place": first("snp (chr:pos)", "variant", "chr:position"), "snp": snp, "n_ci": first("n (ci)", "n(ci)"), "n_cu": first("n (cu)", "n(cu)"), "hr": first("hazard ratio"), "ci": first("hazard ratio 95% ci", "hazard ratio 95 % ci"), "p": first("p-value", "p value")}
 
+    def made() -> Column:
+        chrom, bp, ra1, ra2 = num.location_alleles(value_of("place"))
+        snp, hr_raw, p_raw = tx.sanitize_topsnp(value_of("snp")), value_of("hr"), value_of("p")
+        hr = num.safe_float(hr_raw)
+        size = F.array_join(F.filter(F.array(value_of("n_ci"), value_of("n_cu")), lambda x: x != ""), "/")
+        keep = ~tx.looks_missing(snp) & ~(tx.looks_missing(hr_raw) & tx.looks_missing(p_raw))
+        group = F.when(value_of("stratum") != "", value_of("stratum")).otherwise("All")
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=chrom, bp=bp, ra1=ra1, ra2=ra2, sample_size=size, grp=group, phenotype_derived=F.lit("Age at onset of cognitive impairment (CI)"), effect_type=F.lit("HR"), effect=hr, effect_raw=shown(hr, hr_raw), ci=survival_interval(value_of("ci")), p=num.safe_float(p_raw), p_raw=p_raw, locus=tx.sanitize_locus(value_of("gene")), confidence=F.lit(0.82), keep=keep)
 
-def inline_heads() -> Column:
-    return reduce(lambda a, b: a & b, [F.array_contains("heads", h) for h in ("variant", "chr.", "position", "gene symbol", "ea", "or", "p")])
+    return Layout(all_found(needed), needed | {"gene": first("gene")}, None, made)
 
 
-def inline_groups_layout() -> tuple[Column, Column]:
+def inline_groups_layout() -> Layout:
     """Exact headers with pairs OR, P, OR.1, P.1; the first row names the groups."""
-    w = Window.partitionBy("table_id")
-    labels = F.min_by("vals", "row_idx").over(w)
-    detected = inline_heads() & F.exists(labels, lambda v: F.contains(F.lower(v), F.lit("apoe*4")))
-    snp = tx.sanitize_topsnp(at(exact("variant")))
-    body = F.col("row_idx") > F.min("row_idx").over(w)
+    heads = ["variant", "chr.", "position", "gene symbol", "ea", "or", "p"]
+    detected = reduce(lambda a, b: a & b, [F.array_contains("heads", h) for h in heads]) & F.exists("first_vals", lambda v: F.contains(F.lower(v), F.lit("apoe*4")))
+    places = {f"x_{k}": exact(h) for k, h in enumerate(heads[:5])}
 
     def one(i: Column) -> Column:
         follows = F.get("heads", i + 1)
-        p_raw = F.when((follows == "p") | follows.startswith("p."), at(i + 1)).otherwise("")
-        effect, p = num.safe_float(at(i)), num.safe_float(p_raw)
-        keep = body & ~tx.looks_missing(snp) & ~(tx.looks_missing(at(i)) & tx.looks_missing(p_raw))
-        label = F.coalesce(F.get(labels, i), F.lit(""))
-        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=at(exact("chr.")), bp=at(exact("position")), ra1=at(exact("ea")), locus=tx.sanitize_locus(at(exact("gene symbol"))), grp=label, effect_type=F.lit("OR"), effect=effect, effect_raw=shown(effect, at(i)), p=p, p_raw=shown(p, p_raw), confidence=F.lit(0.8), keep=keep)
+        return F.struct(i.alias("or"), F.when((follows == "p") | follows.startswith("p."), i + 1).alias("p"), F.coalesce(F.get("first_vals", i), F.lit("")).alias("label"))
 
-    return detected, F.transform(places(lambda h: (h == "or") | h.startswith("or.")), one)
+    def made() -> Column:
+        snp, chrom, bp, gene, ea = (value_of(f"x_{k}") for k in range(5))
+        snp, or_raw, p_raw = tx.sanitize_topsnp(snp), value_of("g.or"), value_of("g.p")
+        effect, p = num.safe_float(or_raw), num.safe_float(p_raw)
+        keep = (F.col("row_idx") > F.col("first_row")) & ~tx.looks_missing(snp) & ~(tx.looks_missing(or_raw) & tx.looks_missing(p_raw))
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=chrom, bp=bp, ra1=ea, locus=tx.sanitize_locus(gene), grp=F.col("g.label"), effect_type=F.lit("OR"), effect=effect, effect_raw=shown(effect, or_raw), p=p, p_raw=shown(p, p_raw), confidence=F.lit(0.8), keep=keep)
 
+    return Layout(detected, places | {"first_row": F.col("first_idx")}, F.transform(places_of(lambda h: (h == "or") | h.startswith("or.")), one), made)
 
-#: Phenotype, place of the effect, place of the p-value, note.
+
+#: Phenotype, place of the effect, place of the p-value, note.
 MANY_P = [("AD status", 6, 7, "Univariate AD status P-value"), ("NP", 8, 9, "Univariate NP P-value"), ("NFT", 10, 11, "Univariate NFT P-value"), ("CAA", 12, 13, "Univariate CAA P-value"), ("NP + NFT", None, 15, "Joint NP + NFT P-value"), ("NP + CAA", None, 17, "Joint NP + CAA P-value"), ("NFT + CAA", None, 19, "Joint NFT + CAA P-value")]
 
 
-def many_p_layout() -> tuple[Column, Column]:
+def many_p_layout() -> Layout:
     """Twenty columns or more with seven p-values by place."""
     many = lambda test, n: F.size(F.filter("heads", test)) >= n
     flat = (F.slice("heads", 1, 6) == F.array(*[F.lit(x) for x in ("chromosome", "snp", "gene", "ea", "ra", "eaf")])) & many(lambda h: h.startswith("p value"), 7) & many(holding("β value", "beta value"), 4)
     detected = (F.size("heads") >= 20) & (flat | (any_head(holding("univariate models")) & any_head(holding("joint models"))))
-    snp = tx.sanitize_topsnp(at(F.lit(1)))
 
-    def one(phenotype: str, effect_at: int | None, p_at: int, note: str) -> Column:
-        p = num.safe_float(at(F.lit(p_at)))
-        effect = num.effect_of(at(F.lit(effect_at))) if effect_at is not None else F.lit(None).cast("double")
-        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=tx.integer_like(at(F.lit(0))), locus=tx.sanitize_locus(at(F.lit(2))), ra1=at(F.lit(3)), ra2=at(F.lit(4)), maf=at(F.lit(5)), p=p, p_raw=p.cast("string"), p_note=F.lit(note), effect_type=F.lit("Beta" if effect_at is not None else "NR"), effect=effect, effect_raw=effect.cast("string"), grp=F.lit(phenotype), phenotype=F.lit(phenotype), phenotype_derived=F.lit("Neuropathology"), confidence=F.lit(0.82), keep=has_rs(snp) & p.isNotNull())
+    def made() -> Column:
+        snp, p, effect = tx.sanitize_topsnp(at(F.lit(1))), num.safe_float(value_of("g.p")), num.effect_of(value_of("g.effect"))
+        kind = F.when(F.col("g.effect").isNotNull(), "Beta").otherwise("NR")
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=tx.integer_like(at(F.lit(0))), locus=tx.sanitize_locus(at(F.lit(2))), ra1=at(F.lit(3)), ra2=at(F.lit(4)), maf=at(F.lit(5)), p=p, p_raw=p.cast("string"), p_note=F.col("g.note"), effect_type=kind, effect=effect, effect_raw=effect.cast("string"), grp=F.col("g.phenotype"), phenotype=F.col("g.phenotype"), phenotype_derived=F.lit("Neuropathology"), confidence=F.lit(0.82), keep=has_rs(snp) & p.isNotNull())
 
-    return detected, F.array(*[one(*d) for d in MANY_P])
+    return Layout(detected, {}, fixed_structs(["phenotype", "effect", "p", "note"], MANY_P), made)
 
 
-def combination_layout() -> tuple[Column, Column]:
+def combination_layout() -> Layout:
     """Combinations of genes with an odds ratio and several p-values; rows of one label name the group below."""
-    snp_at, gene_at, effect_at = first("gene–gene combination | gene–gene combination", "gene-gene combination | gene-gene combination"), first("genes included in the combination"), first("or(95% ci.) | or(95% ci.)", "or (95% ci.) | or (95% ci.)")
-    p_places = places(holding("p‐value", "p-value"))
-    detected = snp_at.isNotNull() & gene_at.isNotNull() & effect_at.isNotNull() & (F.size(p_places) >= 2)
-    kinds = F.array_distinct(F.filter("vals", lambda v: v != ""))
-    label = F.when((F.size(kinds) == 1) & F.contains(F.lower(F.get(kinds, F.lit(0))), F.lit("apoe*4")), F.get(kinds, F.lit(0))).otherwise("")
-    group, order = filled(label), at(first("unnamed: 0_level_0 | unnamed: 0_level_1"))
-    raw = at(effect_at)
-    effect, ci = num.effect_of(raw), num.interval_of(raw, F.lit("OR"))
+    needed = {"snp": first("gene–gene combination | gene–gene combination", "gene-gene combination | gene-gene combination"), "gene": first("genes included in the combination"), "effect": first("or(95% ci.) | or(95% ci.)", "or (95% ci.) | or (95% ci.)")}
+    p_places = places_of(holding("p‐value", "p-value"))
+    each = F.transform(p_places, lambda i: F.struct(i.alias("p"), tx.strip(F.element_at(F.split(F.get("raw", i), "\\|"), -1)).alias("sub")))
 
-    def one(i: Column) -> Column:
-        p = num.safe_float(at(i))
-        keep = (label == "") & ~tx.looks_missing(at(snp_at)) & ~(effect.isNull() & tx.looks_missing(raw)) & ~tx.looks_missing(at(i))
-        sub = tx.strip(F.element_at(F.split(F.get("raw", i), "\\|"), -1))
-        return record(name=at(snp_at), top_snp=at(snp_at), kind=F.lit("SNP-based"), locus=tx.sanitize_locus(at(gene_at)), grp=sub, notes=F.when(group != "", group).otherwise(order), interactions=order, effect_type=F.lit("OR"), effect=effect, effect_raw=shown(effect, raw), ci=F.when(ci != "", ci).otherwise(raw), p=p, p_raw=shown(p, at(i)), confidence=F.lit(0.8), keep=keep)
+    def made() -> Column:
+        kinds = F.array_distinct(F.filter("vals", lambda v: v != ""))
+        label = F.when((F.size(kinds) == 1) & F.contains(F.lower(F.get(kinds, F.lit(0))), F.lit("apoe*4")), F.get(kinds, F.lit(0))).otherwise("")
+        group, order, raw, snp, p_raw = filled(label), value_of("order"), value_of("effect"), value_of("snp"), value_of("g.p")
+        effect, ci, p = num.effect_of(raw), num.interval_of(raw, F.lit("OR")), num.safe_float(p_raw)
+        keep = (label == "") & ~tx.looks_missing(snp) & ~(effect.isNull() & tx.looks_missing(raw)) & ~tx.looks_missing(p_raw)
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), locus=tx.sanitize_locus(value_of("gene")), grp=F.col("g.sub"), notes=F.when(group != "", group).otherwise(order), interactions=order, effect_type=F.lit("OR"), effect=effect, effect_raw=shown(effect, raw), ci=F.when(ci != "", ci).otherwise(raw), p=p, p_raw=shown(p, p_raw), confidence=F.lit(0.8), keep=keep)
 
-    return detected, F.transform(p_places, one)
+    return Layout(all_found(needed) & (F.size(p_places) >= 2), needed | {"order": first("unnamed: 0_level_0 | unnamed: 0_level_1")}, each, made)
 
 
-def joint_layout() -> tuple[Column, Column]:
+def joint_layout() -> Layout:
     """Joint tests by cognitive domain and cohort."""
-    needed = ["variant | variant", "nearest gene | nearest gene", "cognitive domain | cognitive domain", "cohortsb | cohortsb", "genetic effects | βg (se)", "genetic effects | pjoint"]
-    detected = reduce(lambda a, b: a & b, [F.array_contains("heads", h) for h in needed])
-    snp_raw, gene, domain, cohort, effect_raw, p_raw = [at(exact(h)) for h in needed]
-    snp, effect, p = tx.sanitize_topsnp(snp_raw), num.effect_of(effect_raw), num.safe_float(p_raw)
-    a1, a2, maf = num.alleles_and_frequency(at(exact("a1/a2a (maf) | a1/a2a (maf)")))
-    group = F.regexp_replace(F.concat(domain, F.lit(" | "), cohort), "^[ |]+|[ |]+$", "")
-    return detected, F.array(record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=at(exact("chr | chr")), bp=at(exact("position | position")), ra1=a1, ra2=a2, maf=maf, locus=tx.sanitize_locus(gene), grp=group, phenotype_derived=domain, cohort=cohort, effect_type=F.lit("Beta"), effect=effect, effect_raw=shown(effect, effect_raw), p=p, p_raw=shown(p, p_raw), confidence=F.lit(0.8), keep=~tx.looks_missing(snp)))
+    names = {"snp": "variant | variant", "gene": "nearest gene | nearest gene", "domain": "cognitive domain | cognitive domain", "cohort": "cohortsb | cohortsb", "effect": "genetic effects | βg (se)", "p": "genetic effects | pjoint"}
+    detected = reduce(lambda a, b: a & b, [F.array_contains("heads", h) for h in names.values()])
+    places = {n: exact(h) for n, h in (names | {"alleles": "a1/a2a (maf) | a1/a2a (maf)", "chr": "chr | chr", "bp": "position | position"}).items()}
+
+    def made() -> Column:
+        domain, cohort, effect_raw, p_raw = value_of("domain"), value_of("cohort"), value_of("effect"), value_of("p")
+        snp, effect, p = tx.sanitize_topsnp(value_of("snp")), num.effect_of(effect_raw), num.safe_float(p_raw)
+        a1, a2, maf = num.alleles_and_frequency(value_of("alleles"))
+        group = F.regexp_replace(F.concat(domain, F.lit(" | "), cohort), "^[ |]+|[ |]+$", "")
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), chrom=value_of("chr"), bp=value_of("bp"), ra1=a1, ra2=a2, maf=maf, locus=tx.sanitize_locus(value_of("gene")), grp=group, phenotype_derived=domain, cohort=cohort, effect_type=F.lit("Beta"), effect=effect, effect_raw=shown(effect, effect_raw), p=p, p_raw=shown(p, p_raw), confidence=F.lit(0.8), keep=~tx.looks_missing(snp))
+
+    return Layout(detected, places, None, made)
 
 
-def expression_layout() -> tuple[Column, Column]:
+def expression_layout() -> Layout:
     """An expression p-value and a disease p-value per row; variant and closest gene are carried down."""
-    snp_at, eqtl, disease_at = last("igap snp", "snp"), places(lambda h: h.startswith("eqtl association")), last("ad association", "p-value c", "p value c")
-    detected = snp_at.isNotNull() & (F.size(eqtl) >= 2) & disease_at.isNotNull()
-    here = tx.sanitize_topsnp(at(snp_at))
-    snp, closest = filled(F.when(has_rs(here), here).otherwise("")), filled(tx.sanitize_locus(at(last("closest gene"))))
-    gene = tx.sanitize_locus(at(last("gene")))
-    beta, p_eqtl, p_disease = num.safe_float(at(F.get(eqtl, F.lit(0)))), num.safe_float(at(F.get(eqtl, F.lit(1)))), num.safe_float(at(disease_at))
-    notes = F.regexp_replace(F.concat(F.lit("Probe set: "), at(last("probe set id")), F.lit("; closest gene: "), closest), "^[; ]+|[; ]+$", "")
-    common = {"name": snp, "top_snp": snp, "kind": F.lit("SNP-based"), "locus": F.when(gene != "", gene).otherwise(closest), "gene": gene, "notes": notes, "confidence": F.lit(0.78)}
-    expressed = record(**common, p=p_eqtl, p_raw=p_eqtl.cast("string"), p_note=F.lit("eQTL association P-value"), effect_type=F.lit("Beta"), effect=beta, effect_raw=beta.cast("string"), grp=F.lit("eQTL association"), phenotype_derived=F.lit("Expression"), plot=F.lit("Beta"), keep=has_rs(snp) & p_eqtl.isNotNull())
-    diseased = record(**common, p=p_disease, p_raw=p_disease.cast("string"), p_note=F.lit("AD association P-value"), effect_type=F.lit("NR"), grp=F.lit("AD association"), phenotype_derived=F.lit("AD"), keep=has_rs(snp) & p_disease.isNotNull())
-    return detected, F.array(expressed, diseased)
-
-
-def expression_summary_layout() -> tuple[Column, Column]:
+    eqtl = places_of(lambda h: h.startswith("eqtl association"))
+    places = {"snp": last("igap snp", "snp"), "disease": last("ad association", "p-value c", "p value c"), "beta": F.get(eqtl, F.lit(0)), "p_eqtl": F.get(eqtl, F.lit(1)), "closest": last("closest gene"), "gene": last("gene"), "probe": last("probe set id")}
+    detected = places["snp"].isNotNull() & (F.size(eqtl) >= 2) & places["disease"].isNotNull()
+
+    def made() -> Column:
+        here = tx.sanitize_topsnp(value_of("snp"))
+        snp, closest = filled(F.when(has_rs(here), here).otherwise("")), filled(tx.sanitize_locus(value_of("closest")))
+        gene, expressed = tx.sanitize_locus(value_of("gene")), F.col("g.expressed")
+        beta, p = num.safe_float(value_of("beta")), F.when(expressed, num.safe_float(value_of("p_eqtl"))).otherwise(num.safe_float(value_of("disease")))
+        notes = F.regexp_replace(F.concat(F.lit("Probe set: "), value_of("probe"), F.lit("; closest gene: "), closest), "^[; ]+|[; ]+$", "")
+        either = lambda a, b: F.when(expressed, a).otherwise(b)
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), locus=F.when(gene != "", gene).otherwise(closest), gene=gene, notes=notes, confidence=F.lit(0.78), p=p, p_raw=p.cast("string"), p_note=either("eQTL association P-value", "AD association P-value"), effect_type=either("Beta", "NR"), effect=F.when(expressed, beta), effect_raw=either(beta.cast("string"), ""), grp=either("eQTL association", "AD association"), phenotype_derived=either("Expression", "AD"), plot=either("Beta", ""), keep=has_rs(snp) & p.isNotNull())
+
+    return Layout(detected, places, fixed_structs(["expressed"], [(True,), (False,)]), made)
+
+
+def expression_summary_layout() -> Layout:
     """Cells "p (beta)" of two expression summaries."""
-    snp_at, gene_at, sums = last("eqtl"), last("gene"), places(holding("esnp association summary"))
-    snp = tx.sanitize_topsnp(at(snp_at))
-    other = at(F.get(sums, F.lit(2)))
+    sums = places_of(holding("esnp association summary"))
+    places = {"snp": last("eqtl"), "gene": last("gene"), "ea": last("ea"), "ra": last("ra"), "other": F.get(sums, F.lit(2)), "sum_0": F.get(sums, F.lit(0)), "sum_1": F.get(sums, F.lit(1))}
 
-    def one(k: int, region: Column) -> Column:
-        raw = at(F.get(sums, F.lit(k)))
+    def made() -> Column:
+        snp, other, one = tx.sanitize_topsnp(value_of("snp")), value_of("other"), F.col("g.one")
+        raw = F.when(one, value_of("sum_0")).otherwise(value_of("sum_1"))
         p, beta = num.p_of_pair(raw), num.beta_of_pair(raw)
-        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), ra1=at(last("ea")), ra2=at(last("ra")), locus=tx.sanitize_locus(at(gene_at)), p=p, p_raw=p.cast("string"), effect_type=F.lit("Beta"), effect=beta, effect_raw=beta.cast("string"), grp=F.lit("eQTL"), phenotype=region, phenotype_derived=F.lit("Expression"), plot=F.lit("Beta"), notes=F.lit("eQTL comparison table"), confidence=F.lit(0.75), keep=has_rs(snp) & (p.isNotNull() | beta.isNotNull()))
+        region = F.when(one, "Hippocampus").when(other != "", other).otherwise("Other brain region")
+        return record(name=snp, top_snp=snp, kind=F.lit("SNP-based"), ra1=value_of("ea"), ra2=value_of("ra"), locus=tx.sanitize_locus(value_of("gene")), p=p, p_raw=p.cast("string"), effect_type=F.lit("Beta"), effect=beta, effect_raw=beta.cast("string"), grp=F.lit("eQTL"), phenotype=region, phenotype_derived=F.lit("Expression"), plot=F.lit("Beta"), notes=F.lit("eQTL comparison table"), confidence=F.lit(0.75), keep=has_rs(snp) & (p.isNotNull() | beta.isNotNull()))
 
-    return snp_at.isNotNull() & gene_at.isNotNull() & (F.size(sums) >= 2), F.array(one(0, F.lit("Hippocampus")), one(1, F.when(other != "", other).otherwise("Other brain region")))
+    return Layout(places["snp"].isNotNull() & places["gene"].isNotNull() & (F.size(sums) >= 2), places, fixed_structs(["one"], [(True,), (False,)]), made)
 
 
 LAYOUTS = (pipe_layout, two_block_layout, survival_layout, hazard_layout, inline_groups_layout, many_p_layout, combination_layout, joint_layout, expression_layout, expression_summary_layout)
@@ -283,11 +321,10 @@ def tiered(tier) -> Column:
 
 def role_places(columns: DataFrame) -> DataFrame:
     """(table_id, place of each role): one row per table, so rows need no header rule of their own."""
-    heads = columns.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "name"))), lambda x: x["name"]).alias("raw"))
-    heads = heads.withColumn("heads", F.transform("raw", lambda r: tx.normalize(r)))
+    heads = headers_of(columns)
     role = {r: last(*words) for r, words in rules.ROLE_PATTERNS.items()}
     role |= {"a1": F.coalesce(last("a1"), last("allele 1")), "a2": F.coalesce(last("a2"), last("allele 2")), "p": tiered(headers.p_value_tier), "effect": tiered(headers.effect_tier)}
-    role["variant"] = F.coalesce(F.try_element_at(places(lambda h: h == "variant"), F.lit(-1)), last("variant all", "location and base pair change", "chr:position"), last("variant"), last("location", "change"), role["rs"])
+    role["variant"] = F.coalesce(F.try_element_at(places_of(lambda h: h == "variant"), F.lit(-1)), last("variant all", "location and base pair change", "chr:position"), last("variant"), last("location", "change"), role["rs"])
     placed = heads.select("table_id", "raw", *[c.cast("int").alias(f"at_{r}") for r, c in role.items()])
     kind = F.element_at(F.array(*[F.lit(k) for k in ("Beta", "OR", "Beta", "HR", "Zscore")]), F.coalesce(headers.effect_tier(F.get("raw", F.col("at_effect"))), F.lit(1)))
     p_head = F.coalesce(F.get("raw", F.col("at_p")), F.lit(""))
@@ -354,11 +391,12 @@ def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = N
         own = F.filter(F.transform(F.coalesce("groups", F.expr("cast(array() as array<struct<label:string,snp_at:int,p_at:int,ci_at:int,effect_at:int,kind:string,converted:boolean>>)")), sub), lambda s: s["p"].isNotNull() | s["effect"].isNotNull())
         subs = F.when(F.size(own) > 0, own).otherwise(F.array(plain))
     # the subgroup's own ids, else the row's, else one record without an id
-    exploded = carried.withColumn("sub", F.explode(subs))
+    exploded = carried.select("*", row_text().alias("row_text"), F.posexplode(subs).alias("sub_at", "sub"))
     none = F.array(F.lit("NR"))
     own_ids = tx.rs_ids(F.col("sub.snp"))
     names = F.when(F.size(own_ids) > 0, own_ids).when(F.size("ids") > 0, F.col("ids")).otherwise(none)
-    exploded = exploded.withColumn("id", F.explode(names))
+    # ids of a subgroup follow each other
+    exploded = exploded.select("*", F.posexplode(names).alias("id_at", "id")).withColumn("sub_no", F.col("sub_at") * 1000 + F.col("id_at"))
     snp = tx.sanitize_topsnp(F.coalesce(*[F.when(c != "", c) for c in (F.col("sub.snp"), F.col("rs_text"), F.col("variant"))], F.when(F.col("id") != "NR", F.col("id")), F.lit("")))
     known = F.col("id") != "NR"
     r = record(
@@ -367,7 +405,7 @@ def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = N
         grp=F.col("sub.label"), phenotype_derived=tx.strip(F.replace(F.element_at(F.split("sub.label", "\\("), -1), F.lit(")"), F.lit(""))), locus=F.col("locus"), cohort=F.col("cohort"), sample_size=F.col("sample_size"), population=F.col("population"), imputation=F.col("imputation"), interactions=F.col("interactions"),
         confidence=F.when(known, 0.55).otherwise(0.4), keep=F.lit(True),
     )
-    return exploded.select("table_id", "row_idx", F.lit(len(LAYOUTS)).alias("layout"), r.alias("r"))
+    return exploded.select("table_id", "row_idx", F.lit(len(LAYOUTS)).alias("layout"), "sub_no", r.alias("r"), "row_text")
 
 
 def first_layout(candidates: DataFrame) -> DataFrame:
@@ -376,26 +414,43 @@ def first_layout(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("__least", least).where(F.col("layout") == F.col("__least")).drop("__least")
 
 
-def layouts_present(columns: DataFrame) -> list[int]:
-    """Layouts that the headers of some table admit; one flag each, from one row per table. Others need no branch in the plan."""
+def headers_of(columns: DataFrame) -> DataFrame:
+    """(table_id, raw, heads): one row per table."""
     heads = columns.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "name"))), lambda x: x["name"]).alias("raw"))
-    heads = heads.withColumn("heads", F.transform("raw", lambda r: tx.normalize(r)))
-    flags = [inline_heads() if layout is inline_groups_layout else layout()[0] for layout in LAYOUTS]
-    found = heads.agg(*[F.coalesce(F.max(f), F.lit(False)).alias(f"l{k}") for k, f in enumerate(flags)]).first()
+    return heads.withColumn("heads", F.transform("raw", lambda r: tx.normalize(r)))
+
+
+def layouts_present(heads: DataFrame) -> list[int]:
+    """Layouts that the headers of some table admit (whatever its first row); one flag each, from one row per table. Others need no branch in the plan."""
+    admitted = heads.withColumn("first_vals", F.array(F.lit("apoe*4")))
+    found = admitted.agg(*[F.coalesce(F.max(layout().detected), F.lit(False)).alias(f"l{k}") for k, layout in enumerate(LAYOUTS)]).first()
     return [k for k in range(len(LAYOUTS)) if found[k]]
 
 
+def of_layout(rows: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """(table_id, row_idx, layout, sub_no, r, row_text) of the tables of one layout."""
+    layout = LAYOUTS[k]()
+    if LAYOUTS[k] is inline_groups_layout:
+        heads = heads.join(rows.groupBy("table_id").agg(F.min_by("vals", "row_idx").alias("first_vals"), F.min("row_idx").alias("first_idx")), "table_id")
+    own = heads.where(layout.detected).select(*heads.columns, *[c.cast("int").alias(n) for n, c in layout.places.items()])
+    each = layout.each if layout.each is not None else F.array(F.struct(F.lit(0).alias("only")))
+    own = own.select("table_id", *layout.places, F.posexplode(each).alias("sub_no", "g"))
+    return rows.select("table_id", "row_idx", "vals").join(own, "table_id").select("table_id", "row_idx", F.lit(k).alias("layout"), "sub_no", layout.record().alias("r"), row_text().alias("row_text")).where("r.keep")
+
+
+def row_text() -> Column:
+    """The row's filled cells."""
+    return F.array_join(F.filter("vals", lambda v: v != ""), " | ")
+
+
 def records(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """(table_id, row_idx, layout, fields ...) of all tables."""
+    """(table_id, row_idx, layout, sub_no, row_text, fields ...) of all tables."""
     rows = grid(cells, columns)
-    parts = []
-    for k in layouts_present(columns):
-        detected, items = LAYOUTS[k]()
-        shaped = rows.withColumns({"__on": detected, "__items": items}).where("__on")
-        parts.append(shaped.select("table_id", "row_idx", F.lit(k).alias("layout"), F.explode("__items").alias("r")).where("r.keep"))
+    heads = headers_of(columns)
+    parts = [of_layout(rows, heads, k) for k in layouts_present(heads)]
     parts.append(generic(rows, columns, headers.subgroups(columns)))
     chosen = first_layout(reduce(DataFrame.unionByName, parts))
-    return chosen.select("table_id", "row_idx", "layout", "r.*").drop("keep")
+    return chosen.select("table_id", "row_idx", "layout", "sub_no", "row_text", "r.*").drop("keep")
 
 
 def curated(found: DataFrame, paper: str = "PAPER") -> DataFrame:

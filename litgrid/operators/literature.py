@@ -31,8 +31,8 @@ def relevance(title: Column, abstract: Column, types: Column, mesh: Column, prof
     listed = lambda xs: F.array(*[F.lit(x) for x in xs])
     parts = [
         (F.arrays_overlap(ts, listed(w["stop"])), F.lit(-4), F.lit("excluded publication type")),
-        (F.arrays_overlap(ms, listed(w["mesh"])), F.lit(4), F.lit("topic MeSH")),
-        (contains_any(both, w["topic"]), F.lit(3), F.lit("topic keyword in title/abstract")),
+        (F.arrays_overlap(ms, listed(w["mesh"])), F.lit(4), F.lit("AD-related MeSH")),
+        (contains_any(both, w["topic"]), F.lit(3), F.lit("AD keyword in title/abstract")),
         (contains_any(both, w["genetics"]), F.lit(2), F.lit("genetics keyword in title/abstract")),
         (contains_any(t, w["title"]), F.lit(2), F.lit("genetics keyword in title")),
     ]
@@ -57,6 +57,11 @@ def summary(scored: DataFrame) -> DataFrame:
 
 
 def default_query(year: int | None = None) -> str:
-    """A boolean literature query: topic and genetics terms, and a year if given."""
-    base = "(alzheimer disease[MeSH Terms] OR alzheimer*[Title/Abstract]) AND (genome-wide association study[MeSH Terms] OR GWAS[Title/Abstract] OR genetic*[Title/Abstract])"
-    return f"{base} AND {year}[pdat]" if year else base
+    """A boolean literature query: topic and genetics terms without reviews, and a year if given."""
+    # The parts of the published query.
+    parts = [
+        '(("Alzheimer Disease"[MeSH Terms]) OR (alzheimer*[Title/Abstract]))',
+        '("gene"[Title] OR "genes"[Title] OR "genetics"[Title] OR "genetic*"[Title/Abstract])',
+        "NOT (Review[Publication Type])",
+    ]
+    return " AND ".join(parts if year is None else [*parts, f'("{year}"[Date - Publication])'])

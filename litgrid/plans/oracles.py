@@ -19,7 +19,7 @@ HEADERS = """h as (select n_nationkey as table_id, c, name from (select n_nation
 
 FAULTY = """f as (select o_orderkey, case when o_orderkey % 10 = 0 then '' when o_orderkey % 10 = 1 then 'gene' else 'rs' || o_orderkey end as snp, case when o_orderkey % 7 = 0 then '2' else '1e-5' end as p,
     case when o_orderkey % 3 = 0 then '23' else 'X' end as chr, case when o_orderkey % 4 = 0 then 'NR' else 'A' end as ra from orders),
-v as (select *, case when o_orderkey % 10 = 0 or o_orderkey % 7 = 0 then 'failed' when o_orderkey % 10 = 1 or o_orderkey % 3 = 0 or o_orderkey % 4 = 0 then 'warning' else 'success' end as row_status from f)"""
+v as (select *, case when o_orderkey % 10 in (0, 1) or o_orderkey % 7 = 0 then 'failed' else 'warning' end as row_status from f)"""
 
 DIAGNOSIS = f"""{GOLD},
 p2 as (select id, case when id % 17 = 0 then 'rs0' else snp end as snp, chr, ra1 from pred),
@@ -36,13 +36,13 @@ d as (select 'pred_unmatched' as type, case when not known then 'snp_not_in_gold
              id, snp, chr, ra1 from why
       union all select 'gold_unmatched', 'missing_in_prediction', id, snp, chr, ra1 from gu)"""
 
-SUPPLIER = "sc as (select s_nationkey as table_id, s_suppkey as row_idx, 0 as col_idx, s_name as value from supplier union all select s_nationkey, s_suppkey, 1, 'N/A' from supplier)"
+SUPPLIER = "sc as (select s_nationkey as table_id, s_suppkey as row_idx, 0 as col_idx, s_name as value from supplier union all select s_nationkey, s_suppkey, 1, 'N/A' from supplier union all select s_nationkey, s_suppkey, 2, printf('%.2f', s_acctbal::double) from supplier)"
 
 PUBLICATIONS = """pub as (select d.doc_id, 'On the ' || lang || case when quality = 1 then ' genetics' else '' end as title, case when toxic = 1 then 'Dementia' else 'none' end as abstract,
     case when d.doc_id % 4 = 0 then 'review' else 'article' end as type, case when d.doc_id % 3 = 0 then 'tau proteins' else lower(source) end as mesh from documents d left join labels l on d.doc_id = l.doc_id),
 flags as (select doc_id, type = 'review' as stop, mesh = 'tau proteins' as m, abstract = 'Dementia' as t, contains(title, 'genetics') as g, mesh in ('src1', 'tau proteins') as o, mesh from pub),
 rel as (select doc_id, cast(-4 * stop::int + 4 * m::int + 3 * t::int + 4 * g::int + o::int as int) as score,
-    concat_ws(' | ', case when stop then 'excluded publication type' end, case when m then 'topic MeSH' end, case when t then 'topic keyword in title/abstract' end, case when g then 'genetics keyword in title/abstract' end,
+    concat_ws(' | ', case when stop then 'excluded publication type' end, case when m then 'AD-related MeSH' end, case when t then 'AD keyword in title/abstract' end, case when g then 'genetics keyword in title/abstract' end,
               case when g then 'genetics keyword in title' end, case when o then 'profile mesh overlap: ' || mesh end) as reason from flags)"""
 
 SQL = {
@@ -75,13 +75,14 @@ substr(p_brand || '_' || p_type || ' _long enough to be cut_', 1, 31) as sheet f
 'APOE, ' || p_brand as locus from part""",
     "links_and_ids": """select c_custkey, 'PMC' || c_custkey as article, cast(c_custkey as int) as table_no, lpad(cast(c_custkey as varchar), 8, '1') as pmid, 'PMC' || c_custkey as pmcid, 2 as n_links, c_custkey % 3 = 0 as flag from customer""",
     "sci_number": """select l_orderkey, l_linenumber, l_suppkey, round(log10((round(l_discount * 100) + 1.5)::double) - (l_orderkey % 9 + 1), 9) as safe_log, round(log10((round(l_discount * 100) + 1.5)::double) - (l_orderkey % 9 + 1), 9) as norm_log,
--(l_orderkey % 9 + 1)::double as p_log, -(l_orderkey % 9 + 1)::double as signed, true as "none" from lineitem""",
+-(l_orderkey % 9 + 1)::double as p_log, -(l_orderkey % 9 + 1)::double as signed, true as "none", true as no_number, round(log10((round(l_discount * 100) + 1)::double) - (l_orderkey % 9 + 1), 9) as large_x,
+round(log10((round(l_discount * 100) + 1)::double) - (l_orderkey % 9 + 1), 9) as spaced_e from lineitem""",
     "effect_and_interval": """select l_orderkey, l_linenumber, l_suppkey, q + 0.25::double as effect, case when l_returnflag = 'A' then '(' || (q - 1) || '-' || (q + 1) || ')' else '' end as ci, round(l_discount::double, 4) as as_ratio,
 cast('0.0' || q as double) as p, -(q + 0.5::double) as beta from (select *, cast(l_quantity as int) as q from lineitem)""",
     "alleles_and_positions": """select l_orderkey, l_linenumber, l_suppkey, l_linestatus as minor, l_returnflag as major, l_returnflag as a1, l_linestatus as a2, '0.198' as maf, cast(l_suppkey % 22 + 1 as varchar) as chrom, cast(l_orderkey as varchar) as pos,
 (l_suppkey % 22 + 1) || '|' || l_orderkey || '|CT|A' as location from lineitem""",
     "cell_unpivot": f"with {SUPPLIER} select * from sc",
-    "cell_pivot": "select s_nationkey as table_id, s_suppkey as row_idx, s_name as name, 'N/A' as empty from supplier",
+    "cell_pivot": "select s_nationkey as table_id, s_suppkey as row_idx, s_name as name, 'N/A' as empty, s_acctbal::double as balance from supplier",
     "drop_empty": "select s_nationkey as table_id, 2 * count(*) as n_cells, cast(2 as bigint) as n_columns, count(*) as n_rows from supplier group by all",
     "header_choice": """with k as (select *, row_number() over (partition by p_size order by p_partkey) as k from part),
 s as (select p_size, k, case when k = 4 then 3 else len(regexp_extract_all(p_brand || ' ' || p_type || ' ' || p_partkey, '(?i)(snp|rsid|p\\s*-?value|beta|or|odds|chr|position|bp|allele|maf|ci)')) end as hits from k),
@@ -126,7 +127,7 @@ case when doc_id % 2 = 0 then '2019' else '2018' end as year from documents""",
 case when contains(t, 'the') or contains(t, 'and') or contains(t, 'der') or contains(t, 'die') or contains(t, 'les') or contains(t, 'que') then 0.7::double else 0.25::double end as confidence,
 case lang when 'en' then 'European ancestry' when 'de' then 'Multi-ethnic' else 'NR' end as population, cast(n_chars + 1000 as varchar) as sample_size from (select *, lower(text) as t from documents)""",
     "stage_and_model": """with f as (select doc_id, doc_id % 2 = 0 as m, doc_id % 3 = 0 as c, doc_id % 5 = 0 as r, doc_id % 7 = 0 as h from documents)
-select doc_id, case when m then 'Meta-analysis' when r then 'Replication' else 'NR' end as stage, case when c then 'cox (covariate-adjusted)' else 'NR' end as model, case when r and h then 'HRC;TOPMed' when r then 'TOPMed' when h then 'HRC' else 'NR' end as imputation,
+select doc_id, case when m then 'Meta-analysis' when r then 'Replication/Validation' else 'NR' end as stage, case when c then 'cox regression (with covariates)' else 'NR' end as model, case when r and h then 'HRC;TOPMed' when r then 'TOPMed' when h then 'HRC' else 'NR' end as imputation,
 case when h then 'Imaging' else 'NR' end as association from f""",
     "sectionize": """with d as (select doc_id, lang, source, cast(n_chars as varchar) as n from documents) select doc_id, 'methods' as section, 'A ' || lang as content from d union all select doc_id, 'results', 'B ' || source || chr(10) || 'C' from d
 union all select doc_id, 'supplement', n from d union all select doc_id, 'all', concat_ws(chr(10), 'Intro', 'Intro', 'A ' || lang, 'B ' || source, 'C', n) from d""",
@@ -137,9 +138,9 @@ r as (select *, row_number() over (partition by doc_id order by n desc, cohort)
 select doc_id, cohort, cast(n as bigint) as n from r where r = 1 and n >= greatest(2, second + 1)""",
     "context_merge": """select o_orderkey, o_orderpriority as pmid, cast(o_orderkey % 3 as int) as table_idx, case when o_orderkey % 2 = 1 then 'own' when o_orderpriority = '1-URGENT' then case when o_orderkey % 3 = 2 then 'Asian' else 'European' end else 'NR' end as Population,
 case when o_orderpriority = '2-HIGH' and o_orderkey % 3 = 1 then 'Amish' else 'NR' end as Cohort from orders""",
-    "confidence_blend": """select l_orderkey, l_linenumber, round(0.4::double * l_discount + 0.4::double * least(l_tax, l_discount * 2) + 0.1::double, 9) as confidence, l_returnflag as kept, l_linestatus || ' | Stage: ' || l_returnflag as evidence from lineitem""",
+    "confidence_blend": """select l_orderkey, l_linenumber, round(0.4::double * l_discount + 0.4::double * least(l_tax, l_discount * 2) + 0.1::double, 9) as confidence, l_returnflag as kept, l_linestatus || chr(10) || '[Stage evidence] ' || l_returnflag || chr(10) || '[None evidence]' as evidence from lineitem""",
     "record_ids": "select o_orderpriority, o_orderkey, o_orderpriority || '_R' || lpad(cast(row_number() over (partition by o_orderpriority order by o_orderkey) as varchar), 5, '0') as RecordID from orders",
-    "cell_validation": f"""with {FAULTY} select o_orderkey, row_status, case when o_orderkey % 10 = 0 then 'issue' when o_orderkey % 10 = 1 then 'review' else 'ok' end as snp_status, case when o_orderkey % 7 = 0 then 'not a probability' else '' end as p_issues,
+    "cell_validation": f"""with {FAULTY} select o_orderkey, row_status, case when o_orderkey % 10 in (0, 1) then 'issue' else 'ok' end as snp_status, case when o_orderkey % 7 = 0 then 'p-value is outside 0-1' else '' end as p_issues,
 case when o_orderkey % 3 = 0 then 'review' else 'ok' end as chr_status from v""",
     "row_status_counts": f"with {FAULTY} select row_status, count(*) as n from v group by row_status",
     "missing_fields": "select 'RA 1(Reported Allele 1)' as field, count(*) as n from orders where o_orderkey % 4 = 0 union all select 'TopSNP', count(*) from orders where o_orderkey % 10 = 0",

@@ -20,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores before costly expressions, where a file's row groups make fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- alignment -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -135,14 +141,14 @@ def links_and_ids(spark, sf_dir):
 
 
 def sci_number(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_discount"))
     digits, power = F.round(F.col("l_discount") * 100).cast("int") + 1, (F.col("l_orderkey") % 9 + 1).cast("int")
     shown = F.concat(digits, F.lit(".5 × 10"), F.when(F.col("l_orderkey") % 2 == 0, "^").otherwise(""), F.lit("−"), power)
-    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.log10(num.safe_float(shown)), 9).alias("safe_log"), F.round(F.log10(num.norm_num(shown)), 9).alias("norm_log"), F.round(F.log10(num.p_value(power.cast("string"), F.lit("-log10(P)"))), 9).alias("p_log"), num.norm_num(F.concat(F.lit("-"), power)).alias("signed"), num.safe_float(F.lit("n.s.")).isNull().alias("none"))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.log10(num.safe_float(shown)), 9).alias("safe_log"), F.round(F.log10(num.norm_num(shown)), 9).alias("norm_log"), F.round(F.log10(num.p_value(power.cast("string"), F.lit("-log10(P)"))), 9).alias("p_log"), num.norm_num(F.concat(F.lit("-"), power)).alias("signed"), num.safe_float(F.lit("n.s.")).isNull().alias("none"), num.safe_float(F.concat(F.lit("rs1101"), power)).isNull().alias("no_number"), F.round(F.log10(num.norm_num(F.concat(digits, F.lit(" X 10^-"), power))), 9).alias("large_x"), F.round(F.log10(num.norm_num(F.concat(digits, F.lit(" e-"), power))), 9).alias("spaced_e"))
 
 
 def effect_and_interval(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_discount"))
     value, low, high = F.col("l_quantity").cast("int"), F.col("l_quantity").cast("int") - 1, F.col("l_quantity").cast("int") + 1
     shown = F.concat(value, F.lit(".25 ("), low, F.lit("–"), high, F.lit(")"))
     kind = F.when(F.col("l_returnflag") == "A", "OR").otherwise("Beta")
@@ -150,7 +156,7 @@ def effect_and_interval(spark, sf_dir):
 
 
 def alleles_and_positions(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus"))
     pair = F.concat(F.col("l_returnflag"), F.lit(" / "), F.col("l_linestatus"))
     minor, major = num.minor_major(pair)
     a1, a2, maf = num.alleles_and_frequency(F.concat(F.col("l_returnflag"), F.lit("/"), F.col("l_linestatus"), F.lit(" (0.198)")))
@@ -167,11 +173,13 @@ def supplier_cells(spark, sf_dir):
 
 
 def cell_unpivot(spark, sf_dir):
-    return supplier_cells(spark, sf_dir).where("col_idx < 2")
+    c = supplier_cells(spark, sf_dir)
+    # money as a number, which engines write in different ways
+    return c.withColumn("value", F.when(F.col("col_idx") == 2, F.format_string("%.2f", F.col("value").try_cast("double"))).otherwise(F.col("value")))
 
 
 def cell_pivot(spark, sf_dir):
-    return cells.from_cells(supplier_cells(spark, sf_dir).where("col_idx < 2"), ["name", "empty"])
+    return cells.from_cells(supplier_cells(spark, sf_dir), ["name", "empty", "balance"]).withColumn("balance", F.col("balance").cast("double"))
 
 
 def drop_empty(spark, sf_dir):
@@ -250,7 +258,7 @@ def html_grid(spark, sf_dir):
     row = F.concat(F.lit("<td>"), F.col("n_nationkey"), F.lit("</td><td colspan='2'>"), F.col("n_name"), F.lit("&nbsp; x</td>"))
     body = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("rows"))
     page = F.concat(F.lit("<table id='t1'><tr><td rowspan="), F.size("rows"), F.lit(">region</td>"), F.array_join(F.transform("rows", lambda x: x["r"]), "</tr><tr>"), F.lit("</tr></table>"))
-    return html_tables.html_cells(body.select(F.col("n_regionkey").alias("page_id"), page.alias("html"))).drop("label", "caption")
+    return html_tables.html_cells(body.select(F.col("n_regionkey").alias("page_id"), page.alias("html"))).drop("label", "caption", "table_index")
 
 
 def rendered_tables(spark, sf_dir):
@@ -434,8 +442,7 @@ def review_states(spark, sf_dir):
 
 def publications(spark, sf_dir):
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    words = tx.tokens(F.substring("text", 1, 200))
-    return d.select("doc_id", F.concat(F.lit("On the "), F.col("lang"), F.when(F.col("quality") == 1, " genetics").otherwise("")).alias("title"), F.when(F.col("toxic") == 1, "Dementia").otherwise("none").alias("abstract"), F.array(F.when(F.col("doc_id") % 4 == 0, "Review").otherwise("Article")).alias("types"), F.array(F.when(F.col("doc_id") % 3 == 0, "Tau  proteins").otherwise(F.col("source"))).alias("mesh"), words.alias("words"))
+    return d.select("doc_id", F.concat(F.lit("On the "), F.col("lang"), F.when(F.col("quality") == 1, " genetics").otherwise("")).alias("title"), F.when(F.col("toxic") == 1, "Dementia").otherwise("none").alias("abstract"), F.array(F.when(F.col("doc_id") % 4 == 0, "Review").otherwise("Article")).alias("types"), F.array(F.when(F.col("doc_id") % 3 == 0, "Tau  proteins").otherwise(F.col("source"))).alias("mesh"))
 
 
 def keyword_profile(spark, sf_dir):

@@ -32,6 +32,10 @@ STAGE_CUES = {
     "discovery": ["discovery", "genome-wide", "gwas", "screen", "scan", "initial"],
 }
 
+IMPUTATION_WORDS = ["imput", "imputation", "imputed", "reference panel", "panel", "1000 genomes", "1000g", "phase 3", "p3", "HRC", "haplotype reference consortium", "topmed", "minimac", "eagle", "shapeit", "beagle", "michigan imputation server", "genotyping and imputation"]
+STAGE_EVIDENCE = ["meta-analysis", "replication", "validation", "stage 1", "stage 2", "gwas"]
+MODEL_EVIDENCE = ["logistic", "linear regression", "cox", "hazard ratio", "adjusted", "covariate", "principal components"]
+
 ASSOCIATION_TYPES = {
     "Imaging": ["mri", "imaging", "ct", "pet", "dti", "wmh", "pvs", "hippocamp", "ventricle"],
     "Cognitive": ["cognitive", "memory", "mmse", "executive", "attention", "language", "processing speed"],

@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litgrid.functions.links import article_and_table, id_table_number, table_link
 from litgrid.functions.text import strip
 
 SPACES = re.compile(r"\s+")
-SCHEMA = "page_id bigint, table_no int, html_id string, label string, caption string, row_idx int, col_idx int, value string"
+SCHEMA = "page_id bigint, table_no int, table_index int, html_id string, label string, caption string, row_idx int, col_idx int, value string"
+#: Slots that one cell may span; a larger one ends with the last row there is, and spans at most WIDEST columns.
+MOST_SLOTS, WIDEST = 10_000, 1000
 
 
 def clean(text: str) -> str:
@@ -29,13 +32,15 @@ class TableParser(HTMLParser):
         self.cell: list[list] = []
         self.into: list[str] = []
         self.wrap = {"id": "", "label": "", "caption": ""}
+        self.wraps = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "table-wrap":
             self.wrap = {"id": a.get("id", ""), "label": "", "caption": ""}
+            self.wraps += 1
         elif tag == "table":
-            table = {"id": self.wrap["id"] or a.get("id", ""), "label": self.wrap["label"], "caption": self.wrap["caption"], "rows": []}
+            table = {"id": self.wrap["id"] or a.get("id", ""), "label": self.wrap["label"], "caption": self.wrap["caption"], "rows": [], "index": self.wraps or len(self.tables) + 1}
             self.tables.append(table)
             self.open.append(table)
             self.wrap = {"id": "", "label": "", "caption": ""}
@@ -77,6 +82,8 @@ def expanded(rows: list[list[list]]) -> list[list[str]]:
     for r, cells in enumerate(rows):
         c = 0
         for text, down, across in cells:
+            if down * across > MOST_SLOTS:
+                down, across = min(down, len(rows) - r), min(across, WIDEST)
             while (r, c) in slots:
                 c += 1
             for y in range(r, r + down):
@@ -96,7 +103,8 @@ def tables_of(html: str) -> list[dict]:
 
 
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, table_no, html_id, label, caption, row_idx, col_idx, value) of all tables on the pages. Header rows are data."""
+    """(page_id, table_no, table_index, html_id, label, caption, row_idx, col_idx, value) of all tables on the pages. Header rows are data; table_index counts
+    wrappers (tables where there are none) from 1, those without a table too."""
 
     def run(batches):
         for batch in batches:
@@ -104,12 +112,15 @@ def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for n, t in enumerate(tables_of(text)):
                     for r, row in enumerate(t["grid"]):
-                        out += [(page, n, t["id"], clean(t["label"]), clean(t["caption"]), r, c, v) for c, v in enumerate(row)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+                        out += [(page, n, t["index"], t["id"], clean(t["label"]), clean(t["caption"]), r, c, v) for c, v in enumerate(row)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [batch.schema.types[0], pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[p.split()[0] for p in SCHEMA.split(", ")])
 
-    return pages.select(F.col(key).cast("bigint"), F.col(html).cast("string")).mapInArrow(run, SCHEMA)
+    # pages are named by a number, or by a path
+    named = dict(pages.dtypes)[key] == "string"
+    slim = pages.select(F.col(key).cast("string" if named else "bigint"), F.col(html).cast("string"))
+    return slim.mapInArrow(run, SCHEMA.replace("page_id bigint", "page_id string") if named else SCHEMA)
 
 
 def pick_table(cells: DataFrame, wanted: str, index: int = 0) -> DataFrame:
@@ -125,6 +136,32 @@ def pick_table(cells: DataFrame, wanted: str, index: int = 0) -> DataFrame:
     return cells.join(best, ["page_id", "table_no"])
 
 
+def described(cells: DataFrame, most: int = 20) -> DataFrame:
+    """(page_id, text): a listing of a page's tables, for messages."""
+    heads = cells.select("page_id", "table_no", "table_index", "html_id", "label", "caption").distinct()
+    dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(c)
+    line = F.concat(F.col("table_index").cast("string"), F.lit(": id="), dash(F.trim("html_id")), F.lit("; label="), dash(F.col("label")), F.lit("; caption="), F.substring(dash(F.col("caption")), 1, 120))
+    per = heads.groupBy("page_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("table_no", line.alias("line")))), 1, most).alias("x"))
+    return per.select("page_id", F.array_join(F.transform("x", lambda x: x["line"]), " | ").alias("text"))
+
+
+def table_links(pages: DataFrame, pmcid: str = "pmcid", html: str = "html") -> DataFrame:
+    """pages with table_links: the distinct addresses of an article's tables, those of anchors first, then others in the page's source."""
+    source, p = F.coalesce(F.col(html), F.lit("")), F.col(pmcid)
+    # The forms of addresses.
+    raw = [F.concat(F.lit("(?i)https?://pmc\\.ncbi\\.nlm\\.nih\\.gov/articles/"), p, F.lit("/table/[^\"'?#\\s>]+/?")), F.concat(F.lit("(?i)/articles/"), p, F.lit("/table/[^\"'?#\\s>]+/?")), F.lit("(?i)/table/[^\"'?#\\s>]+/?"), F.lit("(?i)table/[^\"'?#\\s>]+/?")]
+    anchors = F.regexp_extract_all(source, F.lit("(?i)<a\\s[^>]*href\\s*=\\s*[\"']([^\"']+)"), F.lit(1))
+    found = F.concat(anchors, *[F.regexp_extract_all(source, r, F.lit(0)) for r in raw])
+    return pages.withColumn("table_links", F.array_distinct(F.filter(F.transform(found, lambda x: table_link(x, pmcid)), lambda x: x.isNotNull())))
+
+
+def linked_tables(pages: DataFrame, pmcid: str = "pmcid") -> DataFrame:
+    """(page columns, link, table_id, table_index) of table_links: the number in a table's id, else its place among the links."""
+    each = table_links(pages, pmcid).select("*", F.posexplode("table_links").alias("__at", "link")).drop("table_links")
+    table_id = article_and_table("link")["table_id"]
+    return each.withColumn("table_id", F.coalesce(table_id, F.lit(""))).withColumn("table_index", F.coalesce(id_table_number("table_id"), F.col("__at") + 1)).drop("__at")
+
+
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with text: markup, scripts and styles dropped, entities of the common kind decoded, blank lines collapsed."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style|noscript)\\b.*?</\\1\\s*>", " ")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import os
 import re
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
+from functools import reduce
+from itertools import chain
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litgrid.functions.links import source_table_number
+from litgrid.plans.rules import CURATED_COLUMNS
+from litgrid.sources.html_tables import html_cells
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 CELLS = "path string, table_no int, name string, row_idx int, col_idx int, value string"
 
@@ -47,38 +56,25 @@ def workbook_cells(data: bytes) -> list[tuple[int, str, int, int, str]]:
     return out
 
 
-def workbook(rows_by_sheet: dict[str, list[list]]) -> bytes:
-    """An xlsx file. Numbers stay numbers; None is no cell."""
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
-    def letters(i: int) -> str:
-        out = ""
-        while i >= 0:
-            out, i = chr(65 + i % 26) + out, i // 26 - 1
-        return out
 
-    def cell(r: int, c: int, v) -> str:
-        at = f"{letters(c)}{r + 1}"
-        if isinstance(v, bool) or not isinstance(v, (int, float)):
-            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-        return f'<c r="{at}"><v>{v!r}</v></c>'
-
-    buffer = io.BytesIO()
-    main, rel = MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+def workbook_frame(names: list[str], main: str, rel: str) -> dict[str, str]:
+    """The parts of an xlsx file but its sheets."""
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        sheets = "".join(f'<sheet name="{escape(n)}" sheetId="{k + 1}" r:id="rId{k + 1}"/>' for k, n in enumerate(rows_by_sheet))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for k in range(len(rows_by_sheet))) + "</Types>")
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{k + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{k + 1}.xml"/>' for k in range(len(rows_by_sheet))) + "</Relationships>")
-        for k, rows in enumerate(rows_by_sheet.values()):
-            body = "".join(f'<row r="{r + 1}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows))
-            z.writestr(f"xl/worksheets/sheet{k + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return buffer.getvalue()
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    sheets = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k + 1}" r:id="rId{k + 1}"/>' for k, n in enumerate(names))
+    types = f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>'
+    types += "".join(f'<Override PartName="/xl/worksheets/sheet{k + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for k in range(len(names))) + "</Types>"
+    return {
+        "[Content_Types].xml": types,
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{k + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{k + 1}.xml"/>' for k in range(len(names))) + "</Relationships>",
+    }
+
+
+def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, table_no, name, row_idx, col_idx, value) of workbooks; a file is read whole by one task."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -92,13 +88,12 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, CELLS)
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
     """Cells of delimited files without headers of their own (all text). Lines keep their place in the file."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches):
-        import csv
-
+        csv.field_size_limit(sys.maxsize)
         for batch in batches:
             rows = [(p, 0, "", r, c, v) for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r, line in enumerate(csv.reader(io.StringIO(text or ""), delimiter=separator)) for c, v in enumerate(line)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -108,28 +103,123 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> Data
     return files.mapInArrow(run, CELLS)
 
 
-def tables_from(spark: SparkSession, source: str) -> DataFrame:
-    """Cells of one source by its kind: workbook, comma- or tab-separated file, or pages with tables."""
-    low = source.lower()
-    if low.endswith((".xlsx", ".xlsm")):
-        return read_workbooks(spark, source)
-    if low.endswith((".csv", ".tsv", ".txt")):
-        return read_delimited(spark, source, "," if low.endswith(".csv") else "\t")
-    if low.endswith((".html", ".htm", ".xml", ".nxml")):
-        from litgrid.sources.html_tables import html_cells
-
-        pages = spark.read.text(source, wholetext=True).select(F.monotonically_increasing_id().alias("page_id"), F.col("value").alias("html"), F.col("_metadata.file_path").alias("path"))
-        return html_cells(pages)
-    raise ValueError(f"no reader for {source}")
-
-
-def write_sheet(df: DataFrame, path: str, order: list[str], sheet: str = "curated", most_rows: int = 1_000_000) -> None:
-    """One xlsx file of a report of at most so many rows (a sheet holds no more); larger results go to parquet or csv."""
-    rows = df.orderBy(*order).limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError("too many rows for a sheet; write parquet")
-    with open(path, "wb") as out:
-        out.write(workbook({sheet: [df.columns, *[list(r) for r in rows]]}))
+KINDS = {"workbook": (".xlsx", ".xlsm"), "comma": (".csv",), "tab": (".tsv", ".txt"), "page": (".html", ".htm", ".xml", ".nxml")}
+
+
+def kind_of(source: str) -> str:
+    found = next((k for k, ends in KINDS.items() if source.lower().endswith(ends)), None)
+    if found is None:
+        raise ValueError(f"no reader for {source}")
+    return found
+
+
+def tables_from(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """(path, table_no, row_idx, col_idx, value): cells of sources (files or patterns): workbooks, comma- or tab-separated files, and pages with tables. One read for each kind,
+    however many sources there are."""
+    sources = [source] if isinstance(source, str) else source
+    by_kind: dict[str, list[str]] = {}
+    for s in sources:
+        by_kind.setdefault(kind_of(s), []).append(s)
+    columns, parts = ("path", "table_no", "row_idx", "col_idx", "value"), []
+    for kind, paths in by_kind.items():
+        if kind == "workbook":
+            parts.append(read_workbooks(spark, paths).select(*columns))
+        elif kind == "page":
+            pages = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+            parts.append(html_cells(pages, "path").withColumnRenamed("page_id", "path").select(*columns))
+        else:
+            parts.append(read_delimited(spark, paths, "," if kind == "comma" else "\t").select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def logical_numbers(cells: DataFrame, paper_id: str = "paper_id") -> DataFrame:
+    """cells(path, table_no, paper_id, ...) with logical_no, the number a source's table goes by."""
+    tables = cells.select("path", "table_no", paper_id).distinct()
+    w = Window.partitionBy("path")
+    number = source_table_number(paper_id, "path", F.row_number().over(w.orderBy("table_no")), F.count("*").over(w))
+    return cells.join(tables.select("path", "table_no", number.alias("logical_no")), ["path", "table_no"])
+
+
+def named_rows(cells: DataFrame, names: list[str], key: str = "path") -> DataFrame:
+    """(path, row_idx, names ...): cells of each file's first sheet as rows by the names in its first line; names that a file lacks are NULL."""
+    first = cells.where("table_no = 0")
+    heads = first.where("row_idx = 0").select(key, "col_idx", F.col("value").alias("name")).where(F.col("name").isin(*names))
+    body = first.where("row_idx > 0").join(heads, [key, "col_idx"])
+    return body.groupBy(key, "row_idx").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """A gold file (tab-separated, with names) as text columns."""
+    return spark.read.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
+
+
+def read_predicted(spark: SparkSession, path: str) -> DataFrame:
+    """Curated sheets (.xlsx or .csv; a pattern may name many) as text columns by name, with source_file."""
+    low = path.lower()
+    if not low.endswith((".xlsx", ".csv")):
+        raise ValueError(f"no reader for {path}")
+    cells = read_workbooks(spark, path) if low.endswith(".xlsx") else read_delimited(spark, path)
+    named = named_rows(cells, CURATED_COLUMNS)
+    # a file's simplified cohorts count before its cohorts, blank or not
+    simple = "Cohort_simplified (no counts)"
+    has = cells.where("table_no = 0 and row_idx = 0").groupBy("path").agg(F.max(F.col("value") == simple).alias("__simple"))
+    cohort = F.when(F.col("__simple"), F.col(f"`{simple}`")).otherwise(F.col("Cohort"))
+    return named.join(has, "path").withColumn(simple, cohort).withColumnRenamed("path", "source_file").drop("__simple")
+
+
+def column_letters(i: int) -> str:
+    out = ""
+    while i >= 0:
+        out, i = chr(65 + i % 26) + out, i // 26 - 1
+    return out
+
+
+#: Rows that a sheet can hold, its header included.
+SHEET_ROWS = 1_048_576
+
+
+def write_workbook(path: str, sheets: dict[str, tuple[DataFrame, list[str]]]) -> None:
+    """An xlsx file of reports (DataFrame and order of each sheet). Rows are streamed partition by partition into the file, so the driver holds one partition at a time; a sheet
+    of more rows than it can hold is a ValueError, and belongs into parquet or csv."""
+    part = f"{path}.part"
+    with open(part, "wb") as out:
+        stream_workbook(out, {n: chain([df.columns], (df.orderBy(*order) if order else df).toLocalIterator()) for n, (df, order) in sheets.items()})
+    os.replace(part, path)
+
+
+def workbook(rows_by_sheet: dict[str, list[list]]) -> bytes:
+    """A small xlsx file in memory."""
+    out = io.BytesIO()
+    stream_workbook(out, rows_by_sheet)
+    return out.getvalue()
+
+
+def stream_workbook(out, rows_by_sheet: dict) -> None:
+    """Writes an xlsx file row by row. Numbers stay numbers; None is no cell."""
+    main, rel = MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(r: int, c: int, v) -> str:
+        at = f"{column_letters(c)}{r}"
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or v in (float("inf"), float("-inf")):
+            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", str(v)))}</t></is></c>'
+        return f'<c r="{at}"><v>{v!r}</v></c>'
+
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        for name, data in workbook_frame(list(rows_by_sheet), main, rel).items():
+            z.writestr(name, data)
+        for k, rows in enumerate(rows_by_sheet.values()):
+            with z.open(f"xl/worksheets/sheet{k + 1}.xml", "w", force_zip64=True) as part:
+                part.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for r, row in enumerate(rows, 1):
+                    if r > SHEET_ROWS:
+                        raise ValueError("too many rows for a sheet; write parquet")
+                    part.write((f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v is not None and v == v) + "</row>").encode())
+                part.write(b"</sheetData></worksheet>")
+
+
+def write_sheet(df: DataFrame, path: str, order: list[str], sheet: str = "curated") -> None:
+    """One xlsx file of one sheet."""
+    write_workbook(path, {sheet: (df, order)})
 
 
 PUBLICATION = "struct<MedlineCitation:struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<struct<_Label:string,_VALUE:string>>>,PublicationTypeList:struct<PublicationType:array<struct<_VALUE:string>>>,Journal:struct<JournalIssue:struct<PubDate:struct<Year:string,MedlineDate:string>>>>,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:struct<_VALUE:string>,QualifierName:array<struct<_VALUE:string>>>>>>>"

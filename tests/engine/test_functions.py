@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from litgrid.functions import links as lk
 from litgrid.functions import numbers as num
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, headers, scoring
@@ -16,8 +17,8 @@ def each(spark, values, make):
 @pytest.mark.parametrize(
     ("make", "pairs"),
     [
-        (num.safe_float, {"4.2 x 10^-5": 4.2e-5, "-4.2 x 10^-5": 4.2e-5, "1e-5": 1e-5, "5×10−8": 5e-8, "n.s.": None, None: None, "3 * 10 8": 3e8, "P=2 x 10^-3 *": 2e-3}),
-        (num.norm_num, {"-4.2 x 10^-5": -4.2e-5, "19.0": 19.0, "1_000": None, "abc": None, None: None, "0.1234567890123456": 0.123456789012}),
+        (num.safe_float, {"4.2 x 10^-5": 4.2e-5, "-4.2 x 10^-5": 4.2e-5, "1e-5": 1e-5, "5×10−8": 5e-8, "n.s.": None, None: None, "3 * 10 8": 3e8, "P=2 x 10^-3 *": 2e-3, "rs110103": None, "ns 2100": None, "p=0.1035 ns": None, "4 X 10^-5": 4e-5, "- 5": -5.0}),
+        (num.norm_num, {"-4.2 x 10^-5": -4.2e-5, "19.0": 19.0, "1_000": None, "abc": None, None: None, "0.1234567890123456": 0.123456789012, "4 X 10^-5": 4e-5, "1 e -5": 1e-5, "1 e-5": 1e-5, "+2x10^3": 2000.0}),
         (num.effect_of, {"1.26 (0.83-1.92)": 1.26, "0.164 (0.04)": 0.164, "−0.5": -0.5, "": None, "4.2x10-5": 4.2}),
         (lambda c: num.interval_of(c, F.lit("OR")), {"1.26 (0.83-1.92)": "(0.83-1.92)", "1.2 (0.1)": "", "x": ""}),
         (lambda c: num.interval_of(c, F.lit("Beta")), {"0.164 (0.04-0.1)": ""}),
@@ -51,13 +52,33 @@ def each(spark, values, make):
         (num.is_neg_log, {"-log10(P)": True, "P": False, "−log10(p)": True}),
         (lambda c: headers.p_value_tier(c), {"Meta P": 1, "P joint": 2, "P value all": 3, "p": 4, "het P": None, "x P-value": 5, "-log10 P": 6, "P GxAge": 7, "pf": None}),
         (headers.effect_type, {"β": "Beta", "OR (95% CI)": "OR", "HR": "HR", "Z score": "Zscore", "N": "NR"}),
-        (lambda c: context.stage(c)["value"], {"A meta-analysis": "Meta-analysis", "pooled": "Joint-analysis", "stage 1 only": "Stage 1", "nothing": "NR"}),
+        (lambda c: context.stage(c)["value"], {"A meta-analysis": "Meta-analysis", "pooled": "Joint-analysis", "stage 1 only": "Stage 1/2", "validate": "Replication/Validation", "a gwas": "Discovery", "nothing": "NR"}),
+        (lambda c: context.model_type(c)["value"], {"logistic, adjusted": "logistic regression (with covariates)", "mixed model": "mixed regression", "only sex": "model with covariates (family NR)", "x": "NR"}),
+        (lambda c: context.imputation(c)["value"], {"1000genomes and TOPMed": "1000G;TOPMed", "hrc": "HRC", "x": "NR"}),
+        (lambda c: F.concat_ws("|", context.imputation(c)["evidence"], context.imputation(c)["rule"]), {"the hrc": "the hrc|panel keyword detection (TOPMed/HRC/1000G)", "x": "|no imputation keywords found"}),
+        (lambda c: context.association_type(c)["evidence"], {"by MRI\nscan": "by MRI scan", "x": ""}),
+        (lambda c: F.concat_ws("|", *[context.publication_ids(c)[k] for k in ("pmcid", "pmid", "evidence")]), {"PMCID: PMC12345 and PMID 1234567": "PMC12345|1234567|PMCID: PMC12345 and PMID 1234567", "see pmc9999": "PMC9999|NR|see pmc9999", "x": "NR|NR|"}),
         (lambda c: context.population(c)["value"], {"Europeans and Asians": "European ancestry", "trans-ethnic": "Multi-ethnic", "": "NR"}),
         (lambda c: context.sample_size(c)["value"], {"N = 12,345": "12345", "1,234 cases": "1234", "12 cases": "NR"}),
         (lambda c: scoring.table_score(c)[0], {"Gene P-value OR": 10, "number of genes": -1, "Age": 0}),
         (lambda c: F.array_join(context.snippets(c, ["b", "Z"], 3, 8), "|"), {"aaaabaaaa": "aaabaaa", "none": "", "b......b": "b...|...b", "zb": "zb"}),
         (lambda c: enrich.cell_check("P-value", c)["status"], {"2": "issue", "1e-5": "ok", "": "issue"}),
-        (lambda c: enrich.cell_check("Chr", c)["status"], {"X": "ok", "23": "review", "NR": "review"}),
+        (lambda c: enrich.cell_check("Chr", c)["status"], {"X": "ok", "23": "review", "NR": "review", "chr19": "ok", "19.0": "ok", "MT": "ok"}),
+        (lambda c: enrich.cell_check("TopSNP", c)["status"], {"gene": "issue", "rs1; rs2": "ok", "": "issue", "rs7": "ok"}),
+        (lambda c: enrich.cell_check("RA 1(Reported Allele 1)", c)["status"], {"A/G": "ok", "AC": "review", "t": "ok", "": "review"}),
+        (lambda c: F.array_join(enrich.cell_check("P-value", c)["issues"], ","), {"x": "p-value is not numeric", "2": "p-value is outside 0-1", "NR": "missing required value", "0.5": ""}),
+        (lambda c: F.concat_ws("|", lk.article_and_table(c)["pmcid"], lk.article_and_table(c)["table_id"]), {"https://x/articles/pmc12/table/T2/": "PMC12|T2", "/articles/PMC3": "PMC3", "x": ""}),
+        (lambda c: lk.table_link(c, F.lit("PMC1")), {"/articles/PMC1/table/T1": f"{lk.SITE}/articles/PMC1/table/T1/", "table/x#y": f"{lk.SITE}/articles/PMC1/table/x/", "/table/z/?q": f"{lk.SITE}/articles/PMC1/table/z/", "/articles/PMC2/table/T1/": None, "": None}),
+        (lambda c: lk.article_page(c, F.lit("PMC1")), {"http://a/articles/pmc1/": "http://a/articles/pmc1/", "x": f"{lk.SITE}/articles/PMC1/"}),
+        (lambda c: lk.link_table_number(c, F.lit(9)), {"/articles/PMC1/table/T3/": 3, "/table/a-tbl-02": 2, "x?table_id=T4": 4, "/table/q-T5/": 5, "x": 9}),
+        (lk.id_table_number, {"T02": 2, "tbl3": 3, "x-t4": 4, "a5": 5, "x": None}),
+        (lk.special_page_id, {"awz206-T1": True, "at1": True, "1": False, "": False}),
+        (lk.sheet_pmid, {"/a/from_12_table3_v1.xlsx": "12", "x": ""}),
+        (lk.sheet_table_number, {"from_12_table3_v1.xlsx": 3, "x": 1}),
+        (lambda c: lk.editor_value("P-value", c), {"0.000012345678": "1.23457e-05", "0.5": "0.5", "1e-300": "1e-300", "1234567": "1.23457e+06", "x": "x", "100000": "100000", "0.00012": "0.00012", None: "", "12.50": "12.5"}),
+        (lambda c: lk.safe_tag(c), {"a b/c": "a_b_c", "": "run", None: "run"}),
+        (lambda c: lk.joined_levels(F.split(c, ";")), {"A; nan;B ": "A | B", ";": ""}),
+        (lambda c: F.map_values(lk.link_numbers(F.split(c, ","))), {"/table/T2,/table/T1,/table/T2/": ["/table/T1", "/table/T2/"]}),
     ],
 )
 def test_scalars(spark, make, pairs):
@@ -101,8 +122,10 @@ def test_cohorts_by_row_then_table_then_text(spark):
     body = "Data of ADGC. " + "x" * 3000 + " Table 1 shows IGAP and IGAP. " + "y" * 3000 + " ADGC ADGC ADGC"
     rows = [(1, "from adni", body, "Table 1"), (2, "", body, "Table 1"), (3, "", body, "Table 9"), (4, None, "HRS once", "Table 1"), (5, "", None, None)]
     df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
-    got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"]) for r in context.record_cohorts(df, "own", "body", "tab").collect()}
-    assert got == {1: ("ADNI", 0.9), 2: ("IGAP", 0.8), 3: ("ADGC", 0.6), 4: ("HRS", 0.45), 5: ("NR", 0.25)}
+    rows += [(6, "adni of adgc", "", ""), (7, "an eqtl row", "HRS once", ""), (8, "ad association", None, None), (9, "", "ADGC and IGAP", "")]
+    df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
+    got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"], r["cohort_found"]["needs_review"]) for r in context.record_cohorts(df, "own", "body", "tab").collect()}
+    assert got == {1: ("ADNI", 0.9, False), 2: ("IGAP", 0.8, False), 3: ("ADGC;IGAP", 0.45, True), 4: ("HRS", 0.6, True), 5: ("NR", 0.25, True), 6: ("ADGC;ADNI", 0.65, True), 7: ("HRS;ADNI", 0.45, True), 8: ("IGAP", 0.6, True), 9: ("ADGC;IGAP", 0.45, True)}
 
 
 def test_snippets_query_keeps_eight_wide_ones(spark, tmp_path):
@@ -112,4 +135,4 @@ def test_snippets_query_keeps_eight_wide_ones(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "none")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n"], r["first"]) for r in queries.snippets(spark, str(tmp_path)).collect()}
     at = text.index("password")
-    assert got == {1: (8, text[at - 240 : at + 8 + 240].strip()), 2: (0, "")}
+    assert got == {1: (8, text[at - 240 : at + 8 + 240]), 2: (0, "")}
