@@ -174,3 +174,11 @@ def map_to_prompts(headers: DataFrame, prompts: dict[str, str] | None = None, th
     best = scored.groupBy("name").agg(F.max_by(F.struct("target", "score"), F.struct("score", (-F.col("place")).alias("first"))).alias("b"))
     sure = F.col("b.score") >= threshold
     return best.select("name", F.when(sure, F.col("b.target")).otherwise(F.lit("UNMAPPED")).alias("mapped"), F.col("b.score").alias("score"), (~sure).alias("needs_review"))
+
+
+def table_type(cells: DataFrame) -> DataFrame:
+    """(table_id, kind) by the words of a table's first row."""
+    text = F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]), " "))
+    first = cells.where("row_idx = 0").groupBy("table_id").agg(text.alias("t"))
+    has = lambda w: F.contains(F.col("t"), F.lit(w))
+    return first.select("table_id", F.when(has("hazard") | has("hr"), "survival").when(has("or") & has("p"), "or_table").when(has("beta") | has("β"), "beta_table").otherwise("unknown").alias("kind"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litgrid.plans import oracles
+from litgrid.plans import more_oracles, more_queries, oracles
 from litgrid.plans import queries as own
 
 
 def queries() -> dict:
-    return own.queries()
+    return own.queries() | more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | more_oracles.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
