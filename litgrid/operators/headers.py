@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions.numbers import is_neg_log
-from litgrid.functions.text import collapse, normalize, strip, tokens
+from litgrid.functions.text import collapse, expand_abbreviations, normalize, strip
 from litgrid.plans import rules
 
 
@@ -148,11 +148,16 @@ def roles(columns: DataFrame, patterns: dict[str, list[str]] | None = None) -> D
     return found.select("table_id", F.explode("roles").alias("r")).where("r.at is not null").select("table_id", "r.role", "r.at.col_idx", "r.at.name")
 
 
+def spelt_out(c: Column | str) -> Column:
+    """Distinct words with abbreviations spelt out; capitals of the long forms part words (a quirk kept)."""
+    return F.array_distinct(F.filter(F.split(expand_abbreviations(normalize(c)), "[^a-z0-9]+"), lambda x: x != ""))
+
+
 def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with score: the larger of the matching-blocks ratio of the normalised texts and the Jaccard of their words.
 
     The ratio has no built-in; it runs in Arrow batches over distinct headers only."""
-    shown = pairs.withColumns({"__a": normalize(a), "__b": normalize(b), "__ta": tokens(a), "__tb": tokens(b)})
+    shown = pairs.withColumns({"__a": normalize(a), "__b": normalize(b), "__ta": spelt_out(a), "__tb": spelt_out(b)})
     union = F.size(F.array_union("__ta", "__tb"))
     jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("__ta", "__tb")).cast("double"), union.cast("double")), F.lit(0.0))
 
@@ -166,14 +171,17 @@ def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def map_to_prompts(headers: DataFrame, prompts: dict[str, str] | None = None, threshold: float = 0.4) -> DataFrame:
-    """headers(name): the best reference column of each; below the threshold UNMAPPED and for review. The prompts are a fixed, short list."""
+    """headers(name): the best reference column of each, of any of its levels between bars (hint), the first of equals; below the threshold UNMAPPED and for review. The prompts
+    are a fixed, short list."""
     prompts = prompts or rules.COLUMN_PROMPTS
     items = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("target"), F.lit(f"{k}: {v}").alias("prompt")) for i, (k, v) in enumerate(prompts.items())])
-    pairs = headers.select("name").distinct().select("name", F.explode(items).alias("x")).select("name", "x.*")
-    scored = similarity(pairs, "name", "prompt").withColumn("score", F.round("score", 4))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("target", "score"), F.struct("score", (-F.col("place")).alias("first"))).alias("b"))
+    levels = F.filter(F.transform(F.split("name", "\\|"), strip), lambda x: x != "")
+    options = F.when(F.contains("name", F.lit("|")), levels).otherwise(F.array("name"))
+    pairs = headers.select("name").distinct().select("name", F.posexplode(options).alias("level", "hint")).select("name", "level", "hint", F.explode(items).alias("x")).select("name", "level", "hint", "x.*")
+    scored = similarity(pairs, "hint", "prompt")
+    best = scored.groupBy("name").agg(F.max_by(F.struct("target", "score", "hint"), F.struct("score", (-F.col("level")).alias("l"), (-F.col("place")).alias("p"))).alias("b"))
     sure = F.col("b.score") >= threshold
-    return best.select("name", F.when(sure, F.col("b.target")).otherwise(F.lit("UNMAPPED")).alias("mapped"), F.col("b.score").alias("score"), (~sure).alias("needs_review"))
+    return best.select("name", F.when(sure, F.col("b.target")).otherwise(F.lit("UNMAPPED")).alias("mapped"), F.round("b.score", 4).alias("score"), (~sure).alias("needs_review"), F.when(F.col("b.score") > 0, F.col("b.hint")).otherwise("").alias("hint"))
 
 
 def table_type(cells: DataFrame) -> DataFrame:

@@ -132,10 +132,11 @@ case when h then 'Imaging' else 'NR' end as association from f""",
     "sectionize": """with d as (select doc_id, lang, source, cast(n_chars as varchar) as n from documents) select doc_id, 'methods' as section, 'A ' || lang as content from d union all select doc_id, 'results', 'B ' || source || chr(10) || 'C' from d
 union all select doc_id, 'supplement', n from d union all select doc_id, 'all', concat_ws(chr(10), 'Intro', 'Intro', 'A ' || lang, 'B ' || source, 'C', n) from d""",
     "snippets": """with t as (select doc_id, text, lower(text) as l from documents),
-m as (select doc_id, text, w, i, unnest(list_transform(range(1, len(string_split(l, w))), lambda k: len(array_to_string(string_split(l, w)[1:k], w)))) as at from t, (values ('@mail', 1), ('password', 2)) v(w, i)),
-s as (select doc_id, i, at, replace(substr(text, greatest(at - 240, 0) + 1, least(at, 240) + len(w) + 240), chr(10), ' ') as s from m),
-d as (select *, row_number() over (partition by doc_id, substr(s, 1, 200) order by i, at) as nth from s),
-r as (select *, row_number() over (partition by doc_id order by i, at) as k from d where nth = 1)
+x as (select doc_id, text, w, i, unnest(string_split(l, w)) as piece, generate_subscripts(string_split(l, w), 1) as k, len(string_split(l, w)) as pieces from t, (values ('@mail', 1), ('password', 2)) v(w, i)),
+m as (select doc_id, text, w, i, k, pieces, cast(sum(len(piece) + len(w)) over (partition by doc_id, i order by k) as bigint) - len(w) as p from x),
+s as (select doc_id, i, p, replace(substr(text, greatest(p - 240, 0) + 1, least(p, 240) + len(w) + 240), chr(10), ' ') as s from m where k < pieces),
+d as (select *, row_number() over (partition by doc_id, substr(s, 1, 200) order by i, p) as nth from s),
+r as (select *, row_number() over (partition by doc_id order by i, p) as k from d where nth = 1)
 select documents.doc_id, cast(least(count(r.s), 8) as bigint) as n, coalesce(max(case when k = 1 then s end), '') as first from documents left join r on documents.doc_id = r.doc_id group by documents.doc_id""",
     "vocab_canonical": """select c_custkey, case when c_custkey % 2 = 0 then 'PENN;ADGC;IGAP;HRS' else 'PENN;HRS' end as cohort, case when c_custkey % 3 = 0 then 'HRC;1000G' else '1000G' end as panel, case when c_custkey % 2 = 0 then 'Meta' else 'Joint' end as kind,
 'minor allele frequency of effect allele; hrcx' as expanded from customer""",

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from litgrid.functions import links as lk
 from litgrid.functions import numbers as num
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, headers, scoring
+from litgrid.plans import rules
 
 
 def each(spark, values, make):
@@ -86,6 +88,35 @@ def test_scalars(spark, make, pairs):
         assert got == pytest.approx(want) if isinstance(want, float) else got == want, value
 
 
+def test_headers_map_to_the_most_similar_prompt(spark):
+    """Against a plain version: the larger of the matching-blocks ratio and the word Jaccard, over the levels of a header and all prompts in order."""
+    from difflib import SequenceMatcher
+
+    names = ["SNP", "P value", "Chr | Position", "meta P | zzz", "Nearest gene", "EAF", "qqqq", "Effect (OR)", "95% CI", "|", "Sample size"]
+    norm = lambda t: " ".join(t.split()).lower()
+
+    def words(t):
+        t = norm(t)
+        for short, long in rules.ABBREVIATIONS.items():
+            t = re.sub(rf"(?i)\b{short}\b", long, t)
+        return set(re.findall(r"[a-z0-9]+", t))
+
+    want = {}
+    for name in names:
+        best = (0.0, "UNMAPPED", "")
+        for option in [p.strip() for p in name.split("|") if p.strip()] if "|" in name else [name]:
+            for target, about in rules.COLUMN_PROMPTS.items():
+                prompt = f"{target}: {about}"
+                a, b = words(option), words(prompt)
+                score = max(SequenceMatcher(None, norm(option), norm(prompt)).ratio(), len(a & b) / len(a | b) if a and b else 0.0)
+                if score > best[0]:
+                    best = (score, target, option)
+        want[name] = (best[1] if best[0] >= 0.4 else "UNMAPPED", round(best[0], 4), best[0] < 0.4, best[2])
+    want.pop("|")  # no level, no row
+    got = {r["name"]: (r["mapped"], r["score"], r["needs_review"], r["hint"]) for r in headers.map_to_prompts(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == want
+
+
 def test_missing_text_matches_and_missing_numbers_do_not(spark):
     rows = [("rs1", None, None), ("rs1", None, None), ("rs1", "1", 0.5), ("rs1", "1", math.nan), ("rs2", None, 0.1)]
     df = spark.createDataFrame(rows, "snp string, chr string, p double")
