@@ -51,5 +51,29 @@ from d join reach on d.r = reach.r join d other on other.r = reach.t left join n
 """
 
 
+BASE_LM = rf"""
+with t as (select doc_id, unnest(list_append(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+'), chr(10))) as w from documents),
+c as (select w, count(*) as c from t where doc_id % 7 <> 2 group by w),
+m as (select cast(sum(c) as bigint) as n, count(*) as v from c)
+select doc_id, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 1)::double / (n + v + 1))), 4) as base_score from t left join c using (w), m group by doc_id
+"""
+
+
+BASE_QUALITY = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 1)) as p from d where len(w) > 2),
+k as (select doc_id, p, count(*) over (partition by doc_id, w[p], w[p + 1], w[p + 2]) as n from p),
+r as (select doc_id, count(distinct q) as n from (select doc_id, unnest([p, p + 1, p + 2]) as q from k where n > 1) group by doc_id),
+l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+c as (select d.doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from d left join r on d.doc_id = r.doc_id left join l on d.doc_id = l.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+"""
+
+
+BASE_SHARDING = """
+select cast(40 as bigint) as n_shards, count(*) as n, cast(sum(coalesce(octet_length(encode(text)), 0) + 16) as bigint) as size, count(*) as slots, count(*) as distinct_slots, cast(0 as bigint) as texts_in_several from documents
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4, "op6_decontamination": OP6, "op8_mixing": OP8}
+    return {"base_of_lm_scoring": BASE_LM, "base_of_quality_rules": BASE_QUALITY, "base_of_sharding": BASE_SHARDING, "op4_jaccard_join": OP4, "op6_decontamination": OP6, "op8_mixing": OP8}

@@ -56,6 +56,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def base_of_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact counts of op3's operator, learnt from documents that SQL can name."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_scoring.fit_and_score(docs, docs.where("doc_id % 7 <> 2"))
+    return found.select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_of_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op10's operator."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_of_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9's result: rows, sizes, shards, gapless slots, and texts in one shard only."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = op9_sharding(spark, sf_dir)
+    per = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("size"), (F.max("slot") + 1).alias("slots"), F.count_distinct("slot").alias("distinct_slots"))
+    split = placed.join(docs, "doc_id").groupBy("text").agg(F.count_distinct("shard").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("texts_in_several"))
+    total = per.agg(F.count("*").alias("n_shards"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("slots").alias("slots"), F.sum("distinct_slots").alias("distinct_slots"))
+    return total.join(F.broadcast(split))
+
+
+#: Parts of operators' results that SQL can express, beside the operators' own queries.
+BASES = (base_of_lm_scoring, base_of_quality_rules, base_of_sharding)
+
 OPERATORS = (
     op1_language_id,
     op2_importance_resampling,
@@ -71,4 +96,4 @@ OPERATORS = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in OPERATORS + BASES}
