@@ -8,7 +8,7 @@ narrowing a histogram, so nothing but bucket counts reaches the driver.
 
 The target model may be fitted on at most `most_labels` labelled rows (those of the smallest hash); counts of raw text cover all documents.
 
-Cases: null and wordless texts have no n-grams and weight 0; null ids and labels are no targets; ties at the k-th place go to the smaller hash, then to the smaller id;
+Cases: null and wordless texts have no n-grams and weight 0; null ids and labels are no targets; ties at the k-th place are copies of one row, of which any are drawn;
 with no target rows all weights are 0; empty tables give no rows; repeated rows are drawn one by one; extra columns are ignored.
 """
 
@@ -132,13 +132,13 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets:
     if not k:
         return keyed.select("doc_id", "n_features", "log_weight", "gumbel_key", F.lit(False).alias("selected"))
     edge, places = kth_largest(keyed.select(F.col("gumbel_key").alias("key")), k)
-    # rows whose noisy weights are equal to the last bit: only copies of one row
-    ties = keyed.where(F.col("gumbel_key") == edge).select((-F.row_number().over(tie_window())).cast("double").alias("key"), "row")
-    inside = (F.col("gumbel_key") > edge) | F.coalesce("tied", F.lit(False))
-    chosen = ties.where(F.col("key") >= -places).select("row", F.lit(True).alias("tied"))
+    # rows whose noisy weights are equal to the last bit are copies of one row: they are numbered by partition, however many they are
+    parted = keyed.withColumn("part", F.spark_partition_id())
+    tied = F.col("gumbel_key") == edge
+    held = parted.where(tied).groupBy("part").agg(F.count("*").alias("n"))
+    bases = held.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row for each partition
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("h", F.col("doc_id").asc_nulls_last(), "row"))
+    chosen = parted.where(tied).withColumn("nth", nth).join(F.broadcast(bases), "part").where(F.col("base") + F.col("nth") <= places).select("row", F.lit(True).alias("chosen"))
+    inside = (F.col("gumbel_key") > edge) | F.coalesce("chosen", F.lit(False))
     return keyed.join(chosen, "row", "left").select("doc_id", "n_features", "log_weight", "gumbel_key", inside.alias("selected"))
 
-
-def tie_window():
-    return Window.partitionBy(F.lit(0)).orderBy("h", F.col("doc_id").asc_nulls_last(), "row")
-

@@ -423,6 +423,16 @@ def test_resampling_draws_the_largest_keys(docs, rows):
     assert sum(target) / len(target) > sum(r["log_weight"] for r in found) / len(found)
 
 
+def test_copies_at_the_edge_are_drawn_as_often_as_there_are_places(spark, docs):
+    rows = [(1, "a b c")] * 500 + [(2, "x y z")] * 500
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(9, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for share in (0.1, 0.5, 0.7):
+        drawn = importance_resampling.resample(frame, labels, share=share).where("selected").groupBy("doc_id").count().collect()
+        counts = sorted((r["count"] for r in drawn), reverse=True)
+        assert sum(counts) == round(share * 1000) and counts[0] == min(500, round(share * 1000))
+
+
 def test_weights_tell_held_out_quality(docs):
     spark = docs.sparkSession
     sf = "/root/testdata/sf0.01"
