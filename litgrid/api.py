@@ -161,7 +161,7 @@ def record_audit() -> Column:
 
 
 def evaluate(curated: DataFrame, reference: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """summary, fields and sets of curated records (by the sheet's names) against a gold table (by its names)."""
+    """summary, fields and sets of curated records (by the sheet's names) against a gold table (by its names). The records are read several times: give stored ones, as run does."""
     pred = align.scoped(gold.canonical_predicted(curated), settings.scope)
     return align.evaluate(pred, gold.canonical_gold(reference), settings.mode, settings.ignored)
 

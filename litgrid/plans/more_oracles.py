@@ -114,7 +114,10 @@ select cast(n_regionkey as bigint) as page_id, string_agg(r || ': id=T' || n_nat
     "publication_list": f"""with {PUBLICATIONS} select cast(pub.doc_id as varchar) as pmid, '2020' as year, title, case when type = 'review' then 'Review' else 'Article' end as publication_types, case when pub.doc_id % 3 = 0 then 'Tau  proteins' else source end || '; b' as mesh_terms, 4 as score, true as is_alzheimers_relevant, 'r' as reason from pub join documents d on pub.doc_id = d.doc_id""",
     "layout_records": f"""with s as (select cast(s_nationkey as int) as table_id, cast(s_suppkey as int) as row_idx, s_suppkey as k, s_nationkey % 9 as kind0 from supplier), u as ({" union all ".join(LAYOUTS)})
 select table_id, row_idx, cast(kind as int) as layout, cast(sub_no as int) as sub_no, top_snp, grp, effect::double as effect, p::double as p, effect_type, confidence::double as confidence, rest from u""",
-    "opened_sheet": "select cast(n_nationkey as varchar) as n_nationkey, n_name, case when n_nationkey % 2 = 0 then 'c' else '' end as n_comment, cast(7 as bigint) as row_count from nation where n_nationkey < 7",
+    "subgroup_records": """with s as (select s_nationkey as table_id, s_suppkey as k, s_nationkey % 2 = 0 as e, unnest(['male group', 'female group']) as grp from supplier)
+select table_id, cast(k + 1 as bigint) as row_idx, 'rs' || k as top_snp, grp, case when grp = 'male group' then 1.5::double else 1.25 end as effect, case when grp = 'male group' then '(1.1-1.9)' else '' end as ci, case when grp = 'male group' then 0.5::double else 0.25 end as p, 'OR' as effect_type,
+case when e then 'C' else 'G' end as ra1, case when e then 'T' else 'A' end as ra2, case when e then '0.25' else '' end as maf from s where grp = 'male group' or k % 3 <> 0""",
+    "sheet_opened": "select cast(n_nationkey as varchar) as n_nationkey, n_name, case when n_nationkey % 2 = 0 then 'c' else '' end as n_comment, cast(7 as bigint) as row_count from nation where n_nationkey < 7",
     "filled_gaps": "select 0 as col_idx, lang as value, count(*) as n from documents group by lang union all select 1, source, count(*) from documents group by source",
 }
 

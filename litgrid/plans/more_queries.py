@@ -310,7 +310,18 @@ def layout_records(spark, sf_dir):
     return found.select("table_id", "row_idx", "layout", "sub_no", "top_snp", "grp", "effect", "p", "effect_type", "confidence", F.concat_ws("|", "chrom", "bp", "ra1", "ra2", "locus", "ci", "sample_size", "cohort", "notes", "p_note").alias("rest"))
 
 
-def opened_sheet(spark, sf_dir):
+def subgroup_records(spark, sf_dir):
+    """Suppliers in tables with two subgroups, alleles and frequencies in one column (even nations) or in columns of their own."""
+    s = read(spark, sf_dir, "supplier")
+    even, k = F.col("s_nationkey") % 2 == 0, F.col("s_suppkey")
+    values = F.array(F.concat(F.lit("rs"), k), F.when(even, "C/T (0.25)").otherwise("G/A"), F.lit("1.5 (1.1-1.9)"), F.lit("0.5"), F.when(k % 3 == 0, "").otherwise("1.25"), F.when(k % 3 == 0, "").otherwise("0.25"))
+    rows = s.select(F.col("s_nationkey").alias("table_id"), (k + 1).alias("row_idx"), F.posexplode(values).alias("col_idx", "value"))
+    columns = s.select("s_nationkey", even.alias("e")).distinct().select(F.col("s_nationkey").alias("table_id"), F.posexplode(F.array(F.lit("SNP"), F.when(F.col("e"), "A1/A2a (MAF)").otherwise("EA/OA"), *[F.lit(f"{g} group | {m}") for g in ("male", "female") for m in ("OR", "P")])).alias("col_idx", "name"))
+    found = extract.records(rows, columns)
+    return found.select("table_id", F.col("row_idx").cast("bigint").alias("row_idx"), "top_snp", "grp", "effect", "ci", "p", "effect_type", "ra1", "ra2", "maf")
+
+
+def sheet_opened(spark, sf_dir):
     n = read(spark, sf_dir, "nation").withColumn("n_comment", F.when(F.col("n_nationkey") % 2 == 0, F.lit("c")))
     return review.opened(n.select("n_nationkey", "n_name", "n_comment"), ["n_nationkey"], 7)
 
@@ -323,7 +334,7 @@ def filled_gaps(spark, sf_dir):
 
 QUERIES = (
     table_addresses, editor_values, source_numbers, header_levels, publication_ids, paper_findings, cohort_of_rows, validation_issues, gold_canonical, predicted_canonical, gold_papers, evaluation_summary, evaluation_fields, evaluation_sets, evaluation_view, golden_rows, golden_names, golden_columns,
-    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, opened_sheet, filled_gaps,
+    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps,
 )
 
 

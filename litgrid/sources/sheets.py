@@ -140,9 +140,9 @@ def logical_numbers(cells: DataFrame, paper_id: str = "paper_id") -> DataFrame:
     return cells.join(tables.select("path", "table_no", number.alias("logical_no")), ["path", "table_no"])
 
 
-def named_rows(cells: DataFrame, names: list[str], key: str = "path") -> DataFrame:
-    """(path, row_idx, names ...): cells of each file's first sheet as rows by the names in its first line; names that a file lacks are NULL."""
-    first = cells.where("table_no = 0")
+def named_rows(cells: DataFrame, names: list[str], key: str = "path", sheet: str | None = None) -> DataFrame:
+    """(path, row_idx, names ...): cells of each file's first sheet, or of the one of that title, as rows by the names in its first line; names that a file lacks are NULL."""
+    first = (cells.where("table_no = 0") if sheet is None else cells.where(F.col("name") == sheet)).select(key, "row_idx", "col_idx", "value")
     heads = first.where("row_idx = 0").select(key, "col_idx", F.col("value").alias("name")).where(F.col("name").isin(*names))
     body = first.where("row_idx > 0").join(heads, [key, "col_idx"])
     return body.groupBy(key, "row_idx").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
@@ -167,6 +167,18 @@ def read_predicted(spark: SparkSession, path: str) -> DataFrame:
     return named.join(has, "path").withColumn(simple, cohort).withColumnRenamed("path", "source_file").drop("__simple")
 
 
+# The columns of an evaluation report's sheets.
+SUMMARY_COLUMNS = ["file", "status", "key_cols", "n_pred_rows", "n_gold_rows", "row_precision", "row_recall", "row_f1"]
+ACCURACY_COLUMNS = ["metric_set", "fields", "precision", "recall", "f1"]
+
+
+def read_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Evaluation reports (a pattern may name many): their sheets' titles, summary, field_accuracy, and counts by reason of both lists of unmatched rows."""
+    cells = read_workbooks(spark, path)
+    reasons = [named_rows(cells, ["reason"], sheet=s).groupBy("path", F.coalesce("reason", F.lit("unmatched")).alias("reason")).agg(F.count("*").alias("count")).withColumn("sheet", F.lit(s)) for s in ("missing_from_prediction", "extra_prediction")]
+    return {"sheets": cells.select("path", "table_no", "name").distinct(), "summary": named_rows(cells, SUMMARY_COLUMNS, sheet="summary"), "field_accuracy": named_rows(cells, ACCURACY_COLUMNS, sheet="field_accuracy"), "reasons": reasons[0].unionByName(reasons[1])}
+
+
 def column_letters(i: int) -> str:
     out = ""
     while i >= 0:

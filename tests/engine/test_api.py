@@ -20,10 +20,12 @@ def raw(spark, rows, table=1, paper="30448613"):
     return spark.createDataFrame(cells, "table_id int, row_idx int, col_idx int, value string, paper_id string")
 
 
-def test_curate_and_evaluate(spark):
+def test_curate_and_evaluate(spark, tmp_path):
     papers = spark.createDataFrame([("30448613", PAPER), ("2", "nothing")], "paper_id string, text string")
     table = raw(spark, [["rs1a", "19", "100", "APOE", "C/T", "1.26 (1.1-1.4)", "4.2 x 10^-5", "ADGC"], ["rs2", "2", "200", "BIN1", "A/G", "0.9", "0.01", ""]])
-    got = {r["RecordID"]: r for r in api.curate(papers, table).collect()}
+    api.curate(papers, table).write.parquet(str(tmp_path / "curated"))
+    curated = spark.read.parquet(str(tmp_path / "curated"))
+    got = {r["RecordID"]: r for r in curated.collect()}
     assert set(got) == {"30448613_R00001", "30448613_R00002", "2_R00001"}
     one = got["30448613_R00001"]
     assert (one["TopSNP"], float(one["EffectSize(altvsref)"]), one["95%ConfidenceInterval"], one["Population"], one["Sample size"], one["Cohort"], one["Imputation_simple2"]) == ("rs1", 1.26, "(1.1-1.4)", "European ancestry", "12345", "ADGC", "HRC")
@@ -35,7 +37,7 @@ def test_curate_and_evaluate(spark):
     shell = got["2_R00001"]
     assert (shell["TopSNP"], shell["Stage"], shell["PaperIDX"], shell["confidence"]) == ("NR", "NR", "2", 0.25)
     gold = spark.createDataFrame([("30448613", "rs1", "chr19", "4.2e-5", "1.26"), ("30448613", "rs3", "chr1", "0.5", "1.0")], "`Pubmed PMID` string, `Top SNP` string, `#dbSNP_hg38_chr` string, `P-value` string, OR_nonref string")
-    scores = api.evaluate(api.curate(papers, table), gold, api.Settings("x"))["summary"].first()
+    scores = api.evaluate(curated, gold, api.Settings("x"))["summary"].first()
     assert (scores["status"], scores["key_cols"], scores["n_pred_rows"], scores["n_gold_rows"]) == ("evaluated", "pmid,snp,chr,pvalue", 2, 2)
     assert (scores["row_precision"], scores["row_recall"], scores["row_f1"]) == (0.5, 0.5, 0.5)
 
@@ -93,6 +95,10 @@ def test_evaluation_of_files(spark, tmp_path):
     found = sheets.read_workbooks(spark, report)
     assert [r[0] for r in found.select("table_no", "name").distinct().orderBy("table_no").select("name").collect()] == ["gold", "predicted_all_tables", "missing_from_prediction", "extra_prediction", "summary", "field_accuracy"]
     assert {(r["reason"], r["snp"]) for r in out["extra"].collect()} == {("snp_not_in_gold", "rs2"), ("snp_not_in_gold", "rs3")} and {r["snp"] for r in out["missing"].collect()} == {"rs9"}
+    read_again = sheets.read_reports(spark, report)
+    assert {r["file"].rsplit("/", 1)[-1]: (r["status"], r["n_pred_rows"]) for r in read_again["summary"].collect()} == {"a.xlsx": ("evaluated", "2"), "b.csv": ("evaluated", "1"), "combined_inputs": ("evaluated", "3")}
+    assert {(r["sheet"], r["reason"]): r["count"] for r in read_again["reasons"].collect()} == {("extra_prediction", "snp_not_in_gold"): 2, ("missing_from_prediction", "missing_in_prediction"): 1}
+    assert {r["metric_set"] for r in read_again["field_accuracy"].collect()} == {"easy_fields", "all_fields"}
     alone = api.evaluate_files(spark, str(tmp_path / "gold.tsv"), [str(tmp_path / "b.csv")], 5, settings)["summary"].first()
     assert (alone["status"], alone["n_gold_rows"], alone["row_f1"], alone["key_cols"]) == ("not_in_gold", 0, None, "")
     chosen = align.report_summary(out["summary"]).first()
