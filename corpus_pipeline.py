@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. The driver writes each stage's
 result and reads it again as the next one's docs; run() does the same in the shared checkpoint folder's stead by cutting the lineage.
+
+Cases, as the operators define them: quality rules reject null, wordless and short texts; of repeated rows one is left by the Jaccard join, of copies and near copies the one of the
+smallest id (null ids last); null texts hold no passage of the benchmark; the mix takes a document as often as it crosses, at most twice; null texts are one group of the
+shards. Empty tables give no rows at any stage, very long texts are read whole, and columns of any name are kept; the last stage adds shard (shard_no if there is one).
 """
 
 from __future__ import annotations
