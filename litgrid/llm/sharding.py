@@ -106,8 +106,14 @@ def range_sizes(rows: DataFrame, shift: int, wanted: Column | None = None) -> Da
     return rows.groupBy(prefix.alias("prefix")).agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("size").alias("total")).select(F.lit(shift).alias("shift"), "prefix", "lo", "hi", "total")
 
 
-def plan(ranges: DataFrame, shards: int) -> DataFrame:
-    """One row: alone (ranges with shards of their own), items (the others in order), ends (running sizes of the cuts), below (those at one below the capacity)."""
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once: the optimiser would put a search into each step of a lambda that uses it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def searched(ranges: DataFrame, shards: int) -> DataFrame:
+    """One row: alone (ranges with shards of their own), items (the others in order), sizes and total of these, shards left for them, capacity, and below (running sizes
+    of the cuts at one below the capacity)."""
     all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     down = Window.orderBy(F.desc("total"), "lo")
     ranked = ranges.withColumns({"rank": F.row_number().over(down), "left": F.sum("total").over(all_rows) - F.sum("total").over(down) + F.col("total")})
@@ -117,16 +123,19 @@ def plan(ranges: DataFrame, shards: int) -> DataFrame:
     item = F.struct("lo", "hi", "shift", "prefix", "total")
     one = ranked.agg(F.sort_array(F.collect_list(F.when(F.col("rank") > F.col("alone"), item))).alias("items"), F.sort_array(F.collect_list(F.when(F.col("rank") <= F.col("alone"), item))).alias("alone"))
     sizes = F.transform("items", lambda x: x["total"])
-    # each step is computed once: without the cuts, the optimiser would put one lambda's whole search into the next one's steps
     one = cut(one.withColumns({"sizes": sizes, "total": F.aggregate(sizes, bigint(F.lit(0)), lambda a, x: a + x), "shards": F.lit(shards) - F.size("alone")}))
-    one = cut(one.withColumn("capacity", smallest_capacity(F.col("sizes"), F.col("shards"))))
-    back = greedy_ends(F.reverse("sizes"), F.col("capacity"))
+    found = once(smallest_capacity(F.col("sizes"), F.col("shards")), lambda c: struct(capacity=c, below=F.slice(greedy_ends(F.col("sizes"), c - 1), 1, shards)))
+    return cut(one.withColumn("found", found)).select("*", "found.capacity", "found.below")
+
+
+def even_cuts(planned: DataFrame) -> DataFrame:
+    """planned with ends, the running sizes of the cuts."""
+    spare = lambda back: F.greatest(F.col("shards") - 1 - F.size(back), F.lit(0))
     # k cuts from behind leave the k-th shard from the end its earliest begin; there may be fewer than shards - 1
-    one = cut(one.withColumns({"below": F.slice(greedy_ends(F.col("sizes"), F.col("capacity") - 1), 1, shards), "back": back}))
-    spare = F.greatest(F.col("shards") - 1 - F.size("back"), F.lit(0))
-    earliest = F.concat(F.array_repeat(bigint(F.lit(0)), spare), F.transform(F.reverse("back"), lambda b: F.col("total") - b))
-    one = cut(one.withColumn("earliest", earliest))
-    return cut(one.withColumn("ends", even_ends(F.col("sizes"), F.col("capacity"), F.col("shards"), F.col("earliest"), F.col("total"))))
+    back = greedy_ends(F.reverse("sizes"), F.col("capacity"))
+    earliest = once(back, lambda b: F.concat(F.array_repeat(bigint(F.lit(0)), spare(b)), F.transform(F.reverse(b), lambda x: F.col("total") - x)))
+    ends = once(earliest, lambda e: even_ends(F.col("sizes"), F.col("capacity"), F.col("shards"), e, F.col("total")))
+    return cut(planned.withColumn("ends", ends))
 
 
 def open_ranges(ranges: DataFrame, planned: DataFrame, shards: int) -> DataFrame:
@@ -143,7 +152,7 @@ def shard_plan(rows: DataFrame, shards: int, first_bits: int = FIRST_BITS) -> tu
     """(the least hash of each shard, in order; hashes of groups with shards of their own): as many as shards together. rows: h, size."""
     ranges = cut(range_sizes(rows, 64 - first_bits))
     while True:
-        planned = plan(ranges, shards)
+        planned = searched(ranges, shards)
         to_split = cut(open_ranges(ranges, planned, shards))
         # at most some dozens
         by_shift = {r["shift"]: r["prefixes"] for r in to_split.groupBy("shift").agg(F.collect_list("prefix").alias("prefixes")).collect()}
@@ -154,6 +163,7 @@ def shard_plan(rows: DataFrame, shards: int, first_bits: int = FIRST_BITS) -> tu
         for f in finer:
             ranges = ranges.unionByName(f)
         ranges = cut(ranges)
+    planned = even_cuts(planned)
     placed = planned.select("ends", F.posexplode("items").alias("k", "x")).withColumn("run", F.sum("x.total").over(Window.orderBy("k")) - F.col("x.total"))
     begins = placed.where((F.col("k") == 0) | F.array_contains("ends", F.col("run"))).agg(F.sort_array(F.collect_list("x.lo"))).first()[0]
     return begins, planned.select(F.transform("alone", lambda x: x["lo"])).first()[0]
