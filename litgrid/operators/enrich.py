@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions.numbers import safe_float
-from litgrid.functions.text import cell, integer_like, is_missing_value, strip, text
+from litgrid.functions.text import cell, integer_like, is_missing_value, once, strip, text
 from litgrid.plans import rules
 
 
@@ -59,25 +59,36 @@ MANY_P_VALUES = "multiple p-value columns may need a note"
 SCHEMA_VERSION = "self_validation_v1"
 
 
+def said(status: str, *issues: str) -> Column:
+    return F.struct(F.lit(status).alias("status"), (F.array(*[F.lit(i) for i in issues]) if issues else F.expr("cast(array() as array<string>)")).alias("issues"))
+
+
+def without_value(field: str) -> Column:
+    """What is said of a missing value."""
+    return said(ISSUE, NO_REQUIRED_VALUE) if field in ("TopSNP", "P-value") else said(REVIEW, NO_VALUE)
+
+
 def cell_check(field: str, value: Column) -> Column:
-    """struct(status, issues) of one field's value by the field's rule."""
-    v, n = cell(value), safe_float(value)
-    required = field in ("TopSNP", "P-value")
-    chromosome = strip(F.replace(F.lower(integer_like(v)), F.lit("chr"), F.lit("")))
-    alleles = F.filter(F.transform(F.split(v, "[/;,|]"), lambda x: F.upper(strip(x))), lambda x: x != "")
-    checks = {
-        "TopSNP": [(~v.rlike("(?i)\\brs\\d+\\b"), ISSUE, NO_RS_ID)],
-        "P-value": [(n.isNull(), ISSUE, NO_NUMBER_P), ((n < 0) | (n > 1), ISSUE, NO_PROBABILITY)],
-        "EffectSize(altvsref)": [(n.isNull(), REVIEW, NO_NUMBER_EFFECT)],
-        "Chr": [(~chromosome.rlike("^(?:[1-9]|1\\d|2[0-2]|x|y|mt|m)$"), REVIEW, NO_CHROMOSOME)],
-        "BP(Position)": [(n.isNull() | (n <= 0), REVIEW, NO_POSITION)],
-        "RA 1(Reported Allele 1)": [(F.exists(alleles, lambda x: ~x.isin(*"ACGTID")), REVIEW, NO_ALLELE)],
-    }
-    said = lambda status, issue: F.struct(F.lit(status).alias("status"), F.array(F.lit(issue)).alias("issues"))
-    out = F.struct(F.lit(OK).alias("status"), F.expr("cast(array() as array<string>)").alias("issues"))
-    for bad, status, issue in reversed(checks.get(field, [])):
-        out = F.when(bad, said(status, issue)).otherwise(out)
-    return F.when(is_missing_value(value), said(ISSUE if required else REVIEW, NO_REQUIRED_VALUE if required else NO_VALUE)).otherwise(out)
+    """struct(status, issues) of one field's value by the field's rule. The cell's text, and its number where a rule asks for it, are computed once."""
+    numeric = field in ("P-value", "EffectSize(altvsref)", "BP(Position)")
+
+    def by_rule(x: Column) -> Column:
+        v, n = x["v"], x["n"]
+        rules_of = {
+            "TopSNP": lambda: [(~v.rlike("(?i)\\brs\\d+\\b"), ISSUE, NO_RS_ID)],
+            "P-value": lambda: [(n.isNull(), ISSUE, NO_NUMBER_P), ((n < 0) | (n > 1), ISSUE, NO_PROBABILITY)],
+            "EffectSize(altvsref)": lambda: [(n.isNull(), REVIEW, NO_NUMBER_EFFECT)],
+            "Chr": lambda: [(~strip(F.replace(F.lower(integer_like(v)), F.lit("chr"), F.lit(""))).rlike("^(?:[1-9]|1\\d|2[0-2]|x|y|mt|m)$"), REVIEW, NO_CHROMOSOME)],
+            "BP(Position)": lambda: [(n.isNull() | (n <= 0), REVIEW, NO_POSITION)],
+            "RA 1(Reported Allele 1)": lambda: [(F.exists(F.transform(F.split(v, "[/;,|]"), lambda a: F.upper(strip(a))), lambda a: ~a.isin("", *"ACGTID")), REVIEW, NO_ALLELE)],
+        }
+        out = said(OK)
+        for bad, status, issue in reversed(rules_of.get(field, list)()):
+            out = F.when(bad, said(status, issue)).otherwise(out)
+        return F.when(F.upper(v).isin("", "NR"), without_value(field)).otherwise(out)
+
+    n = safe_float(value) if numeric else F.lit(None).cast("double")
+    return once(F.struct(cell(value).alias("v"), n.alias("n")), by_rule)
 
 
 def validated(records: DataFrame, fields: dict[str, str] | None = None, flagged: Column | None = None, note: Column | None = None, row_evidence: Column | None = None) -> DataFrame:
@@ -86,13 +97,13 @@ def validated(records: DataFrame, fields: dict[str, str] | None = None, flagged:
     note, row_evidence: a row whose evidence names numbered p-values needs a note on them."""
     fields = fields or {f: f for f in rules.VALIDATED_FIELDS}
     none = F.lit(None).cast("string")
-    each = {f: cell_check(f, F.col(f"`{c}`") if c in records.columns else none) for f, c in fields.items()}
+    each = {f: cell_check(f, F.col(f"`{c}`")) if c in records.columns else without_value(f) for f, c in fields.items()}
     numbered = F.lit(False)
     if "P-value" in each and fields["P-value"] in records.columns:
         noted = cell(note if note is not None else none) != ""
         numbered = ~noted & cell(row_evidence if row_evidence is not None else none).rlike("(?i)p[- ]?value\\s*\\d+")
-        p = each["P-value"]
-        each["P-value"] = F.when(numbered, F.struct(F.when(p["status"] == OK, F.lit(REVIEW)).otherwise(p["status"]).alias("status"), F.concat(p["issues"], F.array(F.lit(MANY_P_VALUES))).alias("issues"))).otherwise(p)
+        also = lambda p: F.when(numbered, F.struct(F.when(p["status"] == OK, F.lit(REVIEW)).otherwise(p["status"]).alias("status"), F.concat(p["issues"], F.array(F.lit(MANY_P_VALUES))).alias("issues"))).otherwise(p)
+        each["P-value"] = once(each["P-value"], also)
     out = records.withColumn("checks", F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*each.values())))
     # in the order of the fields, but what the note is about comes last
     own = F.flatten(F.transform(F.map_entries("checks"), lambda e: F.transform(F.filter(e["value"]["issues"], lambda i: i != MANY_P_VALUES), lambda i: F.concat(e["key"], F.lit(": "), i))))

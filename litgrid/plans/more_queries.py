@@ -72,7 +72,7 @@ def cohort_of_rows(spark, sf_dir):
 def validation_issues(spark, sf_dir):
     f = faulty(spark, sf_dir).withColumn("evidence", F.when(F.col("o_orderkey") % 2 == 0, "P-value 2 of row").otherwise("row"))
     checked = enrich.validated(f, row_evidence=F.col("evidence"))
-    rows = enrich.validation_rows(checked.withColumn("paper", F.lit("p")), "paper", ["o_orderkey"], "o_orderkey")
+    rows = enrich.validation_rows(checked.withColumn("paper", F.col("o_orderkey") % 50), "paper", ["o_orderkey"], "o_orderkey")
     return rows.select("row_index", F.col("record_id").cast("string").alias("record_id"), "row_status", F.array_join(F.slice("row_issues", 1, 2), ";").alias("first_issues"), F.size("row_issues").alias("n_issues"), F.size("fields").alias("n_fields"), F.element_at("row_issues", -1).alias("last_issue"))
 
 

@@ -413,7 +413,7 @@ def record_ids(spark, sf_dir):
 
 
 def faulty(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey"))
     k = F.col("o_orderkey")
     return o.select("o_orderkey", F.when(k % 10 == 0, "").when(k % 10 == 1, "gene").otherwise(F.concat(F.lit("rs"), k)).alias("TopSNP"), F.when(k % 7 == 0, "2").otherwise("1e-5").alias("P-value"), F.when(k % 3 == 0, "23").otherwise("X").alias("Chr"), F.when(k % 4 == 0, "NR").otherwise("A").alias("RA 1(Reported Allele 1)"))
 
