@@ -51,6 +51,19 @@ from d join reach on d.r = reach.r join d other on other.r = reach.t left join n
 """
 
 
+OP11 = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+g as (select count(*) as n_all, cast(sum(len(w)) as bigint) as l_all from d where len(w) > 0),
+t as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by all),
+f as (select term, count(*) as df from t group by term),
+b as (select i, item_id, unnest(w) as term from (select row_number() over () as i, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark)),
+s as (select i, item_id, d.r, doc_id, cast(sum(cast(floor(1000 * ln((2 * n_all + 2)::double / (2 * df + 1)::double)) as bigint) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_all) // l_all)))) as bigint) as score
+      from b join t using (term) join f using (term) join d on d.r = t.r, g group by all),
+k as (select item_id, cast(row_number() over (partition by i order by score desc, doc_id nulls first) as integer) as rank, doc_id, score from s where score > 0)
+select * from k where rank <= 20
+"""
+
+
 BASE_LM = rf"""
 with t as (select doc_id, unnest(list_append(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+'), chr(10))) as w from documents),
 c as (select w, count(*) as c from t where doc_id % 7 <> 2 group by w),
@@ -76,4 +89,4 @@ select cast(40 as bigint) as n_shards, count(*) as n, cast(sum(coalesce(octet_le
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_of_lm_scoring": BASE_LM, "base_of_quality_rules": BASE_QUALITY, "base_of_sharding": BASE_SHARDING, "op4_jaccard_join": OP4, "op6_decontamination": OP6, "op8_mixing": OP8}
+    return {"base_of_lm_scoring": BASE_LM, "base_of_quality_rules": BASE_QUALITY, "base_of_sharding": BASE_SHARDING, "op11_lexical_search": OP11, "op4_jaccard_join": OP4, "op6_decontamination": OP6, "op8_mixing": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance_resampling, jaccard_join, language_id, lm_scoring, mixing, pii, quality_rules, sharding, token_counts
+from . import bpe, decontamination, erasure, importance_resampling, jaccard_join, language_id, lexical_search, lm_scoring, mixing, pii, quality_rules, sharding, token_counts
 from .common import crc_of_id, read
 
 
@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erase(*[read(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
+
+
 def base_of_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact counts of op3's operator, learnt from documents that SQL can name."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +104,9 @@ OPERATORS = (
     op8_mixing,
     op9_sharding,
     op10_quality_rules,
+    op11_lexical_search,
+    op12_bpe,
+    op13_erasure,
 )
 
 
