@@ -77,7 +77,7 @@ def curate(papers: DataFrame, raw: DataFrame, hints: DataFrame | None = None) ->
     found = extract.records(*normalized(raw.select("table_id", "row_idx", "col_idx", "value"))).persist().join(owner, "table_id")
     about = context.paper_context(papers, "paper_id", "text", hints).withColumnsRenamed({f: f"p_{f}" for f in FINDINGS}).persist()
     found = found.withColumn("place", F.concat(F.lit("Table "), F.col("logical_no").cast("string"))).withColumn("said", F.concat_ws(" ", "grp", "place", "row_text"))
-    found = context.record_cohorts(found.join(papers.select("paper_id", F.col("text").alias("body")), "paper_id", "left"), "said", "body", "place").drop("body")
+    found = context.record_cohorts(found, "said", "place", papers)
     shell = papers.select("paper_id").join(found.select("paper_id").distinct(), "paper_id", "left_anti")
     every = found.unionByName(shell, allowMissingColumns=True).join(about, "paper_id", "left")
     if hints is not None:

@@ -1,11 +1,16 @@
-"""Paper-level context from document text: sections, snippets, rule classifiers. Rules are data; all of it is expressions."""
+"""Paper-level context from document text: sections, snippets, rule classifiers. Rules are data; each text is read once for all words of all rules (`mentions`), the rest is expressions."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions.text import collapse, normalize, strip, text
+from litgrid.operators import mentions as mt
+from litgrid.operators.mentions import Said, snippets
 from litgrid.plans import rules
 
 
@@ -23,33 +28,12 @@ def sections(docs: DataFrame, key: str = "doc_id", body: str = "text", aliases:
     """(key, section, content): lines under each heading, and all lines under "all".
 
     A short line that equals a heading's alias opens a section and is dropped. Lines before any heading stand in "all" twice, as in the rules
-    this follows. Sections are found inside each document's line array, so no shuffle is needed.
+    this follows. A text's lines are read once, and no shuffle is needed.
     """
     aliases = aliases or rules.SECTION_ALIASES
-    lines = F.filter(F.transform(F.split(F.coalesce(text(body), F.lit("")), "\n"), strip), lambda x: x != "")
-
-    def heading(line: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, words in aliases.items():
-            out = F.when((F.length(line) <= 70) & normalize(line).isin(*words), F.lit(name)).otherwise(out)
-        return out
-
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), heading(x).alias("head")))
-    empty = F.struct(F.lit("all").alias("now"), F.expr("cast(array() as array<struct<section:string,line:string>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        here = F.array(F.struct(a["now"].alias("section"), x["line"].alias("line")), F.struct(F.lit("all").alias("section"), x["line"].alias("line")))
-        opened = F.struct(x["head"].alias("now"), a["out"].alias("out"))
-        return F.when(x["head"].isNotNull(), opened).otherwise(F.struct(a["now"].alias("now"), F.concat(a["out"], here).alias("out")))
-
-    placed = docs.select(key, F.aggregate(marked, empty, step, lambda a: a["out"]).alias("placed"))
     names = [*aliases, "all"]
-
-    def lines_of(name: str) -> Column:
-        return F.array_join(F.transform(F.filter("placed", lambda p: p["section"] == name), lambda p: p["line"]), "\n")
-
-    each = F.array(*[F.struct(F.lit(n).alias("section"), lines_of(n).alias("content")) for n in names])
-    return placed.select(key, F.explode(each).alias("x")).select(key, "x.section", "x.content").where("content != ''")
+    each = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("section"), mt.section_texts(text(body), aliases).alias("content"))
+    return docs.select(key, F.explode(each).alias("x")).select(key, F.col("x.section").alias("section"), F.col("x.content").alias("content")).where("content != ''")
 
 
 def scoped(parts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,65 +44,62 @@ def scoped(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     return wide.select(key, F.when(joined != "", joined).otherwise(F.col("all")).alias("scope"))
 
 
-def snippets(t: Column, words: list[str], window: int = 240, most: int = 8) -> Column:
-    """Surroundings of the words' occurrences, in order of words and places, distinct in their first 200 characters."""
-    low, raw = F.lower(t), t
+def flat_words(*lists) -> list[str]:
+    """Distinct words of lists and of dictionaries of lists, in order."""
+    return list(dict.fromkeys(w for x in lists for own in (x.values() if isinstance(x, dict) else [x]) for w in own))
 
-    def of(word: str) -> Column:
-        pieces = F.split(low, "\\Q" + word.lower() + "\\E")
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(word))
-        cut = lambda s: F.replace(F.substring(raw, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)) + len(word) + window), F.lit("\n"), F.lit(" "))
-        return F.when(F.size(pieces) > 1, F.transform(starts, cut)).otherwise(F.expr("cast(array() as array<string>)"))
 
-    every = F.concat(*[of(w) for w in words])
-    distinct = F.aggregate(every, F.expr("cast(array() as array<string>)"), lambda a, s: F.when(F.exists(a, lambda x: F.substring(x, 1, 200) == F.substring(s, 1, 200)), a).otherwise(F.concat(a, F.array(s))))
-    return F.slice(distinct, 1, most)
+def first_label(t: Column, labels: dict[str, list[str]], confidence: float, missing: float, rule: Column | str, no_rule: str = "", said: Said | None = None) -> Column:
+    """The first label one of whose words the text holds; always for review. {} in the rule stands for the label. said: what the evidence is cut from."""
+    held = said or Said(t, mt.mentions(t, flat_words(labels)), tuple(flat_words(labels)))
+    value, evidence = F.lit(None).cast("string"), F.lit("")
+    for label in reversed(labels):
+        hit = held.any(labels[label])
+        value = F.when(hit, F.lit(label)).otherwise(value)
+        if said is not None:
+            # the word that decides is the first of the label's words that the normalised text holds
+            evidence = F.when(hit, said.first(labels[label], normalised=True)).otherwise(evidence)
+    found = value.isNotNull()
+    told = F.when(found, F.replace(F.lit(rule), F.lit("{}"), F.coalesce(value, F.lit("")))).otherwise(F.lit(no_rule or rule))
+    return finding(F.coalesce(value, F.lit("NR")), F.when(found, confidence).otherwise(missing), F.lit(True), told, evidence)
 
 
-def first_snippet(t: Column, words: list[str], window: int = 220) -> Column:
-    """Surroundings of the first occurrence of the first of the words that the text holds; blank without one."""
-    low = F.lower(t)
+def vocabulary() -> list[str]:
+    """All words of the rules: what a text is read for."""
+    heads = [label.split()[0] for label in rules.POPULATIONS]
+    return flat_words(rules.ASSOCIATION_TYPES, rules.IMPUTATION_WORDS, rules.PANELS, rules.STAGE_CUES, rules.STAGE_EVIDENCE, rules.MODEL_FAMILIES, rules.COVARIATES, rules.MODEL_EVIDENCE, rules.POPULATIONS, heads)
 
-    def of(word: str) -> Column:
-        at = F.locate(word.lower(), low)
-        begin = F.greatest(at - 1 - window, F.lit(0))
-        return F.when(at > 0, F.replace(F.substring(t, begin + 1, at - 1 - begin + len(word) + window), F.lit("\n"), F.lit(" ")))
 
-    return F.coalesce(*[of(w) for w in words], F.lit(""))
+def evidence_asked() -> list[mt.Evidence]:
+    lists = [rules.IMPUTATION_WORDS, rules.STAGE_EVIDENCE, rules.MODEL_EVIDENCE, *[[label.split()[0]] for label in rules.POPULATIONS]]
+    return [*[mt.Evidence(tuple(words)) for words in lists], *[mt.Evidence(tuple(words), True) for words in rules.ASSOCIATION_TYPES.values()]]
 
 
-def first_label(t: Column, labels: dict[str, list[str]], confidence: float, missing: float, rule: Column | str, no_rule: str = "", body: Column | None = None) -> Column:
-    """The first label one of whose words the text holds; always for review. {} in the rule stands for the label. body: where the evidence is cut from."""
-    value, evidence = F.lit(None).cast("string"), F.lit("")
-    for label in reversed(labels):
-        hit = contains_any(t, labels[label])
-        value = F.when(hit, F.lit(label)).otherwise(value)
-        if body is not None:
-            # the word that decides is the first of the label's words that the normalised text holds
-            named = F.coalesce(*[F.when(F.contains(t, F.lit(w)), first_snippet(body, [w])) for w in labels[label]], F.lit(""))
-            evidence = F.when(hit, named).otherwise(evidence)
-    found = value.isNotNull()
-    said = F.when(found, F.replace(F.lit(rule), F.lit("{}"), F.coalesce(value, F.lit("")))).otherwise(F.lit(no_rule or rule))
-    return finding(F.coalesce(value, F.lit("NR")), F.when(found, confidence).otherwise(missing), F.lit(True), said, evidence)
+def heard(body: Column | Said) -> Said:
+    """The body's reading for all rules."""
+    if isinstance(body, Said):
+        return body
+    words, asked = vocabulary(), evidence_asked()
+    return Said(F.coalesce(text(body), F.lit("")), mt.reading(body, words, asked), tuple(words), tuple(asked))
 
 
 # Fixed values from here on: the values, confidences, rules and evidence words of published curation rules.
 
 
-def association_type(body: Column) -> Column:
-    return first_label(normalize(body), rules.ASSOCIATION_TYPES, 0.7, 0.25, "matched association keywords -> {}", "no association cues found", F.coalesce(body, F.lit("")))
+def association_type(body: Column | Said) -> Column:
+    said = heard(body)
+    return first_label(said.body, rules.ASSOCIATION_TYPES, 0.7, 0.25, "matched association keywords -> {}", "no association cues found", said)
 
 
-def imputation(body: Column) -> Column:
-    t, body = normalize(body), F.coalesce(body, F.lit(""))
-    named = {"1000G": "\\b1000g\\b|\\b1000 genomes\\b|\\b1000genomes\\b", "HRC": "\\bhrc\\b|\\bhaplotype reference consortium\\b", "TOPMed": "\\btopmed\\b"}
-    panels = F.filter(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in named.items()]), lambda x: x.isNotNull())
-    n = F.size(panels)
-    snippet = first_snippet(body, rules.IMPUTATION_WORDS)
+def imputation(body: Column | Said) -> Column:
+    said = heard(body)
+    panels = F.concat_ws(";", *[F.when(said.alone(words), F.lit(name)) for name, words in rules.PANELS.items()])
+    n = reduce(add, [said.alone(words).cast("int") for words in rules.PANELS.values()])
+    snippet = said.first(rules.IMPUTATION_WORDS)
     evidence = F.when((n > 0) & (snippet == ""), "Detected panel keywords in text.").otherwise(snippet)
     one = "panel keyword detection (TOPMed/HRC/1000G)"
     rule = F.when(n > 1, one + " (multiple panels; table-specific mapping unclear)").when(n == 1, one).otherwise("no imputation keywords found")
-    return finding(F.when(n > 0, F.array_join(panels, ";")).otherwise("NR"), F.when(n > 1, 0.65).when(n == 1, 0.85).otherwise(0.3), n != 1, rule, evidence)
+    return finding(F.when(n > 0, panels).otherwise("NR"), F.when(n > 1, 0.65).when(n == 1, 0.85).otherwise(0.3), n != 1, rule, evidence)
 
 
 STAGES = [
@@ -138,34 +119,34 @@ def by_priority(cases: list[tuple[Column, str]], otherwise: str) -> Column:
     return out
 
 
-def stage(body: Column) -> Column:
-    t = normalize(body)
-    cues = [(contains_any(t, rules.STAGE_CUES[cue]), *rest) for cue, *rest in STAGES]
+def stage(body: Column | Said) -> Column:
+    said = heard(body)
+    cues = [(said.any(rules.STAGE_CUES[cue]), *rest) for cue, *rest in STAGES]
     value = by_priority([(hit, v) for hit, v, _, _ in cues], "NR")
     confidence = by_priority([(hit, c) for hit, _, c, _ in cues], 0.25)
     rule = by_priority([(hit, r) for hit, _, _, r in cues], "no stage cues found")
-    return finding(value, confidence, value != "Meta-analysis", rule, first_snippet(F.coalesce(body, F.lit("")), rules.STAGE_EVIDENCE))
+    return finding(value, confidence, value != "Meta-analysis", rule, said.first(rules.STAGE_EVIDENCE))
 
 
-def model_type(body: Column) -> Column:
-    t = normalize(body)
+def model_type(body: Column | Said) -> Column:
+    said = heard(body)
     family = F.lit(None).cast("string")
     for name in reversed(rules.MODEL_FAMILIES):
-        family = F.when(contains_any(t, rules.MODEL_FAMILIES[name]), F.lit(name)).otherwise(family)
-    known, adjusted = family.isNotNull(), contains_any(t, rules.COVARIATES)
+        family = F.when(said.any(rules.MODEL_FAMILIES[name]), F.lit(name)).otherwise(family)
+    known, adjusted = family.isNotNull(), said.any(rules.COVARIATES)
     value = F.when(known & adjusted, F.concat(family, F.lit(" regression (with covariates)"))).when(known, F.concat(family, F.lit(" regression"))).when(adjusted, "model with covariates (family NR)").otherwise("NR")
     confidence = by_priority([(known & adjusted, 0.75), (known, 0.65), (adjusted, 0.55)], 0.25)
     rule = by_priority([(known & adjusted, "model family + covariate cues"), (known, "model family cues only"), (adjusted, "covariate cues only")], "no model cues")
-    return finding(value, confidence, F.lit(True), rule, first_snippet(F.coalesce(body, F.lit("")), rules.MODEL_EVIDENCE))
+    return finding(value, confidence, F.lit(True), rule, said.first(rules.MODEL_EVIDENCE))
 
 
-def population(scope: Column) -> Column:
-    t, scope = normalize(scope), F.coalesce(scope, F.lit(""))
+def population(scope: Column | Said) -> Column:
+    said = heard(scope)
     value, evidence = F.lit(None).cast("string"), F.lit("")
     for label in reversed(rules.POPULATIONS):
-        hit = t.rlike("|".join(rules.POPULATIONS[label]))
+        hit = said.alone(rules.POPULATIONS[label])
         value = F.when(hit, F.lit(label)).otherwise(value)
-        evidence = F.when(hit, first_snippet(scope, [label.split()[0]])).otherwise(evidence)
+        evidence = F.when(hit, said.first([label.split()[0]])).otherwise(evidence)
     found = value.isNotNull()
     rule = F.when(found, "section-aware population keyword").otherwise("no population cues found in methods/results/supplement")
     return finding(F.coalesce(value, F.lit("NR")), F.when(found, 0.75).otherwise(0.25), F.lit(True), rule, evidence)
@@ -208,14 +189,13 @@ def with_fallback(found: Column, hint: Column, pmid: Column) -> Column:
 def paper_context(docs: DataFrame, key: str = "doc_id", body: str = "text", hints: DataFrame | None = None) -> DataFrame:
     """One row per paper with a finding per field, read from its methods, results and supplement, or from all of it where there are none. hints(pmid, table_idx, field, value):
     a paper's own fill imputation and population where the text tells nothing."""
-    parts = sections(docs, key, body)
-    at = lambda s: F.max(F.when(F.col("section") == s, F.col("content")))
-    wide = parts.groupBy(key).agg(*[F.coalesce(at(s), F.lit("")).alias(f"__{s}") for s in ("methods", "results", "supplement", "all")])
-    joined = docs.join(wide, key, "left")
-    own = strip(F.concat_ws("\n", F.coalesce("__methods", F.lit("")), F.coalesce("__results", F.lit("")), F.coalesce("__supplement", F.lit(""))))
-    joined = joined.withColumns({"__full": F.when(own != "", own).otherwise(F.coalesce(body, F.lit(""))), "__scope": F.when(own != "", own).otherwise(F.coalesce("__all", F.lit("")))})
-    t, scope = F.col("__full"), F.col("__scope")
-    found = joined.select(key, imputation(t).alias("imputation"), stage(t).alias("stage"), association_type(t).alias("association"), model_type(t).alias("model"), population(scope).alias("population"), sample_size(scope).alias("sample_size"))
+    # all of it within the row: a text is split and read where it lies
+    parts = docs.select(key, F.coalesce(text(body), F.lit("")).alias("__body"), mt.section_texts(text(body), rules.SECTION_ALIASES).alias("__parts"))
+    own = strip(F.concat_ws("\n", *[F.get("__parts", F.lit(i)) for i in range(len(rules.SECTION_ALIASES))]))
+    ready = parts.withColumn("__own", own).select(key, F.when(F.col("__own") != "", F.col("__own")).otherwise(F.col("__body")).alias("__full"), F.when(F.col("__own") != "", F.col("__own")).otherwise(F.element_at("__parts", -1)).alias("__scope"))
+    ready = ready.withColumns({"__of_full": heard(F.col("__full")).found, "__of_scope": heard(F.col("__scope")).found})
+    t, scope = (Said(F.col(f"__{n}"), F.col(f"__of_{n}"), tuple(vocabulary()), tuple(evidence_asked())) for n in ("full", "scope"))
+    found = ready.select(key, imputation(t).alias("imputation"), stage(t).alias("stage"), association_type(t).alias("association"), model_type(t).alias("model"), population(scope).alias("population"), sample_size(scope.body).alias("sample_size"))
     if hints is None:
         return found
     fields = {"imputation": "Imputation_simple2", "population": "Population"}
@@ -239,11 +219,12 @@ def text_with_fallback(first: Column, *others: tuple[str, Column], name: str = "
     return best, source
 
 
-def cohort_votes(mentions: DataFrame, synonyms: dict[str, str], key: str = "doc_id", body: str = "text") -> DataFrame:
+def cohort_votes(docs: DataFrame, synonyms: dict[str, str], key: str = "doc_id", body: str = "text") -> DataFrame:
     """(key, cohort, n): mentions of each code; counted per paper once, not per record."""
-    t = F.lower(F.coalesce(text(body), F.lit("")))
-    items = F.array(*[F.struct(F.lit(v).alias("cohort"), F.regexp_count(t, F.lit("\\Q" + k + "\\E")).alias("n")) for k, v in synonyms.items()])
-    return mentions.select(key, F.explode(items).alias("x")).where("x.n > 0").groupBy(key, "x.cohort").agg(F.sum("x.n").alias("n"))
+    found = mt.mentions(F.lower(F.coalesce(text(body), F.lit(""))), list(synonyms))
+    codes = F.array(*[F.lit(v) for v in synonyms.values()])
+    each = docs.select(key, found.alias("__found")).select(key, F.explode(F.arrays_zip("__found.words", "__found.counts")).alias("x"))
+    return each.groupBy(key, F.get(codes, F.col("x.words")).alias("cohort")).agg(F.sum(F.col("x.counts").cast("bigint")).alias("n"))
 
 
 def dominant(votes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -264,50 +245,35 @@ def with_hints(records: DataFrame, hints: DataFrame, paper: str, table: str, fie
     return joined.withColumns(filled).select(*records.columns)
 
 
-def near_mentions(body: Column, place: Column, window: int = 1200, most: int = 8) -> Column:
-    """The text around the first mentions of a place such as "Table 3" (those that differ in their first 200 characters), joined by spaces."""
-    body = F.coalesce(body, F.lit(""))
-    word = F.lower(F.coalesce(place, F.lit("")))
-    pieces = F.split(F.lower(body), F.concat(F.lit("\\Q"), word, F.lit("\\E")))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(word))
-    cut = lambda s: F.replace(F.substring(body, F.greatest(s - window, F.lit(0)) + 1, F.least(s, F.lit(window)) + F.length(word) + window), F.lit("\n"), F.lit(" "))
-    none = F.expr("cast(array() as array<string>)")
-    every = F.when((word != "") & (F.size(pieces) > 1), F.transform(starts, cut)).otherwise(none)
-    distinct = F.aggregate(every, none, lambda a, s: F.when(F.exists(a, lambda x: F.substring(x, 1, 200) == F.substring(s, 1, 200)), a).otherwise(F.concat(a, F.array(s))))
-    return F.array_join(F.slice(distinct, 1, most), " ")
+def codes_in(t: Column, synonyms: dict[str, str]) -> Column:
+    """Distinct codes of the synonyms that a short text holds, in vocabulary order."""
+    return F.array_distinct(F.filter(F.array(*[F.when(F.contains(t, F.lit(k)), F.lit(v)) for k, v in synonyms.items()]), lambda x: x.isNotNull()))
 
 
-def codes_in(t: Column, synonyms: dict[str, str], unless: Column | None = None) -> Column:
-    """Distinct codes of the synonyms that a text holds (and another doesn't), in vocabulary order."""
-    hit = lambda k: F.contains(t, F.lit(k)) if unless is None else F.contains(t, F.lit(k)) & ~F.contains(unless, F.lit(k))
-    return F.array_distinct(F.filter(F.array(*[F.when(hit(k), F.lit(v)) for k, v in synonyms.items()]), lambda x: x.isNotNull()))
-
-
-def counted(t: Column, synonyms: dict[str, str]) -> Column:
-    """Codes with their mentions in a text, most first."""
-    codes = list(dict.fromkeys(synonyms.values()))
-    n = lambda code: sum((F.regexp_count(t, F.lit("\\Q" + k + "\\E")) for k, v in synonyms.items() if v == code), F.lit(0))
-    items = F.array(*[F.struct((-n(c)).alias("n"), F.lit(i).alias("i"), F.lit(c).alias("code")) for i, c in enumerate(codes)])
-    return F.filter(F.array_sort(items), lambda x: x["n"] < 0)
-
-
-def record_cohorts(records: DataFrame, row: str, body: str, place: str, synonyms: dict[str, str] | None = None) -> DataFrame:
+def record_cohorts(records: DataFrame, row: str, place: str, papers: DataFrame, key: str = "paper_id", body: str = "text", synonyms: dict[str, str] | None = None) -> DataFrame:
     """records with cohort_found: codes of the row, else those near its table's mentions (only the leading one if there is one), else those of the whole text; rows about
     expression also have ADNI, rows about disease associations IGAP.
 
-    records hold the row's own text, the paper's text and the table's name; what a paper says is read once per table by grouping before this is joined to rows.
+    records(key, row, place) hold the row's own text and the table's name, papers(key, body) a paper's text. Papers are read once into an index of mentions; its windows around tables
+    are joined with its mentions of codes by offsets, and only what they count comes to the records.
     """
     synonyms = synonyms or rules.COHORT_SYNONYMS
-    own, whole = normalize(row), normalize(body)
-    tables = records.select(body, place).distinct()
-    near = normalize(near_mentions(F.col(body), normalize(place)))
-    tables = tables.withColumns({"__near": counted(near, synonyms), "__named": codes_in(near, synonyms), "__text": whole})
-    joined = records.join(tables.withColumnsRenamed({body: "__body", place: "__place"}), F.col(body).eqNullSafe(F.col("__body")) & F.col(place).eqNullSafe(F.col("__place")), "left")
+    codes = list(dict.fromkeys(synonyms.values()))
+    of_word = F.array(*[F.lit(codes.index(v)) for v in synonyms.values()])
+    found = mt.index(papers, key, body, list(synonyms))
+    by_code = mt.within(found, key).groupBy(key, "place", F.get(of_word, F.col("word")).alias("__i")).agg(F.sum("n").alias("__n"))
+    named = F.array(*[F.lit(c) for c in codes])
+    near = by_code.groupBy(key, F.col("place").alias("__place")).agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__i").alias("i"), F.get(named, F.col("__i")).alias("code")))).alias("__near"))
+    whole = found.where("word is not null").groupBy(key).agg(F.collect_set("word").alias("__held"))
+    ready = records.withColumn("__place", normalize(place))
+    joined = ready.join(near, [key, "__place"], "left").join(whole, key, "left").select(*records.columns, F.coalesce("__near", F.expr("cast(array() as array<struct<n:bigint,i:int,code:string>>)")).alias("__near"), F.coalesce("__held", F.expr("cast(array() as array<int>)")).alias("__held"))
+    own = normalize(row)
+    joined = joined.withColumn("__named", F.transform(F.sort_array(F.transform("__near", lambda x: F.struct(x["i"], x["code"]))), lambda x: x["code"]))
     of_row = codes_in(own, synonyms)
     first, second = F.get("__near", F.lit(0)), F.get("__near", F.lit(1))
     leading = (F.size("__near") > 1) & (-first["n"] >= F.greatest(F.lit(2), 1 - second["n"]))
     of_table = F.when(leading, F.array(first["code"])).otherwise(F.col("__named"))
-    of_text = codes_in(F.col("__text"), synonyms, own)
+    of_text = F.array_distinct(F.filter(F.array(*[F.when(F.array_contains("__held", F.lit(i)) & ~F.contains(own, F.lit(k)), F.lit(v)) for i, (k, v) in enumerate(synonyms.items())]), lambda x: x.isNotNull()))
     by_row, by_table = F.size(of_row) > 0, F.size("__named") > 0
     hits = F.when(by_row, of_row).when(by_table, of_table).otherwise(of_text)
     also = F.array(F.when(F.contains(own, F.lit("eqtl")), F.lit("ADNI")), F.when(F.contains(own, F.lit("ad association")) | F.contains(own, F.lit("disease association")), F.lit("IGAP")))
@@ -326,5 +292,5 @@ def record_cohorts(records: DataFrame, row: str, body: str, place: str, synonyms
     evidence, confidence = F.concat(F.lit("multiple full-text cohort hits: "), value), F.lit(0.45)
     for hit, c, said in reversed(cases):
         evidence, confidence = F.when(hit, said).otherwise(evidence), F.when(hit, F.lit(c)).otherwise(confidence)
-    found = finding(F.when(n > 0, value).otherwise("NR"), confidence, ~((n == 1) & (by_row | by_table)), "row, table mentions, text", evidence)
-    return joined.withColumn("cohort_found", found).drop("__near", "__named", "__text", "__body", "__place")
+    told = finding(F.when(n > 0, value).otherwise("NR"), confidence, ~((n == 1) & (by_row | by_table)), "row, table mentions, text", evidence)
+    return joined.withColumn("cohort_found", told).drop("__near", "__named", "__held")

@@ -64,8 +64,9 @@ def cohort_of_rows(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     body = F.when(k % 3 == 0, "We use IGAP. Table 1 shows ADNI, ADNI.").when(k % 3 == 1, "Data of the HRS.").otherwise("")
-    rows = c.select("c_custkey", F.when(k % 4 == 0, "of ADGC").when(k % 4 == 1, "eQTL").otherwise("").alias("said"), F.concat(body, F.lit(" "), (k % 7).cast("string")).alias("body"), F.lit("Table 1").alias("place"))
-    found = context.record_cohorts(rows, "said", "body", "place")
+    rows = c.select("c_custkey", F.when(k % 4 == 0, "of ADGC").when(k % 4 == 1, "eQTL").otherwise("").alias("said"), F.lit("Table 1").alias("place"))
+    papers = c.select("c_custkey", F.concat(body, F.lit(" "), (k % 7).cast("string")).alias("text"))
+    found = context.record_cohorts(rows, "said", "place", papers, "c_custkey")
     return found.select("c_custkey", F.col("cohort_found.value").alias("value"), F.col("cohort_found.confidence").alias("confidence"), F.col("cohort_found.needs_review").alias("review"))
 
 

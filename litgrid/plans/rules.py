@@ -127,14 +127,17 @@ COLUMN_PROMPTS = {
     "Model type": "Statistical model family. Example: logistic regression",
 }
 
+# Words that must stand alone.
 POPULATIONS = {
-    "European ancestry": ["\\beuropean ancestry\\b", "\\beuropeans?\\b"],
-    "Asian ancestry": ["\\basian ancestry\\b", "\\basians?\\b"],
-    "African ancestry": ["\\bafrican ancestry\\b", "\\bafricans?\\b"],
-    "Hispanic/Latino ancestry": ["\\bhispanic\\b", "\\blatino\\b"],
-    "Multi-ethnic": ["\\bmulti[- ]ethnic\\b", "\\btrans[- ]ethnic\\b"],
+    "European ancestry": ["european ancestry", "european", "europeans"],
+    "Asian ancestry": ["asian ancestry", "asian", "asians"],
+    "African ancestry": ["african ancestry", "african", "africans"],
+    "Hispanic/Latino ancestry": ["hispanic", "latino"],
+    "Multi-ethnic": ["multi-ethnic", "multi ethnic", "trans-ethnic", "trans ethnic"],
 }
 
+PANELS = {"1000G": ["1000g", "1000 genomes", "1000genomes"], "HRC": ["hrc", "haplotype reference consortium"], "TOPMed": ["topmed"]}
+
 SAMPLE_SIZES = [
     "(?i)\\b(?:sample size|total n|n\\s*=\\s*)(?:\\s*[:=]?\\s*)?([0-9][0-9,]{2,})\\b",
     "(?i)\\b([0-9][0-9,]{2,})\\s*(?:participants|subjects|individuals|cases|controls)\\b",

@@ -155,7 +155,7 @@ def test_cohorts_by_row_then_table_then_text(spark):
     df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
     rows += [(6, "adni of adgc", "", ""), (7, "an eqtl row", "HRS once", ""), (8, "ad association", None, None), (9, "", "ADGC and IGAP", "")]
     df = spark.createDataFrame(rows, "i int, own string, body string, tab string")
-    got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"], r["cohort_found"]["needs_review"]) for r in context.record_cohorts(df, "own", "body", "tab").collect()}
+    got = {r["i"]: (r["cohort_found"]["value"], r["cohort_found"]["confidence"], r["cohort_found"]["needs_review"]) for r in context.record_cohorts(df, "own", "tab", df.select("i", "body"), "i", "body").collect()}
     assert got == {1: ("ADNI", 0.9, False), 2: ("IGAP", 0.8, False), 3: ("ADGC;IGAP", 0.45, True), 4: ("HRS", 0.6, True), 5: ("NR", 0.25, True), 6: ("ADGC;ADNI", 0.65, True), 7: ("HRS;ADNI", 0.45, True), 8: ("IGAP", 0.6, True), 9: ("ADGC;IGAP", 0.45, True)}
 
 
