@@ -180,8 +180,9 @@ def evaluate_files(spark: SparkSession, reference: str, inputs: list[str], pmid:
     os.makedirs(folder, exist_ok=True)
     shown = gold.predicted_for_report(pred.drop("paper"))
     if chosen is None or chosen["status"] != "evaluated":
-        sheets.write_workbook(path, {"predicted_all_tables": (shown, ["source_file", "snp"])})
-        return out
+        info = align.with_report_columns(align.diagnose(pred.drop("paper"), None, [], ""))
+        sheets.write_workbook(path, {"predicted_all_tables": (shown, ["source_file", "snp"]), "extra_prediction": (info, [])})
+        return out | {"extra": info}
     keys = chosen["key_cols"].split(",")
     order = lambda df, *by: df.withColumn("__nth", F.monotonically_increasing_id())
     diagnosis = align.diagnose(order(pred.where("snp is not null")), order(known.where("snp is not null").withColumn("source_file", F.lit(None).cast("string"))), keys, "__nth").drop("__nth", "paper")
@@ -209,21 +210,28 @@ def rank(articles: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
 def raw_tables(spark: SparkSession, sources: list[str]) -> DataFrame:
     """raw(table_id, row_idx, col_idx, value, paper_id, logical_no, link) of files named by their papers' ids; files and tables of files are told apart by path and number."""
-    found = sheets.tables_from(spark, sources).withColumn("paper_id", F.coalesce(tx.leading_pmid("path"), F.lit("NR")))
+    return of_papers(sheets.tables_from(spark, sources))
+
+
+def of_papers(cells: DataFrame) -> DataFrame:
+    found = cells.withColumn("paper_id", F.coalesce(tx.leading_pmid("path"), F.lit("NR")))
     numbered = sheets.logical_numbers(found)
     return numbered.select(F.concat_ws("#", "path", F.col("table_no").cast("string")).alias("table_id"), "row_idx", "col_idx", "value", "paper_id", "logical_no", lk.base_name("path").alias("link"))
 
 
 def run(spark: SparkSession, papers: DataFrame, sources: list[str], settings: Settings, reference: DataFrame | None = None, hints: DataFrame | None = None, owner: str = "") -> dict[str, DataFrame]:
-    """Curation of many sources in one plan, validation, evaluation if there is a gold reference, and a run log. sources: files or patterns, named by their papers' ids."""
-    made = curate(papers, raw_tables(spark, sources), hints)
+    """Curation of many sources in one plan, validation, evaluation if there is a gold reference, and a run log. sources: files or patterns, named by their papers' ids.
+
+    Sources that can't be read don't stop the run: source_errors(source, error) of the result lists them."""
+    cells, errors = sheets.readable_tables(spark, sources)
+    made = curate(papers, of_papers(cells), hints)
     folder = settings.folder("curated")
     made.write.mode("overwrite").parquet(folder)
     curated = spark.read.parquet(folder)
     checked = enrich.validated(curated, flagged=F.col("needs_review"), note=F.col("`P-value note`"), row_evidence=F.col("evidence"))
     rows = enrich.validation_rows(checked, "paper_id", ["RecordID"])
     stores.write_validation(enrich.validation_documents(rows), settings.folder("validation"))
-    out = {"curated": curated, "validation": checked, "validation_summary": enrich.validation_summary(checked)}
+    out = {"curated": curated, "source_errors": errors, "validation": checked, "validation_summary": enrich.validation_summary(checked)}
     if reference is not None:
         out |= evaluate(curated, reference, settings)
     logs = papers.select(F.col("paper_id").cast("string").alias("pmid"), F.lit("").alias("pmcid"), F.lit(owner).alias("owner_name"), F.lit("").alias("paper_input"), F.lit(sources).alias("table_links"), F.array(F.lit(folder)).alias("generated_tables"), F.array(F.lit(folder)).alias("generated_harmonized"), F.lit(settings.folder("evaluation")).alias("eval_report"))

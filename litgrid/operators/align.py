@@ -107,40 +107,94 @@ def pooled_match(pred: DataFrame, gold: DataFrame, keys: list[str], fields: list
     return scores(bags, [])
 
 
+#: Copies that one task writes, and parts into which the rows of a key are dealt by their order.
+COPIES, DEALT = 10_000, 64
+
+
 def bag_except(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of left beyond their matches, as often as they are left over."""
-    over = bag(left, right, keys).withColumn("n", F.col("n_pred") - F.col("tp"))
-    return over.where("n > 0").select(*keys, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    """Rows of left beyond their matches, as often as they are left over. A key's copies are made in portions, so that one key may have any number of them."""
+    over = bag(left, right, keys).withColumn("n", F.col("n_pred") - F.col("tp")).where("n > 0")
+    portions = over.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("__portion"))
+    dealt = portions.repartition(*keys, "__portion")
+    first = F.col("__portion") * COPIES + 1
+    return dealt.select(*keys, F.explode(F.sequence(first.cast("int"), F.least(F.col("n"), first + COPIES - 1).cast("int"))).alias("copy"))
 
 
-def unmatched(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of left that find no partner when equal rows pair off in order."""
+def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
+    """right with its columns of these names hidden, and the condition that they equal left's, null to null."""
+    hidden = right.withColumnsRenamed({k: f"__right_{k}" for k in names})
+    return hidden, reduce(lambda a, b: a & b, [left[k].eqNullSafe(hidden[f"__right_{k}"]) for k in names])
+
+
+def dealt_by_order(rows: DataFrame, order: str) -> DataFrame:
+    """rows with __part, which rises with the (numeric) order column: at its quantiles, DEALT numbers of one small job."""
+    shares = [i / DEALT for i in range(1, DEALT)]
+    bounds = rows.agg(F.percentile_approx(order, shares, 1_000)).first()[0] or []
+    return rows.withColumn("__part", sum(((F.col(order) > b).cast("int") for b in sorted(set(bounds))), F.lit(0)))
+
+
+def surplus(dealt: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __part, __spare) of the parts of dealt rows that outnumber their partners in right: in a part, rows numbered above __spare find none.
+
+    A key's parts are numbered by their sizes and the sums of those before, so that its rows never have to meet. A missing number equals nothing."""
+    sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = right.groupBy(*keys).agg(F.count("*").alias("__n"))
-    renamed = counts.select("__n", *[F.col(k).alias(f"__{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") if is_number(left, k) else F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    paired = left.withColumn("__nth", nth).join(renamed, same, "left")
-    return paired.where(F.col("__nth") > F.coalesce("__n", F.lit(0))).select(*left.columns)
+    levels = sizes.withColumn("__before", before)
+    hidden, same = null_safe(levels, counts, keys)
+    known = reduce(lambda a, b: a & b, [levels[k].isNotNull() for k in keys if is_number(dealt, k)], F.lit(True))
+    spare = F.greatest(F.coalesce("__n", F.lit(0)) - F.col("__before"), F.lit(0))
+    return levels.join(hidden, same & known, "left").withColumn("__spare", spare).where(F.col("__size") > F.col("__spare")).select(*keys, "__part", "__spare")
+
 
+def picked(dealt: DataFrame, levels: DataFrame, keys: list[str], order: str, *more: str) -> DataFrame:
+    """Rows numbered above their part's __spare, with more columns of levels."""
+    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order))
+    ranked = dealt.withColumn("__nth", nth)
+    hidden, same = null_safe(ranked, levels, [*keys, "__part"])
+    return ranked.join(hidden, same).where(F.col("__nth") > F.col("__spare")).select(*[ranked[c] for c in dealt.columns if c != "__part"], *more)
 
-def diagnose(pred: DataFrame, gold: DataFrame, keys: list[str], order: str, identifier: str = "snp") -> DataFrame:
+
+def unmatched(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of left that find no partner when equal rows pair off in the order of a numeric column."""
+    dealt = dealt_by_order(left, order)
+    return picked(dealt, surplus(dealt, right, keys), keys, order)
+
+
+def spelt(a: DataFrame, b: DataFrame, name: str) -> Column:
+    """A value as text, alike on both sides if it is equal."""
+    return F.col(name).cast("string") if dict(a.dtypes)[name] == dict(b.dtypes)[name] else F.col(name).cast("double").cast("string")
+
+
+def reasons(lost: DataFrame, pred: DataFrame, gold: DataFrame, keys: list[str], identifier: str) -> DataFrame:
+    """(keys, reason) of distinct keys without partner. Which values gold rows of an identifier have are marks (identifier, field, value), one of each: no identifier's values meet."""
+    others = [k for k in keys if k != identifier]
+    items = lambda: F.explode(F.array(F.struct(F.lit(-1).alias("f"), F.lit("").alias("v")), *[F.struct(F.lit(i).alias("f"), spelt(pred, gold, k).alias("v")) for i, k in enumerate(others)]))
+    numbers = [i for i, k in enumerate(others) if is_number(pred, k)]
+    marks = gold.where(F.col(identifier).isNotNull()).select(F.col(identifier).alias("__id"), items().alias("x")).select("__id", F.col("x.f").alias("__f"), F.col("x.v").alias("__v")).where(~(F.col("__f").isin(*numbers) & F.col("__v").isNull()) if numbers else F.lit(True)).distinct().withColumn("__hit", F.lit(True))
+    asked = lost.select(*keys, items().alias("x")).select(*keys, F.col("x.f").alias("f"), F.col("x.v").alias("v"))
+    found = asked.join(marks, (asked[identifier] == marks["__id"]) & (asked["f"] == marks["__f"]) & asked["v"].eqNullSafe(marks["__v"]), "left")
+    missing = F.when(F.col("__hit").isNull(), F.col("f"))
+    wide = found.groupBy(*keys).agg(F.array_sort(F.collect_list(missing)).alias("__missing"))  # a number per key column at most
+    names = F.array(*[F.lit(f"{k}_mismatch") for k in others]) if others else F.array(F.lit(""))
+    said = F.array_join(F.transform("__missing", lambda f: F.get(names, f)), "|")
+    reason = F.when(F.array_contains("__missing", -1), F.lit(f"{identifier}_not_in_gold")).when(F.size("__missing") == 0, F.lit("key_mismatch")).otherwise(said)
+    return wide.select(*keys, reason.alias("reason"))
+
+
+def diagnose(pred: DataFrame, gold: DataFrame | None, keys: list[str], order: str, identifier: str = "snp") -> DataFrame:
     """Unmatched rows of both sides with a reason each.
 
-    Predicted rows: snp_not_in_gold; else the keys whose value no gold row of the identifier has; else key_mismatch.
+    Predicted rows: snp_not_in_gold; else the keys whose value no gold row of the identifier has; else key_mismatch. Without a gold side (a paper that it doesn't hold): one row that says so.
     """
-    others = [k for k in keys if k != identifier]
-    left = unmatched(pred, gold, keys, order)
-    known = gold.groupBy(F.col(identifier).alias("__id")).agg(*[F.collect_set(k).alias(f"__{k}") for k in others], *[F.max(F.col(k).isNull()).alias(f"__{k}_null") for k in others])
-    joined = left.join(known, F.col(identifier) == F.col("__id"), "left")
-
-    def differs(k: str) -> Column:
-        found = F.array_contains(f"__{k}", F.col(k))
-        missing = F.lit(False) if is_number(pred, k) else F.col(f"__{k}_null")
-        return F.when(~F.coalesce(F.when(F.col(k).isNull(), missing).otherwise(found), F.lit(False)), F.lit(f"{k}_mismatch"))
-
-    reasons = F.array_join(F.filter(F.array(*[differs(k) for k in others]), lambda x: x.isNotNull()), "|")
-    reason = F.when(F.col("__id").isNull(), F.lit(f"{identifier}_not_in_gold")).when(reasons == "", F.lit("key_mismatch")).otherwise(reasons)
-    extra = joined.select(F.lit("pred_unmatched").alias("type"), reason.alias("reason"), *pred.columns)
+    if gold is None:
+        return pred.sparkSession.range(1).select(F.lit("info").alias("type"), F.lit("pmid_not_in_gold").alias("reason"), *[F.lit(None).cast(kind).alias(c) for c, kind in pred.dtypes])
+    dealt = dealt_by_order(pred, order)
+    levels = surplus(dealt, gold, keys)
+    why = reasons(levels.select(*keys).distinct(), pred, gold, keys, identifier)
+    hidden, same = null_safe(levels, why, keys)
+    explained = levels.join(hidden, same).select(*[levels[c] for c in levels.columns], "reason")
+    extra = picked(dealt, explained, keys, order, "reason").select(F.lit("pred_unmatched").alias("type"), "reason", *pred.columns)
     lost = unmatched(gold, pred, keys, order).select(F.lit("gold_unmatched").alias("type"), F.lit("missing_in_prediction").alias("reason"), *[F.col(c) if c in gold.columns else F.lit(None).alias(c) for c in pred.columns])
     return extra.unionByName(lost)
 

@@ -168,10 +168,20 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], version: str)
     return current.unionByName(changes).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def bulk_action(entries: DataFrame, keys: DataFrame, key: str, action: str, status: str = "") -> DataFrame:
-    """Entries with those of the keys deleted, or moved to a status."""
-    chosen = keys.select(key).distinct()
+# Statuses to which entries may be moved.
+MOVABLE = ("new", "in_progress", "complete")
+
+
+def bulk_action(entries: DataFrame, keys: DataFrame, key: str, action: str, status: str = "", now: str | Column | None = None) -> DataFrame:
+    """Entries with those of the keys deleted, or moved to one of the statuses there are, with updated_at the time of the move (now). Keys are trimmed texts; blank keys, other
+    statuses and other actions leave all as it is."""
+    if action not in ("delete", "move") or action == "move" and status not in MOVABLE:
+        return entries
+    chosen = keys.select(F.trim(F.col(key).cast("string")).alias("__key")).where("__key != ''").distinct()
+    hit = F.trim(F.col(key).cast("string")) == F.col("__key")
     if action == "delete":
-        return entries.join(chosen, key, "left_anti")
-    hit = entries.join(chosen.withColumn("__hit", F.lit(True)), key, "left")
-    return hit.withColumn("status", F.when(F.col("__hit"), F.lit(status)).otherwise(F.col("status"))).select(*entries.columns)
+        return entries.join(chosen, hit, "left_anti")
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if now is None else F.lit(now) if isinstance(now, str) else now
+    known = F.col("updated_at").cast("string") if "updated_at" in entries.columns else F.lit(None).cast("string")
+    moved = entries.join(chosen, hit, "left").withColumns({"status": F.when(F.col("__key").isNotNull(), F.lit(status)).otherwise(F.col("status")), "updated_at": F.when(F.col("__key").isNotNull(), at).otherwise(known)})
+    return moved.drop("__key")

@@ -118,6 +118,8 @@ select table_id, row_idx, cast(kind as int) as layout, cast(sub_no as int) as su
 select table_id, cast(k + 1 as bigint) as row_idx, 'rs' || k as top_snp, grp, case when grp = 'male group' then 1.5::double else 1.25 end as effect, case when grp = 'male group' then '(1.1-1.9)' else '' end as ci, case when grp = 'male group' then 0.5::double else 0.25 end as p, 'OR' as effect_type,
 case when e then 'C' else 'G' end as ra1, case when e then 'T' else 'A' end as ra2, case when e then '0.25' else '' end as maf from s where grp = 'male group' or k % 3 <> 0""",
     "sheet_opened": "select cast(n_nationkey as varchar) as n_nationkey, n_name, case when n_nationkey % 2 = 0 then 'c' else '' end as n_comment, cast(7 as bigint) as row_count from nation where n_nationkey < 7",
+    "article_tables": """with p as (select page_id, page_id % 5 as k from pages), r(k, table_id, table_no, rule) as (values (0, 'T2', 1, 'id'), (1, 'x-T3', 2, 'label'), (2, 'Z9', 1, 'link'), (3, 'T2', 2, 'place'), (4, 'T7', 0, 'place'), (4, 'T7', 1, 'place'))
+select page_id, table_id, cast(table_no as int) as table_no, rule from p join r using (k)""",
     "filled_gaps": "select 0 as col_idx, lang as value, count(*) as n from documents group by lang union all select 1, source, count(*) from documents group by source",
 }
 

@@ -9,7 +9,7 @@ from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, gold, headers, review
 from litgrid.plans import rules
 from litgrid.plans.queries import diagnose_unmatched, faulty, gold_orders, pred_orders, publications, read
-from litgrid.sources import html_tables, sheets, stores
+from litgrid.sources import elements, html_tables, sheets, stores
 
 
 def table_addresses(spark, sf_dir):
@@ -328,14 +328,32 @@ def sheet_opened(spark, sf_dir):
 
 
 def filled_gaps(spark, sf_dir):
-    """The whole text of documents in cells and back."""
+    """Cells of documents' languages and sources, gaps kept as they are."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("t"), "lang", "source")
     return cells.to_cells(d, "t", "doc_id", ["lang", "source"]).groupBy("col_idx", "value").agg(F.count("*").alias("n"))
 
 
+def article_tables(spark, sf_dir):
+    """The wanted table of each page, to which tables are added in five ways: found by id, by label, by a link nearby, by its place, or not told from the others."""
+    p, k = read(spark, sf_dir, "pages"), F.col("page_id") % 5
+    table = lambda x: f"<table><tr><td>{x}</td></tr></table>"
+    tails = [
+        table("a") + f'<div id="t2"><p>x</p>{table("b")}</div>',
+        table("a") + "<table></table><p>Table 3. Of b</p>" + table("b") + table("c"),
+        table("a") + '<section><p>see <a href="/articles/PMC1/table/Z9/">it</a></p></section>' + table("b"),
+        table("a") + "<table></table>" + table("b"),
+        table("a") + table("b"),
+    ]
+    ids = ["T2", "x-T3", "Z9", "T2", "T7"]
+    tail, wanted = F.lit(tails[-1]), F.lit(ids[-1])
+    for i in range(4):
+        tail, wanted = F.when(k == i, tails[i]).otherwise(tail), F.when(k == i, ids[i]).otherwise(wanted)
+    return elements.article_tables(p.select("page_id", F.concat("html", tail).alias("html")), p.select("page_id", wanted.alias("table_id")))
+
+
 QUERIES = (
     table_addresses, editor_values, source_numbers, header_levels, publication_ids, paper_findings, cohort_of_rows, validation_issues, gold_canonical, predicted_canonical, gold_papers, evaluation_summary, evaluation_fields, evaluation_sets, evaluation_view, golden_rows, golden_names, golden_columns,
-    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps,
+    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps, article_tables,
 )
 
 

@@ -156,7 +156,8 @@ case when o_orderkey % 3 = 0 then 'review' else 'ok' end as chr_status from v"""
     "relevance_score": f"with {PUBLICATIONS} select doc_id, score, reason, score >= 4 as relevant from rel",
     "literature_summary": f"with {PUBLICATIONS} select count(*) as hits, count(*) filter (score >= 4) as relevant_hits from rel",
     "upsert_tracker": "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1",
-    "bulk_tracker_action": """select case when o_custkey % 5 = 0 then 'done' else o_orderstatus end as status, count(*) as n from orders where o_custkey % 7 <> 0 group by all""",
+    "bulk_tracker_action": """select 'complete' as status, '2024-01-02T03:04:05' as updated_at, count(*) as n from orders where o_custkey % 5 = 0 and o_custkey % 7 <> 0 having count(*) > 0
+union all select o_orderstatus, null, count(*) from orders where o_custkey % 5 <> 0 and o_custkey % 7 <> 0 group by o_orderstatus""",
     "annotations_merge": "select case when conv_id % 6 = 0 then 'issue' end as status, case when conv_id % 6 = 0 then 'see' end as comment, count(*) as n from conversations group by all",
     "sheet_edits": "select n_nationkey as row_idx, 'name' as col, case when n_nationkey % 4 = 0 then null when n_nationkey % 2 = 0 then lower(n_name) else n_name end as value from nation",
     "json_props": "select cast(len(json_keys(props)) as bigint) as n_keys, event_type, count(*) as n from events group by all",

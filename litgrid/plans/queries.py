@@ -465,10 +465,13 @@ def upsert_tracker(spark, sf_dir):
 
 
 def bulk_tracker_action(spark, sf_dir):
+    """Two actions that do nothing (a status and an action that there are not), a move by padded keys, and a deletion."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
-    moved = enrich.bulk_action(o, o.where("o_custkey % 5 = 0"), "o_custkey", "move", "done")
+    same = enrich.bulk_action(enrich.bulk_action(o, o.where("o_custkey % 3 = 0"), "o_custkey", "move", "done"), o, "o_custkey", "archive", "new")
+    padded = o.where("o_custkey % 5 = 0").select(F.concat(F.lit("  "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("o_custkey")).unionByName(spark.createDataFrame([(" ",)], "o_custkey string"))
+    moved = enrich.bulk_action(same, padded, "o_custkey", "move", "complete", "2024-01-02T03:04:05")
     left = enrich.bulk_action(moved, o.where("o_custkey % 7 = 0"), "o_custkey", "delete")
-    return left.groupBy("status").agg(F.count("*").alias("n"))
+    return left.groupBy("status", "updated_at").agg(F.count("*").alias("n"))
 
 
 def annotations_merge(spark, sf_dir):

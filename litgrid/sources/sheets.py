@@ -14,6 +14,7 @@ from itertools import chain
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,17 +76,29 @@ def workbook_frame(names: list[str], main: str, rel: str) -> dict[str, str]:
 
 
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, table_no, name, row_idx, col_idx, value) of workbooks; a file is read whole by one task."""
+    """(path, table_no, name, row_idx, col_idx, value) of workbooks; a file is read whole by one task. A file that is none is an error."""
+    return read_files(spark, path, "strict").drop("error")
+
+
+def read_files(spark: SparkSession, path: str | list[str], broken: str = "rows") -> DataFrame:
+    """CELLS of workbooks, and error: a file that can't be read gives one row with its error and no cell. broken="strict": it fails the job."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for batch in batches:
-            rows = [(p, *cell) for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for cell in workbook_cells(data)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[p.split()[0] for p in CELLS.split(", ")])
+            rows: list[tuple] = []
+            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(p, *cell, None) for cell in workbook_cells(data)]
+                except Exception as e:  # whatever a damaged file makes the readers of archives and markup raise
+                    if broken == "strict":
+                        raise
+                    rows.append((p, *[None] * 5, repr(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*[p.split()[0] for p in CELLS.split(", ")], "error"])
 
-    return files.mapInArrow(run, CELLS)
+    return files.mapInArrow(run, CELLS + ", error string")
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
@@ -113,23 +126,61 @@ def kind_of(source: str) -> str:
     return found
 
 
+TABLE_COLUMNS = ("path", "table_no", "row_idx", "col_idx", "value")
+
+
+def of_kind(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    """TABLE_COLUMNS and error of sources of one kind, in one read."""
+    if kind == "workbook":
+        return read_files(spark, paths).select(*TABLE_COLUMNS, "error")
+    if kind == "page":
+        pages = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+        cells = html_cells(pages, "path").withColumnRenamed("page_id", "path")
+    else:
+        cells = read_delimited(spark, paths, "," if kind == "comma" else "\t")
+    return cells.select(*TABLE_COLUMNS, F.lit(None).cast("string").alias("error"))
+
+
+def readable_tables(spark: SparkSession, source: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cells, errors): TABLE_COLUMNS of the sources that can be read, and (source, error) of those that can't: no reader for the kind, nothing there, or a broken file among good ones.
+
+    One read for each kind, however many sources there are; only where a source isn't there are those of its kind looked up one by one."""
+    sources = [source] if isinstance(source, str) else source
+    by_kind: dict[str, list[str]] = {}
+    failed: list[tuple[str, str]] = []
+    for s in sources:
+        try:
+            by_kind.setdefault(kind_of(s), []).append(s)
+        except ValueError as e:
+            failed.append((s, repr(e)))
+    parts = []
+    for kind, paths in by_kind.items():
+        try:
+            parts.append(of_kind(spark, kind, paths))
+        except AnalysisException:
+            there = []
+            for p in paths:
+                try:
+                    of_kind(spark, kind, [p])
+                    there.append(p)
+                except AnalysisException as e:
+                    failed.append((p, e.getCondition() or repr(e)))
+            if there:
+                parts.append(of_kind(spark, kind, there))
+    none = spark.createDataFrame([], "path string, table_no int, row_idx int, col_idx int, value string, error string")
+    every = reduce(DataFrame.unionByName, parts, none)
+    errors = every.where("error is not null").select(F.col("path").alias("source"), "error")
+    return every.where("error is null").select(*TABLE_COLUMNS), errors.unionByName(spark.createDataFrame(failed, "source string, error string"))
+
+
 def tables_from(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """(path, table_no, row_idx, col_idx, value): cells of sources (files or patterns): workbooks, comma- or tab-separated files, and pages with tables. One read for each kind,
-    however many sources there are."""
+    """(path, table_no, row_idx, col_idx, value): cells of sources (files or patterns): workbooks, comma- or tab-separated files, and pages with tables. A source that can't be read is an error."""
     sources = [source] if isinstance(source, str) else source
     by_kind: dict[str, list[str]] = {}
     for s in sources:
         by_kind.setdefault(kind_of(s), []).append(s)
-    columns, parts = ("path", "table_no", "row_idx", "col_idx", "value"), []
-    for kind, paths in by_kind.items():
-        if kind == "workbook":
-            parts.append(read_workbooks(spark, paths).select(*columns))
-        elif kind == "page":
-            pages = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
-            parts.append(html_cells(pages, "path").withColumnRenamed("page_id", "path").select(*columns))
-        else:
-            parts.append(read_delimited(spark, paths, "," if kind == "comma" else "\t").select(*columns))
-    return reduce(DataFrame.unionByName, parts)
+    parts = [read_workbooks(spark, paths) if kind == "workbook" else of_kind(spark, kind, paths) for kind, paths in by_kind.items()]
+    return reduce(DataFrame.unionByName, [p.select(*TABLE_COLUMNS) for p in parts])
 
 
 def logical_numbers(cells: DataFrame, paper_id: str = "paper_id") -> DataFrame:
