@@ -39,7 +39,7 @@ LEAF, BLOCK = 8_192, 65_536
 #: Bytes of a side in its first window.
 WINDOW = 64
 #: Stretches remembered by a worker, and the longest of them in bytes.
-MEMO_STRETCHES, MEMO_BYTES = 400_000, 64
+MEMO_STRETCHES, MEMO_BYTES = 200_000, 64
 
 #: ASCII places where any text splits: the second byte begins a new piece.
 ANCHOR = re.compile(rb"[!-~](?=[ \t\n\x0b\x0c\r])|[A-Za-z](?=[!-@\[-`{-~])|[0-9](?=[!-/:-~])|[!-&(-/:-@\[-`{-~](?=[0-9A-Za-z])|'(?=[0-9])")
@@ -86,7 +86,7 @@ class Codec:
         self.sizes = np.array([len(s) for s in spelt], np.int64)
         self.begins = np.append(0, np.cumsum(self.sizes))
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -108,13 +108,13 @@ class Codec:
         coded = column.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         new = [w for w in words if w not in self.memo]
-        fresh = dict(zip(new, self.whole(new), strict=True))
+        fresh = {w: i.tobytes() for w, i in zip(new, self.whole(new), strict=True)}
         ids = [self.memo[w] if w in self.memo else fresh[w] for w in words]
         if len(self.memo) + len(fresh) > MEMO_STRETCHES:
             self.memo.clear()
         self.memo.update((w, i) for w, i in fresh.items() if len(w) <= MEMO_BYTES)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         out = ragged(flat, np.append(0, np.cumsum(counts)), codes)
         running = np.append(0, np.cumsum(counts[codes]))
         return out, running[np.searchsorted(starts, offsets)]
