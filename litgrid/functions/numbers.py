@@ -22,9 +22,11 @@ def _power(mantissa: Column, exponent: Column) -> Column:
 
 
 def _whole(s: Column) -> Column:
-    """A whole-text number; s is trimmed. Words that a cast would take (Infinity, 1d, 0x1p3) are none."""
-    end = F.substring(s, -1, 1)
-    return F.when(((end >= "0") & (end <= "9") | (end == ".")) & ~F.contains(F.lower(s), F.lit("x")), s.try_cast("double"))
+    """A whole-text number; s is trimmed. Underscores may part digits, and inf and infinity are numbers; other words that a cast would take (1d, 0x1p3) are none."""
+    end, low = F.substring(s, -1, 1), F.lower(s)
+    digits = F.when(F.contains(s, F.lit("_")), F.when(s.rlike("^(?:[^_]|(?<=[0-9])_(?=[0-9]))*$"), F.replace(s, F.lit("_"), F.lit("")))).otherwise(s)
+    endless = F.when(low.rlike("^[+-]?inf(inity)?$"), F.when(F.startswith(low, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    return F.coalesce(endless, F.when(((end >= "0") & (end <= "9") | (end == ".")) & ~F.contains(low, F.lit("x")), digits.try_cast("double")))
 
 
 def safe_float(c: ColumnLike) -> Column:

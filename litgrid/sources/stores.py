@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import time
+import uuid
+from collections.abc import Callable
+from functools import reduce
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,34 +99,138 @@ def tracker_entries(results: DataFrame, current: DataFrame, paper_input: Column,
     )
 
 
-def save_version(df: DataFrame, folder: str) -> str:
-    """A new version of a stored table: versions are folders of their own, so a table can be written from what was read of it. Returns the version's name."""
-    version = df.sparkSession.sql("select date_format(current_timestamp(), 'yyyyMMddHHmmssSSSSSS') || '_' || replace(uuid(), '-', '')").first()[0]
-    df.write.parquet(f"{folder}/version={version}")
-    return version
+class Conflict(Exception):
+    """Another writer has made the version that this one was to be."""
 
 
-def read_latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The latest version of a stored table; no rows where there is none."""
-    every = existing(spark, lambda: spark.read.option("basePath", folder).parquet(folder), f"{schema}, version string")
-    latest = every.agg(F.max(F.col("version").cast("string"))).first()[0]
-    return every.where(F.col("version").cast("string") == latest).drop("version") if latest else every.drop("version")
+def log_path(folder: str, version: int) -> str:
+    return f"{folder}/_log/{version:010d}"
 
 
-def save_tracker(entries: DataFrame, folder: str) -> str:
-    return save_version(entries, folder)
+def file_system(spark: SparkSession, folder: str):
+    """(Hadoop file system of a folder, function that makes its paths)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def read_tracker(spark: SparkSession, folder: str) -> DataFrame:
-    return read_latest(spark, folder, TRACKER)
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether the file wasn't there and is now. On this machine's disks and on HDFS the file system itself decides between two writers; an object store must offer a conditional put."""
+    fs, at = file_system(spark, path)
+    local = re.sub(r"^file:/*", "/", path) if fs.getScheme() == "file" else None
+    try:
+        if local:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            with open(local, "x", encoding="utf-8") as f:
+                f.write(text)
+        else:
+            out = fs.create(at(path), False)
+            out.write(bytearray(text.encode()))
+            out.close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    return True
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of a stored table, ascending."""
+    fs, at = file_system(spark, folder)
+    log = at(f"{folder}/_log")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(log) if f.getPath().getName().isdigit()) if fs.exists(log) else []
+
+
+def data_of(spark: SparkSession, folder: str, version: int) -> str:
+    """The folder of a version's rows, as its manifest says. A manifest that a writer is just filling is waited for."""
+    for _ in range(100):
+        said = "".join(r["value"] for r in spark.read.text(log_path(folder, version)).collect())
+        if said.endswith("."):
+            return f"{folder}/data/{said[:-1]}"
+        time.sleep(0.05)
+    raise ValueError(f"version {version} of {folder} was never finished")
+
+
+def read_version(spark: SparkSession, folder: str, schema: str, version: int | None = None) -> tuple[int, DataFrame]:
+    """(version, rows) of a stored table, the latest if no version is named; (0, no rows) where there is none."""
+    have = versions(spark, folder)
+    if version is not None and version not in have:
+        raise ValueError(f"{folder} has no version {version}")
+    chosen = version if version is not None else max(have, default=0)
+    return chosen, spark.read.parquet(data_of(spark, folder, chosen)) if chosen else spark.createDataFrame([], schema)
+
+
+def commit(df: DataFrame, folder: str, after: int) -> int:
+    """Writes rows as the version that follows `after`, if no other writer has: rows go to a folder of their own, and a manifest that is put if absent makes them the version."""
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{folder}/data/{name}")
+    if not put_if_absent(df.sparkSession, log_path(folder, after + 1), name + "."):
+        raise Conflict(f"{folder} has a version {after + 1} by another writer")
+    return after + 1
+
+
+def update(spark: SparkSession, folder: str, schema: str, merge: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:
+    """A new version made by merge(rows of the latest). If another writer was faster, its version is read and merged anew, so no edit is lost. Returns the version."""
+    for left in range(tries, 0, -1):
+        version, rows = read_version(spark, folder, schema)
+        try:
+            return commit(merge(rows), folder, version)
+        except Conflict:
+            if left == 1:
+                raise
+    raise ValueError("tries must be positive")
+
+
+def compact(spark: SparkSession, folder: str, keep: int = 10) -> int:
+    """Removes all but the latest `keep` versions, and rows that no version names (of writers that lost or died; none may be writing now). Returns how many folders of rows went."""
+    have = versions(spark, folder)
+    kept = have[-keep:]
+    named = {data_of(spark, folder, v).rsplit("/", 1)[-1] for v in kept}
+    fs, at = file_system(spark, folder)
+    for v in have[: len(have) - len(kept)]:
+        fs.delete(at(log_path(folder, v)), False)
+    data = at(f"{folder}/data")
+    gone = [f.getPath() for f in fs.listStatus(data) if f.getPath().getName() not in named] if fs.exists(data) else []
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
+
+
+ANNOTATIONS = "row_idx bigint, col string, status string, comment string, fingerprint string"
+
+
+def upserted(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with those of the changes in the place of those of equal keys. Columns that one side lacks are null."""
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(changes[k]) for k in keys])
+    return rows.join(changes.select(*keys).distinct(), same, "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def save_tracker(entries: DataFrame, folder: str) -> int:
+    """All entries anew; for edits beside other writers see edit_tracker."""
+    return update(entries.sparkSession, folder, TRACKER, lambda _: entries)
+
+
+def edit_tracker(changes: DataFrame, folder: str) -> int:
+    """Entries added or replaced by pmid, whatever others write meanwhile."""
+    return update(changes.sparkSession, folder, TRACKER, lambda rows: upserted(rows, changes, ["pmid"]))
+
+
+def read_tracker(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    return read_version(spark, folder, TRACKER, version)[1]
+
+
+def save_annotations(annotations: DataFrame, folder: str) -> int:
+    return update(annotations.sparkSession, folder, ANNOTATIONS, lambda _: annotations)
 
 
-def save_annotations(annotations: DataFrame, folder: str) -> str:
-    return save_version(annotations, folder)
+def edit_annotations(changes: DataFrame, folder: str) -> int:
+    """Annotations added or replaced by row and column, whatever others write meanwhile."""
+    return update(changes.sparkSession, folder, ANNOTATIONS, lambda rows: upserted(rows, changes, ["row_idx", "col"]))
 
 
-def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
-    return read_latest(spark, folder, "row_idx bigint, col string, status string, comment string, fingerprint string")
+def read_annotations(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    return read_version(spark, folder, ANNOTATIONS, version)[1]
 
 
 def write_csv(df: DataFrame, folder: str) -> None:

@@ -20,7 +20,7 @@ def each(spark, values, make):
     ("make", "pairs"),
     [
         (num.safe_float, {"4.2 x 10^-5": 4.2e-5, "-4.2 x 10^-5": 4.2e-5, "1e-5": 1e-5, "5×10−8": 5e-8, "n.s.": None, None: None, "3 * 10 8": 3e8, "P=2 x 10^-3 *": 2e-3, "rs110103": None, "ns 2100": None, "p=0.1035 ns": None, "4 X 10^-5": 4e-5, "- 5": -5.0}),
-        (num.norm_num, {"-4.2 x 10^-5": -4.2e-5, "19.0": 19.0, "1_000": None, "abc": None, None: None, "0.1234567890123456": 0.123456789012, "4 X 10^-5": 4e-5, "1 e -5": 1e-5, "1 e-5": 1e-5, "+2x10^3": 2000.0}),
+        (num.norm_num, {"-4.2 x 10^-5": -4.2e-5, "19.0": 19.0, "1_000": 1000.0, "_1": None, "1__0": None, "1_": None, "inf": float("inf"), "-Infinity": float("-inf"), "info": None, "abc": None, None: None, "0.1234567890123456": 0.123456789012, "4 X 10^-5": 4e-5, "1 e -5": 1e-5, "1 e-5": 1e-5, "+2x10^3": 2000.0}),
         (num.effect_of, {"1.26 (0.83-1.92)": 1.26, "0.164 (0.04)": 0.164, "−0.5": -0.5, "": None, "4.2x10-5": 4.2}),
         (lambda c: num.interval_of(c, F.lit("OR")), {"1.26 (0.83-1.92)": "(0.83-1.92)", "1.2 (0.1)": "", "x": ""}),
         (lambda c: num.interval_of(c, F.lit("Beta")), {"0.164 (0.04-0.1)": ""}),
