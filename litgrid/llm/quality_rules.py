@@ -1,18 +1,22 @@
 """Quality rules on tokeniser fertility.
 
 A public vocabulary's behaviour on a text tells prose from noise: characters per token, the share of tokens that fall back to
-single bytes, and the entropy of the text's token distribution. Each language has a band for the three, learnt from labelled documents; a text
-outside its band is rejected. Texts of languages without enough labelled documents, or without a language, have the band of their
-script. Counting rules (too few words, too many words in repeated three-word windows) come first.
+single bytes, and the entropy of the text's token distribution, held against what texts of that many tokens have. Each language has a band for the
+three, and so has each script, for texts without a language; a text outside its band is rejected. Counting rules (too few words, too
+many words in repeated three-word windows) come first.
 
-A language's band is learnt from at most `most_labels` labelled documents (of all languages together, those of the smallest hash): the least
-characters per token and least entropy that reject the most junk and keep the most clean documents, of those that keep at least
-LEAST_KEPT of the clean ones. With too little junk to learn from they are the LOW quantile of the clean ones.
+Bands come from all documents, without labels: median and median deviation of the logarithm of characters per token and of the entropy's distance from the script's
+curve over the number of tokens. The floors lie some deviations below the median (LIMITS). They are drawn toward the loose band BANDS (a language's entropy toward its script's) as if that were SHRINK or SCRIPT_SHRINK documents more,
+so that a language of a few documents isn't its own measure. Labels, where given, move the numbers of deviations: those that reject the most junk and keep the most clean documents, of those that keep
+LEAST_KEPT of the clean ones, weigh as much as the fewer of clean and junk labels against LABEL_SHRINK, first over all languages, then for each one. No number of documents or
+labels turns anything on or off. A language or script of which most documents are noise is measured by that noise. At most `most_labels` labelled documents (those of the smallest hash) are used.
 
-Words are encoded one by one, each distinct word once per worker; the measures are sums over a text's words.
+Words are encoded one by one, each distinct word once per worker; the measures are sums over a text's words. They are written once, as Parquet in the shared checkpoint folder; medians
+come from counts of rounded values, so a language of any share of the documents is summed where its documents lie.
 
 Cases: null and wordless texts have no words and fail the base rule; a text with fewer than LEAST_LETTERS letters a character (symbols,
-digits, drawings) has script "none" and is rejected; letters of no known script are judged by the band "other"; very long texts are a piece of their own; repeated rows give repeated results; extra columns are ignored and,
+digits, drawings) has script "none" and is rejected; letters of no known script are judged by the band "other"; texts of fewer than ENTROPY_TOKENS tokens are not judged by entropy; null languages are judged by script;
+very long texts are a piece of their own; repeated rows give repeated results; extra columns are ignored and,
 in `keep`, kept as they are.
 """
 
@@ -24,10 +28,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
+from .common import at_place, by_place, named_again, stored
 from .token_counts import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -49,16 +55,23 @@ ENTROPY_TOKENS = 100
 LEAST_LETTERS = 0.2
 SCRIPTS = ("latin", "greek_cyrillic", "cjk", "other", "none")
 BANDS = {
-    "latin": Band(1.1, 8.0, 0.10, 3.0),
+    "latin": Band(1.6, 8.0, 0.10, 3.0),
     "greek_cyrillic": Band(0.7, 8.0, 0.30, 3.0),
     "cjk": Band(0.25, 4.0, 0.90, 3.0),
     "other": Band(0.15, 8.0, 0.90, 2.5),
     "none": Band(np.inf, 0.0, 0.0, np.inf),
 }
-#: Learning of bands: labelled documents in all, clean and junk ones that a language needs, share of clean ones to keep, quantile without junk.
+#: Deviations below the median at which the floors lie without labels (characters per token, entropy), and the least deviations.
+LIMITS = (3.0, 2.5)
+LEAST_SPREAD = (0.01, 0.03)
+#: Documents that the wider band counts for against a language's and against a script's own (and SLOPE against a script's curve), labels that LIMITS count for.
+SHRINK, SCRIPT_SHRINK, LABEL_SHRINK = 20, 5, 25
+#: Bits that entropy grows by with each doubling of the tokens, before any document tells; tokens (powers of two) beyond which the curve is level, and its middle.
+SLOPE, FROM, TO, MIDDLE = 0.35, 6.5, 14.0, 9.0
+#: Rounded values in a unit, of which counts are kept: logarithm of characters per token, bits.
+STEPS = (1000, 200)
 MOST_LABELS = 20_000
-LEAST_CLEAN, LEAST_JUNK = 100, 10
-LEAST_KEPT, LOW = 0.95, 0.01
+LEAST_KEPT = 0.95
 SEED = "bands-1"
 
 
@@ -175,8 +188,8 @@ def repeated_lines(column: pa.Array) -> np.ndarray:
     return np.bincount(owner[has][again], minlength=len(offsets) - 1).astype(np.int64)
 
 
-def judged(column: pa.Array, pieces: Pieces, langs: pa.Array | None = None, learnt: dict[str, Band] | None = None) -> dict[str, np.ndarray]:
-    """Counts, measures and verdicts of texts; learnt: bands by language."""
+def measured(column: pa.Array, pieces: Pieces) -> dict[str, np.ndarray]:
+    """Counts and measures of texts."""
     data, offsets = tv.raw(column)
     words = tv.split_words(column, lower=False)
     white = tv.byte_table("space", False)[data] == 32
@@ -190,30 +203,36 @@ def judged(column: pa.Array, pieces: Pieces, langs: pa.Array | None = None, lear
     script = np.argmax(np.stack([tv.segments(lead == k, offsets) for k in range(none)]), axis=0)
     letters = tv.segments(lead < none, offsets)
     script = np.where((letters > 0) & (letters >= LEAST_LETTERS * chars), script, none)
-    bands = np.array([BANDS[s] for s in SCRIPTS])[script]
-    if learnt and langs is not None:
-        names = list(learnt)
-        place = pc.fill_null(pc.index_in(langs.cast(pa.string()), pa.array(names)), -1).to_numpy(zero_copy_only=False)
-        own = (place >= 0) & (script != none)
-        bands[own] = np.array([learnt[x] for x in names])[place[own]]
     n = np.maximum(tokens, 1)
-    per, share = chars / n, fallback / n
-    within = (per >= bands[:, 0]) & (per <= bands[:, 1]) & (share <= bands[:, 2]) & ((entropy >= bands[:, 3]) | (tokens < ENTROPY_TOKENS))
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": tv.segments(symbol[data], offsets), "n_dup_lines": repeated_lines(column), "n_repeat_words": n_repeat,
-        "base_failed": failed, "kept": ~failed & within, "n_tokens": tokens, "chars_per_token": per, "byte_share": share, "token_entropy": entropy, "script": np.array(SCRIPTS)[script],
+        "base_failed": failed, "n_tokens": tokens, "chars_per_token": chars / n, "byte_share": fallback / n, "token_entropy": entropy, "script": np.array(SCRIPTS)[script],
     }
 
 
-COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
-SCHEMA = f"doc_id bigint, {COUNTS}, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
 
 
-def best_floors(clean: np.ndarray, junk: np.ndarray) -> tuple[float, float]:
-    """Least characters per token and least entropy. clean, junk: rows of the two measures."""
-    if len(junk) < LEAST_JUNK:
-        return tuple(np.quantile(clean, LOW, axis=0).tolist())
+def with_measures(docs: DataFrame, text: str, vocabulary: str, *dropped: str) -> DataFrame:
+    """docs with the measures of the texts in a column, without the columns dropped."""
+    names = [f.split(" ")[0] for f in MEASURES.split(", ")]
+    on = [c for c in docs.columns if c not in dropped]
+    schema = docs.select(*on).schema
+    for field in T.StructType.fromDDL(MEASURES):
+        schema = schema.add(field)
+
+    def run(batches):
+        pieces = Pieces.of(tokenizer_path(vocabulary))
+        for batch in tv.pieces(batches, text, most=2_000_000):
+            found = measured(tv.texts(batch.column(text)), pieces)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in on), *(pa.array(found[c]) for c in names)], names=[*on, *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def best_limits(clean: np.ndarray, junk: np.ndarray) -> np.ndarray:
+    """Deviations below the median, of both measures, that tell junk from clean best. clean, junk: rows of the two deviations."""
     best, found = -np.inf, None
     both = np.concatenate([clean, junk])
     steps = np.linspace(0, 1, 201)
@@ -224,60 +243,115 @@ def best_floors(clean: np.ndarray, junk: np.ndarray) -> tuple[float, float]:
         value = np.where(kept >= LEAST_KEPT, kept - (len(b) - np.searchsorted(b, floors[1])) / len(junk), -np.inf)
         if value.max() > best:
             best, found = value.max(), (float(chars), float(floors[1][value.argmax()]))
-    return found
+    return -np.array(found)
+
+
+def drawn(limits: np.ndarray, clean: np.ndarray, junk: np.ndarray) -> np.ndarray:
+    """limits, moved by labels as far as there are any of both kinds."""
+    n = min(len(clean), len(junk))
+    return (LABEL_SHRINK * limits + n * best_limits(clean, junk)) / (LABEL_SHRINK + n) if n else limits
+
+
+def usable() -> Column:
+    return ~F.col("base_failed") & (F.col("script") != "none") & (F.col("n_tokens") >= ENTROPY_TOKENS)
+
+
+def doublings() -> Column:
+    return F.least(F.greatest(F.log2(F.greatest("n_tokens", F.lit(1)).cast("double")), F.lit(FROM)), F.lit(TO)) - MIDDLE
+
+
+def expected_entropy(found: DataFrame) -> Column:
+    """Entropy over the number of tokens: one curve of second degree for each script, drawn to SLOPE where there are few texts."""
+    x, y = doublings(), F.col("token_entropy") - SLOPE * doublings()
+    sums = [F.sum(x**k).alias(f"x{k}") for k in range(5)] + [F.sum(y * x**k).alias(f"y{k}") for k in range(3)]
+    curve = F.lit(0.0)
+    for row in found.where(usable()).groupBy("script").agg(*sums).collect():  # at most one row for each of SCRIPTS
+        left = np.array([[row[f"x{i + j}"] for j in range(3)] for i in range(3)]) + np.diag([0.0, SHRINK, SHRINK])
+        a, b, c = np.linalg.solve(left, [row[f"y{k}"] for k in range(3)]).round(4).tolist()
+        curve = F.when(F.col("script") == row["script"], a + (SLOPE + b) * x + c * x * x).otherwise(curve)
+    return curve
+
+
+def centres(found: DataFrame, curve: Column) -> DataFrame:
+    """(script, lang, n, mid_chars, spread_chars, mid_entropy, spread_entropy) of each script (lang null) and of each language in it."""
+    both = F.array(*[F.named_struct(F.lit("script"), F.col("script"), F.lit("lang"), lang, F.lit("whole"), F.lit(whole)) for lang, whole in ((F.lit(None).cast("string"), True), (F.col("lang"), False))])
+    values = F.array(*[F.named_struct(F.lit("which"), F.lit(k), F.lit("bin"), F.floor(v * STEPS[k]).cast("int")) for k, v in enumerate((F.ln("chars_per_token"), F.col("token_entropy") - curve))])
+    rows = found.where(usable()).select(F.explode(both).alias("g"), values.alias("values")).where("g.whole or g.lang is not null")
+    counts = rows.select("g.script", "g.lang", F.explode("values").alias("v")).groupBy("script", "lang", "v.which", "v.bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("script", "lang", "which")
+    middle = lambda by: F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col(by))).over(group)
+    mid = counts.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bin"))}).withColumn("mid", middle("bin"))
+    off = mid.withColumn("off", F.abs(F.col("bin") - F.col("mid"))).withColumn("upto", F.sum("n").over(group.orderBy("off"))).withColumn("dev", middle("off"))
+    of = lambda k, c: F.max(F.when(F.col("which") == k, c))
+    columns = [F.max("total").alias("n")]
+    for k, name in enumerate(("chars", "entropy")):
+        columns += [(of(k, F.col("mid")) / STEPS[k]).alias(f"mid_{name}"), F.greatest(1.4826 * of(k, F.col("dev")) / STEPS[k], F.lit(LEAST_SPREAD[k])).alias(f"spread_{name}")]
+    return off.groupBy("script", "lang").agg(*columns)
 
 
-def learn(docs: DataFrame, labels: DataFrame, vocabulary: str = VOCABULARY, most_labels: int = MOST_LABELS) -> dict[str, Band]:
-    """Bands by language. docs: doc_id, text, lang; labels: doc_id, quality (1 clean, 0 junk)."""
+MOST_GROUPS = 100_000
+
+
+def joined(found: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """found with the columns of its language's or its script's group. Groups are broadcast up to MOST_GROUPS, else joined by shuffle (hot languages by AQE)."""
+    named = groups.toDF(*[f"g_{c}" for c in groups.columns])
+    return found.join(F.broadcast(named) if few else named, (F.col("script") == F.col("g_script")) & F.col("lang").eqNullSafe(F.col("g_lang")), "left")
+
+
+def limits(found: DataFrame, groups: DataFrame, few: bool, curve: Column, labels: DataFrame, most_labels: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Deviations of the floors below the medians: in all, and by language. labels: doc_id, quality (1 clean, 0 junk); ids with both are left out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     one = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("quality"))
     ids = one.where(F.col("low") == F.col("quality")).drop("low").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most_labels)
-    slim = docs.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # rows of one id in docs could be many: their number is bounded once more
-    marked = slim.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("text")).limit(most_labels).repartition(F.col("doc_id"))
-
-    def run(batches):
-        pieces = Pieces.of(tokenizer_path(vocabulary))
-        for batch in tv.pieces(batches, most=2_000_000):
-            m = judged(tv.texts(batch.column("text")), pieces)
-            use = pa.array(~m["base_failed"] & (m["script"] != "none") & (m["n_tokens"] >= ENTROPY_TOKENS))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("quality").cast(pa.int32()), pa.array(m["script"]), pa.array(m["chars_per_token"]), pa.array(m["token_entropy"])], names=["lang", "quality", "script", "chars", "entropy"]).filter(use)
-
-    found = marked.mapInArrow(run, "lang string, quality int, script string, chars double, entropy double").toPandas()
-    bands = {}
-    for lang, rows in found.groupby("lang"):
-        clean, junk = (rows.loc[rows["quality"] == q, ["chars", "entropy"]].to_numpy() for q in (1, 0))
-        if len(clean) >= LEAST_CLEAN:
-            script = rows.loc[rows["quality"] == 1, "script"].mode()[0]
-            chars, entropy = best_floors(clean, junk)
-            bands[lang] = BANDS[script]._replace(least_chars=chars, least_entropy=entropy)
-    return bands
+    # rows of one id in found could be many: their number is bounded once more
+    slim = found.where(usable()).select("doc_id", "script", "lang", "chars_per_token", "token_entropy", "n_tokens", curve.alias("curve")).join(F.broadcast(ids), "doc_id")
+    marked = slim.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "lang", "chars_per_token", "token_entropy").limit(most_labels)
+    deviations = [((F.ln("chars_per_token") - F.col("g_mid_chars")) / F.col("g_spread_chars")).alias("chars"), ((F.col("token_entropy") - F.col("curve") - F.col("g_mid_entropy")) / F.col("g_spread_entropy")).alias("entropy")]
+    rows = joined(marked, groups, few).select("lang", "quality", *deviations).toPandas()
+    parts = lambda x: [x.loc[x["quality"] == q, ["chars", "entropy"]].to_numpy() for q in (1, 0)]
+    every = drawn(np.array(LIMITS), *parts(rows))
+    return every, {lang: drawn(every, *parts(x)) for lang, x in rows.groupby("lang")}
+
+
+def decided(found: DataFrame, labels: DataFrame | None = None, most_labels: int = MOST_LABELS) -> DataFrame:
+    """found (doc_id, lang and measures) with chars_floor, entropy_floor and kept."""
+    curve = expected_entropy(found)
+    groups = stored(centres(found, curve))
+    few = groups.count() <= MOST_GROUPS
+    every, own = (np.array(LIMITS), {}) if labels is None else limits(found, groups, few, curve, labels, most_labels)
+    spark = found.sparkSession
+    # a row for each labelled language, so at most most_labels
+    moved = spark.createDataFrame([(k, *v.tolist()) for k, v in own.items()], "l_lang string, l_chars double, l_entropy double")
+    rows = joined(found, groups, few).join(F.broadcast(moved), F.col("lang") == F.col("l_lang"), "left")
+    loose = lambda k: F.element_at(F.create_map(*[F.lit(x) for s, b in BANDS.items() for x in (s, float(b[k]))]), F.col("script"))
+    n = F.coalesce("g_n", F.lit(0))
+    own_floor = lambda name, k: F.coalesce(F.col(f"g_mid_{name}") - F.coalesce(f"l_{name}", F.lit(float(every[k]))) * F.col(f"g_spread_{name}"), F.lit(0.0))
+    chars = F.exp((n * own_floor("chars", 0) + SHRINK * F.ln(loose(0))) / (n + SHRINK))
+    # at most one row for each of SCRIPTS
+    whole = groups.where("lang is null").select(F.col("script").alias("w_script"), F.col("n").alias("w_n"), (F.col("mid_entropy") - float(every[1]) * F.col("spread_entropy")).alias("w_floor"))
+    rows = rows.join(F.broadcast(whole), F.col("script") == F.col("w_script"), "left")
+    w = F.coalesce("w_n", F.lit(0))
+    of_script = (w * (F.coalesce("w_floor", F.lit(0.0)) + curve) + SCRIPT_SHRINK * loose(3)) / (w + SCRIPT_SHRINK)
+    entropy = (n * (own_floor("entropy", 1) + curve) + SHRINK * of_script) / (n + SHRINK)
+    rows = rows.withColumns({"chars_floor": chars, "entropy_floor": entropy})
+    within = (F.col("script") != "none") & F.col("chars_per_token").between(F.col("chars_floor"), loose(1)) & (F.col("byte_share") <= loose(2)) & ((F.col("token_entropy") >= F.col("entropy_floor")) | (F.col("n_tokens") < ENTROPY_TOKENS))
+    return rows.withColumn("kept", ~F.col("base_failed") & within)
 
 
 def measure(docs: DataFrame, labels: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per row of docs: doc_id, the counts, base_failed, kept, and the measures of fertility."""
-    lang = "lang" in docs.columns
-    learnt = learn(docs, labels, vocabulary) if lang and labels is not None else {}
-
-    def run(batches):
-        pieces = Pieces.of(tokenizer_path(vocabulary))
-        for batch in tv.pieces(batches, most=2_000_000):
-            found = judged(tv.texts(batch.column("text")), pieces, batch.column("lang") if lang else None, learnt)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
-
-    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col("lang").cast("string").alias("lang")] if lang else [])]
-    return docs.select(*columns).mapInArrow(run, SCHEMA)
+    """Per row of docs: doc_id, the counts, base_failed, kept, the measures of fertility and the floors they were held against."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = stored(with_measures(slim, "text", vocabulary, "text"))
+    counts = [f.split(" ")[0] for f in MEASURES.split(", ")]
+    at = counts.index("n_tokens")
+    return decided(found, labels).select("doc_id", *counts[:at], "kept", *counts[at:], "chars_floor", "entropy_floor")
 
 
 def keep(docs: DataFrame, labels: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs without the rejected documents; columns unchanged."""
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
-    learnt = learn(docs, labels, vocabulary) if lang is not None and labels is not None else {}
-
-    def run(batches):
-        pieces = Pieces.of(tokenizer_path(vocabulary))
-        for batch in tv.pieces(batches, f"c{at}", most=2_000_000):
-            yield batch.filter(pa.array(judged(tv.texts(batch.column(at)), pieces, None if lang is None else batch.column(lang), learnt)["kept"]))
-
-    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
+    inner, at = by_place(docs), docs.columns.index("text")
+    lang = at_place(docs, "lang") if "lang" in docs.columns else F.lit(None)
+    ready = inner.withColumns({"doc_id": at_place(docs, "doc_id").cast("bigint"), "lang": lang.cast("string")})
+    found = stored(with_measures(ready, f"c{at}", vocabulary))
+    return named_again(decided(found, labels).where("kept"), docs)
