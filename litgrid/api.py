@@ -13,7 +13,7 @@ from litgrid.functions import links as lk
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, gold, literature, scoring
 from litgrid.plans import rules
-from litgrid.sources import html_tables, sheets, stores
+from litgrid.sources import html_tables, sheets, stores, workbooks
 
 FINDINGS = ("imputation", "stage", "association", "model", "population", "sample_size")
 
@@ -65,16 +65,16 @@ def normalized(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.merge_subheader(body, columns)
 
 
-def curate(papers: DataFrame, raw: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+def curate(papers: DataFrame, raw: DataFrame, hints: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
     """Curated records of raw(table_id, row_idx, col_idx, value, paper_id[, logical_no, link]), with context from papers(paper_id, text).
 
     The fixed sheet's columns, with paper_id, table_id, row_idx, sub_no, confidence, needs_review, evidence and audit. Papers without any record get one shell row.
-    hints(pmid, table_idx, field, value): metadata that fill what neither rows nor text tell."""
+    hints(pmid, table_idx, field, value): metadata that fill what neither rows nor text tell. rule_table: which headers have which role (headers.role_rules, as changed)."""
     raw = raw if "logical_no" in raw.columns else raw.withColumn("logical_no", F.coalesce(F.col("table_id").try_cast("int"), F.lit(1)))
     raw = raw if "link" in raw.columns else raw.withColumn("link", F.lit(""))
     owner = raw.select("table_id", "paper_id", "logical_no", "link").distinct()
     # kept, so that what follows is planned (and, for papers without records, run) without the extraction
-    found = extract.records(*normalized(raw.select("table_id", "row_idx", "col_idx", "value"))).persist().join(owner, "table_id")
+    found = extract.records(*normalized(raw.select("table_id", "row_idx", "col_idx", "value")), rule_table).persist().join(owner, "table_id")
     about = context.paper_context(papers, "paper_id", "text", hints).withColumnsRenamed({f: f"p_{f}" for f in FINDINGS}).persist()
     found = found.withColumn("place", F.concat(F.lit("Table "), F.col("logical_no").cast("string"))).withColumn("said", F.concat_ws(" ", "grp", "place", "row_text"))
     found = context.record_cohorts(found, "said", "place", papers)
@@ -194,6 +194,11 @@ def evaluate_files(spark: SparkSession, reference: str, inputs: list[str], pmid:
     return out
 
 
+def write_curated(curated: DataFrame, folder: str) -> DataFrame:
+    """A workbook for each paper, written by executors: (key, path, sheet, n_rows, n_bytes). folder: one that all executors see."""
+    return workbooks.write_workbooks({"curated": (curated.select("paper_id", *[f"`{c}`" for c in rules.CURATED_COLUMNS]), ["RecordID"])}, "paper_id", folder)
+
+
 def rank(articles: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """articles(xml) ranked by relevance; the profile of seeds, if given, adds to the score."""
     found = sheets.publications(articles)

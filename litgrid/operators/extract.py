@@ -319,13 +319,29 @@ def tiered(tier) -> Column:
     return F.array_max(F.filter(ranked, lambda x: x["t"].isNotNull()))["i"]
 
 
-def role_places(columns: DataFrame) -> DataFrame:
-    """(table_id, place of each role): one row per table, so rows need no header rule of their own."""
+def ruled_places(heads: DataFrame, columns: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """(table_id, raw, place of each role) by a table of rules; roles that no rule names have no place."""
+    known = [*rules.ROLE_PATTERNS, *rules.RANKED_ROLES]
+    nth = columns.withColumn("nth", F.row_number().over(Window.partitionBy("table_id").orderBy("col_idx")) - 1)
+    found = headers.roles_by_rules(columns, rule_table).join(nth.select("table_id", "col_idx", "nth"), ["table_id", "col_idx"])
+    places = found.groupBy("table_id").agg(*[F.max(F.when(F.col("role") == r, F.col("nth"))).cast("int").alias(f"at_{r}") for r in known])
+    return heads.select("table_id", "raw").join(places, "table_id", "left")
+
+
+def role_places(columns: DataFrame, rule_table: DataFrame | None = None) -> DataFrame:
+    """(table_id, place of each role): one row per table, so rows need no header rule of their own. Roles follow a table of rules (headers.RULE) if one is given."""
     heads = headers_of(columns)
+    if rule_table is not None:
+        return with_kind(ruled_places(heads, columns, rule_table))
     role = {r: last(*words) for r, words in rules.ROLE_PATTERNS.items()}
     role |= {"a1": F.coalesce(last("a1"), last("allele 1")), "a2": F.coalesce(last("a2"), last("allele 2")), "p": tiered(headers.p_value_tier), "effect": tiered(headers.effect_tier)}
     role["variant"] = F.coalesce(F.try_element_at(places_of(lambda h: h == "variant"), F.lit(-1)), last("variant all", "location and base pair change", "chr:position"), last("variant"), last("location", "change"), role["rs"])
     placed = heads.select("table_id", "raw", *[c.cast("int").alias(f"at_{r}") for r, c in role.items()])
+    return with_kind(placed)
+
+
+def with_kind(placed: DataFrame) -> DataFrame:
+    """Places with the kind of effect, and whether p-values are logarithms."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("Beta", "OR", "Beta", "HR", "Zscore")]), F.coalesce(headers.effect_tier(F.get("raw", F.col("at_effect"))), F.lit(1)))
     p_head = F.coalesce(F.get("raw", F.col("at_p")), F.lit(""))
     return placed.select(*placed.drop("raw").columns, F.when(F.col("at_effect").isNull(), "NR").otherwise(kind).alias("effect_type"), num.is_neg_log(p_head).alias("converted"))
@@ -340,9 +356,9 @@ def subgroup_places(subgroups: DataFrame, columns: DataFrame) -> DataFrame:
     return per.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("label", "snp_at", "p_at", "ci_at", "effect_at", "kind", "converted"))).alias("groups"))
 
 
-def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = None) -> DataFrame:
+def generic(rows: DataFrame, columns: DataFrame, subgroups: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
     """Records of tables in no known layout: roles by header words, rows without content skipped, merged cells carried down, subgroups and rs ids exploded."""
-    roles = role_places(columns)
+    roles = role_places(columns, rule_table)
     names_of = [c[3:] for c in roles.columns if c.startswith("at_")]
     rows = rows.join(roles, "table_id")
     # each role's cell once, as a column of its own
@@ -443,12 +459,12 @@ def row_text() -> Column:
     return F.array_join(F.filter("vals", lambda v: v != ""), " | ")
 
 
-def records(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """(table_id, row_idx, layout, sub_no, row_text, fields ...) of all tables."""
+def records(cells: DataFrame, columns: DataFrame, rule_table: DataFrame | None = None) -> DataFrame:
+    """(table_id, row_idx, layout, sub_no, row_text, fields ...) of all tables; roles of tables in no known layout by rule_table (headers.RULE) if one is given."""
     rows = grid(cells, columns)
     heads = headers_of(columns)
     parts = [of_layout(rows, heads, k) for k in layouts_present(heads)]
-    parts.append(generic(rows, columns, headers.subgroups(columns)))
+    parts.append(generic(rows, columns, headers.subgroups(columns), rule_table))
     chosen = first_layout(reduce(DataFrame.unionByName, parts))
     return chosen.select("table_id", "row_idx", "layout", "sub_no", "row_text", "r.*").drop("keep")
 

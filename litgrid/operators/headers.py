@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions.numbers import is_neg_log
@@ -148,6 +148,39 @@ def roles(columns: DataFrame, patterns: dict[str, list[str]] | None = None) -> D
     return found.select("table_id", F.explode("roles").alias("r")).where("r.at is not null").select("table_id", "r.role", "r.at.col_idx", "r.at.name")
 
 
+RULE = "role string, tier int, pattern string, unless string, side string"
+
+#: Rules that are broadcast; a table of more is an error.
+MOST_RULES = 10_000
+
+
+def role_rules(spark: SparkSession) -> DataFrame:
+    """The built-in rules as a table (RULE), to be changed and given to roles_by_rules or extract.records. A header fits a rule if, normalised, it matches the pattern (a Java expression, found
+    anywhere) and not `unless`; of a table's headers the one of the least tier is chosen, and of those the last, or the first where side says so."""
+    rows = [(role, 1, "|".join(f"\\Q{w}\\E" for w in words), None, "last") for role, words in rules.ROLE_PATTERNS.items()]
+    rows += [(role, tier, pattern, unless, "last") for role, tiers in rules.RANKED_ROLES.items() for tier, pattern, unless in tiers]
+    return spark.createDataFrame(rows, RULE)
+
+
+def roles_by_rules(columns: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """(table_id, role, col_idx, name) of columns(table_id, col_idx, name) by a table of rules (RULE).
+
+    Each distinct header meets the rules once; what it fits comes back to the columns as one row for each header, so a header that most tables have is a long key of few bytes, which
+    adaptive execution splits. A rule without role, tier or pattern, or of another side, is a ValueError, and so are more than MOST_RULES."""
+    faulty = F.col("role").isNull() | F.col("tier").isNull() | F.col("pattern").isNull() | ~F.coalesce("side", F.lit("last")).isin("first", "last")
+    n, wrong = rule_table.agg(F.count("*"), F.count_if(faulty)).first()
+    if wrong or n > MOST_RULES:
+        raise ValueError(f"{wrong} faulty rules" if wrong else f"{n} rules, at most {MOST_RULES}")
+    r = F.broadcast(rule_table.select("role", "tier", "pattern", "unless", (F.coalesce("side", F.lit("last")) == "first").alias("first")))
+    heads = columns.select("name").distinct().withColumn("__n", normalize("name"))
+    fits = F.rlike(F.col("__n"), F.col("pattern")) & ~F.coalesce(F.rlike(F.col("__n"), F.col("unless")), F.lit(False))
+    hits = heads.join(r, fits).groupBy("name").agg(F.collect_set(F.struct("role", "tier", "first")).alias("hits"))
+    found = columns.select("table_id", "col_idx", "name").join(hits, "name").select("table_id", "col_idx", "name", F.explode("hits").alias("h"))
+    place = F.when(F.col("h.first"), -F.col("col_idx")).otherwise(F.col("col_idx"))
+    best = found.groupBy("table_id", F.col("h.role").alias("role")).agg(F.max_by(F.struct("col_idx", "name"), F.struct((-F.col("h.tier")).alias("t"), place.alias("p"))).alias("at"))
+    return best.select("table_id", "role", "at.col_idx", "at.name")
+
+
 def spelt_out(c: Column | str) -> Column:
     """Distinct words with abbreviations spelt out; capitals of the long forms part words (a quirk kept)."""
     return F.array_distinct(F.filter(F.split(expand_abbreviations(normalize(c)), "[^a-z0-9]+"), lambda x: x != ""))

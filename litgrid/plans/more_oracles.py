@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litgrid.plans.oracles import DIAGNOSIS, FAULTY, GOLD, PUBLICATIONS
+from litgrid.plans.oracles import DIAGNOSIS, FAULTY, GOLD, PUBLICATIONS, ROLE_WORDS
 
 SITE = "https://pmc.ncbi.nlm.nih.gov/articles/PMC"
 
@@ -120,6 +120,15 @@ case when e then 'C' else 'G' end as ra1, case when e then 'T' else 'A' end as r
     "sheet_opened": "select cast(n_nationkey as varchar) as n_nationkey, n_name, case when n_nationkey % 2 = 0 then 'c' else '' end as n_comment, cast(7 as bigint) as row_count from nation where n_nationkey < 7",
     "article_tables": """with p as (select page_id, page_id % 5 as k from pages), r(k, table_id, table_no, rule) as (values (0, 'T2', 1, 'id'), (1, 'x-T3', 2, 'label'), (2, 'Z9', 1, 'link'), (3, 'T2', 2, 'place'), (4, 'T7', 0, 'place'), (4, 'T7', 1, 'place'))
 select page_id, table_id, cast(table_no as int) as table_no, rule from p join r using (k)""",
+    "rule_roles": f"""with h as (select s_suppkey as table_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as c, unnest(['SNP', case when s_suppkey % 2 = 0 then 'P value' else 'P joint' end, case when s_suppkey % 3 = 0 then 'meta P' else 'Nearest Gene' end, 'OR (95% CI)',
+    case when s_suppkey % 5 = 0 then 'β G' else 'HR' end, case when s_suppkey % 7 = 0 then 'Chr:Position' else 'BP' end, case when s_suppkey % 4 = 0 then 'A1/A2' else 'EA/OA' end, 'marker ' || s_name]) as name from supplier), {ROLE_WORDS},
+best as (select table_id, role, max(c) as c from h join w on contains(lower(name), word) group by all
+union all select table_id, 'p', case when table_id % 3 = 0 then 2 else 1 end from h group by all
+union all select table_id, 'effect', case when table_id % 5 = 0 then 4 else 3 end from h group by all
+union all select table_id, 'variant', case when table_id % 7 = 0 then 5 else 7 end from h group by all
+union all select table_id, a, max(c) from h, (values ('a1'), ('a2')) v(a) where contains(lower(name), a) group by all
+union all select table_id, 'numbered', min(c) from h where regexp_matches(name, '[0-9]') and not starts_with(name, 'marker') group by all)
+select best.table_id, role, best.c as col_idx, name from best join h on best.table_id = h.table_id and best.c = h.c""",
     "filled_gaps": "select 0 as col_idx, lang as value, count(*) as n from documents group by lang union all select 1, source, count(*) from documents group by source",
 }
 

@@ -9,7 +9,7 @@ from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, gold, headers, review
 from litgrid.plans import rules
 from litgrid.plans.queries import diagnose_unmatched, faulty, gold_orders, pred_orders, publications, read
-from litgrid.sources import elements, html_tables, sheets, stores
+from litgrid.sources import elements, html_tables, sheets, stores, workbooks
 
 
 def table_addresses(spark, sf_dir):
@@ -351,9 +351,32 @@ def article_tables(spark, sf_dir):
     return elements.article_tables(p.select("page_id", F.concat("html", tail).alias("html")), p.select("page_id", wanted.alias("table_id")))
 
 
+def supplier_headers(spark, sf_dir):
+    """Eight headers a supplier, which differ by table."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    names = F.array(F.lit("SNP"), F.when(k % 2 == 0, "P value").otherwise("P joint"), F.when(k % 3 == 0, "meta P").otherwise("Nearest Gene"), F.lit("OR (95% CI)"), F.when(k % 5 == 0, "β G").otherwise("HR"), F.when(k % 7 == 0, "Chr:Position").otherwise("BP"), F.when(k % 4 == 0, "A1/A2").otherwise("EA/OA"), F.concat(F.lit("marker "), F.col("s_name")))
+    return s.select(k.alias("table_id"), F.posexplode(names).alias("col_idx", "name"))
+
+
+def rule_roles(spark, sf_dir):
+    """Roles by the built-in rules as a table, and by one more rule: a role of its own for the first header with a digit."""
+    more = spark.createDataFrame([("numbered", 1, "[0-9]", "^marker", "first")], headers.RULE)
+    return headers.roles_by_rules(supplier_headers(spark, sf_dir), headers.role_rules(spark).unionByName(more))
+
+
+def nation_workbooks(spark, sf_dir):
+    """A workbook of clients and vendors for each nation and hundred thousand ids, written by executors into a new shared folder."""
+    key = lambda c: F.concat_ws("-", F.coalesce(F.col("nation_id").cast("string"), F.lit("none")), F.coalesce(F.floor(F.col(c) / 100_000).cast("string"), F.lit("none")))
+    clients, vendors = (read(spark, sf_dir, t).withColumn("place", key(c)) for t, c in (("clients", "client_id"), ("vendors", "vendor_id")))
+    sheets_of = {"clients": (clients, ["client_id", "updated_at", "source"]), "vendors": (vendors, ["vendor_id"])}
+    listed = workbooks.write_workbooks(sheets_of, "place", stores.new_folder(spark, "workbooks"))
+    return listed.select("key", F.col("sheet"), "n_rows", lk.base_name("path").alias("file_name"))
+
+
 QUERIES = (
     table_addresses, editor_values, source_numbers, header_levels, publication_ids, paper_findings, cohort_of_rows, validation_issues, gold_canonical, predicted_canonical, gold_papers, evaluation_summary, evaluation_fields, evaluation_sets, evaluation_view, golden_rows, golden_names, golden_columns,
-    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps, article_tables,
+    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps, article_tables, rule_roles, nation_workbooks,
 )
 
 

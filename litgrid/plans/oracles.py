@@ -17,6 +17,13 @@ m as (select *, case when num and v is null then 0 else least(np, ng) end as tp
 HEADERS = """h as (select n_nationkey as table_id, c, name from (select n_nationkey, unnest([0, 1, 2, 3, 4, 5]) as c, unnest(['SNP', case when n_nationkey % 2 = 0 then 'P value' else 'P joint' end,
     case when n_nationkey % 3 = 0 then 'meta P' else 'Gene' end, 'OR (95% CI)', case when n_nationkey % 5 = 0 then 'β G' else 'HR' end, 'marker ' || n_name]) as name from nation))"""
 
+# Which words in a header tell which role.
+ROLE_WORDS = """w(role, word) as (values ('rs', 'snp (rs)'), ('rs', 'variant (rs)'), ('rs', 'snp all'), ('rs', 'rs-id'), ('rs', 'rsid'), ('rs', 'snp'), ('rs', 'marker'), ('location', 'location and base pair change'), ('location', 'chr:position'),
+    ('chr', 'chr:position'), ('chr', 'chr'), ('chr', 'chromosome'), ('bp', 'position'), ('bp', 'bp'), ('bp', 'base pair'), ('bp', 'pos'), ('locus', 'nearest gene'), ('locus', 'closest gene'), ('locus', 'nearestgene'), ('locus', 'locusname'), ('locus', 'locus name'), ('locus', 'gene'),
+    ('maf', 'eaf'), ('maf', 'maf'), ('maf', 'af'), ('cohort', 'cohort'), ('cohort', 'consortium'), ('cohort', 'study'), ('cohort', 'dataset'), ('cohort', 'sample set'), ('imputation', 'imputation'), ('imputation', 'reference panel'), ('imputation', 'panel'),
+    ('population', 'population'), ('population', 'ancestry'), ('population', 'ethnicity'), ('sample_size', 'sample size'), ('sample_size', 'total n'), ('sample_size', 'n='), ('sample_size', 'participants'), ('sample_size', 'subjects'), ('ea_oa', 'ea/oa'), ('ea_oa', 'ea / oa'), ('ea_oa', 'effect allele/other allele'),
+    ('a1a2maf', 'a1/a2'), ('a1a2maf', 'a1/a2 a (maf)'), ('a1a2maf', 'a1/a2a (maf)'), ('major_minor', 'major/ minor alleles'), ('major_minor', 'major/minor'), ('major_minor', 'alleles'), ('major_minor', 'allele'), ('ci', '95'), ('ci', 'ci'), ('interaction', 'interaction'), ('interaction', 'snp x'), ('interaction', 'snp*'))"""
+
 FAULTY = """f as (select o_orderkey, case when o_orderkey % 10 = 0 then '' when o_orderkey % 10 = 1 then 'gene' else 'rs' || o_orderkey end as snp, case when o_orderkey % 7 = 0 then '2' else '1e-5' end as p,
     case when o_orderkey % 3 = 0 then '23' else 'X' end as chr, case when o_orderkey % 4 = 0 then 'NR' else 'A' end as ra from orders),
 v as (select *, case when o_orderkey % 10 in (0, 1) or o_orderkey % 7 = 0 then 'failed' else 'warning' end as row_status from f)"""
@@ -92,8 +99,7 @@ from k join b on k.p_size = b.p_size group by k.p_size""",
     "last_match_column": "select n_nationkey as table_id, 'marker ' || n_name as last_name, 'SNP' as first_name from nation",
     "pvalue_column_tier": "select n_nationkey as table_id, case when n_nationkey % 3 = 0 then 'meta P' when n_nationkey % 2 = 1 then 'P joint' else 'P value' end as name from nation",
     "effect_column": "select n_nationkey as table_id, case when n_nationkey % 5 = 0 then 'β G' else 'OR (95% CI)' end as name, case when n_nationkey % 5 = 0 then 'Beta' else 'OR' end as effect_type from nation",
-    "column_roles": f"""with {HEADERS}, best as (select table_id, 'rs' as role, max(c) as c from h where contains(lower(name), 'snp') or contains(lower(name), 'marker') group by all
-union all select table_id, 'locus', max(c) from h where contains(lower(name), 'gene') group by all union all select table_id, 'ci', max(c) from h where contains(lower(name), '95') or contains(lower(name), 'ci') group by all
+    "column_roles": f"""with {HEADERS}, {ROLE_WORDS}, best as (select table_id, role, max(c) as c from h join w on contains(lower(name), word) group by all
 union all select table_id, 'p', arg_max(c, (case name when 'meta P' then 9 when 'P joint' then 8 else 7 end, c)) from h where name in ('meta P', 'P joint', 'P value') group by all
 union all select table_id, 'effect', arg_max(c, case name when 'β G' then 9 when 'OR (95% CI)' then 8 else 7 end) from h where name in ('β G', 'OR (95% CI)', 'HR') group by all)
 select best.table_id, role, best.c as col_idx, name from best join h on best.table_id = h.table_id and best.c = h.c""",

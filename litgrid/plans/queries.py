@@ -222,7 +222,7 @@ def effect_column(spark, sf_dir):
 
 
 def column_roles(spark, sf_dir):
-    return headers.roles(header_columns(spark, sf_dir)).where(F.col("role").isin("rs", "p", "effect", "locus", "ci"))
+    return headers.roles(header_columns(spark, sf_dir))
 
 
 def subgroup_defs(spark, sf_dir):

@@ -173,6 +173,18 @@ ROLE_PATTERNS = {
     "interaction": ["interaction", "snp x", "snp*"],
 }
 
+# Roles told by ranked rules: (rank, what a normalised header must match, what it must not).
+RANKED_ROLES = {
+    "p": [
+        (1, "p meta|meta p", None), (2, "p joint", None), (3, "p value all|p-value all", None), (4, "^(p|p-value|p value|pval)\\z|^p_|_p\\z", "pf"), (5, "p-value|p value", None),
+        (6, "(?s)(?=.*(l\\s*o\\s*g\\s*(1\\s*0|_\\s*\\{\\s*1\\s*0\\s*\\}|\\(\\s*1\\s*0\\s*\\))|-\\s*l\\s*o\\s*g)).*\\bp\\b", None), (7, "\\bp\\b", "pf|het p"),
+    ],
+    "effect": [(1, "(?s)^(?=.*(beta|β))(?=.*( g|g\\z))", "x|×|interaction"), (2, "\\bor\\b|odds ratio", None), (3, "\\bbeta\\b|(?U)\\bβ\\b", None), (4, "\\bhr\\b|hazard ratio", None), (5, "\\bz[- ]?score\\b|\\bz\\b", None)],
+    "a1": [(1, "a1", None), (2, "allele 1", None)],
+    "a2": [(1, "a2", None), (2, "allele 2", None)],
+    "variant": [(1, "^variant\\z", None), (2, "variant all|location and base pair change|chr:position", None), (3, "variant", None), (4, "location|change", None), (5, "snp \\(rs\\)|variant \\(rs\\)|snp all|rs-id|rsid|snp|marker", None)],
+}
+
 VALIDATED_FIELDS = ["TopSNP", "P-value", "EffectSize(altvsref)", "Chr", "BP(Position)", "RA 1(Reported Allele 1)", "Cohort_simplified (no counts)", "Sample size", "Imputation_simple2", "Population_map", "Analysis group", "Phenotype"]
 
 STOP_TYPES = ["review", "systematic review", "meta-analysis", "editorial", "comment", "letter", "news"]

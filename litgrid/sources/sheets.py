@@ -46,14 +46,19 @@ def workbook_cells(data: bytes) -> list[tuple[int, str, int, int, str]]:
             part = f"xl/worksheets/sheet{k + 1}.xml"
             if part not in names:
                 continue
+            at = -1
             for row in ET.fromstring(z.read(part)).iter(f"{MAIN}row"):
+                # rows and cells without an address follow the one before
+                at = int(row.get("r")) - 1 if row.get("r") else at + 1
+                place = -1
                 for c in row.iter(f"{MAIN}c"):
+                    place = column_index(c.get("r")) if c.get("r") else place + 1
                     v, kind = c.find(f"{MAIN}v"), c.get("t")
                     text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if kind == "inlineStr" else (v.text or "" if v is not None else "")
                     if kind == "s" and text:
                         text = shared[int(text)]
                     if text:
-                        out.append((k, title, int(row.get("r")) - 1, column_index(c.get("r")), text))
+                        out.append((k, title, at, place, text))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -99,6 +100,16 @@ def tracker_entries(results: DataFrame, current: DataFrame, paper_input: Column,
     )
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one of spark.checkpoint.dir; without that setting a temporary one, if the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Conflict(Exception):
     """Another writer has made the version that this one was to be."""
 
