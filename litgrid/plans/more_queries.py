@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litgrid import api, incremental
 from litgrid.functions import links as lk
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, gold, headers, review
@@ -374,9 +375,30 @@ def nation_workbooks(spark, sf_dir):
     return listed.select("key", F.col("sheet"), "n_rows", lk.base_name("path").alias("file_name"))
 
 
+def incremental_curation(spark, sf_dir):
+    """Suppliers as source workbooks, two for each paper of two hundred, curated; then the odd papers get a third workbook, and only these are read. Rows of each paper by the number of records, and what the second update did."""
+    s = read(spark, sf_dir, "supplier").where("s_suppkey is not null")
+    k = F.col("s_suppkey")
+    number = (F.lit(30_000_000) + F.floor(k / 200)).cast("string")
+    body = s.select(F.concat_ws("_table", number, k % 3 + 1).alias("file"), F.concat(F.lit("rs"), k).alias("SNP"), (k % 22 + 1).cast("string").alias("Chr"), F.concat(F.lit("GENE"), k % 7).alias("Gene"), F.lit("1.5").alias("OR"), F.lit("0.01").alias("P value"))
+    folder = stores.new_folder(spark, "incremental")
+    late = F.col("file").endswith("_table3")
+    odd = F.substring("file", 8, 1).isin("1", "3", "5", "7", "9")
+    settings = api.Settings(f"{folder}/out")
+    papers = s.select(number.alias("paper_id")).distinct().withColumn("text", F.lit("Methods. A logistic regression."))
+    book = lambda df: workbooks.write_workbooks({"t": (df, ["SNP"])}, "file", f"{folder}/in")
+    book(body.where(~late))
+    incremental.update(spark, papers, [f"{folder}/in/*.xlsx"], settings)
+    book(body.where(late & odd))
+    out = incremental.update(spark, papers, [f"{folder}/in/*.xlsx"], settings)
+    read_now = out["extracted"].groupBy(F.substring(lk.base_name("name"), 1, 8).alias("paper_id")).agg(F.count("*").alias("n_read"))
+    counts = out["curated"].groupBy("paper_id").agg(F.count("*").alias("n_records"), F.min("TopSNP").alias("first_snp"))
+    return counts.join(read_now, "paper_id", "left").select("paper_id", "n_records", "first_snp", F.coalesce("n_read", F.lit(0)).alias("n_read"))
+
+
 QUERIES = (
     table_addresses, editor_values, source_numbers, header_levels, publication_ids, paper_findings, cohort_of_rows, validation_issues, gold_canonical, predicted_canonical, gold_papers, evaluation_summary, evaluation_fields, evaluation_sets, evaluation_view, golden_rows, golden_names, golden_columns,
-    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps, article_tables, rule_roles, nation_workbooks,
+    review_cells, review_rows, edited_sheet, annotated_sheet, fix_list, mismatch_counts, pred_total, latest_runs, related_tables, run_views, tracker_of_results, issue_files, table_listing, article_table_links, table_types, all_match_columns, sheet_rows, publication_list, layout_records, subgroup_records, sheet_opened, filled_gaps, article_tables, rule_roles, nation_workbooks, incremental_curation,
 )
 
 
