@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -65,17 +66,18 @@ def normalized(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.merge_subheader(body, columns)
 
 
-def curate(papers: DataFrame, raw: DataFrame, hints: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
+def curate(papers: DataFrame, raw: DataFrame, hints: DataFrame | None = None, rule_table: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """Curated records of raw(table_id, row_idx, col_idx, value, paper_id[, logical_no, link]), with context from papers(paper_id, text).
 
     The fixed sheet's columns, with paper_id, table_id, row_idx, sub_no, confidence, needs_review, evidence and audit. Papers without any record get one shell row.
-    hints(pmid, table_idx, field, value): metadata that fill what neither rows nor text tell. rule_table: which headers have which role (headers.role_rules, as changed)."""
+    hints(pmid, table_idx, field, value): metadata that fill what neither rows nor text tell. rule_table: which headers have which role (headers.role_rules, as changed).
+    keep: how extracted records and papers' contexts are kept for what follows; a function that writes and reads them keeps plans small."""
     raw = raw if "logical_no" in raw.columns else raw.withColumn("logical_no", F.coalesce(F.col("table_id").try_cast("int"), F.lit(1)))
     raw = raw if "link" in raw.columns else raw.withColumn("link", F.lit(""))
     owner = raw.select("table_id", "paper_id", "logical_no", "link").distinct()
     # kept, so that what follows is planned (and, for papers without records, run) without the extraction
-    found = extract.records(*normalized(raw.select("table_id", "row_idx", "col_idx", "value")), rule_table).persist().join(owner, "table_id")
-    about = context.paper_context(papers, "paper_id", "text", hints).withColumnsRenamed({f: f"p_{f}" for f in FINDINGS}).persist()
+    found = keep(extract.records(*normalized(raw.select("table_id", "row_idx", "col_idx", "value")), rule_table)).join(owner, "table_id")
+    about = keep(context.paper_context(papers, "paper_id", "text", hints).withColumnsRenamed({f: f"p_{f}" for f in FINDINGS}))
     found = found.withColumn("place", F.concat(F.lit("Table "), F.col("logical_no").cast("string"))).withColumn("said", F.concat_ws(" ", "grp", "place", "row_text"))
     found = context.record_cohorts(found, "said", "place", papers)
     shell = papers.select("paper_id").join(found.select("paper_id").distinct(), "paper_id", "left_anti")

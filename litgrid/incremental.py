@@ -178,7 +178,9 @@ def recurate(spark: SparkSession, papers: DataFrame, pointers: DataFrame, anew:
     needed = pointers.where("kind = 'source'").join(anew.withColumnRenamed("name", "paper"), "paper", "left_semi")
     raw = api.of_papers(held(spark, f"{folder}/cells", needed, "path"))
     about = papers.withColumn("paper_id", F.col("paper_id").cast("string")).join(anew.withColumnRenamed("name", "paper_id"), "paper_id", "left_semi")
-    return api.curate(about, raw, hints, rule_table)
+    # in tables of their own, so no plan is that of the whole curation, and nothing stays in memory
+    keep = lambda df: kept(df, f"{folder}/work/{uuid.uuid4().hex}")
+    return api.curate(about, keep(raw), hints, rule_table, keep)
 
 
 def rescore(curated: DataFrame, reference: DataFrame, again: DataFrame, settings: api.Settings) -> dict[str, DataFrame]:
