@@ -238,31 +238,56 @@ def multisets_equal(pred: DataFrame, gold: DataFrame, key: str, columns: list[st
     return field_bags(pred, gold, [key], columns).groupBy(key, "field").agg((F.sum(F.abs(F.col("n_pred") - F.col("tp")) + F.abs(F.col("n_gold") - F.col("tp"))) == 0).alias("equal"))
 
 
-def with_combined(pred: DataFrame) -> DataFrame:
-    """pred(paper, source_file, ...) and, for papers with several sources, all their rows once more under COMBINED."""
-    several = pred.groupBy("paper").agg((F.count_distinct("source_file") > 1).alias("__several"))
-    tagged = pred.join(several, "paper")
-    sources = F.when(F.col("__several"), F.array(F.col("source_file"), F.lit(COMBINED))).otherwise(F.array("source_file"))
-    return tagged.withColumn("source_file", F.explode(sources)).drop("__several")
-
-
-def key_flags(pred: DataFrame, gold: DataFrame, candidates: list[str], adaptive: bool) -> DataFrame:
-    """(paper, source_file, known, use_{key} ...): per source the keys to match by. adaptive: those with a value on both sides; the identifier always.
-    known: is there any gold row for the paper."""
-    has = lambda df, by: df.groupBy(*by).agg(*[F.max(F.col(c).isNotNull()).alias(f"use_{c}") for c in candidates])
-    own, other = has(pred, ["paper", "source_file"]), has(gold, ["paper"]).withColumnsRenamed({f"use_{c}": f"gold_{c}" for c in candidates}).withColumn("known", F.lit(True))
-    joined = own.join(other, "paper", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+#: Rows that one task joins with the facts of their groups.
+PART_ROWS = 100_000
+
+
+def with_combined(rows: DataFrame) -> DataFrame:
+    """rows(paper, source_file, ...), and all once more under COMBINED with __again, which count for papers with several sources only."""
+    return rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("__again")).withColumn("source_file", F.when(F.col("__again"), F.lit(COMBINED)).otherwise(F.col("source_file")))
+
+
+def source_facts(pred: DataFrame, candidates: list[str]) -> DataFrame:
+    """(paper, source_file, __several, __rows, n_pred_rows, use_{key} ...) of each source and, for papers with several, of all under COMBINED: rows are read once, what is known of a paper comes from that of its sources."""
+    used = [f"use_{c}" for c in candidates]
+    most = [F.max(c).alias(c) for c in used]
+    totals = [F.sum(c).alias(c) for c in ("__rows", "n_pred_rows")]
+    own = pred.where(F.col("paper").isNotNull()).groupBy("paper", "source_file").agg(F.count("*").alias("__rows"), F.count("snp").alias("n_pred_rows"), *[F.max(F.col(c).isNotNull()).alias(f"use_{c}") for c in candidates])
+    # a paper has one row here for each of its sources at most
+    several = own.groupBy("paper").agg((F.count("source_file") > 1).alias("__several"), *totals, *most)
+    joint = several.where("__several").withColumn("source_file", F.lit(COMBINED))
+    each = own.join(several.select("paper", "__several"), "paper").unionByName(joint)
+    return each.groupBy("paper", "source_file", "__several").agg(*totals, *most)
+
+
+def key_flags(facts: DataFrame, gold: DataFrame, candidates: list[str], adaptive: bool) -> DataFrame:
+    """facts with known, use_{key} ... and key_cols: per source the keys to match by. adaptive: those with a value on both sides; the identifier always.
+    known: is there any gold row for the paper; __gold: how many."""
+    other = gold.groupBy("paper").agg(F.count("*").alias("__gold"), *[F.max(F.col(c).isNotNull()).alias(f"gold_{c}") for c in candidates]).withColumn("known", F.lit(True))
+    joined = facts.join(other, "paper", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     use = {c: F.lit(True) if c == "snp" or not adaptive else F.coalesce(F.col(f"use_{c}") & F.col(f"gold_{c}"), F.lit(False)) for c in candidates}
     named = F.array(*[F.when(use[c] if c != "snp" or not adaptive else F.coalesce(F.col("use_snp") & F.col("gold_snp"), F.lit(False)), F.lit(c)) for c in candidates])
     names = F.filter(named, lambda x: x.isNotNull())
     names = F.when(F.array_contains(names, "snp"), names).otherwise(F.concat(F.array(F.lit("snp")), names))
-    return joined.select("paper", "source_file", "known", *[use[c].alias(f"use_{c}") for c in candidates], F.array_join(names, ",").alias("key_cols"))
+    return joined.select("paper", "source_file", "__several", "__rows", "__gold", "n_pred_rows", "known", *[use[c].alias(f"use_{c}") for c in candidates], F.array_join(names, ",").alias("key_cols"))
+
+
+def beside(rows: DataFrame, facts: DataFrame, by: list[str], made: int, groups: int) -> DataFrame:
+    """rows joined with the facts of their group, some `made` rows of so many groups. Rows are dealt by a hash of their values too, and a group's facts come once for each deal: the rows of
+    one group don't meet in one task, however many they are, and tasks get more with the rows, not larger."""
+    parts = 1 + made // PART_ROWS
+    deals = min(parts, max(DEALT, made // max(groups, 1)))
+    tasks = max(parts, rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(deals)).cast("int"))
+    copies = facts.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    keys = [*by, "__deal"]
+    # by sorting, as a broadcast would leave the rows in as few tasks as they were read by
+    return dealt.repartition(tasks, *keys).hint("merge").join(copies.repartition(tasks, *keys), keys).drop("__deal")
 
 
-def masked(df: DataFrame, flags: DataFrame, by: list[str], candidates: list[str]) -> DataFrame:
-    """df with the keys as k_{key}; those that a source doesn't match by are one constant. Gold rows come once for each source of their paper."""
-    joined = df.where(F.col("snp").isNotNull()).join(flags.where("known"), by)
-    blank = {c: F.lit(0.0) if is_number(df, c) else F.lit("") for c in candidates}
+def masked(joined: DataFrame, candidates: list[str]) -> DataFrame:
+    """Rows beside their flags, with the keys as k_{key}; those that a source doesn't match by are one constant."""
+    blank = {c: F.lit(0.0) if is_number(joined, c) else F.lit("") for c in candidates}
     return joined.withColumns({f"k_{c}": F.when(F.col(f"use_{c}"), F.col(c)).otherwise(blank[c]) for c in candidates})
 
 
@@ -276,21 +301,27 @@ def evaluate_sources(pred: DataFrame, gold: DataFrame, mode: str = "auto", ignor
     # both sides are read several times, and what made them may be a long plan
     pred, gold = pred.persist(), gold.persist()
     by, keys = ["paper", "source_file"], [f"k_{c}" for c in candidates]
-    pred = with_combined(pred)
-    flags = key_flags(pred, gold, candidates, mode == "auto")
-    left, right = masked(pred, flags, by, candidates), masked(gold.drop("source_file"), flags, ["paper"], candidates)
-    rows = scores(bag(left, right, keys, by), by)
-    # a gold row has a snp, but a side may have none at all
-    counts = bag(left, right, keys, by).groupBy(*by).agg(F.sum("n_gold").alias("n_gold_rows"))
-    n_pred = pred.groupBy(*by).agg(F.count("snp").alias("n_pred_rows"))
-    status = F.when(F.col("known"), "evaluated").otherwise("not_in_gold")
-    summary = flags.select(*by, status.alias("status"), F.when(F.col("known"), F.col("key_cols")).otherwise("").alias("key_cols")).join(n_pred, by).join(counts, by, "left").join(rows.drop("tp", "fp", "fn"), by, "left")
-    nothing = F.when(F.col("status") == "evaluated", F.lit(0.0))
-    summary = summary.select(*by, "status", "key_cols", "n_pred_rows", F.coalesce("n_gold_rows", F.lit(0)).alias("n_gold_rows"), *[F.coalesce(c, nothing).alias(f"row_{c}") for c in ("precision", "recall", "f1")])
     compared = [f for f in COMPARED if f not in ignored and f in pred.columns and f in gold.columns]
     sets = {"easy_fields": EASY, "all_fields": [f for f in ALL if f not in ignored]}
     every = list(dict.fromkeys([*compared, *EASY, *sets["all_fields"]]))
     every = [f for f in every if f in pred.columns and f in gold.columns]
+    flags = key_flags(source_facts(pred, candidates), gold, candidates, mode == "auto").persist()
+    # two numbers of rows, of groups one: a small job over the flags
+    size = flags.where("known").agg(F.sum("__rows"), F.sum("__gold"), F.count("*")).first()
+    n_pred, n_gold, n_groups = (x or 0 for x in size)
+    facts = flags.where("known").select(*by, "__several", *[f"use_{c}" for c in candidates])
+    needed = list(dict.fromkeys([*candidates, *every]))
+    read = lambda df, *more: df.where(F.col("snp").isNotNull()).select(*more, *needed)
+    left = masked(beside(with_combined(read(pred, *by)), facts, by, n_pred, n_groups).where("not __again or __several"), candidates)
+    # gold rows come once for each source of their paper
+    right = masked(beside(read(gold, "paper"), facts, ["paper"], n_gold, n_groups), candidates)
+    bags = bag(left, right, keys, by)
+    # a gold row has a snp, but a side may have none at all
+    rows = scores(bags, by).join(bags.groupBy(*by).agg(F.sum("n_gold").alias("n_gold_rows")), by)
+    status = F.when(F.col("known"), "evaluated").otherwise("not_in_gold")
+    summary = flags.select(*by, status.alias("status"), F.when(F.col("known"), F.col("key_cols")).otherwise("").alias("key_cols"), "n_pred_rows").where("paper is not null and source_file is not null").join(rows.drop("tp", "fp", "fn"), by, "left")
+    nothing = F.when(F.col("status") == "evaluated", F.lit(0.0))
+    summary = summary.select(*by, "status", "key_cols", "n_pred_rows", F.coalesce("n_gold_rows", F.lit(0)).alias("n_gold_rows"), *[F.coalesce(c, nothing).alias(f"row_{c}") for c in ("precision", "recall", "f1")])
     bags = field_bags(left.select(*by, *keys, *every), right.select(*by, *keys, *every), [*by, *keys], every)
     held = F.coalesce(F.col("text"), F.col("num").cast("string")).isNotNull()
     pooled = []
