@@ -260,7 +260,8 @@ def record_cohorts(records: DataFrame, row: str, place: str, papers: DataFrame,
     synonyms = synonyms or rules.COHORT_SYNONYMS
     codes = list(dict.fromkeys(synonyms.values()))
     of_word = F.array(*[F.lit(codes.index(v)) for v in synonyms.values()])
-    found = mt.index(papers, key, body, list(synonyms))
+    # three answers are drawn from it
+    found = mt.index(papers, key, body, list(synonyms)).persist()
     by_code = mt.within(found, key).groupBy(key, "place", F.get(of_word, F.col("word")).alias("__i")).agg(F.sum("n").alias("__n"))
     named = F.array(*[F.lit(c) for c in codes])
     near = by_code.groupBy(key, F.col("place").alias("__place")).agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col("__i").alias("i"), F.get(named, F.col("__i")).alias("code")))).alias("__near"))

@@ -19,6 +19,8 @@ from litgrid.functions.text import normalize, text
 
 #: Characters of a block of offsets.
 BLOCK = 4_096
+#: Rows of the index that are handed on at once, of several short papers or of one.
+OUT_ROWS = 10_000
 #: Names of places whose surroundings are asked for; a place "table 1" is also mentioned by "table 12".
 PLACES = r"table (\d+)"
 FOUND = "struct<words:array<int>,firsts:array<int>,counts:array<int>,whole:array<int>>"
@@ -211,13 +213,20 @@ def index(papers: DataFrame, key: str, body: str, words: list[str], places: str
     def run(batches):
         finder = Finder.of(vocabulary)
         for batch in batches:
-            keys = batch.column(key)
+            keys, held, of = batch.column(key), [], []
             for i, (t, low) in enumerate(zip(batch.column("t").to_pylist(), batch.column("low").to_pylist(), strict=True)):
                 rows = mention_rows(finder, low or "") + window_rows(t or "", low or "", pattern, window, most)
-                if rows:
-                    word, place, begin, end = zip(*rows, strict=True)
-                    same = keys.take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([same, pa.array(word, pa.int32()), pa.array(place, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=[key, "word", "place", "begin", "end"])
+                held += rows
+                of += [i] * len(rows)
+                if len(held) >= OUT_ROWS:
+                    yield packed(keys, held, of)
+                    held, of = [], []
+            if held:
+                yield packed(keys, held, of)
+
+    def packed(keys: pa.Array, rows: list[tuple], of: list[int]) -> pa.RecordBatch:
+        word, place, begin, end = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(word, pa.int32()), pa.array(place, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=[key, "word", "place", "begin", "end"])
 
     kind = T.StructType([papers.schema[key], *T._parse_datatype_string("word int, place string, begin int, end int").fields])
     return papers.where(F.col(key).isNotNull()).select(key, text(body).alias("t"), F.lower(text(body)).alias("low")).mapInArrow(run, kind)

@@ -9,7 +9,7 @@ from litgrid.functions import links as lk
 from litgrid.functions import text as tx
 from litgrid.operators import align, cells, context, enrich, extract, gold, headers, review
 from litgrid.plans import rules
-from litgrid.plans.queries import diagnose_unmatched, faulty, gold_orders, pred_orders, publications, read
+from litgrid.plans.queries import diagnose_unmatched, faulty, gold_orders, pred_orders, publications, read, spread
 from litgrid.sources import elements, html_tables, sheets, stores, workbooks
 
 
@@ -62,7 +62,7 @@ def paper_findings(spark, sf_dir):
 
 
 def cohort_of_rows(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey"))
     k = F.col("c_custkey")
     body = F.when(k % 3 == 0, "We use IGAP. Table 1 shows ADNI, ADNI.").when(k % 3 == 1, "Data of the HRS.").otherwise("")
     rows = c.select("c_custkey", F.when(k % 4 == 0, "of ADGC").when(k % 4 == 1, "eQTL").otherwise("").alias("said"), F.lit("Table 1").alias("place"))
