@@ -81,18 +81,23 @@ class FileNumber:
 # --- rows as tuples that sort ----------------------------------------------------------------------------------------------------------
 
 
+def plain(column: pa.Array) -> list:
+    """Values of a column without nulls; by numpy, as Arrow's own list makes an object of its own for each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def sortable(column: pa.Array) -> list:
     """Values of a column as Python values in the column's order, nulls first."""
     kind = column.type
     if pa.types.is_string(kind) or pa.types.is_large_string(kind):
-        return pc.fill_null(pc.binary_join_element_wise(pa.scalar("=", kind), column, pa.scalar("", kind)), "").to_pylist()
+        return plain(pc.fill_null(pc.binary_join_element_wise(pa.scalar("=", kind), column, pa.scalar("", kind)), ""))
     if pa.types.is_floating(kind):
         bits = column.fill_null(0).cast(pa.float64()).to_numpy(zero_copy_only=False).view(np.int64)
         values = (bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))).tolist()
     elif pa.types.is_date32(kind):
-        values = column.cast(pa.int32()).fill_null(0).to_pylist()
+        values = plain(column.cast(pa.int32()).fill_null(0))
     elif pa.types.is_integer(kind) or pa.types.is_boolean(kind) or pa.types.is_timestamp(kind):
-        values = column.cast(pa.int64()).fill_null(0).to_pylist()
+        values = plain(column.cast(pa.int64()).fill_null(0))
     else:
         raise ValueError(f"columns of type {kind} are not sorted here")
     if column.null_count:
@@ -104,8 +109,9 @@ def sortable(column: pa.Array) -> list:
 def column_of(values: Iterable, kind: pa.DataType) -> pa.Array:
     """The column of sortable values."""
     if pa.types.is_string(kind) or pa.types.is_large_string(kind):
-        return pa.array([v[1:] if v else None for v in values], kind)
-    found = pa.array([None if v == NULL else v for v in values], pa.int64())
+        marked_text = pa.array(values, kind)
+        return pc.if_else(pc.equal(marked_text, pa.scalar("", kind)), pa.scalar(None, kind), pc.utf8_slice_codeunits(marked_text, 1))
+    found = pa.array([None if v == NULL else v for v in values] if NULL in values else values, pa.int64())
     if pa.types.is_floating(kind):
         bits = found.fill_null(0).to_numpy(zero_copy_only=False)
         floats = pa.array((bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))).view(np.float64))
@@ -175,8 +181,9 @@ class Writer:
     def write(self, batch: pa.RecordBatch) -> None:
         if not batch.num_rows:
             return
-        first = batch.column(0).to_pylist()
-        self.sha.update((("," if self.n_rows else "") + ",".join("" if v is None else str(v) for v in first)).encode())
+        first = batch.column(0)
+        shown = plain(first.cast(pa.string()).fill_null("")) if pa.types.is_integer(first.type) else ["" if v is None else str(v) for v in first.to_pylist()]
+        self.sha.update((("," if self.n_rows else "") + ",".join(shown)).encode())
         money = batch.column(batch.schema.get_field_index(self.table.amount)).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
         self.cents += int(np.floor(100 * np.where(np.isfinite(money), money, 0) + 0.5).astype(np.int64).sum())
         self.n_rows += batch.num_rows
@@ -294,7 +301,7 @@ class Links:
                 files, root = opened(folder)
                 with files.open_input_file(f"{root}/{name}/{file_name(file - table.first_file)}") as f:
                     for batch in pq.ParquetFile(f).iter_batches(GROUP_ROWS, columns=list(dict.fromkeys([key, wanted]))):
-                        yield from pc.unique(batch.column(wanted).filter(pa.array(marked(batch.column(key), keys)))).drop_null().to_pylist()
+                        yield from plain(pc.unique(batch.column(wanted).filter(pa.array(marked(batch.column(key), keys)))).drop_null())
 
         return marks.partitionBy(self.parts, FileNumber()).mapPartitions(run).distinct(self.parts)
 

@@ -2,9 +2,11 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -109,6 +111,26 @@ def test_small_and_empty_tables(spark, shop):
     assert {(r["table_name"], r["n_rows"]) for r in check(spark, few, 250, 200)} == {("clients", 1), ("sale_lines", 1)}
 
 
+def seconds(run):
+    took = []
+    for _ in range(3):
+        start = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - start)
+    return min(took)
+
+
+def test_columns_become_values_fast_and_come_back():
+    texts = pa.array([None, "", "=", "a\0b", "é" * 300, "\U0001f600x"])
+    times = pa.array([None, 0, -5, 2**62], pa.timestamp("us"))
+    for column in (texts, texts.cast(pa.large_string()), times, pa.array([None, -1, 2**63 - 1]), pa.array([3, 4]), pa.array([True, None, False]), pa.array([None, -0.0, 1.5, float("inf")]), pa.array([0, None], pa.date32()), pa.array([], pa.string())):
+        values = erasure.sortable(column)
+        assert all(type(v) in (int, str, float) for v in values)
+        assert erasure.column_of(values, column.type).equals(column)
+    for column in (pa.array(range(200_000)), pa.array([f"text {i}" for i in range(200_000)]), pa.array(range(200_000)).cast(pa.timestamp("us"))):
+        assert seconds(lambda c=column: erasure.sortable(c)) < seconds(lambda c=column.cast(pa.int64()) if pa.types.is_timestamp(column.type) else column: c.to_pylist()) / 2
+
+
 def test_other_types_are_refused(spark, shop):
     tables = frames(spark, {n: rows[:2] for n, rows in shop.items()})
     tables["clients"] = tables["clients"].selectExpr("*", "array(1) as a")
