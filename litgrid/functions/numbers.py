@@ -12,6 +12,10 @@ _POWER = "(?i)([0-9.]+)\\s*[x*]\\s*10\\s*\\^?\\s*([+-]?\\s*[0-9]+)"
 _SIGNED = "^([+-]?[0-9]*\\.?[0-9]+)\\s*(?:x\\s*10\\s*\\^?|[eE])\\s*([+-]?[0-9]+)$"
 
 
+#: What a cast takes of texts that end in a digit or point and have no x. Others are not cast at all: a cast that fails makes an exception for each row.
+_CAST = "^[\\x00-\\x20]*[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
 def _plain(c: ColumnLike) -> Column:
     """Trimmed, with the signs of multiplication and minus unified."""
     return F.translate(strip(text(c)), "×−–", "x--")
@@ -25,8 +29,8 @@ def _whole(s: Column) -> Column:
     """A whole-text number; s is trimmed. Underscores may part digits, and inf and infinity are numbers; other words that a cast would take (1d, 0x1p3) are none."""
     end, low = F.substring(s, -1, 1), F.lower(s)
     digits = F.when(F.contains(s, F.lit("_")), F.when(s.rlike("^(?:[^_]|(?<=[0-9])_(?=[0-9]))*$"), F.replace(s, F.lit("_"), F.lit("")))).otherwise(s)
-    endless = F.when(low.rlike("^[+-]?inf(inity)?$"), F.when(F.startswith(low, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    return F.coalesce(endless, F.when(((end >= "0") & (end <= "9") | (end == ".")) & ~F.contains(low, F.lit("x")), digits.try_cast("double")))
+    endless = F.when(F.lower(end).isin("f", "y") & low.rlike("^[+-]?inf(inity)?$"), F.when(F.startswith(low, F.lit("-")), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    return F.coalesce(endless, F.when(((end >= "0") & (end <= "9") | (end == ".")) & ~F.contains(low, F.lit("x")) & digits.rlike(_CAST), digits.try_cast("double")))
 
 
 def safe_float(c: ColumnLike) -> Column:
@@ -43,7 +47,7 @@ def significant(c: Column, digits: int) -> Column:
 def norm_num(c: ColumnLike) -> Column:
     """Whole-text numbers and anchored notation, sign kept, to 12 significant digits."""
     s = F.translate(_plain(c), "X", "x")
-    value = once(s, lambda s: F.coalesce(_whole(s), F.when(s.rlike(_SIGNED), _power(F.regexp_extract(s, _SIGNED, 1), F.regexp_extract(s, _SIGNED, 2)))))
+    value = once(s, lambda s: F.coalesce(_whole(s), once(F.regexp_extract(s, _SIGNED, 1), lambda m: F.when(m != "", _power(m, F.regexp_extract(s, _SIGNED, 2))))))
     return significant(value, 12)
 
 
