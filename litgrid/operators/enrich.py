@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions.numbers import safe_float
 from litgrid.functions.text import cell, integer_like, is_missing_value, once, strip, text
+from litgrid.operators.align import dealt_by_order
 from litgrid.plans import rules
 
 
@@ -113,14 +114,27 @@ def validated(records: DataFrame, fields: dict[str, str] | None = None, flagged:
     return out.withColumns({"row_issues": F.concat(own, late), "row_status": status})
 
 
+def numbered_by_paper(rows: DataFrame, paper: str, order: list[str], into: str) -> DataFrame:
+    """rows with their number among the paper's, from 0. A number as the first order column deals a paper's rows into parts, whose numbers go on from the sizes of those before: they never meet in one task."""
+    if dict(rows.dtypes)[order[0]] not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return rows.withColumn(into, F.row_number().over(Window.partitionBy(paper).orderBy(*order)) - 1)
+    # a missing number is in the first part, as it comes first
+    dealt = dealt_by_order(rows, order[0]).withColumn("__part", F.coalesce("__part", F.lit(0)))
+    sizes = dealt.groupBy(F.col(paper).alias("__paper"), F.col("__part").alias("__level")).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy("__paper").orderBy("__level").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__paper", "__level", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = dealt.withColumn(into, F.row_number().over(Window.partitionBy(paper, "__part").orderBy(*order)) - 1)
+    both = nth.join(starts, nth[paper].eqNullSafe(starts["__paper"]) & (nth["__part"] == starts["__level"]))
+    return both.withColumn(into, (F.col(into) + F.col("__before")).cast("int")).drop("__part", "__paper", "__level", "__before")
+
+
 def validation_rows(checked: DataFrame, paper: str, order: list[str], record_id: str = "RecordID", row_evidence: str = "evidence") -> DataFrame:
     """(paper, row_index, record_id, row_status, row_issues, fields) of validated records: fields with findings only, each with status, issues, value and evidence."""
-    nth = F.row_number().over(Window.partitionBy(paper).orderBy(*order)) - 1
     about = cell(row_evidence) if row_evidence in checked.columns else F.lit("")
     values = F.create_map(*[x for f in rules.VALIDATED_FIELDS for x in (F.lit(f), cell(f"`{f}`") if f in checked.columns else F.lit(""))])
     found = F.filter(F.map_entries("checks"), lambda e: e["value"]["status"] != OK)
     one = lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"]["status"].alias("status"), e["value"]["issues"].alias("issues"), F.coalesce(F.try_element_at(values, e["key"]), F.lit("")).alias("value"), F.substring(about, 1, 500).alias("evidence")).alias("value"))
-    return checked.select(F.col(paper).alias("paper"), nth.alias("row_index"), (F.coalesce(F.col(record_id), F.lit("")) if record_id in checked.columns else F.lit("")).alias("record_id"), "row_status", "row_issues", F.map_from_entries(F.transform(found, one)).alias("fields"))
+    return numbered_by_paper(checked, paper, order, "__nth").select(F.col(paper).alias("paper"), F.col("__nth").alias("row_index"), (F.coalesce(F.col(record_id), F.lit("")) if record_id in checked.columns else F.lit("")).alias("record_id"), "row_status", "row_issues", F.map_from_entries(F.transform(found, one)).alias("fields"))
 
 
 def validation_documents(rows: DataFrame) -> DataFrame:
