@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -24,6 +26,19 @@ from litgrid.sources import sheets, stores
 MARKS = "kind string, name string, mark string, run string, paper string, size long, changed timestamp, error string"
 CELLS = "path string, table_no int, row_idx int, col_idx int, value string"
 SCORES = ("summary", "fields", "sets")
+#: At most how many tasks list the files of a read.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, paths of a read are looked up by as many tasks as run at once: else each path is a task of its own, which the driver starts one after the other."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), max(32, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 def digest(*columns: Column) -> Column:
@@ -123,7 +138,8 @@ def update(spark: SparkSession, papers: DataFrame, sources: list[str], settings:
     if papers.groupBy("paper_id").count().where("count > 1").limit(1).count():
         raise ValueError("papers must be unique by paper_id")
     ruled = "" if rule_table is None else str(sorted(map(str, rule_table.limit(100_000).collect())))
-    marks, failed = source_marks(spark, sources, old, verify)
+    with few_listing_tasks(spark):
+        marks, failed = source_marks(spark, sources, old, verify)
     stage = lambda df, name: kept(df, f"{folder}/work/{run}/{name}")
     marks = stage(marks.withColumn("paper", paper_of("name")), "sources")
     was = old.where("kind = 'source'")
@@ -139,7 +155,8 @@ def update(spark: SparkSession, papers: DataFrame, sources: list[str], settings:
     anew = state.where("anew").select("name")
 
     fresh = [r[0] for r in changed.select("path").collect()]
-    cells, errors = sheets.readable_tables(spark, [literal(p) for p in fresh])
+    with few_listing_tasks(spark):
+        cells, errors = sheets.readable_tables(spark, [literal(p) for p in fresh])
     if fresh or not version:
         cells.write.parquet(f"{folder}/cells/run={run}")
     errors = stage(errors.groupBy("source").agg(F.first("error").alias("error")), "errors")

@@ -188,12 +188,16 @@ def tables_from(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*TABLE_COLUMNS) for p in parts])
 
 
+def table_numbers(tables: DataFrame, paper_id: str = "paper_id") -> DataFrame:
+    """Tables (path, table_no, paper_id), a row each, with logical_no, the number that a source's table goes by."""
+    w = Window.partitionBy("path")
+    return tables.withColumn("logical_no", source_table_number(paper_id, "path", F.row_number().over(w.orderBy("table_no")), F.count("*").over(w)))
+
+
 def logical_numbers(cells: DataFrame, paper_id: str = "paper_id") -> DataFrame:
     """cells(path, table_no, paper_id, ...) with logical_no, the number a source's table goes by."""
-    tables = cells.select("path", "table_no", paper_id).distinct()
-    w = Window.partitionBy("path")
-    number = source_table_number(paper_id, "path", F.row_number().over(w.orderBy("table_no")), F.count("*").over(w))
-    return cells.join(tables.select("path", "table_no", number.alias("logical_no")), ["path", "table_no"])
+    numbered = table_numbers(cells.select("path", "table_no", paper_id).distinct(), paper_id)
+    return cells.join(numbered.select("path", "table_no", "logical_no"), ["path", "table_no"])
 
 
 def named_rows(cells: DataFrame, names: list[str], key: str = "path", sheet: str | None = None) -> DataFrame:
